@@ -52,20 +52,22 @@ def unproject(u, v, depth, fx, fy, cx, cy) -> tuple[Column, Column, Column]:
 def undistorted_columns(df, u, v, fx, fy, cx, cy, d, rounds: int = 5):
     """Add normalised undistorted coordinates `un`, `vn` by fixed-point inversion.
 
-    Each round is its own projection so that the expression stays small.
+    The rounds are a fold inside one expression: unrolled columns would be substituted into each other by
+    the optimiser and grow exponentially.
     """
     k1, k2, p1, p2, k3 = [col(k) for k in d]
-    df = (df.withColumn("_x0", (col(u) - col(cx)) / col(fx)).withColumn("_y0", (col(v) - col(cy)) / col(fy))
-            .withColumn("un", F.col("_x0")).withColumn("vn", F.col("_y0")))
-    x, y = F.col("un"), F.col("vn")
-    for _ in range(rounds):
+    x0, y0 = (col(u) - col(cx)) / col(fx), (col(v) - col(cy)) / col(fy)
+
+    def improve(s, _):
+        x, y = s["un"], s["vn"]
         r2 = x * x + y * y
-        icdist = 1.0 / (1.0 + r2 * (k1 + r2 * (k2 + r2 * k3)))
-        dx = 2.0 * p1 * x * y + p2 * (r2 + 2.0 * x * x)
-        dy = p1 * (r2 + 2.0 * y * y) + 2.0 * p2 * x * y
-        df = (df.withColumns({"_xn": (F.col("_x0") - dx) * icdist, "_yn": (F.col("_y0") - dy) * icdist})
-                .withColumns({"un": F.col("_xn"), "vn": F.col("_yn")}))
-    return df.drop("_x0", "_y0", "_xn", "_yn")
+        shrink = 1.0 + r2 * (k1 + r2 * (k2 + r2 * k3))
+        return F.struct(((x0 - (2.0 * p1 * x * y + p2 * (r2 + 2.0 * x * x))) / shrink).alias("un"),
+                        ((y0 - (p1 * (r2 + 2.0 * y * y) + 2.0 * p2 * x * y)) / shrink).alias("vn"))
+
+    start = F.struct(x0.alias("un"), y0.alias("vn"))
+    folded = df.withColumn("_uv", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, improve))
+    return folded.withColumns({"un": F.col("_uv.un"), "vn": F.col("_uv.vn")}).drop("_uv")
 
 
 def stereo_features(depth_raw, fx: float, baseline: float, scale: float, dmin: float, dmax: float,
