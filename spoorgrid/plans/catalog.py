@@ -1,4 +1,4 @@
 """All registered queries (imported for their registration side effect)."""
 
-from spoorgrid.plans import catalog_maps, catalog_points  # noqa: F401
+from spoorgrid.plans import catalog_maps, catalog_points, catalog_retrieval  # noqa: F401
 from spoorgrid.plans.registry import REGISTRY  # noqa: F401
