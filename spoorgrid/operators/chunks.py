@@ -150,3 +150,31 @@ def run_starts(df: DataFrame, keys, idx: str, value: str | None = None, max_gap:
     out = out.join(borders, [*keys, "_chunk"], "left")
     start = F.when(F.col("_local") == F.col("_first"), F.col("_carry")).otherwise(F.col("_local"))
     return out.withColumn(name, start).drop("_chunk", "_v", "_b", "_local", "_first", "_carry")
+
+
+def events_around(probes: DataFrame, events: DataFrame, keys, probe_at: str, event_at: str, gap: int, before: str,
+                  after: str, chunk: int = CHUNK_ROWS) -> DataFrame:
+    """Two-sided as-of join on integers: the nearest event at least `gap` before and after each probe.
+
+    Events and probes are merged by position and read once in both directions, chunk by chunk; what lies in
+    other chunks comes from one row per chunk. Probe rows must be distinct; columns `before` and `after` are
+    NULL where there is no event.
+    """
+    keys = _keys(keys)
+    names = probes.columns
+    side = F.explode(F.array(F.lit(1), F.lit(2)))
+    p = probes.withColumn("_kind", side).withColumn(
+        "_at", F.when(F.col("_kind") == 1, F.col(probe_at) - gap).otherwise(F.col(probe_at) + gap))
+    e = events.select(*keys, F.col(event_at).alias("_at"), F.col(event_at).alias("_ev"), F.lit(0).alias("_kind"))
+    both = p.unionByName(e, allowMissingColumns=True).withColumn("_chunk", chunk_of("_at", chunk))
+    tops = both.groupBy(*keys, "_chunk").agg(F.max("_ev").alias("_mx"), F.min("_ev").alias("_mn"))
+    line = Window.partitionBy(*keys).orderBy("_chunk")
+    tops = tops.select(*keys, "_chunk", F.max("_mx").over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("_cp"),
+                       F.min("_mn").over(line.rowsBetween(1, Window.unboundedFollowing)).alias("_cn"))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy("_at")
+    both = both.join(tops, [*keys, "_chunk"], "left").withColumns({
+        "_p": F.greatest(F.max("_ev").over(inside.rangeBetween(Window.unboundedPreceding, 0)), F.col("_cp")),
+        "_n": F.least(F.min("_ev").over(inside.rangeBetween(0, Window.unboundedFollowing)), F.col("_cn"))})
+    hits = both.where(F.col("_kind") > 0)
+    return hits.groupBy(*names).agg(F.max(F.when(F.col("_kind") == 1, F.col("_p"))).alias(before),
+                                    F.max(F.when(F.col("_kind") == 2, F.col("_n"))).alias(after))

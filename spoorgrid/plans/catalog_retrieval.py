@@ -121,7 +121,7 @@ def _blend(src):
     return R.blended(_queries(src, 2, 3), _bank(src, 2), 0.3, 3, DIM)
 
 
-@query("W5_score_blend", "embeds", f"with {_BLEND} select qid, item, score, rank from bl where rank <= 5", real="score")
+@query("W5_score_blend", "embeds", f"with {_BLEND} select qid, item, score, rank from bl where rank <= 5", real="score", digits=9)
 def _(src):
     q, b = _blend(src)
     return R.top_k(q, b, 5, variants=3).drop("variant")
@@ -132,7 +132,7 @@ def _(src):
     f as (select qid, item, rank, round(score + case when rank <= 8 then 4e-1 * (local_ - avg(local_) over w)
           / stddev_pop(local_) over w else 0 end, 9) as final from l window w as (partition by qid, rank <= 8))
     select qid, item, final, final_rank from (select *, row_number() over (partition by qid order by final desc, item)
-    as final_rank from f) where final_rank <= 4""", real="final")
+    as final_rank from f) where final_rank <= 4""", real="final", digits=9)
 def _(src):
     q, b = _blend(src)
     c = R.top_k(q, b, 12, variants=3).withColumn("local_", F.pmod(F.col("qid") * 31 + F.col("item") * 17, F.lit(101)) / 101.0)
@@ -145,7 +145,7 @@ def _(src):
           (b1 - avg(b1) over w) / stddev_pop(b1) over w * 4e-1 as c1 from m window w as (partition by qid))
     select * from (select qid, item, round(c0 + c1, 9) as score, case when c1 > c0 then v1 else v0 end as variant,
     row_number() over (partition by qid order by round(c0 + c1, 9) desc, item) as rank from z) where rank <= 5""",
-       real="score", whole="variant")
+       real="score", whole="variant", digits=9)
 def _(src):
     return R.ensemble_top_k(_queries(src, 2, 3), _bank(src, 2), 5, [3.0, 2.0], variants=3)
 

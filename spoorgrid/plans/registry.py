@@ -33,12 +33,12 @@ class Source:
         return bound(self.spark, self.sf_dir, name)
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Round floating columns so that two engines agree to DIGITS places; whole numbers become BIGINT."""
+def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """Round floating columns so that two engines agree to `digits` places; whole numbers become BIGINT."""
     out = []
     for name, kind in df.dtypes:
         if kind in ("double", "float"):
-            out.append((F.round(F.col(name).cast("double"), DIGITS) + F.lit(0.0)).alias(name))
+            out.append((F.round(F.col(name).cast("double"), digits) + F.lit(0.0)).alias(name))
         elif kind in ("int", "smallint", "tinyint"):
             out.append(F.col(name).cast("bigint").alias(name))
         else:
@@ -46,17 +46,18 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def query(name: str, binds: str = "", sql: str | None = None, real: str = "", whole: str = ""):
+def query(name: str, binds: str = "", sql: str | None = None, real: str = "", whole: str = "",
+          digits: int = DIGITS):
     """Register `fn(src)`. `real` lists floating output columns, `whole` integer ones (cast to BIGINT)."""
 
     def register(fn):
         full = None
         if sql is not None:
             body = with_duck(binds, sql) if binds else sql
-            swaps = [f"round(cast({c} as double), {DIGITS}) + 0e0 as {c}" for c in real.split()]
+            swaps = [f"round(cast({c} as double), {digits}) + 0e0 as {c}" for c in real.split()]
             swaps += [f"cast({c} as bigint) as {c}" for c in whole.split()]
             full = f"select * replace ({', '.join(swaps)}) from ({body})" if swaps else body
-        REGISTRY[name] = Query(name, lambda spark, sf_dir: rounded(fn(Source(spark, sf_dir))), full)
+        REGISTRY[name] = Query(name, lambda spark, sf_dir: rounded(fn(Source(spark, sf_dir)), digits), full)
         return fn
 
     return register
