@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoorgrid.operators.quantiles import exact_quantiles
+from spoorgrid.operators.quantiles import exact_quantiles, exact_quantiles_of
 from spoorgrid.session import cut
 
 IMAGE = ["sequence", "frame_idx", "camera"]
@@ -84,10 +84,7 @@ def evenly_spaced(rows: DataFrame, keys: list[str], order: list[str], n: int) ->
 
 def extent_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Median position and the length of the P10-P90 diagonal of sampled component points."""
-    out = rows.select(*keys).distinct()
-    for c in ("x", "y", "z"):
-        q = exact_quantiles(rows, keys, c, {f"{c}10": 0.1, f"{c}50": 0.5, f"{c}90": 0.9})
-        out = out.join(q, keys)
+    out = exact_quantiles_of(rows, keys, {c: {f"{c}10": 0.1, f"{c}50": 0.5, f"{c}90": 0.9} for c in ("x", "y", "z")})
     gap = [F.pow(F.col(f"{c}90") - F.col(f"{c}10"), 2) for c in ("x", "y", "z")]
     return out.select(*keys, *[F.col(f"{c}50").alias(f"center_{c}") for c in ("x", "y", "z")],
                       F.sqrt(gap[0] + gap[1] + gap[2]).alias("radial_extent"))

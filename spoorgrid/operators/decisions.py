@@ -227,14 +227,17 @@ def gate_by_probability(probabilities: list[Column], available: list[Column], ba
     return F.when(best["v"] >= F.lit(float(minimum)), best["source"]).otherwise(baseline)
 
 
-def gate_by_risk(logits: list[Column], available: list[Column], baseline: Column, gain: float) -> tuple[Column, Column]:
-    """(source, predicted improvement): the lowest-risk source if it promises at least `gain`; risk = expm1, floor 0."""
-    risks = [F.greatest(F.expm1(v), F.lit(0.0)) for v in logits]
-    best = _pick(risks, available, True)
-    base = F.coalesce(*[F.when(baseline == s, r) for s, r in zip(SOURCES, risks)])
-    improvement = base + best["v"]
-    take = (best["source"] != baseline) & (improvement >= F.lit(float(gain)))
-    return F.when(take, best["source"]).otherwise(baseline), improvement
+def gate_by_risk(df: DataFrame, logits: list[str], available: list[Column], baseline: str, gain) -> DataFrame:
+    """Add `decision` and the predicted `improvement`: the lowest-risk available source if it promises at least
+    `gain` (number or column), else the baseline. The risk of a source is expm1 of its logit, at least 0.
+    """
+    risks = [F.greatest(F.expm1(c), F.lit(0.0)) for c in logits]
+    df = df.withColumn("_best", _pick(risks, available, True))
+    base = F.coalesce(*[F.when(F.col(baseline) == s, r) for s, r in zip(SOURCES, risks)])
+    df = df.withColumn("improvement", base + F.col("_best.v"))
+    need = F.lit(float(gain)) if isinstance(gain, (int, float)) else gain
+    take = (F.col("_best.source") != F.col(baseline)) & (F.col("improvement") >= need)
+    return df.withColumn("decision", F.when(take, F.col("_best.source")).otherwise(F.col(baseline))).drop("_best")
 
 
 def confusion_score(c: Column, cfg: DecisionConfig) -> Column:

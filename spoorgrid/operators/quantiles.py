@@ -18,9 +18,9 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs: dict[str, float], bu
     keys = _keys(keys)
     given = df.where(F.col(value).isNotNull())
     grid = [i / buckets for i in range(1, buckets)]
-    stats = given.groupBy(*keys).agg(F.count("*").alias("_n"),
-                                     F.percentile_approx(value, grid, 10000).alias("_cuts"))
+    # cut points come from the distinct values, so the source is read once and the shuffle is reused
     counts = given.groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    stats = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.percentile_approx(value, grid, 10000).alias("_cuts"))
     if keys:
         counts = counts.join(stats, keys)
     else:
@@ -61,3 +61,13 @@ def with_quantiles(summary: DataFrame, df: DataFrame, keys, value: str, probs: d
     if keys:
         return summary.join(q, keys, "left")
     return summary.withColumns({n: q.select(n).scalar() for n in probs})
+
+
+def exact_quantiles_of(df: DataFrame, keys, wanted: dict[str, dict[str, float]]) -> DataFrame:
+    """Quantiles of several columns in one pass: `wanted` maps a column to its {name: probability}."""
+    keys = _keys(keys)
+    rows = F.array(*[F.struct(F.lit(c).alias("_var"), F.col(c).cast("double").alias("_val")) for c in wanted])
+    probs = sorted({p for w in wanted.values() for p in w.values()})
+    q = exact_quantiles(df.select(*keys, F.inline(rows)), [*keys, "_var"], "_val", {f"_q{i}": p for i, p in enumerate(probs)})
+    return q.groupBy(*keys).agg(*[F.max(F.when(F.col("_var") == c, F.col(f"_q{probs.index(p)}"))).alias(n)
+                                  for c, w in wanted.items() for n, p in w.items()])

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from spoorgrid.operators.chunks import top_n
 
-DIGITS = 9
+DIGITS = 12
 _OUT = ("qid bigint, n bigint, s1 array<double>, s2 array<double>, better bigint, ids array<bigint>, "
         "scores array<double>, variants array<int>")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spoorgrid.functions.cells import box_iou
 from spoorgrid.operators.chunks import top_n
-from spoorgrid.operators.quantiles import exact_quantiles
+from spoorgrid.operators.quantiles import exact_quantiles, exact_quantiles_of
 
 # Priority of each motion hint.
 MOTION_PRIORITY = {"potentially_moving": 3, "ambiguous_motion": 2, "likely_static_relative_to_map": 1,
@@ -82,9 +82,9 @@ def balanced_queue(scored: DataFrame, row_id: str, n: int) -> DataFrame:
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["tier", "priority", "sequence", "anchor_frame", row_id], ascending=[True, False, True, True, True])
-        return walk_quotas(pdf, n)
+        return walk_quotas(pdf.drop(columns="_all"), n)
 
-    return pool.groupBy(F.lit(0)).applyInPandas(walk, ddl)
+    return pool.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(walk, ddl)
 
 
 def anchor_windows(rows: DataFrame, last_frames: DataFrame, anchor: str, radius: int) -> DataFrame:
@@ -124,10 +124,7 @@ def front_cluster(points: DataFrame, keys: list[str], share: float = 0.30, minim
     j = points.join(limit, keys).withColumn("_in", F.col("depth") <= F.col("_front"))
     sizes = j.groupBy(*keys).agg(F.count("*").alias("_n"), F.count_if("_in").alias("_m")).where(F.col("_n") >= minimum)
     used = j.join(sizes, keys).where(F.col("_in") | (F.col("_m") < minimum))
-    out = sizes.select(*keys)
-    for c in ("x", "y", "z"):
-        out = out.join(exact_quantiles(used, keys, c, {f"center_{c}": 0.5}), keys)
-    return out
+    return exact_quantiles_of(used, keys, {c: {f"center_{c}": 0.5} for c in ("x", "y", "z")})
 
 
 def best_centers(boxes: DataFrame, from_depth: DataFrame, from_points: DataFrame, keys: list[str]) -> DataFrame:

@@ -37,8 +37,8 @@ def _queries(src, models=1, variants=1, truth=False):
 
 
 _E = "e as (select vec_id, cast(embedding as double[]) as e, label from embeds)"
-_P = f"""{_E}, p as (select a.vec_id as qid, b.vec_id as item, round(list_dot_product(a.e, b.e), 9) as score,
-    round(list_dot_product(list_reverse(a.e), list_reverse(b.e)), 9) as score2 from e a join e b on a.vec_id <> b.vec_id)"""
+_P = f"""{_E}, p as (select a.vec_id as qid, b.vec_id as item, round(list_dot_product(a.e, b.e), 12) as score,
+    round(list_dot_product(list_reverse(a.e), list_reverse(b.e)), 12) as score2 from e a join e b on a.vec_id <> b.vec_id)"""
 _TOP = "select qid, item, score, row_number() over (partition by qid order by score desc, item) as rank from"
 _TRUTH = """t as (select a.vec_id as qid, min(b.vec_id) as truth from e a join e b on a.label = b.label
     and a.vec_id <> b.vec_id group by a.vec_id)"""
@@ -53,8 +53,8 @@ def _rot(a: str, s: int) -> str:
 
 
 _V = f"""{_E}, pv as (select a.vec_id as qid, b.vec_id as item, v, case v """ + " ".join(
-    f"when {s} then round(list_dot_product({_rot('a.e', s)}, b.e), 9)" for s in range(3)) + """ end as s0, case v """ + " ".join(
-    f"when {s} then round(list_dot_product({_rot('list_reverse(a.e)', s)}, list_reverse(b.e)), 9)" for s in range(3)) + """ end as s1
+    f"when {s} then round(list_dot_product({_rot('a.e', s)}, b.e), 12)" for s in range(3)) + """ end as s0, case v """ + " ".join(
+    f"when {s} then round(list_dot_product({_rot('list_reverse(a.e)', s)}, list_reverse(b.e)), 12)" for s in range(3)) + """ end as s1
     from e a join e b on a.vec_id <> b.vec_id, (select unnest([0, 1, 2]) as v) t)"""
 
 
@@ -113,7 +113,7 @@ def _(src):
 
 _BLEND = f"""{_V}, z as (select qid, item, v, 7e-1 * (s0 - avg(s0) over w) / stddev_pop(s0) over w
     + 3e-1 * (s1 - avg(s1) over w) / stddev_pop(s1) over w as s from pv window w as (partition by qid, v)),
-    m as (select qid, item, round(max(s), 9) as score from z group by all),
+    m as (select qid, item, round(max(s), 12) as score from z group by all),
     bl as (select *, row_number() over (partition by qid order by score desc, item) as rank from m)"""
 
 
@@ -121,7 +121,7 @@ def _blend(src):
     return R.blended(_queries(src, 2, 3), _bank(src, 2), 0.3, 3, DIM)
 
 
-@query("W5_score_blend", "embeds", f"with {_BLEND} select qid, item, score, rank from bl where rank <= 5", real="score", digits=9)
+@query("W5_score_blend", "embeds", f"with {_BLEND} select qid, item, score, rank from bl where rank <= 5", real="score")
 def _(src):
     q, b = _blend(src)
     return R.top_k(q, b, 5, variants=3).drop("variant")
@@ -130,9 +130,9 @@ def _(src):
 @query("W6_shortlist_rerank", "embeds", f"""with {_BLEND}, l as (select bl.*, ((qid * 31 + item * 17) % 101) / 101e0 as local_
     from bl where rank <= 12),
     f as (select qid, item, rank, round(score + case when rank <= 8 then 4e-1 * (local_ - avg(local_) over w)
-          / stddev_pop(local_) over w else 0 end, 9) as final from l window w as (partition by qid, rank <= 8))
+          / stddev_pop(local_) over w else 0 end, 12) as final from l window w as (partition by qid, rank <= 8))
     select qid, item, final, final_rank from (select *, row_number() over (partition by qid order by final desc, item)
-    as final_rank from f) where final_rank <= 4""", real="final", digits=9)
+    as final_rank from f) where final_rank <= 4""", real="final")
 def _(src):
     q, b = _blend(src)
     c = R.top_k(q, b, 12, variants=3).withColumn("local_", F.pmod(F.col("qid") * 31 + F.col("item") * 17, F.lit(101)) / 101.0)
@@ -143,9 +143,9 @@ def _(src):
     arg_max(v, (s1, -v)) as v1 from pv group by all),
     z as (select *, (b0 - avg(b0) over w) / stddev_pop(b0) over w * 6e-1 as c0,
           (b1 - avg(b1) over w) / stddev_pop(b1) over w * 4e-1 as c1 from m window w as (partition by qid))
-    select * from (select qid, item, round(c0 + c1, 9) as score, case when c1 > c0 then v1 else v0 end as variant,
-    row_number() over (partition by qid order by round(c0 + c1, 9) desc, item) as rank from z) where rank <= 5""",
-       real="score", whole="variant", digits=9)
+    select * from (select qid, item, round(c0 + c1, 12) as score, case when c1 > c0 then v1 else v0 end as variant,
+    row_number() over (partition by qid order by round(c0 + c1, 12) desc, item) as rank from z) where rank <= 5""",
+       real="score", whole="variant")
 def _(src):
     return R.ensemble_top_k(_queries(src, 2, 3), _bank(src, 2), 5, [3.0, 2.0], variants=3)
 
