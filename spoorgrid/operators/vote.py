@@ -133,7 +133,10 @@ def feature_patches(cells: DataFrame, features: DataFrame, radius: int, channels
     names = [f"f{i}" for i in range(channels)]
     n = neighbourhood(cells, features, radius, names)
     packed = n.groupBy(*CELL).agg(F.sort_array(F.collect_list(F.struct("ox", "oy", *names))).alias("_p"))
-    return packed.select(*CELL, F.concat(*[F.transform("_p", lambda s, c=c: s[c]) for c in names]).alias("features"))
+    def channel(name):
+        return F.transform("_p", lambda s: s[name])
+
+    return packed.select(*CELL, F.concat(*map(channel, names)).alias("features"))
 
 
 def learning_table(initial: DataFrame, updated: DataFrame, min_before: int, min_gain: int, block: int = 8,
