@@ -168,13 +168,16 @@ def events_around(probes: DataFrame, events: DataFrame, keys, probe_at: str, eve
     e = events.select(*keys, F.col(event_at).alias("_at"), F.col(event_at).alias("_ev"), F.lit(0).alias("_kind"))
     both = p.unionByName(e, allowMissingColumns=True).withColumn("_chunk", chunk_of("_at", chunk))
     tops = both.groupBy(*keys, "_chunk").agg(F.max("_ev").alias("_mx"), F.min("_ev").alias("_mn"))
-    line = Window.partitionBy(*keys).orderBy("_chunk")
-    tops = tops.select(*keys, "_chunk", F.max("_mx").over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("_cp"),
-                       F.min("_mn").over(line.rowsBetween(1, Window.unboundedFollowing)).alias("_cn"))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy("_at")
+    # looking back is running sums in ascending order, looking ahead the same in descending order:
+    # frames open to the following side would be evaluated anew for every row
+    line = Window.partitionBy(*keys)
+    past, so_far = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, 0)
+    tops = tops.select(*keys, "_chunk", F.max("_mx").over(line.orderBy("_chunk").rowsBetween(*past)).alias("_cp"),
+                       F.min("_mn").over(line.orderBy(F.desc("_chunk")).rowsBetween(*past)).alias("_cn"))
+    inside = Window.partitionBy(*keys, "_chunk")
     both = both.join(tops, [*keys, "_chunk"], "left").withColumns({
-        "_p": F.greatest(F.max("_ev").over(inside.rangeBetween(Window.unboundedPreceding, 0)), F.col("_cp")),
-        "_n": F.least(F.min("_ev").over(inside.rangeBetween(0, Window.unboundedFollowing)), F.col("_cn"))})
+        "_p": F.greatest(F.max("_ev").over(inside.orderBy("_at").rangeBetween(*so_far)), F.col("_cp")),
+        "_n": F.least(F.min("_ev").over(inside.orderBy(F.desc("_at")).rangeBetween(*so_far)), F.col("_cn"))})
     hits = both.where(F.col("_kind") > 0)
     return hits.groupBy(*names).agg(F.max(F.when(F.col("_kind") == 1, F.col("_p"))).alias(before),
                                     F.max(F.when(F.col("_kind") == 2, F.col("_n"))).alias(after))

@@ -21,16 +21,22 @@ def label_ratios(pixels: DataFrame, frames: DataFrame, sets: dict[str, tuple]) -
         *FRAME, *[F.coalesce(n, F.lit(0.0)).alias(n) for n in sets])
 
 
-def dilated(pixels: DataFrame, labels: tuple, radius: int, width: int, height: int) -> DataFrame:
-    """Distinct pixels covered by the labels after a square dilation, clipped to the image."""
-    hit = pixels.where(F.col("label").isin(*labels)).select(*FRAME, "camera", "u", "v")
-    if radius > 0:
-        side = range(-radius, radius + 1)
-        hit = hit.withColumn("u", F.explode(F.array(*[F.col("u") + i for i in side])))
-        hit = hit.where(F.col("u").between(0, width - 1)).distinct()
-        hit = hit.withColumn("v", F.explode(F.array(*[F.col("v") + i for i in side])))
-        hit = hit.where(F.col("v").between(0, height - 1))
-    return hit.distinct()
+def dilated(pixels: DataFrame, sets: dict[str, tuple], radius: int, width: int, height: int) -> DataFrame:
+    """Pixels covered by any label set after a square dilation, with one flag per set, clipped to the image.
+
+    All sets share one pass. The dilation is separable: columns first, then rows, combined in between.
+    """
+    every = sorted({label for s in sets.values() for label in s})
+    hit = pixels.where(F.col("label").isin(*every)).select(
+        *FRAME, "camera", "u", "v", *[F.col("label").isin(*s).alias(n) for n, s in sets.items()])
+    side = range(-radius, radius + 1)
+    for axis, size in (("u", width), ("v", height)):
+        if radius > 0:
+            hit = hit.withColumn(axis, F.explode(F.array(*[F.col(axis) + i for i in side])))
+            hit = hit.where(F.col(axis).between(0, size - 1))
+        if radius > 0 or axis == "v":
+            hit = hit.groupBy(*FRAME, "camera", "u", "v").agg(*[F.max(n).alias(n) for n in sets])
+    return hit
 
 
 def with_pixels(points: DataFrame, cameras: DataFrame, camera: str) -> DataFrame:
@@ -48,9 +54,10 @@ def with_pixels(points: DataFrame, cameras: DataFrame, camera: str) -> DataFrame
     return j.select(*points.columns, ui.alias(f"u_{camera}"), vi.alias(f"v_{camera}"))
 
 
-def _lookup(points: DataFrame, table: DataFrame, camera: str, value: Column, name: str) -> DataFrame:
+def with_lookup(points: DataFrame, table: DataFrame, camera: str, values: dict[str, str]) -> DataFrame:
+    """Attach pixel columns (`name -> column`) of one camera's image to the points that fall on a pixel."""
     t = table.where(F.col("camera") == camera).select(
-        *FRAME, F.col("u").alias(f"u_{camera}"), F.col("v").alias(f"v_{camera}"), value.alias(name))
+        *FRAME, F.col("u").alias(f"u_{camera}"), F.col("v").alias(f"v_{camera}"), *[F.col(c).alias(n) for n, c in values.items()])
     return points.join(t, [*FRAME, f"u_{camera}", f"v_{camera}"], "left")
 
 
@@ -58,19 +65,17 @@ def stereo_labels(points: DataFrame, pixels: DataFrame, cameras: DataFrame) -> D
     """Label per point: the left image if it shows the point, else the right, else -1 (0 is a valid label)."""
     out = points
     for cam in ("left", "right"):
-        out = _lookup(with_pixels(out, cameras, cam), pixels, cam, F.col("label"), f"label_{cam}")
+        out = with_lookup(with_pixels(out, cameras, cam), pixels, cam, {f"label_{cam}": "label"})
     return out.withColumn("point_label", F.coalesce("label_left", "label_right", F.lit(-1)))
 
 
-def mask_hits(points: DataFrame, masks: dict[str, DataFrame], cameras: DataFrame) -> DataFrame:
-    """Add one boolean per mask: TRUE where either camera sees the point inside it."""
+def mask_hits(points: DataFrame, masks: DataFrame, names: list[str], cameras: DataFrame) -> DataFrame:
+    """Add one boolean per flag of a mask table: TRUE where either camera sees the point on a flagged pixel."""
     out = points
     for cam in ("left", "right"):
-        out = with_pixels(out, cameras, cam)
-        for name, mask in masks.items():
-            out = _lookup(out, mask, cam, F.lit(True), f"_{name}_{cam}")
+        out = with_lookup(with_pixels(out, cameras, cam), masks, cam, {f"_{n}_{cam}": n for n in names})
     return out.withColumns({n: F.coalesce(f"_{n}_left", F.lit(False)) | F.coalesce(f"_{n}_right", F.lit(False))
-                            for n in masks}).select(*points.columns, *masks)
+                            for n in names}).select(*points.columns, *names)
 
 
 def exposure_decision(flagged: DataFrame, threshold: float) -> DataFrame:

@@ -116,12 +116,14 @@ def cells_to_patches(cells: DataFrame, tiles: DataFrame, size_cells: int, stride
                       "cnt", "max_h", "mean_h")
 
 
-def voxel_first(points: DataFrame, keys: list[str], size: float, order: list[str]) -> DataFrame:
-    """Keep the first point (by `order`) of every voxel; combined on the map side."""
+def voxel_first(points: DataFrame, keys: list[str], size: float, order: str) -> DataFrame:
+    """Keep the first point of every voxel; `order` must be unique within the keys.
+
+    Primitive minima keep this in the hash aggregate, combined on the map side.
+    """
     v = [cell_of(c, size).alias(f"v{c}") for c in ("x", "y", "z")]
-    first = F.min_by(F.struct(*order, "x", "y", "z"), F.struct(*order, "x", "y", "z")).alias("_p")
-    out = points.select(*keys, *v, *order, "x", "y", "z").groupBy(*keys, "vx", "vy", "vz").agg(first)
-    return out.select(*keys, "vx", "vy", "vz", *[F.col(f"_p.{c}").alias(c) for c in (*order, "x", "y", "z")])
+    first = [F.min(order).alias(order), *[F.min_by(c, order).alias(c) for c in ("x", "y", "z")]]
+    return points.select(*keys, *v, order, "x", "y", "z").groupBy(*keys, "vx", "vy", "vz").agg(*first)
 
 
 def shift_raster(cells: DataFrame, dx: int, dy: int, width: int, height: int) -> DataFrame:

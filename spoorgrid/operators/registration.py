@@ -39,8 +39,8 @@ def register(query: DataFrame, target: DataFrame, poses: DataFrame, keys: list[s
     keys + pose. Finished keys leave the loop. With `trim`, each step fits only the closest share of the
     pairs (never fewer than `min_pairs`).
     """
-    q = cut(voxel_first(query, keys, voxel, [order]).select(*keys, F.monotonically_increasing_id().alias("_pid"), *S))
-    t = cut(voxel_first(target, [], voxel, [order]).select(*[F.col(a).alias(b) for a, b in zip(S, T)]))
+    q = cut(voxel_first(query, keys, voxel, order).select(*keys, F.monotonically_increasing_id().alias("_pid"), *S))
+    t = cut(voxel_first(target, [], voxel, order).select(*[F.col(a).alias(b) for a, b in zip(S, T)]))
     sizes = q.groupBy(*keys).agg(F.count("*").alias("n_query"))
     state = cut(poses.select(*keys, "pose").join(sizes, keys, "left").select(
         *keys, "pose", F.coalesce("n_query", F.lit(0)).alias("n_query"), F.lit(0).cast("bigint").alias("inliers"),

@@ -169,8 +169,8 @@ def choose_controls(segments: DataFrame, frames: DataFrame, high: DataFrame, max
     from spoorgrid.session import cut
 
     chunk = chunk or CHUNK_ROWS
-    ok = frames.where(F.col("position_error") <= F.lit(float(max_error))).join(high.select("sequence", "frame_idx"),
-                                                                              ["sequence", "frame_idx"], "left_anti")
+    high = cut(high.select("sequence", "frame_idx"))  # one row per segment as well
+    ok = frames.where(F.col("position_error") <= F.lit(float(max_error))).join(high, ["sequence", "frame_idx"], "left_anti")
     ok = ok.select("sequence", "patch_id", "frame_idx")
     out = cut(segments)  # one row per segment, read several times below
     for name, keys in (("same", ["sequence", "patch_id"]), ("any", ["sequence"])):

@@ -91,8 +91,9 @@ def nearest_within(query: DataFrame, target: DataFrame, query_key: list[str], ta
                    cutoff: float, q=("x", "y", "z"), t=("tx", "ty", "tz")) -> DataFrame:
     """Nearest 3-D target of each query point within a cut-off; exact because cells are cut-off sized.
 
-    Targets are copied to the 27 surrounding cells; the minimum is combined on the map side, so a crowded
-    cell costs comparisons but never gathers its pairs.
+    Targets are copied to the 27 surrounding cells. The first pass takes the smallest squared distance, a
+    primitive minimum in the hash aggregate; the second keeps only pairs at that distance, so what is
+    left to order (ties go to the smallest target columns) is about one row per point.
     """
     steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
     tt = target
@@ -101,9 +102,13 @@ def nearest_within(query: DataFrame, target: DataFrame, query_key: list[str], ta
     qq = query.withColumns({f"_c{i}": _bucket(c, cutoff) for i, c in enumerate(q)})
     d2 = sum(((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)) for a, b in zip(q[1:], t[1:])),
              (F.col(q[0]) - F.col(t[0])) * (F.col(q[0]) - F.col(t[0])))
-    pairs = qq.join(tt, ["_c0", "_c1", "_c2"]).withColumn("d2", d2).where(F.col("d2") <= F.lit(float(cutoff) ** 2))
+    cells = ["_c0", "_c1", "_c2"]
+    slim = list(dict.fromkeys([*query_key, *q]))
+    pairs = qq.select(*slim, *cells).join(tt.select(*cells, *t), cells).withColumn("d2", d2)
+    low = pairs.where(F.col("d2") <= F.lit(float(cutoff) ** 2)).groupBy(*query_key).agg(F.min("d2").alias("_low"))
+    again = qq.join(low, query_key).join(tt, cells).withColumn("d2", d2).where(F.col("d2") == F.col("_low"))
     rest = [c for c in query.columns if c not in query_key]
-    best = pairs.groupBy(*query_key).agg(F.min_by(F.struct("d2", *target_cols, *rest), F.struct("d2", *target_cols)).alias("_b"))
+    best = again.groupBy(*query_key).agg(F.min(F.struct("d2", *target_cols, *rest)).alias("_b"))
     return best.select(*query_key, *[F.col(f"_b.{c}").alias(c) for c in ("d2", *target_cols, *rest)])
 
 

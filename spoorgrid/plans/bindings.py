@@ -54,7 +54,7 @@ BINDINGS: dict[str, str] = {
     # about a hundred labelled points per frame
     "points": """
         select cast(l_orderkey % 5 as int) as sequence, cast(floor(l_orderkey / 125e0) as int) as frame_idx,
-               l_orderkey * 10 + l_linenumber as point_idx, (l_extendedprice - 5295e1) / 5e3 as x,
+               ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 100 + cast(l_quantity as bigint) as point_idx, (l_extendedprice - 5295e1) / 5e3 as x,
                (l_partkey % 2000) / 1e2 - 1e1 as y, l_quantity / 1e1 as z, cast(l_suppkey % 16 as int) as label,
                case l_returnflag when 'A' then 'initial' when 'N' then 'sameday' else 'crossday' end as role,
                l_orderkey % 3 as day

@@ -326,7 +326,7 @@ _STEREO = f"""{_pix_sql('0e0', 'lp')}, {_pix_sql('5e-1', 'rp')}"""
        whole="sequence frame_idx label_left")
 def _(src):
     p = src.points.select("sequence", "frame_idx", "point_idx", "x", "y", "z")
-    out = masks._lookup(masks.with_pixels(p, _rig(src), "left"), src.pixels, "left", F.col("label"), "label_left")
+    out = masks.with_lookup(masks.with_pixels(p, _rig(src), "left"), src.pixels, "left", {"label_left": "label"})
     return out.select("sequence", "frame_idx", "point_idx", "x", "y", "z", "label_left")
 
 
@@ -363,9 +363,8 @@ _FLAGGED = f"""{_STEREO}, {_mask_sql('dm', '12,13,14,15', 1)}, {_mask_sql('sm',
 
 def _flagged(src):
     p = src.points.select("sequence", "frame_idx", "point_idx", "x", "y", "z")
-    px = src.pixels
-    m = {"dynamic": masks.dilated(px, G.DYNAMIC_LABELS, 1, 32, 24), "semi": masks.dilated(px, G.SEMI_DYNAMIC_LABELS, 1, 32, 24)}
-    return masks.mask_hits(p, m, _rig(src))
+    m = masks.dilated(src.pixels, {"dynamic": G.DYNAMIC_LABELS, "semi": G.SEMI_DYNAMIC_LABELS}, 1, 32, 24)
+    return masks.mask_hits(p, m, ["dynamic", "semi"], _rig(src))
 
 
 @query("A14_exposure_trigger", "points cameras pixels", f"""with {_FLAGGED}

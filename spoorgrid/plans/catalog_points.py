@@ -403,7 +403,7 @@ def _(src):
            arg_min(z, (point_idx, x, y, z)) as z from v group by sequence, frame_idx, vx, vy, vz""",
        real="x y z", whole="sequence frame_idx vx vy vz")
 def _(src):
-    return pts.voxel_first(src.points, ["sequence", "frame_idx"], 1.0, ["point_idx"])
+    return pts.voxel_first(src.points, ["sequence", "frame_idx"], 1.0, "point_idx")
 
 
 @query("A15_sequence_profile", "frames poses", """

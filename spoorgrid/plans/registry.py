@@ -23,6 +23,25 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
+SMALL_INPUT_BYTES = 256 << 20
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Use every core for a small input that is stored as one row group; large inputs are left alone.
+
+    A file of one row group is one task, and everything up to the next shuffle runs in it. Tables that are
+    large enough to matter have many splits, so nothing is shuffled for them here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = sum(int(leaf.stats().sizeInBytes()) for leaf in _leaves(df))
+    return df.repartition(cores) if 0 < size < SMALL_INPUT_BYTES else df
+
+
+def _leaves(df: DataFrame):
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return [leaves.apply(i) for i in range(leaves.size())]
+
+
 class Source:
     """Bindings of one table folder, by name: `src.frames`."""
 
@@ -30,7 +49,7 @@ class Source:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return bound(self.spark, self.sf_dir, name)
+        return spread_small(bound(self.spark, self.sf_dir, name))
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:

@@ -77,15 +77,14 @@ def test_dynamic_filter_and_trigger(spark):
     pts = spark.createDataFrame([(0, 0, i, x, 0.0, z) for i, (x, z) in enumerate([(0.0, 1.0), (0.2, 1.0), (-0.2, 1.0), (0.0, -1.0)])],
                                 "sequence int, frame_idx int, point_idx int, x double, y double, z double")
     px = spark.createDataFrame([(0, 0, "left", 5, 5, 13), (0, 0, "right", 7, 5, 9)], "sequence int, frame_idx int, camera string, u int, v int, label int")
-    m = {"dynamic": masks.dilated(px, (13,), 0, 10, 10), "semi": masks.dilated(px, (9,), 0, 10, 10)}
-    fl = masks.mask_hits(pts, m, _rig(spark))
+    fl = masks.mask_hits(pts, masks.dilated(px, {"dynamic": (13,), "semi": (9,)}, 0, 10, 10), ["dynamic", "semi"], _rig(spark))
     assert rows(fl.select("point_idx", "dynamic", "semi"), "point_idx") == [(0, True, False), (1, False, True), (2, False, False), (3, False, False)]
     for limit, kept in ((0.25, [2, 3]), (0.26, [1, 2, 3])):
         d = masks.exposure_decision(fl, limit)
         assert [r.point_idx for r in masks.query_points(fl, d).orderBy("point_idx").collect()] == kept
     lab = masks.stereo_labels(pts, px, _rig(spark)).orderBy("point_idx").collect()
     assert [r.point_label for r in lab] == [13, 9, -1, -1]
-    assert masks.dilated(px, (13,), 1, 10, 10).count() == 9
+    assert masks.dilated(px, {"dynamic": (13,)}, 1, 10, 10).count() == 9
 
 
 def test_cross_view_support(spark):

@@ -49,7 +49,7 @@ def test_undistort_inverts_distortion(spark):
 
 def test_voxel_keeps_first_point(spark):
     p = spark.createDataFrame([(2, 0.1, 0.1, 0.1), (1, 0.2, 0.2, 0.2), (3, 1.5, 0.0, 0.0)], "point_idx int, x double, y double, z double")
-    assert [r.point_idx for r in pts.voxel_first(p, [], 1.0, ["point_idx"]).orderBy("point_idx").collect()] == [1, 3]
+    assert [r.point_idx for r in pts.voxel_first(p, [], 1.0, "point_idx").orderBy("point_idx").collect()] == [1, 3]
 
 
 def test_patch_tiles_reject_small_rasters(spark):
