@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spoorgrid.functions.plan import settled
 from spoorgrid.operators import metrics as M
 from spoorgrid.operators.chunks import ranked
 from spoorgrid.operators.quantiles import exact_quantiles, with_quantiles
@@ -54,10 +55,10 @@ def gate_report(rows: DataFrame, keys: list[str], decision: str = "decision") ->
     """
     err = F.coalesce(F.when(F.col(decision) == "bev_init", F.col("bev_error")).when(F.col(decision) == "deep_init", F.col("deep_error"))
                      .when(F.col(decision) == "tracker_init", F.col("tracker_error")), F.col("baseline_error"))
-    r = rows.withColumn("position_error", err)
+    r = settled(rows, {"position_error": err, "_right": (F.col(decision) == F.col("label_source")).cast("double"),
+                       "_moved": (F.col(decision) != F.col("baseline_source")).cast("double")})
     return M.error_summary(r, keys, "position_error", [
-        F.avg((F.col(decision) == F.col("label_source")).cast("double")).alias("action_accuracy"),
-        F.avg((F.col(decision) != F.col("baseline_source")).cast("double")).alias("apply_rate"),
+        F.avg("_right").alias("action_accuracy"), F.avg("_moved").alias("apply_rate"),
         F.avg("baseline_error").alias("baseline_mean"), F.avg("oracle_error").alias("oracle_mean"),
         (F.avg("baseline_error") - F.avg("position_error")).alias("improvement"),
         (F.avg("baseline_error") - F.avg("oracle_error")).alias("headroom")])

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoorgrid.functions.cells import finite
+from spoorgrid.functions.plan import settled
 from spoorgrid.functions.pose import yaw_gap_deg
 
 
@@ -232,9 +233,9 @@ def gate_by_risk(df: DataFrame, logits: list[str], available: list[Column], base
     `gain` (number or column), else the baseline. The risk of a source is expm1 of its logit, at least 0.
     """
     risks = [F.greatest(F.expm1(c), F.lit(0.0)) for c in logits]
-    df = df.withColumn("_best", _pick(risks, available, True))
     base = F.coalesce(*[F.when(F.col(baseline) == s, r) for s, r in zip(SOURCES, risks)])
-    df = df.withColumn("improvement", base + F.col("_best.v"))
+    df = settled(df, {"_best": _pick(risks, available, True), "_base": base})
+    df = df.withColumn("improvement", F.col("_base") + F.col("_best.v")).drop("_base")
     need = F.lit(float(gain)) if isinstance(gain, (int, float)) else gain
     take = (F.col("_best.source") != F.col(baseline)) & (F.col("improvement") >= need)
     return df.withColumn("decision", F.when(take, F.col("_best.source")).otherwise(F.col(baseline))).drop("_best")

@@ -6,8 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spoorgrid.functions.cells import box_iou
 from spoorgrid.operators.chunks import top_n
+from spoorgrid.operators.matching import overlapping
 from spoorgrid.operators.quantiles import exact_quantiles, exact_quantiles_of
 
 # Priority of each motion hint.
@@ -97,22 +97,22 @@ def anchor_windows(rows: DataFrame, last_frames: DataFrame, anchor: str, radius:
 def link_boxes(anchors: DataFrame, detections: DataFrame, radius: int, min_score: float = 0.20) -> DataFrame:
     """Follow an anchor box frame by frame in both directions, stopping at the first miss.
 
-    Each step joins the current boxes of all anchors with the detections of the next frame and keeps the
-    largest IoU * score (an aggregate per anchor). anchors: anchor_id, sequence, frame_idx, box;
+    Each step meets the current boxes of all anchors with the overlapping detections of the next frame and keeps
+    the largest IoU * score (an aggregate per anchor). anchors: anchor_id, sequence, frame_idx, box;
     detections: sequence, frame_idx, det_id, box, score.
     """
     box = ["x1", "y1", "x2", "y2"]
-    d = detections.where(F.col("score") >= F.lit(min_score)).select("sequence", "frame_idx", "det_id", "score", *[F.col(c).alias("d" + c) for c in box])
+    d = detections.where(F.col("score") >= F.lit(min_score)).select("sequence", "frame_idx", "det_id", "score", *box)
     start = anchors.select("anchor_id", "sequence", "frame_idx", *box, F.lit(1.0).alias("score"), F.lit(0.0).alias("iou"), F.lit(0).alias("offset"))
     out = start
     for direction in (-1, 1):
         now = start
         for k in range(1, radius + 1):
             probe = now.select("anchor_id", "sequence", (F.col("frame_idx") + direction).alias("frame_idx"), *box)
-            j = probe.join(d, ["sequence", "frame_idx"]).withColumn("iou", box_iou(box, ["d" + c for c in box])).where("iou > 0")
+            j = overlapping(probe, d, ["sequence", "frame_idx"], "anchor_id", "det_id")
             best = j.groupBy("anchor_id", "sequence", "frame_idx").agg(
-                F.max_by(F.struct(*["d" + c for c in box], "score", "iou"), F.struct(F.col("iou") * F.col("score"), -F.col("det_id"))).alias("b"))
-            now = best.select("anchor_id", "sequence", "frame_idx", *[F.col(f"b.d{c}").alias(c) for c in box], "b.score", "b.iou",
+                F.max_by(F.struct(*["r" + c for c in box], "score", "iou"), F.struct(F.col("iou") * F.col("score"), -F.col("det_id"))).alias("b"))
+            now = best.select("anchor_id", "sequence", "frame_idx", *[F.col(f"b.r{c}").alias(c) for c in box], "b.score", "b.iou",
                               F.lit(direction * k).alias("offset"))
             out = out.unionByName(now)
     return out

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from spoorgrid.functions import cells as G
 from spoorgrid.functions import pose as P
+from spoorgrid.functions.plan import settled
 from spoorgrid.operators import chunks, compare, decisions as D, metrics, registration, relay, review, sequence, vote
 from spoorgrid.plans.catalog_maps import STORES, _labels, _store
 from spoorgrid.plans.catalog_retrieval import _SUM, _SUM_REAL
@@ -257,11 +258,11 @@ def _gate(src):
     errs = [F.col("bev_error"), F.col("deep_error"), F.col("tracker_error")]
     base = D.baseline_source("init_source")
     base = F.when((base == "deep_init") & ~avail[1] | (base == "tracker_init") & ~avail[2], "bev_init").otherwise(base)
-    g = g.withColumn("baseline_source", base).withColumn("_o", D._pick(errs, avail, True))
-    g = g.withColumns({"baseline_error": F.coalesce(*[F.when(F.col("baseline_source") == s, e) for s, e in zip(D.SOURCES, errs)]),
+    g = settled(g, {"baseline_source": base, "_o": D._pick(errs, avail, True)})
+    g = settled(g, {"baseline_error": F.coalesce(*[F.when(F.col("baseline_source") == s, e) for s, e in zip(D.SOURCES, errs)]),
                        "oracle_error": -F.col("_o.v"), "oracle_source": F.col("_o.source")}).drop("_o")
     keep = F.col("baseline_error") - F.col("oracle_error") < 0.02
-    return g.withColumn("label_source", F.when(keep, F.col("baseline_source")).otherwise(F.col("oracle_source"))), avail
+    return settled(g, {"label_source": F.when(keep, F.col("baseline_source")).otherwise(F.col("oracle_source"))}), avail
 
 
 def _risk(g, avail, gain):

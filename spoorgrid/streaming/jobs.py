@@ -124,8 +124,7 @@ class CellStoreSink:
     """foreachBatch sink for an incremental cell store.
 
     Each batch votes per frame and writes its votes under its batch id, so a replay overwrites the same
-    folder. Frames already voted in an earlier batch are dropped and counted. The store is the aggregate of
-    all votes.
+    folder. Frames already voted in an earlier batch are dropped. The store is the aggregate of all votes.
     """
 
     def __init__(self, path: str):
@@ -134,14 +133,17 @@ class CellStoreSink:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         votes = vote.dominant_per_frame(batch, ["sequence", "frame_idx"], "grp", 0)
-        folder = f"{self.path}/votes/batch_id={batch_id}"
         if batch_id > 0 and self._any(spark):
-            seen = spark.read.parquet(f"{self.path}/votes").where(F.col("batch_id") < batch_id)
-            votes = votes.join(seen.select("sequence", "frame_idx").distinct(), ["sequence", "frame_idx"], "left_anti")
+            seen = spark.read.parquet(f"{self.path}/frames").where(F.col("batch_id") < batch_id)
+            votes = votes.join(seen.select("sequence", "frame_idx"), ["sequence", "frame_idx"], "left_anti")
+        folder = f"{self.path}/votes/batch_id={batch_id}"
         votes.write.mode("overwrite").parquet(folder)
+        # the frames of the batch, a table far smaller than its votes, are all a later batch has to read
+        done = spark.read.schema(votes.schema).parquet(folder).select("sequence", "frame_idx").distinct()
+        done.write.mode("overwrite").parquet(f"{self.path}/frames/batch_id={batch_id}")
 
     def _any(self, spark: SparkSession) -> bool:
-        p = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/votes")
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/frames")
         return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
     def store(self, spark: SparkSession, min_observations: float = 6.0) -> DataFrame:
