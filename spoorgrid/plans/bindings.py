@@ -55,7 +55,7 @@ BINDINGS: dict[str, str] = {
     "points": """
         select cast(l_orderkey % 5 as int) as sequence, cast(floor(l_orderkey / 125e0) as int) as frame_idx,
                ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 100 + cast(l_quantity as bigint) as point_idx, (l_extendedprice - 5295e1) / 5e3 as x,
-               (l_partkey % 2000) / 1e2 - 1e1 as y, l_quantity / 1e1 as z, cast(l_suppkey % 16 as int) as label,
+               (l_partkey * 37 % 2000) / 1e2 - 1e1 as y, l_quantity / 1e1 as z, cast(l_suppkey % 16 as int) as label,
                case l_returnflag when 'A' then 'initial' when 'N' then 'sameday' else 'crossday' end as role,
                l_orderkey % 3 as day
         from {lineitem}""",
@@ -68,7 +68,7 @@ BINDINGS: dict[str, str] = {
                      o_custkey from {orders}) o
         group by sequence, frame_idx""",
     "map_points": """
-        select p_partkey as point_idx, p_size * 4e-1 - 1e1 as x, (p_partkey % 2000) / 1e2 - 1e1 as y,
+        select p_partkey as point_idx, p_size * 4e-1 - 1e1 as x, (p_partkey * 37 % 2000) / 1e2 - 1e1 as y,
                p_retailprice / 2e2 - 4e0 as z from {part}""",
     "pixels": """
         select cast(l_orderkey % 5 as int) as sequence, cast(floor(l_orderkey / 125e0) as int) as frame_idx,
