@@ -53,8 +53,9 @@ def propagate(cells: DataFrame, quota: int, hub_rows: int, n_shards: int, rounds
         other = F.pmod(F.xxhash64(*HUB, F.lit(turn)), F.lit(n_shards)).cast("int")
         asked = F.coalesce(F.get(F.transform("_wish", lambda w: w["s"]), place), other)
         asked = F.when(F.get(room, asked) >= F.col("_n"), asked).otherwise(other)
-        waiting = waiting.select(*HUB, "_n", asked.alias("_to"),
-                                 F.pmod(F.xxhash64(*HUB, F.lit(-turn - 1)), F.lit(1024)).alias("_bucket"))
+        lot = F.pmod(F.xxhash64(*HUB, F.lit(-turn - 1)), F.lit(512))  # large hubs are admitted first
+        lot = F.when(F.col("_n") * 2 > hub_rows, lot).otherwise(lot + 512)
+        waiting = waiting.select(*HUB, "_n", asked.alias("_to"), lot.alias("_bucket"))
         demand = waiting.groupBy("_to", "_bucket").agg(F.sum("_n").alias("_d"))  # at most 1024 rows a shard
         running = F.sum("_d").over(Window.partitionBy("_to").orderBy("_bucket"))
         admitted = demand.withColumn("_sum", running).where(F.col("_sum") <= F.get(room, F.col("_to"))).select("_to", "_bucket", F.lit(True).alias("_in"))
