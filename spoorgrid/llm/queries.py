@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spoorgrid.llm import packing, sharding
+from spoorgrid.llm import packing, sharding, simhash
 from spoorgrid.llm.common import documents
 
 
@@ -18,7 +18,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), n_shards=40)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), words=3, bits=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op3_sharding)
+    f.__name__: f for f in (op1_packing, op3_sharding, op9_simhash)
 }
 SQL: dict[str, str] = {}
