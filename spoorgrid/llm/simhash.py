@@ -6,12 +6,12 @@ under that bound runs on a grid: segments are dealt into `blocks` blocks, and of
 least blocks - bits blocks agree exactly, so a cell is the bit counts of one choice of so many blocks. Vectors that
 share a cell are compared by the whole Manhattan bound and then exactly. No link is lost and no bucket is cut off.
 
-Equal fingerprints are one node, so copies of any number are one row here. A crowded cell is compared in blocks of
-bounded size, one task each, and returns a spanning forest of its links rather than all pairs.
+Equal fingerprints are one node, so copies of any number are one row here.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spoorgrid.llm.cells import Near, linked
 from spoorgrid.llm.common import written
 from spoorgrid.llm.components import components
 
@@ -90,40 +91,24 @@ def _embed(fps: np.ndarray, segment_bits: int) -> np.ndarray:
     return np.bitwise_count((fps[:, None] >> shift) & np.uint64((1 << segment_bits) - 1)).astype(np.int8)
 
 
-def _near(a: np.ndarray, b: np.ndarray, bits: int, segment_bits: int, upper: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of a and b (i < j only, if upper) at `bits` or fewer differing bits, in slabs of bounded size."""
-    ea, eb = _embed(a, segment_bits), _embed(b, segment_bits)
-    step = max(1, 2_000_000 // max(1, len(b)))
-    for at in range(0, len(a), step):
-        bound = np.zeros((len(ea[at:at + step]), len(b)), np.int8)
-        for s in range(ea.shape[1]):
-            bound += np.abs(ea[at:at + step, s, None] - eb[None, :, s])
-        i, j = np.nonzero(bound <= bits)
-        i += at
-        if upper:
-            i, j = i[i < j], j[i < j]
-        ok = np.bitwise_count(a[i] ^ b[j]) <= bits
-        yield i[ok], j[ok]
-
-
-def _forest(fps: np.ndarray, part: np.ndarray, lo: int, hi: int, bits: int, segment_bits: int) -> list[tuple[int, int]]:
-    """Links between two parts of a crowded cell (or within one) that connect all that is linked there."""
-    rows_a, rows_b = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
-    root, out = list(range(len(fps))), []
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for i, j in _near(fps[rows_a], fps[rows_b], bits, segment_bits, lo == hi):
-        for x, y in zip(rows_a[i].tolist(), rows_b[j].tolist(), strict=True):
-            p, q = find(x), find(y)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                out.append((x, y))
-    return out
+def within_bound(bits: int, segment_bits: int) -> Near:
+    """Pairs within the Manhattan bound of their segment counts, then verified exactly."""
+
+    def near(a: np.ndarray, b: np.ndarray, upper: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        ea, eb = _embed(a, segment_bits), _embed(b, segment_bits)
+        step = max(1, 2_000_000 // max(1, len(b)))
+        for at in range(0, len(a), step):
+            bound = np.zeros((len(ea[at:at + step]), len(b)), np.int8)
+            for s in range(ea.shape[1]):
+                bound += np.abs(ea[at:at + step, s, None] - eb[None, :, s])
+            i, j = np.nonzero(bound <= bits)
+            i += at
+            if upper:
+                i, j = i[i < j], j[i < j]
+            ok = np.bitwise_count(a[i] ^ b[j]) <= bits
+            yield i[ok], j[ok]
+
+    return near
 
 
 def _first_table(a: np.ndarray, b: np.ndarray, bits: int, blocks: int, segment_bits: int) -> np.ndarray:
@@ -137,56 +122,11 @@ def _first_table(a: np.ndarray, b: np.ndarray, bits: int, blocks: int, segment_b
     return number[first @ (1 << np.arange(blocks))]
 
 
-SMALL = 32
-
-
 def links(nodes: DataFrame, bits: int = 3, blocks: int = 6, segment_bits: int = 2, part_rows: int = 2048) -> DataFrame:
     """(a, b): links that connect what fingerprints at `bits` or fewer differing bits connect. nodes: distinct fp."""
-    cells = grid_cells(nodes, bits, blocks, segment_bits)
-    crowded = cells.groupBy("cell").agg(F.count("*").alias("_n")).where(F.col("_n") > part_rows)
-    crowded = crowded.select("cell", F.ceil(F.col("_n") / part_rows).cast("int").alias("_k"))
-    # a crowded cell is cut into parts; each pair of parts is a group of its own
-    held = cells.join(crowded, "cell", "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
-    held = held.withColumn("_i", F.pmod(F.xxhash64("fp"), F.col("_k")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda x: F.struct(
-        F.least(x, F.col("_i")).alias("lo"), F.greatest(x, F.col("_i")).alias("hi")))
-    held = held.select("cell", "table", "fp", "_i", F.inline(pairs))
-    key = ["cell", "lo", "hi"]
-
-    def linked(table: np.ndarray, fps: np.ndarray, part: np.ndarray, lo: np.ndarray, hi: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
-        sizes = np.diff(np.append(starts, len(fps)))
-        run, small = np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes <= SMALL, sizes)
-        a, b = [], []
-        for d in range(1, min(SMALL, int(sizes.max(initial=1)))):
-            i = np.flatnonzero((run[:-d] == run[d:]) & small[:-d])
-            i = i[np.bitwise_count(fps[i] ^ fps[i + d]) <= bits]
-            i = i[_first_table(fps[i], fps[i + d], bits, blocks, segment_bits) == table[i]]
-            a.append(fps[i])
-            b.append(fps[i + d])
-        for r in np.flatnonzero(sizes > SMALL):
-            own = slice(starts[r], starts[r] + sizes[r])
-            found = np.array(_forest(fps[own], part[own], lo[starts[r]], hi[starts[r]], bits, segment_bits), np.int64).reshape(-1, 2)
-            a.append(fps[own][found[:, 0]])
-            b.append(fps[own][found[:, 1]])
-        column = lambda x: pa.array(np.concatenate(x or [fps[:0]]).view(np.int64))
-        return pa.RecordBatch.from_arrays([column(a), column(b)], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] | None = None
-        for batch in batches:
-            rows = [c.to_numpy() for c in batch.columns]
-            if kept is not None:
-                rows = [np.concatenate(x) for x in zip(kept, rows, strict=True)]
-            cell, lo, hi = rows[0], rows[4], rows[5]
-            edge = np.flatnonzero((np.diff(cell) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
-            last = edge[-1] if len(edge) else 0  # the last group may go on in the next batch
-            if last:
-                yield linked(rows[1][:last], rows[2][:last].view(np.uint64), rows[3][:last], lo[:last], hi[:last], np.append(0, edge[:-1]))
-            kept = [x[last:].copy() for x in rows]
-        if kept is not None and len(kept[0]):
-            yield linked(kept[1], kept[2].view(np.uint64), *kept[3:], np.zeros(1, np.int64))
-
-    return held.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
+    cells = grid_cells(nodes, bits, blocks, segment_bits).withColumnRenamed("fp", "code")
+    first = functools.partial(_first_table, bits=bits, blocks=blocks, segment_bits=segment_bits)
+    return linked(cells, bits, within_bound(bits, segment_bits), first, part_rows)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, blocks: int = 6, segment_bits: int = 2) -> DataFrame:
