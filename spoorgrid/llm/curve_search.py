@@ -129,19 +129,24 @@ def tune(curves: Curves, queries: dict[int, np.ndarray], truth: list, target: fl
     q = np.stack([queries[r["query"]] for r in truth])
     y = matrix([r["vec"] for r in truth], q.shape[1])
     most = len(curves.project)
-    tried = []
-    blocks = 2
-    while blocks <= FINE and (blocks == 2 or total / blocks >= 8 * k):
-        apart = np.abs(curves.blocks(q, most, blocks) - curves.blocks(y, most, blocks))
-        for reach in (0, 1, 2):
-            recall = np.cumsum(apart <= reach, axis=1).clip(0, 1).mean(0)
-            enough = np.flatnonzero(recall >= target)
-            if len(enough):
-                n = int(enough[0]) + 1
-                # an ordering costs a copy of every row, besides what its windows read
-                tried.append((n * min(blocks, 2 * reach + 1) / blocks + 0.01 * n, n, blocks, reach, float(recall[n - 1])))
-        blocks *= 2
-    return min(tried)[1:] if tried else (1, 1, 0, 1.0)
+    for share in (8, 4, 2, 1):  # windows of at most an eighth of the rows, wider ones only if these don't reach the target
+        tried = []
+        for blocks in (1 << e for e in range(5, FINE.bit_length())):
+            if blocks > 32 and total / blocks < 8 * k:
+                break
+            apart = np.abs(curves.blocks(q, most, blocks) - curves.blocks(y, most, blocks))
+            for reach in (1, 2, 4, 8, 16, 32):
+                if share > 1 and (2 * reach + 1) * share > blocks:
+                    break
+                recall = np.cumsum(apart <= reach, axis=1).clip(0, 1).mean(0)
+                enough = np.flatnonzero(recall >= target)
+                if len(enough):
+                    n = int(enough[0]) + 1
+                    # an ordering costs a copy of every row, besides what its windows read
+                    tried.append((n * min(blocks, 2 * reach + 1) / blocks + 0.03 * n, n, blocks, reach, float(recall[n - 1])))
+        if tried:
+            return min(tried)[1:]
+    raise AssertionError("windows of all blocks hold every row")
 
 
 def search(embeddings: DataFrame, is_query: Column, k: int = 20, target: float = 0.95, orderings: int = 48, sample_rows: int = 4000,
@@ -162,11 +167,11 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, target: float =
     test = dict(list(zip(ids.tolist(), x, strict=True))[:sample_queries])
     truth = answers(embeddings, np.array(list(test)), np.stack(list(test.values())), k).collect()
     total = embeddings.count()
-    count, blocks, reach, _ = tune(curves, test, truth, target, total, k) if truth else (1, 1, 0, 1.0)
+    count, blocks, reach, _ = tune(curves, test, truth, target, total, k) if truth else (1, 32, 32, 1.0)
+    exact = np.float32 if dict(embeddings.dtypes)["embedding"] == "array<float>" else np.float64  # bytes that are shuffled
 
     def place(own: np.ndarray, y: np.ndarray) -> list:
-        at = curves.blocks(y, count, blocks) if blocks > 1 else np.zeros((len(own), 1), np.int64)
-        return [own, raw(y), _lists(at)]
+        return [own, raw(y.astype(exact)), _lists(curves.blocks(y, count, blocks))]
 
     rows = written(mapped(embeddings, dim, place, "vec_id long, vec binary, blocks array<int>"), "curve-rows")
     # both sides of a block are cut into parts of bounded size
@@ -185,12 +190,12 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 20, target: float =
         if not len(rows) or not len(queries):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": int, "vec_id": int, "score": float})
         rows = rows.drop_duplicates(["vec_id", "vec"]).sort_values("vec_id")
-        own, y = rows["vec_id"].to_numpy(), matrix(rows["vec"].tolist(), dim)
+        own, y = rows["vec_id"].to_numpy(), matrix(rows["vec"].tolist(), dim, exact)
         out = []
         for at in range(0, len(queries), 512):
             some = queries.iloc[at:at + 512]
             q_ids = some["vec_id"].to_numpy()
-            index, score = _best(matrix(some["vec"].tolist(), dim), q_ids, y, own, k)
+            index, score = _best(matrix(some["vec"].tolist(), dim, exact), q_ids, y, own, k)
             out.append(pd.DataFrame({"query_id": np.repeat(q_ids, index.shape[1]), "vec_id": own[index.ravel()], "score": score.ravel()}))
         found = pd.concat(out)
         return found[np.isfinite(found["score"])]

@@ -28,12 +28,12 @@ def usable(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def raw(x: np.ndarray) -> pa.Array:
-    """Each row as the bytes of its doubles."""
+    """The bytes of each row."""
     return pa.array([r.tobytes() for r in x], pa.binary())
 
 
-def matrix(column: list[bytes], dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float64).reshape(-1, dim)
+def matrix(column: list[bytes], dim: int, kind: type = np.float64) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(-1, dim).astype(np.float64)
 
 
 def sample(embeddings: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
