@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spoorgrid.session import shared_folder
 
 #: One bit for each byte that belongs to a word: ASCII letters, digits and every byte of a non-ASCII character.
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: One bit for each byte that isn't ASCII white space.
+NOT_SPACE = np.ones(256, bool)
+NOT_SPACE[[32, *range(9, 14)]] = False
 _BASE = np.uint64(0x100000001B3)
 _POWERS = np.empty(256, np.uint64)
 _POWERS[0] = 1
@@ -51,17 +55,37 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, chars: int) -> Iterat
             at = stop
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def scored(docs: DataFrame, columns: list[str], score: Callable, name: str) -> DataFrame:
+    """docs with a double column: what `score` gives for lists of the columns, the first of them texts (null: empty).
+    A column of that name is replaced."""
+    docs = docs.drop(name)
+    inputs = [F.col(columns[0]).cast("string").alias("_t"), *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns[1:])]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 0, 1_000_000):
+            texts = [t or "" for t in part.column(0).to_pylist()]
+            found = score(texts, *[part.column(i + 1).to_pylist() for i in range(len(columns) - 1)])
+            yield pa.RecordBatch.from_arrays([*part.columns[len(columns):], pa.array(found, pa.float64())], names=[*part.schema.names[len(columns):], name])
+
+    return docs.select(*inputs, F.col("*")).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
+def word_hashes(texts: list[str], mask: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all lower-cased words of the texts, and the index of the text of each word.
 
-    Words are maximal runs of letters, digits and non-ASCII characters. All texts of a batch are hashed together
+    Words are maximal runs of bytes of the mask, by default of letters, digits and non-ASCII characters. All texts of a batch are hashed together
     with a polynomial over their bytes, so no Python code runs for a word.
     """
+    sizes = np.cumsum([len(t) for t in texts])
+    if len(texts) > 1 and sizes[-1] > 2_000_000:  # halves of it, so that the arrays below stay small
+        half = min(max(1, int(np.searchsorted(sizes, sizes[-1] / 2))), len(texts) - 1)
+        (a, i), (b, j) = word_hashes(texts[:half], mask), word_hashes(texts[half:], mask)
+        return np.concatenate([a, b]), np.concatenate([i, j + half])
     joined = "\n".join(t.lower() for t in texts).encode("utf-8", "replace")
     data = np.frombuffer(joined, np.uint8)
     if not len(data):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    inside = _WORD[data]
+    inside = mask[data]
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):

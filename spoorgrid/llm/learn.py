@@ -50,6 +50,19 @@ def bag_of(texts: list[str], buckets: int) -> Bag:
     return Bag(keys // buckets, keys % buckets, counts, words, owner)
 
 
+def all_structure(texts: list[str], declared: list, buckets: int) -> tuple[Bag, np.ndarray]:
+    """Bag and statistics of many texts, some at a time."""
+    parts = []
+    for at in range(0, len(texts), 128):
+        some = texts[at:at + 128]
+        bag = bag_of(some, buckets)
+        stats = structure(some, declared[at:at + 128], bag)
+        parts.append((bag.row + at, bag.bucket, bag.count, stats))
+    row, bucket, count, stats = (np.concatenate(x) for x in zip(*parts, strict=True))
+    none = np.empty(0, np.int64)
+    return Bag(row, bucket, count, none.view(np.uint64), none), stats
+
+
 def structure(texts: list[str], declared: list | None, bag: Bag) -> np.ndarray:
     """Statistics of each text, one column per name of STATS. `declared` is a length kept with the text, if any."""
     n = len(texts)

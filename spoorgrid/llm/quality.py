@@ -7,16 +7,14 @@ a projection over whole texts, with the model (a few hundred kB) shipped along.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoorgrid.llm.common import bucket_of, slices
-from spoorgrid.llm.learn import STATS, Adam, bag_of, learnable, sample_texts, sigmoid, structure
+from spoorgrid.llm.common import bucket_of, scored
+from spoorgrid.llm.learn import STATS, Adam, Bag, all_structure, bag_of, learnable, sample_texts, sigmoid, structure
 
 BINS = 16
 
@@ -32,17 +30,19 @@ class Machine:
     factor: np.ndarray
 
 
-def features(texts: list[str], declared: list, buckets: int, edges: np.ndarray | None) -> tuple:
-    """(row, feature, value) ordered by row, and the raw statistics. Word values of a text have length one."""
+def features(texts: list[str], declared: list, buckets: int, edges: np.ndarray) -> tuple:
+    """(row, feature, value) ordered by row. Word values of a text have length one."""
     bag = bag_of(texts, buckets)
-    stats = structure(texts, declared, bag)
-    if edges is None:
-        return bag, stats
+    return encoded(bag, structure(texts, declared, bag), buckets, edges)
+
+
+def encoded(bag: Bag, stats: np.ndarray, buckets: int, edges: np.ndarray) -> tuple:
+    n = len(stats)
     value = np.log1p(bag.count)
-    norm = np.sqrt(np.bincount(bag.row, value * value, len(texts)))
+    norm = np.sqrt(np.bincount(bag.row, value * value, n))
     bins = np.stack([np.searchsorted(edges[s], stats[:, s], side="right") for s in range(len(STATS))], 1)
     fixed = buckets + np.arange(len(STATS)) * (BINS + 1) + bins
-    row = np.concatenate([bag.row, np.repeat(np.arange(len(texts)), len(STATS))])
+    row = np.concatenate([bag.row, np.repeat(np.arange(n), len(STATS))])
     order = np.argsort(row, kind="stable")
     feature = np.concatenate([bag.bucket, fixed.ravel()])[order]
     value = np.concatenate([value / np.maximum(norm, 1e-9)[bag.row], np.full(fixed.size, 1 / np.sqrt(len(STATS)))])[order]
@@ -65,10 +65,10 @@ def fit(texts: list[str], declared: list, y: np.ndarray, buckets: int, rank: int
     size = buckets + len(STATS) * (BINS + 1)
     if not len(texts):
         return Machine(buckets, np.zeros((len(STATS), BINS)), np.zeros(1, np.float32), np.zeros(size, np.float32), np.zeros((size, rank), np.float32))
-    _, stats = features(texts, declared, buckets, None)
+    bag, stats = all_structure(texts, declared, buckets)
     edges = np.quantile(stats, (np.arange(BINS) + 0.5) / BINS, axis=0).T
     model = Machine(buckets, edges, np.zeros(1, np.float32), np.zeros(size, np.float32), rng.normal(0, 0.02, (size, rank)).astype(np.float32))
-    row, feature, value = features(texts, declared, buckets, edges)
+    row, feature, value = encoded(bag, stats, buckets, edges)
     by = np.argsort(feature, kind="stable")
     seen, at = np.unique(feature[by], return_index=True)
     adam = Adam([model.bias, model.weight, model.factor], rate)
@@ -93,25 +93,24 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, r
     return fit([r["text"] or "" for r in sample], [r["n_chars"] for r in sample], np.array([r["y"] for r in sample], np.float32), buckets, rank, rounds)
 
 
-def score(docs: DataFrame, model: Machine) -> DataFrame:
-    """(doc_id, score) of every row; texts are taken whole, null and empty ones as texts without words.
-
-    docs needs doc_id, text and n_chars; other columns are ignored. Null ids and repeated rows stay as they are; a
-    null n_chars is a value of its own.
+def score(docs: DataFrame, model: Machine, name: str = "score") -> DataFrame:
+    """docs with the score of every row as one more column; texts are taken whole, null and empty ones as texts without
+    words. docs needs text and n_chars; a null n_chars is a value of its own.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1, 1_000_000):
-            texts = [t or "" for t in part.column(1).to_pylist()]
-            z, _ = raw_scores(model, *features(texts, part.column(2).to_pylist(), model.buckets, model.edges), len(texts))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sigmoid(z.astype(np.float64)))], names=["doc_id", "score"])
+    def of(texts: list[str], declared: list) -> np.ndarray:
+        z, _ = raw_scores(model, *features(texts, declared, model.buckets, model.edges), len(texts))
+        return sigmoid(z.astype(np.float64))
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("n_chars").cast("double").alias("n_chars"))
-    return slim.mapInArrow(run, "doc_id long, score double")
+    return scored(docs, ["text", "n_chars"], of, name)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **settings) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document. Empty docs give no rows; without labels scores are 0.5."""
-    out = score(docs, train(docs, labels, **settings))
+    """doc_id, held_out, score and predicted of every document.
+
+    docs needs doc_id, text and n_chars; other columns are ignored. Null ids and repeated rows stay as they are. Empty
+    docs give no rows; without labels all scores are about even.
+    """
+    out = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "n_chars"), train(docs, labels, **settings))
     held = F.coalesce(bucket_of(F.col("doc_id"), settings.get("modulus", 4)) == settings.get("held", 2), F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -9,15 +9,14 @@ hashed words and vote statistics, which then scores whole texts in one projectio
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoorgrid.llm.common import bucket_of, slices, word_hashes
+from spoorgrid.llm.common import bucket_of, scored, word_hashes
 from spoorgrid.llm.learn import Adam, Bag, bag_of, learnable, sample_texts, sigmoid
 
 #: Seed words of the first voter.
@@ -44,16 +43,17 @@ def grown_lists(texts: list[str], y: np.ndarray, per_list: int) -> tuple[np.ndar
     words, owner = word_hashes(texts)
     if not len(words) or not y.any() or y.all():
         return np.sort(seeds), np.zeros(len(seeds), np.int64)
-    pairs = np.unique(np.stack([words.view(np.int64), owner], 1), axis=0)
-    seen, index = np.unique(pairs[:, 0], return_inverse=True)
-    toxic = np.bincount(index, y[pairs[:, 1]] > 0.5, len(seen))
+    _, once = np.unique(words * np.uint64(0x9E3779B97F4A7C15) + owner.astype(np.uint64), return_index=True)
+    words, owner = words[once], owner[once]
+    seen, index = np.unique(words, return_inverse=True)
+    toxic = np.bincount(index, y[owner] > 0.5, len(seen))
     clean = np.bincount(index, minlength=len(seen)) - toxic
     n1, n0 = (y > 0.5).sum(), (y <= 0.5).sum()
     p1, p0 = (toxic + 0.1) / (n1 + 1), (clean + 0.1 + n0 * 1e-4) / (n0 + 1)
     sure = (p1 - p0) / np.sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0 + 1e-9)
     good = np.flatnonzero((toxic >= 3) & (p1 > 3 * p0) & (sure > 2.5))
     good = good[np.argsort(-sure[good], kind="stable")][:(LISTS - 1) * per_list]
-    found = seen[good].view(np.uint64)
+    found = seen[good]
     new = ~np.isin(found, seeds)
     all_words = np.concatenate([seeds, found[new]])
     lists = np.concatenate([np.zeros(len(seeds), np.int64), 1 + np.arange(new.sum()) % (LISTS - 1)])
@@ -156,22 +156,18 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, r
     return fit([r["text"] or "" for r in sample], np.array([r["y"] for r in sample], float))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of every row; texts are taken whole, null and empty ones as texts without words.
-
-    docs needs doc_id and text; other columns are ignored. Null ids and repeated rows stay as they are.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1, 1_000_000):
-            found = score_texts(model, [t or "" for t in part.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], names=["doc_id", "score"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with the score of every row as one more column; texts are taken whole, null and empty ones as texts without
+    words."""
+    return scored(docs, ["text"], functools.partial(score_texts, model), name)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **settings) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document. Empty docs give no rows."""
-    out = score(docs, train(docs, labels, **settings))
+    """doc_id, held_out, score and predicted of every document.
+
+    docs needs doc_id and text; other columns are ignored. Null ids and repeated rows stay as they are. Empty docs give
+    no rows; without labels the seed words decide.
+    """
+    out = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels, **settings))
     held = F.coalesce(bucket_of(F.col("doc_id"), settings.get("modulus", 5)) == settings.get("held", 0), F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
