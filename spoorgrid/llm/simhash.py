@@ -71,8 +71,8 @@ def segment_counts(fp: Column, segment_bits: int) -> list[Column]:
     return [F.bit_count(F.shiftrightunsigned(fp, s * segment_bits).bitwiseAND(F.lit(mask))) for s in range(64 // segment_bits)]
 
 
-def grid_cells(nodes: DataFrame, bits: int, blocks: int, segment_bits: int) -> DataFrame:
-    """A row (table, cell, fp) for each choice of blocks - bits blocks."""
+def grid_cells(nodes: DataFrame, bits: int, blocks: int, segment_bits: int, agree: int | None = None) -> DataFrame:
+    """A row (table, cell, fp) for each choice of `agree` blocks, blocks - bits of them unless given."""
     counts, parts = segment_counts(F.col("fp"), segment_bits), block_segments(blocks, segment_bits)
     packed = []
     for part in parts:  # the counts of a block, one digit per segment
@@ -80,7 +80,7 @@ def grid_cells(nodes: DataFrame, bits: int, blocks: int, segment_bits: int) -> D
         for s in part:
             code = code * (segment_bits + 1) + counts[s]
         packed.append(code)
-    choices = list(itertools.combinations(range(blocks), blocks - bits))
+    choices = list(itertools.combinations(range(blocks), agree or blocks - bits))
     cells = F.array(*[F.struct(F.lit(i).alias("table"), F.xxhash64(F.lit(i), *[F.col("_p")[b] for b in c]).alias("cell"))
                       for i, c in enumerate(choices)])
     return nodes.withColumn("_p", F.array(*packed)).select("fp", F.inline(cells))
