@@ -126,7 +126,7 @@ class Parser:
                 if len(broken):
                     fresh = self.table[start * SYMBOLS + c[broken]]
                     # a phrase ended before this symbol; a symbol that no sample has is a phrase of its own
-                    count[broken] += (state[broken] != start) + (fresh < 0)
+                    count[broken] += (state[broken] != start).astype(np.int64) + (fresh < 0)
                     to[broken] = np.where(fresh < 0, start, fresh)
                 state[:live] = to
             out[:, k] = count + (state != start)
