@@ -25,7 +25,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
-def connected_components(pixels: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(pixels: DataFrame) -> DataFrame:
     """Add `component` (smallest pixel code of the 8-connected component of equal label within the image).
 
     All images run together; rounds are logarithmic in the component diameter and each one is written to
@@ -41,14 +41,12 @@ def connected_components(pixels: DataFrame, max_rounds: int = 40) -> DataFrame:
                      .select(*IMAGE, "a", "b"))
     print_key = [F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("bigint")).alias("h")]
     before = None
-    for _ in range(max_rounds):
+    while True:
         edges = cut(_star(_star(edges, True), False))
         now = edges.agg(*print_key).first()
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     root = edges.select(*IMAGE, "a", F.col("b").alias("_root"))
     return nodes.join(root, [*IMAGE, "a"], "left").withColumn("component", F.coalesce("_root", "a")).drop("a", "_root")
 

@@ -44,17 +44,17 @@ def detector_agreement(references: DataFrame, detections: DataFrame, keys: list[
                       F.coalesce("_b.score", F.lit(0.0)).alias("score"), F.col(f"_b.{det_id}").alias(det_id))
 
 
-def greedy_matches(pairs: DataFrame, keys: list[str], left_id: str, right_id: str, weight: str,
-                   max_rounds: int = 200) -> DataFrame:
+def greedy_matches(pairs: DataFrame, keys: list[str], left_id: str, right_id: str, weight: str) -> DataFrame:
     """One-to-one matches in descending weight (then lowest ids), as a greedy scan would take them.
 
     A pair that is the best one of both its ends can be taken at once wherever it stands in the order, so
-    all frames advance together and a crowded frame is never handled by one task.
+    all frames advance together and a crowded frame is never handled by one task. Every round takes at least the
+    best pair that is left, so rounds end.
     """
     order = F.struct(F.col(weight), -F.col(left_id), -F.col(right_id))
     rest = cut(pairs.select(*keys, left_id, right_id, weight))
     taken = None
-    for _ in range(max_rounds):
+    while True:
         top_l = rest.groupBy(*keys, left_id).agg(F.max(order).alias("_l"))
         top_r = rest.groupBy(*keys, right_id).agg(F.max(order).alias("_r"))
         won = rest.join(top_l, [*keys, left_id]).join(top_r, [*keys, right_id])
@@ -64,4 +64,3 @@ def greedy_matches(pairs: DataFrame, keys: list[str], left_id: str, right_id: st
                        .join(won.select(*keys, right_id), [*keys, right_id], "left_anti"))
         if rest.limit(1).count() == 0:
             return taken
-    raise RuntimeError("matching did not finish")

@@ -134,32 +134,39 @@ def permutation_test(df: DataFrame, value: str, group: str, trials: int = 20000,
     distribution and then which rows of the chunk they are: together a uniform permutation, without any
     task seeing more than one chunk of values.
     """
-    given = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
-    # at most 65536 chunks, so the per-chunk sizes every trial needs stay small
-    n_chunks = min(max(1, -(-given.count() // chunk_rows)), 65536)
-    packed = given.groupBy(F.pmod(F.xxhash64(value, F.monotonically_increasing_id()), F.lit(n_chunks)).alias("c")).agg(
-        F.collect_list(F.col(value).cast("double")).alias("v"), F.count_if(group).alias("m"))
     from spoorgrid.session import cut
 
+    given = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
+    n_chunks = max(1, -(-given.count() // chunk_rows))
+    packed = given.groupBy(F.pmod(F.xxhash64(value, F.monotonically_increasing_id()), F.lit(n_chunks)).alias("c")).agg(
+        F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("v"), F.count_if(group).alias("m"))
     packed = cut(packed)  # the row-to-chunk assignment must not change between the two uses below
-    sizes = {r.c: (r.k, r.m) for r in packed.select("c", F.size("v").alias("k"), "m").collect()}
-    order = sorted(sizes)
-    counts, m_total = np.array([sizes[c][0] for c in order]), int(sum(sizes[c][1] for c in order))
+    # the sizes of all chunks, one row; the draws of a trial need them together
+    sizes = packed.agg(F.sort_array(F.collect_list(F.struct("c", F.size("v").alias("k")))).alias("sizes"), F.sum("m").alias("m"))
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.itertuples(index=False):
+                ids, counts = np.array([s["c"] for s in row.sizes]), np.array([s["k"] for s in row.sizes])
+                draw = np.random.default_rng([seed, 0, int(row.trial)])
+                yield pd.DataFrame({"c": ids, "trial": row.trial, "take": draw.multivariate_hypergeometric(counts, int(row.m), method="marginals")})
+
+    all_sizes = sizes.select(F.struct("sizes", "m")).scalar().alias("s")
+    takes = df.sparkSession.range(0, trials, 1, 32).select(F.col("id").alias("trial"), all_sizes).select("trial", "s.sizes", "s.m")
+    takes = takes.mapInPandas(split, "c long, trial long, take long")
+    takes = takes.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("trial", "take"))).alias("takes"))  # one entry a trial
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples(index=False):
-                values, at = np.sort(np.asarray(row.v)), order.index(row.c)
-                out = np.empty(trials)
-                pick = np.random.default_rng([seed, 1, int(row.c)])
-                for t in range(trials):
-                    take = np.random.default_rng([seed, 0, t]).multivariate_hypergeometric(counts, m_total, method="marginals")[at]
-                    out[t] = values[pick.permutation(len(values))[:take]].sum()
-                yield pd.DataFrame({"trial": np.arange(trials), "part": out})
+                values, pick = np.asarray(row.v), np.random.default_rng([seed, 1, int(row.c)])
+                take = np.array([t["take"] for t in row.takes])
+                parts = [values[pick.permutation(len(values))[:n]].sum() for n in take]
+                yield pd.DataFrame({"trial": [t["trial"] for t in row.takes], "part": parts})
 
     totals = given.agg(F.count("*").alias("n"), F.sum(F.col(value).cast("double")).alias("s"), F.count_if(group).alias("m"),
                        F.sum(F.when(F.col(group), F.col(value))).alias("g")).select(F.struct("*")).scalar()
-    sums = packed.mapInPandas(draw, "trial bigint, part double").groupBy("trial").agg(F.sum("part").alias("x"))
+    sums = packed.join(takes, "c").mapInPandas(add, "trial bigint, part double").groupBy("trial").agg(F.sum("part").alias("x"))
     sums = sums.withColumn("t", totals)
 
     def gap(x):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from spoorgrid.operators.chunks import top_n
 from spoorgrid.operators.matching import overlapping
 from spoorgrid.operators.quantiles import exact_quantiles, exact_quantiles_of
+from spoorgrid.session import cut
 
 # Priority of each motion hint.
 MOTION_PRIORITY = {"potentially_moving": 3, "ambiguous_motion": 2, "likely_static_relative_to_map": 1,
@@ -112,8 +113,8 @@ def link_boxes(anchors: DataFrame, detections: DataFrame, radius: int, min_score
             j = overlapping(probe, d, ["sequence", "frame_idx"], "anchor_id", "det_id")
             best = j.groupBy("anchor_id", "sequence", "frame_idx").agg(
                 F.max_by(F.struct(*["r" + c for c in box], "score", "iou"), F.struct(F.col("iou") * F.col("score"), -F.col("det_id"))).alias("b"))
-            now = best.select("anchor_id", "sequence", "frame_idx", *[F.col(f"b.r{c}").alias(c) for c in box], "b.score", "b.iou",
-                              F.lit(direction * k).alias("offset"))
+            now = cut(best.select("anchor_id", "sequence", "frame_idx", *[F.col(f"b.r{c}").alias(c) for c in box], "b.score", "b.iou",
+                                  F.lit(direction * k).alias("offset")))  # each step is read by the next one and by the result
             out = out.unionByName(now)
     return out
 

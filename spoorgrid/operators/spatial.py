@@ -7,6 +7,8 @@ finishes the work.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,14 +38,19 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, x: str, y: str, box: li
 
 
 def nearest_site(points: DataFrame, sites: DataFrame, point_key: list[str], x: str, y: str, site_id: str,
-                 sx: str, sy: str, cell: float, levels: int = 12) -> DataFrame:
+                 sx: str, sy: str, cell: float) -> DataFrame:
     """Nearest site of every point without a distance limit; ties go to the lowest id.
 
     A pyramid of grids (cell, 2*cell, ...) finds the finest level at which the 3x3 neighbourhood of the
     point holds a site. That site is at most 2*sqrt(2) cells away, so the neighbourhood two levels up holds
-    the nearest one. Points therefore only meet sites at their own scale. `cell * 2**levels` must exceed
-    the extent of the data.
+    the nearest one. Points therefore only meet sites at their own scale. The top level follows from the joint
+    bounds of both sides: two above the one whose cells span them all. Without sites the result is empty.
     """
+    ends = [f(c) for c in (x, y) for f in (F.min, F.max)]
+    site_ends = [f(c) for c in (sx, sy) for f in (F.min, F.max)]
+    spans = [r for r in (points.agg(*ends).first(), sites.agg(*site_ends).first()) if r[0] is not None]
+    extent = max([max(float(r[i + 1]) for r in spans) - min(float(r[i]) for r in spans) for i in (0, 2)], default=0.0)
+    levels = max(0, math.ceil(math.log2(max(extent, cell) / cell))) + 3
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_l"))
     every = F.explode(F.sequence(F.lit(0), F.lit(levels)))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from spoorgrid.functions.cells import label_group
 
 CELL = ["ix", "iy"]
-CATEGORIES = 1024  # category ids are below this
 
 
 def dominant_per_frame(points: DataFrame, frame_keys: list[str], category: str, minimum: int,
@@ -20,10 +19,13 @@ def dominant_per_frame(points: DataFrame, frame_keys: list[str], category: str,
     Categories below `minimum` do not vote (0 keeps every group, 1 drops the void label).
     """
     counts = points.where(F.col(category) >= minimum).groupBy(*frame_keys, *cell, category).agg(F.count("*").alias("_n"))
-    # count and category in one number: a primitive maximum stays in the hash aggregate, a struct would sort
-    code = F.col("_n") * F.lit(CATEGORIES) + (F.lit(CATEGORIES - 1) - F.col(category))
-    best = counts.groupBy(*frame_keys, *cell).agg(F.max(code).alias("_code"))
-    return best.withColumn(category, (F.lit(CATEGORIES - 1) - F.pmod("_code", F.lit(CATEGORIES))).cast("int")).drop("_code")
+    return dominant(counts, [*frame_keys, *cell], category)
+
+
+def dominant(counts: DataFrame, keys: list[str], category: str) -> DataFrame:
+    """The category with the largest `_n` of each key, lowest id on ties."""
+    order = F.struct(F.col("_n"), -F.col(category).cast("bigint"))
+    return counts.groupBy(*keys).agg(F.max_by(category, order).cast("int").alias(category))
 
 
 def group_store(points: DataFrame, store_keys: list[str], frame_keys: list[str], group: str = "grp") -> DataFrame:

@@ -194,6 +194,8 @@ def with_duck(names: str, body: str) -> str:
     """Prefix an oracle query with the bindings it uses."""
     ctes = ",\n".join(f"{n} as ({duck(n)})" for n in names.split())
     body = body.strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {ctes},\n{body[15:]}"
     if body.lower().startswith("with "):
         return f"with {ctes},\n{body[5:]}"
     return f"with {ctes}\n{body}"

@@ -8,6 +8,7 @@ from spoorgrid.functions.plan import settled
 from spoorgrid.operators import chunks, compare, decisions as D, metrics, registration, relay, review, sequence, vote
 from spoorgrid.plans.catalog_maps import STORES, _labels, _store
 from spoorgrid.plans.catalog_retrieval import _SUM, _SUM_REAL
+from spoorgrid.plans.catalog_sequences import HIGH_QUALITY, diverse_sql
 from spoorgrid.plans.registry import query
 from spoorgrid.sources import manifests, reports
 
@@ -555,7 +556,7 @@ def _(src):
 
 # ---- components and review queues --------------------------------------------------------------------------
 
-_HQ = "height >= 32 and pixel_area >= 400 and valid_depth_ratio >= 7e-1 and median_depth is not null and median_depth <= 8"
+_HQ = HIGH_QUALITY
 
 
 @query("P20_component_quality", "components", f"select component_id, coalesce({_HQ}, false) as high from components")
@@ -602,12 +603,11 @@ def _(src):
 
 
 @query("L3_queue_order", "manifest", f"""with {_REV} select doc_id, row_number() over (order by tier, round(priority, 9) desc, sequence, anchor_frame)
-    as position from rv qualify position <= 50""")
+    as position from rv""")
 def _(src):
-    r = review.review_scores(src.manifest).withColumn("p", F.round("priority", 9))
-    order = ["tier", F.desc("p"), "sequence", "anchor_frame"]
-    top = r.orderBy(*order).limit(50)
-    return chunks.top_n(top.withColumn("_g", F.lit(0)), ["_g"], [F.col("tier"), F.desc("p"), F.col("sequence"), F.col("anchor_frame")], 50, "position").select("doc_id", "position")
+    # tier and priority as one number, so that the whole queue is ranked in ranges of it
+    r = review.review_scores(src.manifest).withColumn("p", F.round("priority", 9) - 10 * F.ascii("tier"))
+    return chunks.ranked(r, [], "p", [F.col("sequence"), F.col("anchor_frame")], name="position").select("doc_id", "position")
 
 
 @query("W22_balanced_queue")
@@ -679,7 +679,11 @@ def _(src):
     return review.best_centers(p.select(*FRAME).distinct(), depth, front, FRAME).select(*FRAME, "center_x", "center_y", "center_source")
 
 
-@query("Q24_detection_manifest")
+@query("Q24_detection_manifest", "detections", "with recursive " + diverse_sql(
+    "select sequence, frame_idx, det_id, score from detections where score >= 5e-1 and frame_idx % 2 = 0", "sequence", "score desc, det_id", 6, 20) + """,
+    l as (select sequence, max(frame_idx) as last_frame from detections group by sequence)
+    select c.*, greatest(0, frame_idx - 2) as window_start, least(last_frame, frame_idx + 2) as window_end from chosen c join l using (sequence)""",
+       real="score", whole="sequence frame_idx window_start window_end")
 def _(src):
     d = src.detections.where((F.col("score") >= 0.5) & (F.pmod("frame_idx", F.lit(2)) == 0))
     last = src.detections.groupBy("sequence").agg(F.max("frame_idx").alias("last_frame"))

@@ -403,7 +403,18 @@ def _(src):
     return masks.mask_overlap(px, "p", "t", ["camera"])
 
 
-@query("A24_connected_components")
+@query("A24_connected_components", "pixels", """with recursive n as (select *, v * 1000000 + u as a from pixels where label in (9, 13, 14)),
+    e as (select x.sequence, x.frame_idx, x.camera, x.a, y.a as b from n x join n y on x.sequence = y.sequence and x.frame_idx = y.frame_idx
+          and x.camera = y.camera and x.label = y.label and abs(x.u - y.u) <= 1 and abs(x.v - y.v) <= 1),
+    r as (select * from e union select r.sequence, r.frame_idx, r.camera, r.a, e.b from r join e on r.sequence = e.sequence
+          and r.frame_idx = e.frame_idx and r.camera = e.camera and r.b = e.a),
+    c as (select sequence, frame_idx, camera, a, min(b) as component from r group by all),
+    p as (select n.*, component, depth between 2e-1 and 12e0 as ok from n join c using (sequence, frame_idx, camera, a))
+    select sequence, frame_idx, camera, label, component, count(*) as pixel_area, min(u) as bbox_x, min(v) as bbox_y,
+           max(u) - min(u) + 1 as bbox_width, max(v) - min(v) + 1 as bbox_height, avg(ok::int) as valid_depth_ratio,
+           count(*) filter (where ok) as valid_depth_pixels, quantile_cont(depth, 5e-1) filter (where ok) as median_depth
+    from p group by all having count(*) >= 2""", real="valid_depth_ratio median_depth",
+       whole="sequence frame_idx label component bbox_x bbox_y bbox_width bbox_height")
 def _(src):
     px = src.pixels.where(F.col("label").isin(9, 13, 14))
     return components.component_stats(components.connected_components(px), 2)

@@ -7,6 +7,7 @@ from spoorgrid.plans.catalog_retrieval import _SUM, _SUM_REAL
 from spoorgrid.plans.registry import query
 
 FRAME = ["sequence", "frame_idx"]
+HIGH_QUALITY = "height >= 32 and pixel_area >= 400 and valid_depth_ratio >= 7e-1 and median_depth is not null and median_depth <= 8"
 
 
 @query("J1_frame_dimensions", "points poses cameras", """
@@ -128,7 +129,19 @@ def _(src):
     return matching.detector_agreement(refs, dets, FRAME, "ref_id", "det_id")
 
 
-@query("J16_greedy_matching")
+# one pair of a frame after the other, best first; a pair is taken if both its boxes are free
+_GREEDY = f"""{_PAIRS}, ordered as (select *, row_number() over (partition by sequence, frame_idx order by iou desc, ref_id, det_id) as rn
+    from pr where iou >= 1e-1),
+    walk as (select sequence, frame_idx, rn, iou, ref_id, det_id, true as taken, [ref_id] as refs, [det_id] as dets from ordered where rn = 1
+    union all select o.sequence, o.frame_idx, o.rn, o.iou, o.ref_id, o.det_id,
+           not list_contains(refs, o.ref_id) and not list_contains(dets, o.det_id),
+           case when list_contains(refs, o.ref_id) or list_contains(dets, o.det_id) then refs else list_append(refs, o.ref_id) end,
+           case when list_contains(refs, o.ref_id) or list_contains(dets, o.det_id) then dets else list_append(dets, o.det_id) end
+    from walk w join ordered o on o.sequence = w.sequence and o.frame_idx = w.frame_idx and o.rn = w.rn + 1)"""
+
+
+@query("J16_greedy_matching", "detections", f"with recursive {_GREEDY} select sequence, frame_idx, ref_id, det_id, iou from walk where taken",
+       real="iou", whole="sequence frame_idx")
 def _(src):
     refs, dets = _boxes(src)
     p = matching.overlapping(refs, dets, FRAME, "ref_id", "det_id").where(F.col("iou") >= 0.1)
@@ -174,16 +187,21 @@ def _(src):
     return _segments(src)
 
 
-@query("L4_segments_by_peak", "frames", f"with {_SEG} select * from seg order by peak_error desc, sequence, start_frame limit 100",
+@query("L4_segments_by_peak", "frames", f"with {_SEG} select *, row_number() over (order by peak_error desc, sequence, start_frame) as position from seg",
        real="peak_error mean_ratio", whole="sequence start_frame end_frame anchor_frame patch_id")
 def _(src):
-    return _segments(src).orderBy(F.desc("peak_error"), "sequence", "start_frame").limit(100)
+    return chunks.ranked(_segments(src), [], "peak_error", [F.col("sequence"), F.col("start_frame")], name="position")
 
 
-@query("L1_top_error_frames", "frames", """select sequence, frame_idx, position_error from frames
-    order by position_error desc, sequence, frame_idx limit 30""", real="position_error", whole="sequence frame_idx")
+@query("L1_top_error_frames", "frames", """(select 'error' as list, sequence, frame_idx, position_error as value from frames
+    order by position_error desc, sequence, frame_idx limit 30) union all (select 'person' as list, sequence, frame_idx, person_ratio as value from frames
+    order by person_ratio desc, sequence, frame_idx limit 30)""", real="value", whole="sequence frame_idx")
 def _(src):
-    return src.frames.select(*FRAME, "position_error").orderBy(F.desc("position_error"), *FRAME).limit(30)
+    def top(name, column):
+        rows = src.frames.select(F.lit(name).alias("list"), *FRAME, F.col(column).alias("value"))
+        return rows.orderBy(F.desc("value"), *FRAME).limit(30)
+
+    return top("error", "position_error").unionByName(top("person", "person_ratio"))
 
 
 @query("W10_presence_segments", "presence", """
@@ -303,7 +321,21 @@ def _(src):
     return _robin(src, 40).select("split", "sequence", "anchor_frame", "peak_error", "turn", "position")
 
 
-@query("W19_diverse_selection")
+def diverse_sql(rows: str, keys: str, order: str, n: int, gap: int) -> str:
+    """Rows in rank order, each taken unless a taken one of its key is closer than the gap, until n are."""
+    ks = [k.strip() for k in keys.split(",")]
+    same = " and ".join(f"o.{k} = w.{k}" for k in ks)
+    far = f"len(list_filter(fr, lambda x: abs(x - o.frame_idx) < {gap})) = 0"
+    return f"""base as ({rows}), ordered as (select *, row_number() over (partition by {keys} order by {order}) as rn from base),
+    walk as (select {keys}, rn, [frame_idx] as fr, true as taken from ordered where rn = 1
+    union all select {', '.join('o.' + k for k in ks)}, o.rn, case when {far} then list_append(fr, o.frame_idx) else fr end, {far}
+    from walk w join ordered o on {same} and o.rn = w.rn + 1 where len(fr) < {n}),
+    chosen as (select o.* exclude (rn) from ordered o join walk w on {same} and o.rn = w.rn where taken)"""
+
+
+@query("W19_diverse_selection", "components", "with recursive " + diverse_sql(f"select * from components where {HIGH_QUALITY}", "split, sequence",
+       "height desc, pixel_area desc, valid_depth_ratio desc, frame_idx", 6, 30) + " select * from chosen",
+       real="valid_depth_ratio median_depth right_support x1 y1 x2 y2", whole="sequence frame_idx height pixel_area")
 def _(src):
     from spoorgrid.operators.decisions import high_quality
 

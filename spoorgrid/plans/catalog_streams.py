@@ -12,7 +12,7 @@ from spoorgrid.plans.bindings import _SPARK_DIALECT, BINDINGS, _dialect, _g, _h,
 from spoorgrid.plans.catalog_maps import _store
 from spoorgrid.plans.registry import query
 from spoorgrid.session import shared_folder
-from spoorgrid.sources import manifests, persist
+from spoorgrid.sources import binary, manifests, persist, text
 from spoorgrid.streaming import jobs
 
 FRAME = ["sequence", "frame_idx"]
@@ -45,7 +45,7 @@ def nested_frames(events):
              "init_source": f"case when {_h(9)} < 4e-1 then 'bev_init' when {_h(9)} < 7e-1 then 'deep_init' else 'tracker_init' end"}
     fields = ", ".join(f"'{n}', {e}" for n, e in names.items())
     f = as_frames(events)
-    return f.select(*FRAME, F.expr(f"transform(sequence(0, 4), cand -> named_struct({fields}))").alias("candidate_results"))
+    return f.select(*FRAME, "semi_ratio", F.expr(f"transform(sequence(0, 4), cand -> named_struct({fields}))").alias("candidate_results"))
 
 
 def as_points(lineitem):
@@ -57,24 +57,60 @@ def as_points(lineitem):
     return p.withColumns({"ix": G.cell_of("x", 1.0), "iy": G.cell_of("y", 1.0), "grp": G.label_group("label")})
 
 
+def monitor_features(events):
+    """The deployment features of the risk monitor for each frame of an event table (batch or stream): projections only."""
+    fields = {"coarse_score": f"9e-1 - 1e-1 * cand - 5e-2 * {_h(2)}", "bev_score": f"3e-1 * {_h(3)}", "deep_match_probability": _h(6),
+              "deep_pose_confidence": _h(7), "icp_inlier_ratio": f"4e-1 + 6e-1 * {_h(4)}", "icp_rmse": f"1e-1 + 5e-1 * {_h(5)}",
+              "final_score": f"15e-1 - 2e-1 * cand - 15e-2 * {_h(1)}"}
+    struct = ", ".join(f"'{n}', {e}" for n, e in fields.items())
+    f = as_frames(events).withColumn("c", F.expr(f"transform(sequence(0, 1), cand -> named_struct({struct}))"))
+    top, second = F.col("c")[0], F.col("c")[1]
+    own = {n: top[n] for n in fields if n != "bev_score"} | {"selected_bev_score": top["bev_score"]}
+    own |= {"temporal_position_jump_m": F.expr(_g(21) + " * 5e-1"), "temporal_yaw_jump_deg": F.expr(_g(22) + " * 9e0"), "temporal_score": F.expr(_g(23)),
+            "semantic_occlusion_ratio": F.expr(_g(5)), "semantic_filter_semi_dynamic_point_ratio": F.col("semi_ratio"),
+            "semantic_filter_applied": F.expr(f"{_g(6)} < 5e-1"), "semantic_filter_conservative_enabled": F.lit(True)}
+    own |= {"final_score_margin": top["final_score"] - second["final_score"], "deep_match_margin": top["deep_match_probability"] - second["deep_match_probability"],
+            "icp_rmse_margin": second["icp_rmse"] - top["icp_rmse"], "icp_inlier_margin": top["icp_inlier_ratio"] - second["icp_inlier_ratio"]}
+    return f.withColumns(own).select(*FRAME, "position_error", *L.RISK_FEATURES)
+
+
+def _monitor_sample(events, rows: int = 2000):
+    """At most `rows` labelled frames of the training sequences, the first by a hash of the frame: bounds what a forest is fitted on."""
+    f = monitor_features(events).where("sequence % 3 = 0").withColumn("bad", F.col("position_error") >= 0.2)
+    return f.orderBy(F.xxhash64(*FRAME)).limit(rows)
+
+
 @query("R1_online_hysteresis")
 def _(src):
     with jobs.rocksdb(src.spark):
         return jobs.run_available(jobs.online_hysteresis(nested_frames(stream_of(src, "events")), HYSTERESIS), _folder(src))
 
 
-@query("R2_incremental_store", "points", """with cp as (select sequence, frame_idx, floor(x) as ix, floor(y) as iy,
+_STORE_SQL = """with cp as (select sequence, frame_idx, floor(x) as ix, floor(y) as iy,
     case when label in (1,2,4,6,8) then 0 when label in (5,7,9,10,11) then 1 when label in (12,13,14,15) then 2 else -1 end as grp from points),
     v as (select *, count(*) as n from cp where grp >= 0 group by all),
     d as (select * from v qualify row_number() over (partition by sequence, frame_idx, ix, iy order by n desc, grp) = 1),
     s as (select ix, iy, count(*) as observed, count(*) filter (where grp = 0) as n_static, count(*) filter (where grp = 1) as n_semi,
           count(*) filter (where grp = 2) as n_dynamic from d group by all)
-    select *, (n_static + 5e-1 * n_semi) / greatest(n_static + n_semi + n_dynamic, 1) * (1 - exp(-observed / 6e0)) as stability from s""",
-       real="stability", whole="ix iy")
+    select *, (n_static + 5e-1 * n_semi) / greatest(n_static + n_semi + n_dynamic, 1) * (1 - exp(-observed / 6e0)) as stability from s"""
+
+
+@query("R2_incremental_store", "points", _STORE_SQL, real="stability", whole="ix iy")
 def _(src):
     path = _folder(src)
     sink = jobs.CellStoreSink(path)
-    jobs.run_batches(as_points(stream_of(src, "lineitem")), sink, path)
+    jobs.run_batches(as_points(split_stream(src, "lineitem", "l_partkey")), sink, path)
+    return sink.store(src.spark)
+
+
+@query("R7_resumed_store", "points", _STORE_SQL, real="stability", whole="ix iy")
+def _(src):
+    """The job stops after each part of its source and starts again from its checkpoint."""
+    path, rows = _folder(src), table(src.spark, src.sf_dir, "lineitem")
+    for part in range(3):
+        rows.where(F.pmod("l_orderkey", F.lit(3)) == part).write.mode("append").parquet(f"{path}/in")
+        sink = jobs.CellStoreSink(path)
+        jobs.run_batches(as_points(src.spark.readStream.schema(rows.schema).parquet(f"{path}/in")), sink, path)
     return sink.store(src.spark)
 
 
@@ -91,34 +127,54 @@ def _(src):
 
 @query("R4_risk_alarms")
 def _(src):
-    features = ["semi_ratio", "deep_top"]
+    model = L.fit_risk_monitor(_monitor_sample(table(src.spark, src.sf_dir, "events")), list(L.RISK_FEATURES), "bad", trees=400)
+    flow = monitor_features(stream_of(src, "events")).drop("position_error")
+    return jobs.run_available(jobs.risk_alarms(flow, model, list(L.RISK_FEATURES), 0.5), _folder(src)).select(*FRAME, "risk")
 
-    def prepare(events):
-        n = nested_frames(events).withColumn("deep_top", F.col("candidate_results")[0]["deep_match_probability"])
-        return n.drop("candidate_results")
 
-    train = src.frames.join(prepare(table(src.spark, src.sf_dir, "events")), FRAME)
-    train = train.withColumn("bad", F.col("position_error") >= 0.2)
-    model = L.fit_risk_monitor(train, features, "bad", trees=10)
-    flow = nested_frames(stream_of(src, "events"))
-    flow = flow.select(*FRAME, F.col("candidate_results")[0]["deep_match_probability"].alias("deep_top"),
-                       (F.col("candidate_results")[0]["icp_inlier_ratio"] / 4).alias("semi_ratio"))
-    return jobs.run_available(jobs.risk_alarms(flow, model, features, 0.5), _folder(src))
+def _windows_sql(days: int) -> str:
+    """Windows of so many days, one beginning every day; times in seconds since 1970."""
+    return f"""select epoch(date_trunc('day', ts)) - 86400 * back as window_start, epoch(date_trunc('day', ts)) + 86400 * ({days} - back) as window_end,
+        cast(event_id % 8 as int) as sequence, count(*) as frames, avg(value / 1e2) as mean_error, max(value / 1e2) as max_error,
+        avg((value / 1e2 < 5e-1)::int) as below_0p5 from events, (select unnest(range({days})) as back) b group by all"""
 
 
-@query("R5_windowed_errors")
+def _seconds(df):
+    """Window borders as seconds since 1970."""
+    return df.withColumns({c: F.unix_timestamp(c) for c in ("window_start", "window_end")})
+
+
+def split_stream(src, name: str, order: str, parts: int = 3):
+    """One driver table as a stream of files in some order, a few to each micro-batch; a group of rows may span several."""
+    path = f"{_folder(src)}/{name}"
+    rows = table(src.spark, src.sf_dir, name)
+    at = F.unix_timestamp(order) if dict(rows.dtypes)[order].startswith("timestamp") else F.col(order)
+    cuts = rows.select(F.percentile_approx(at, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
+    for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
+        part = rows if lo is None else rows.where(at > lo)
+        (part if hi is None else part.where(at <= hi)).write.mode("append").parquet(path)
+    return src.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("R5_windowed_errors", "frames", _windows_sql(1), real="mean_error max_error below_0p5", whole="window_start window_end sequence")
 def _(src):
-    return jobs.run_available(jobs.windowed_errors(as_frames(stream_of(src, "events")), "1 day"), _folder(src))
+    flow = jobs.windowed_errors(as_frames(split_stream(src, "events", "ts")), "1 day")
+    return _seconds(jobs.run_updates(flow, _folder(src), ["window_start", "window_end", "sequence"]))
 
 
-@query("R5_sliding_errors")
+@query("R5_sliding_errors", "frames", _windows_sql(2), real="mean_error max_error below_0p5", whole="window_start window_end sequence")
 def _(src):
-    return jobs.run_available(jobs.windowed_errors(as_frames(stream_of(src, "events")), "2 days", "1 day"), _folder(src))
+    flow = jobs.windowed_errors(as_frames(split_stream(src, "events", "ts")), "2 days", "1 day")
+    return _seconds(jobs.run_updates(flow, _folder(src), ["window_start", "window_end", "sequence"]))
 
 
-@query("R5_session_errors")
+@query("R5_session_errors", "frames", """with e as (select cast(event_id % 8 as int) as sequence, ts, value / 1e2 as e, lag(ts) over
+    (partition by event_id % 8 order by ts) as before from events), s as (select *, sum(case when before is null or ts - before > interval 30 minute
+    then 1 else 0 end) over (partition by sequence order by ts) as session from e)
+    select epoch(date_trunc('second', min(ts))) as window_start, epoch(date_trunc('second', max(ts) + interval 30 minute)) as window_end, sequence,
+           count(*) as frames, avg(e) as mean_error from s group by sequence, session""", real="mean_error", whole="window_start window_end sequence")
 def _(src):
-    return jobs.run_available(jobs.session_errors(as_frames(stream_of(src, "events")), "30 minutes"), _folder(src))
+    return _seconds(jobs.run_complete(jobs.session_errors(as_frames(split_stream(src, "events", "ts")), "30 minutes"), _folder(src)))
 
 
 @query("R6_frames_with_imu", "frames", """select a.sequence, a.frame_idx, count(*) as samples from frames a join frames b
@@ -135,23 +191,40 @@ def _(src):
     f = src.frames.withColumn("delta", F.col("position_error") * (F.col("semi_ratio") - 0.1))
     features = ["semi_ratio", "person_ratio", "occlusion_ratio"]
     model = L.fit_gain_gate(f.where("split = 'train'"), features, "delta")
-    return L.transfer_report(model, f.where("split = 'validation'"), features, "delta", 0.6)
+    return L.transfer_report(model, f.where("split = 'validation'"), features, "delta", 0.9)
 
 
 @query("F2_risk_monitor")
 def _(src):
-    f = src.frames.withColumn("bad", F.col("position_error") >= 0.2)
-    features = ["semi_ratio", "person_ratio", "occlusion_ratio"]
-    model = L.fit_risk_monitor(f.where("split = 'train'"), features, "bad", trees=20)
-    s = L.positive_probability(model, f.where("split = 'validation'"), features, "risk")
-    return M.ranking_quality(s, "risk", "bad")
+    events = table(src.spark, src.sf_dir, "events")
+    model = L.fit_risk_monitor(_monitor_sample(events), list(L.RISK_FEATURES), "bad", trees=400)
+    f = monitor_features(events).where("sequence % 3 = 1").withColumn("bad", F.col("position_error") >= 0.2)
+    return M.ranking_quality(L.positive_probability(model, f, list(L.RISK_FEATURES), "risk"), "risk", "bad")
+
+
+_RISK_SQL = f"""with c as (select event_id, max(coarse_score) filter (where cand = 0) as coarse_score, max(bev_score) filter (where cand = 0) as selected_bev_score,
+    max(icp_rmse) filter (where cand = 0) as icp_rmse, max(final_score) filter (where cand = 0) - max(final_score) filter (where cand = 1) as final_score_margin,
+    max(deep_match_probability) filter (where cand = 0) - max(deep_match_probability) filter (where cand = 1) as deep_match_margin,
+    max(icp_rmse) filter (where cand = 1) - max(icp_rmse) filter (where cand = 0) as icp_rmse_margin,
+    max(icp_inlier_ratio) filter (where cand = 0) - max(icp_inlier_ratio) filter (where cand = 1) as icp_inlier_margin from candidates group by event_id)
+    select sequence, frame_idx, c.* exclude (event_id), {_g(21)} * 5e-1 as temporal_position_jump_m, semi_ratio as semantic_filter_semi_dynamic_point_ratio
+    from c join frames f using (event_id)"""
+
+
+@query("F2_risk_features", "frames candidates", _RISK_SQL, whole="sequence frame_idx",
+       real="coarse_score selected_bev_score icp_rmse final_score_margin deep_match_margin icp_rmse_margin icp_inlier_margin "
+            "temporal_position_jump_m semantic_filter_semi_dynamic_point_ratio")
+def _(src):
+    return monitor_features(table(src.spark, src.sf_dir, "events")).select(
+        *FRAME, "coarse_score", "selected_bev_score", "icp_rmse", "final_score_margin", "deep_match_margin", "icp_rmse_margin", "icp_inlier_margin",
+        "temporal_position_jump_m", "semantic_filter_semi_dynamic_point_ratio")
 
 
 @query("F3_source_risks")
 def _(src):
     g = src.gate
     features = ["bev_logit", "deep_logit", "tracker_logit", "person_ratio"]
-    model = L.fit_source_risks(g.where("sequence < 6"), features, "tracker_error", trees=5)
+    model = L.fit_source_risks(g.where("sequence < 6"), features, "tracker_error", trees=20)
     p = model.transform(L._doubles(g.where("sequence >= 6 and tracker_error is not null"), features))
     p = p.withColumn("risk", F.greatest(F.expm1("prediction"), F.lit(0.0)))
     return M.regression_report(p, "sequence", "risk", "tracker_error")
@@ -164,7 +237,7 @@ def _(src):
                  F.array(F.lit(True), F.col("deep_error").isNotNull(), F.col("tracker_error").isNotNull()).alias("available"),
                  F.when(F.coalesce(F.col("deep_error") < F.col("bev_error"), F.lit(False)), 1.0).when(
                      F.coalesce(F.col("tracker_error") < F.col("bev_error"), F.lit(False)), 2.0).otherwise(0.0).alias("label"))
-    model = L.fit_gate_classifier(s.where("sequence < 6"), 4, 8)
+    model = L.fit_gate_classifier(s.where("sequence < 6"), 4, 32)
     p = L.gate_probabilities(model, s.where("sequence >= 6"))
     pick = F.array_position("source_probabilities", F.array_max("source_probabilities")) - 1
     return p.groupBy("sequence").agg(F.count("*").alias("n"), F.avg((pick == F.col("label")).cast("double")).alias("accuracy"))
@@ -176,12 +249,53 @@ def _(src):
     t = vote.learning_table(a, vote.merge_stores(a, _store(src, "crossday")), 2, 2)
     patches = vote.feature_patches(t.select("ix", "iy"), vote.cell_features(a), 1)
     t = t.join(patches, ["ix", "iy"])
-    model = L.fit_cell_reliability(t.where("not validation"), trees=5)
+    model = L.fit_cell_reliability(t.where("not validation"), trees=20)
     p = L.predict_cells(model, t.where("validation")).withColumn("_g", F.lit("validation"))
     learned = M.regression_report(p, "_g", "prediction", "target").withColumn("method", F.lit("learned"))
     return learned.unionByName(M.regression_report(p, "_g", "heuristic", "target").withColumn("method", F.lit("heuristic"))).drop("_g")
 
 
+# ---- ingest: files written from the given tables and read back -------------------------------------------------
+
+
+@query("S2_point_cloud_round_trip", "points", """select cast(sequence as varchar) as sequence, frame_idx, count(*) as points, sum(cast(cast(x as float) as double)) as x,
+    min(cast(cast(y as float) as double)) as y, max(cast(cast(z as float) as double)) as z from points group by all""", real="x y z", whole="frame_idx points", digits=3)
+def _(src):
+    path = _folder(src)
+    binary.write_point_clouds(src.points, path).agg(F.sum("points")).first()
+    back = binary.read_point_clouds(src.spark, path).groupBy("sequence", "frame_idx")
+    return back.agg(F.count("*").alias("points"), F.sum(F.col("x").cast("double")).alias("x"), F.min(F.col("y").cast("double")).alias("y"), F.max(F.col("z").cast("double")).alias("z"))
+
+
+@query("S3_map_round_trip", "map_points", """select 'm' || (point_idx % 8) as map_id, row_number() over (partition by point_idx % 8 order by point_idx) - 1 as point_idx,
+    cast(cast(x as float) as double) as x, cast(cast(y as float) as double) as y, cast(cast(z as float) as double) as z from map_points""",
+       real="x y z", whole="point_idx", digits=4)
+def _(src):
+    path = _folder(src)
+    named = src.map_points.withColumn("map_id", F.concat(F.lit("m"), F.col("point_idx") % 8))
+    binary.write_map_points(named, path).agg(F.sum("points")).first()
+    return binary.read_map_points(src.spark, path).select("map_id", "point_idx", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+
+
+@query("S4_trajectory_round_trip", "poses", """select 'sequence=' || sequence as sequence, row_number() over (partition by sequence order by ts_sec) - 1 as frame_idx,
+    ts_sec, px, py, pz from poses""", real="ts_sec px py pz", whole="frame_idx")
+def _(src):
+    path = _folder(src)
+    half = F.col("yaw") / 2
+    line = F.concat_ws(" ", "ts_sec", "px", "py", "pz", F.lit(0.0), F.lit(0.0), F.sin(half), F.cos(half))
+    src.poses.select("sequence", line.alias("value")).write.partitionBy("sequence").text(path)
+    return text.read_trajectory(src.spark, path).select("sequence", "frame_idx", "ts_sec", "px", "py", "pz")
+
+
+@query("S6_label_image_round_trip", "pixels", """select cast(sequence as varchar) as sequence, camera, frame_idx, label, count(*) as pixels, sum(u) as u, sum(v) as v
+    from pixels where label > 0 group by all""", whole="frame_idx label pixels u v")
+def _(src):
+    path = _folder(src)
+    binary.write_label_images(src.pixels, path, 32, 24).agg(F.sum("pixels")).first()
+    back = binary.read_label_images(src.spark, path).where("label > 0").groupBy("sequence", "camera", "frame_idx", "label")
+    return back.agg(F.count("*").alias("pixels"), F.sum("u").alias("u"), F.sum("v").alias("v"))
+
+
 # ---- persistence round trips -------------------------------------------------------------------------------
 
 
@@ -212,13 +326,22 @@ def _(src):
     def build():
         return src.map_points.groupBy(G.cell_of("x", 1.0).alias("ix"), G.cell_of("y", 1.0).alias("iy")).agg(F.count("*").alias("points"))
 
-    return persist.build_or_load(src.spark, _folder(src), [f"{src.sf_dir}/part.parquet"], {"cell": 1.0}, build)
+    def again():
+        raise AssertionError("the table is there: it has to be read")
+
+    made = (src.spark, _folder(src), [f"{src.sf_dir}/part.parquet"], {"cell": 1.0})
+    persist.build_or_load(*made, build)
+    return persist.build_or_load(*made, again)
 
 
-@query("S12_report_sink", "frames", """select split, count(*) as frames, avg(position_error) as mean_error, 'r1' as run_id from frames group by split""",
-       real="mean_error")
+@query("S12_report_sink", "frames", """select split, count(*) as frames, avg(position_error) as mean_error, 'r1' as run_id,
+    (select count(*) from frames) as csv_rows, (select sum(position_error) from frames) as csv_error from frames group by split""",
+       real="mean_error csv_error")
 def _(src):
     path = _folder(src)
     s = src.frames.groupBy("split").agg(F.count("*").alias("frames"), F.avg("position_error").alias("mean_error"))
     persist.write_report(s, src.frames.select(*FRAME, "position_error"), path, "r1")
-    return src.spark.read.schema("split string, frames bigint, mean_error double, run_id string").json(f"{path}/summary/run_id=r1")
+    rows = src.spark.read.schema("sequence int, frame_idx int, position_error double").option("header", True).csv(f"{path}/rows/run_id=r1")
+    total = rows.agg(F.count("*").alias("n"), F.sum("position_error").alias("e")).select(F.struct("n", "e")).scalar()
+    back = src.spark.read.schema("split string, frames bigint, mean_error double, run_id string").json(f"{path}/summary/run_id=r1")
+    return back.withColumn("_t", total).select("*", F.col("_t.n").alias("csv_rows"), F.col("_t.e").alias("csv_error")).drop("_t")

@@ -14,6 +14,8 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
         .appName("spoorgrid")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.files.openCostInBytes", "262144")  # small test files still use every core
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spoorgrid-ckpt-"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
@@ -25,10 +27,13 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can read: `spark.checkpoint.dir`, else one made for this (test) session."""
+    """The folder every executor can read: `spark.checkpoint.dir`. Only a session whose executors are threads of this
+    process may do without one."""
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spoorgrid-ckpt-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)

@@ -7,6 +7,8 @@ one big map file is spread over many tasks.
 from __future__ import annotations
 
 import json
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HEADER_BYTES = 65536
+HEADER_STEP = 65536
 SLICE_RECORDS = 1_000_000
 # PLY scalar names and their NumPy codes.
 PLY_TYPES = {"char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int": "i4", "uint": "u4", "float": "f4",
@@ -31,6 +33,72 @@ def _open(path: str):
     return system.open_input_file(local)
 
 
+def _save(path: str, data: bytes) -> None:
+    """Write a whole file; a task that runs again writes the same one."""
+    from pyarrow import fs
+
+    uri = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+    system, local = fs.FileSystem.from_uri(uri)
+    system.create_dir(local.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(local) as f:
+        f.write(data)
+
+
+def write_point_clouds(points: DataFrame, root: str) -> DataFrame:
+    """One binary cloud per frame under <root>/<sequence>/lidar; returns (path, points). A frame is one task's work."""
+    def save(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        n, path = len(rows), f"{root}/{key[0]}/lidar/{key[1]:06d}.pcd"
+        head = f"VERSION .7\nFIELDS x y z\nSIZE 4 4 4\nTYPE F F F\nCOUNT 1 1 1\nWIDTH {n}\nHEIGHT 1\nVIEWPOINT 0 0 0 1 0 0 0\nPOINTS {n}\nDATA binary\n"
+        _save(path, head.encode() + rows.sort_values("point_idx")[["x", "y", "z"]].to_numpy("<f4").tobytes())
+        return pd.DataFrame({"path": [path], "points": [n]})
+
+    return points.groupBy("sequence", "frame_idx").applyInPandas(save, "path string, points long")
+
+
+def write_map_points(points: DataFrame, root: str) -> DataFrame:
+    """One PLY file per map_id with x, y and z; returns (path, points). A map is one task's work."""
+    def save(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        n, path = len(rows), f"{root}/{key[0]}.ply"
+        head = f"ply\nformat binary_little_endian 1.0\nelement vertex {n}\nproperty float x\nproperty float y\nproperty float z\nend_header\n"
+        _save(path, head.encode() + rows.sort_values("point_idx")[["x", "y", "z"]].to_numpy("<f4").tobytes())
+        return pd.DataFrame({"path": [path], "points": [n]})
+
+    return points.groupBy("map_id").applyInPandas(save, "path string, points long")
+
+
+def write_label_images(pixels: DataFrame, root: str, width: int, height: int) -> DataFrame:
+    """One 8-bit grey PNG per (sequence, camera, frame_idx), label 0 where there is no pixel; returns (path, pixels)."""
+    def part(name: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+
+    def save(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        image = np.zeros((height, width + 1), np.uint8)  # a line begins with its filter, 0
+        image[rows["v"], rows["u"] + 1] = rows["label"]
+        path = f"{root}/{key[0]}/{key[1]}/{key[2]:06d}.png"
+        _save(path, b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0))
+              + part(b"IDAT", zlib.compress(image.tobytes())) + part(b"IEND", b""))
+        return pd.DataFrame({"path": [path], "pixels": [len(rows)]})
+
+    return pixels.groupBy("sequence", "camera", "frame_idx").applyInPandas(save, "path string, pixels long")
+
+
+def _header(f, size: int, layout, path: str) -> dict:
+    """The layout of a file; more of it is read as long as its header has no end."""
+    head = b""
+    while True:
+        more = f.read(HEADER_STEP)
+        head += more
+        try:
+            return layout(head, size, path)
+        except IncompleteHeader:
+            if not more:
+                raise
+
+
+class IncompleteHeader(ValueError):
+    pass
+
+
 def pcd_layout(head: bytes, size: int, path: str) -> dict:
     """Record layout of a binary xyz float32 PCD; anything else is an error."""
     fields: dict[str, list[str]] = {}
@@ -38,7 +106,7 @@ def pcd_layout(head: bytes, size: int, path: str) -> dict:
     while "DATA" not in fields:
         end = head.find(b"\n", at)
         if end < 0:
-            raise ValueError(f"incomplete header: {path}")
+            raise IncompleteHeader(f"incomplete header: {path}")
         words = head[at:end].decode("ascii").split()
         at = end + 1
         if words and not words[0].startswith("#"):
@@ -49,7 +117,7 @@ def pcd_layout(head: bytes, size: int, path: str) -> dict:
         raise ValueError(f"only binary xyz float32 clouds are supported: {path}")
     n = int((fields.get("POINTS") or fields.get("WIDTH") or ["0"])[0])
     if size - at < n * 12:
-        raise ValueError(f"payload length mismatch in {path}: expected {n * 12} bytes, got {size - at}")
+        raise ValueError(f"{path} should hold {n * 12} bytes of points, but has {size - at}")
     return {"offset": at, "count": n, "dtype": [["x", "<f4"], ["y", "<f4"], ["z", "<f4"]]}
 
 
@@ -57,7 +125,7 @@ def ply_layout(head: bytes, size: int, path: str) -> dict:
     """Vertex layout of a binary little-endian PLY."""
     end = head.find(b"end_header\n")
     if end < 0:
-        raise ValueError(f"incomplete header: {path}")
+        raise IncompleteHeader(f"incomplete header: {path}")
     lines = head[:end].decode("ascii").splitlines()
     if not lines or lines[0].strip() != "ply" or not any(ln.split()[:2] == ["format", "binary_little_endian"] for ln in lines):
         raise ValueError(f"only binary little-endian PLY is supported: {path}")
@@ -82,7 +150,7 @@ def _records(spark: SparkSession, path: str, suffix: str, layout, columns: list[
             rows = []
             for p, size in zip(b["path"], b["length"]):
                 with _open(p) as f:
-                    rows.append((p, json.dumps(layout(f.read(HEADER_BYTES), int(size), p))))
+                    rows.append((p, json.dumps(_header(f, int(size), layout, p))))
             yield pd.DataFrame(rows, columns=["path", "layout"])
 
     def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,7 +163,7 @@ def _records(spark: SparkSession, path: str, suffix: str, layout, columns: list[
                     f.seek(lay["offset"] + int(first) * dtype.itemsize)
                     raw = f.read(n * dtype.itemsize)
                 if len(raw) != n * dtype.itemsize:
-                    raise ValueError(f"payload length mismatch in {p}")
+                    raise ValueError(f"{p} ends before its last point")
                 data = np.frombuffer(raw, dtype=dtype)
                 out = {"path": p, "point_idx": np.arange(first, first + n, dtype=np.int64)}
                 for c in columns:

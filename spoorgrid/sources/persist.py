@@ -6,14 +6,15 @@ import hashlib
 import json
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def save_bank(descriptors: DataFrame, path: str) -> None:
-    """Descriptors (map_id, patch_id, model_id, embedding) as Parquet, partitioned by map."""
+def save_bank(descriptors: DataFrame, path: str, files_per_map: int = 64) -> None:
+    """Descriptors (map_id, patch_id, model_id, embedding) as Parquet, partitioned by map, each written by several tasks."""
     (descriptors.withColumn("embedding", F.col("embedding").cast("array<float>"))
-     .repartition("map_id").sortWithinPartitions("patch_id").write.mode("overwrite").partitionBy("map_id").parquet(path))
+     .repartition("map_id", F.pmod(F.xxhash64("patch_id"), F.lit(files_per_map))).sortWithinPartitions("patch_id").write.mode("overwrite").partitionBy("map_id").parquet(path))
 
 
 def load_bank(spark: SparkSession, path: str, map_id: str | None = None) -> DataFrame:
@@ -39,17 +40,15 @@ def fingerprint(spark: SparkSession, sources: list[str], params: dict) -> str:
     return hashlib.md5(json.dumps([marks, params], sort_keys=True).encode()).hexdigest()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def build_or_load(spark: SparkSession, root: str, sources: list[str], params: dict, build: Callable[[], DataFrame]) -> DataFrame:
     """The table under its fingerprint; built and written only when a finished one is not there yet."""
     path = f"{root}/{fingerprint(spark, sources, params)}"
-    if not _exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    try:
+        spark.read.schema("done boolean").parquet(f"{path}/done")
+    except AnalysisException:  # written last, so an unfinished table has none
+        build().write.mode("overwrite").parquet(f"{path}/table")
+        spark.range(1).select(F.lit(True).alias("done")).write.mode("overwrite").parquet(f"{path}/done")
+    return spark.read.parquet(f"{path}/table")
 
 
 def write_report(summary: DataFrame, rows: DataFrame, path: str, run_id: str) -> None:

@@ -123,32 +123,22 @@ def online_tracks(observations: DataFrame, max_distance: float = 1.0, max_gap: i
 class CellStoreSink:
     """foreachBatch sink for an incremental cell store.
 
-    Each batch votes per frame and writes its votes under its batch id, so a replay overwrites the same
-    folder. Frames already voted in an earlier batch are dropped. The store is the aggregate of all votes.
+    Each batch writes how often it saw each group in each cell of each frame, under its batch id, so a replay
+    overwrites the same folder. A frame may arrive in several batches: its counts are summed before it votes, on read.
     """
 
     def __init__(self, path: str):
         self.path = path
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        votes = vote.dominant_per_frame(batch, ["sequence", "frame_idx"], "grp", 0)
-        if batch_id > 0 and self._any(spark):
-            seen = spark.read.parquet(f"{self.path}/frames").where(F.col("batch_id") < batch_id)
-            votes = votes.join(seen.select("sequence", "frame_idx"), ["sequence", "frame_idx"], "left_anti")
-        folder = f"{self.path}/votes/batch_id={batch_id}"
-        votes.write.mode("overwrite").parquet(folder)
-        # the frames of the batch, a table far smaller than its votes, are all a later batch has to read
-        done = spark.read.schema(votes.schema).parquet(folder).select("sequence", "frame_idx").distinct()
-        done.write.mode("overwrite").parquet(f"{self.path}/frames/batch_id={batch_id}")
-
-    def _any(self, spark: SparkSession) -> bool:
-        p = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/frames")
-        return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+        counts = batch.where("grp >= 0").groupBy("sequence", "frame_idx", "ix", "iy", "grp").agg(F.count("*").alias("_n"))
+        counts.write.mode("overwrite").parquet(f"{self.path}/counts/batch_id={batch_id}")
 
     def store(self, spark: SparkSession, min_observations: float = 6.0) -> DataFrame:
         """Counts and stability of every cell seen so far."""
-        v = spark.read.parquet(f"{self.path}/votes")
+        c = spark.read.parquet(f"{self.path}/counts")
+        c = c.groupBy("sequence", "frame_idx", "ix", "iy", "grp").agg(F.sum("_n").alias("_n"))
+        v = vote.dominant(c, ["sequence", "frame_idx", "ix", "iy"], "grp")
         g = v.groupBy("ix", "iy").agg(F.count("*").alias("observed"), F.count_if(F.col("grp") == 0).alias("n_static"),
                                       F.count_if(F.col("grp") == 1).alias("n_semi"), F.count_if(F.col("grp") == 2).alias("n_dynamic"))
         return g.withColumn("stability", vote.stability(min_observations))
@@ -193,7 +183,40 @@ def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFra
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/table")
 
 
-def run_batches(stream: DataFrame, sink, path: str) -> None:
+class LatestSink:
+    """foreachBatch sink for aggregates in update mode: each batch writes the groups it changed, the last one counts."""
+
+    def __init__(self, path: str, keys: list[str]):
+        self.path, self.keys = path, keys
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.path}/updates/batch_id={batch_id}")
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        rows = spark.read.parquet(f"{self.path}/updates")
+        newest = rows.groupBy(*self.keys).agg(F.max("batch_id").alias("batch_id"))
+        return rows.join(newest, [*self.keys, "batch_id"]).drop("batch_id")
+
+
+def run_updates(stream: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Process what is there now in update mode and return the newest row of every group, open windows included."""
+    sink = LatestSink(path, keys)
+    run_batches(stream, sink, path, "update")
+    return sink.table(stream.sparkSession)
+
+
+def run_complete(stream: DataFrame, path: str) -> DataFrame:
+    """Process what is there now in complete mode (session windows have no update mode) and return the last result."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/results/batch_id={batch_id}")
+
+    run_batches(stream, sink, path, "complete")
+    rows = stream.sparkSession.read.parquet(f"{path}/results")
+    last = rows.agg(F.max("batch_id")).first()[0]
+    return rows.where(F.col("batch_id") == last).drop("batch_id")
+
+
+def run_batches(stream: DataFrame, sink, path: str, mode: str = "append") -> None:
     """Process what is there now through a foreachBatch sink."""
-    q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
+    q = (stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()

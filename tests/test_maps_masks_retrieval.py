@@ -129,7 +129,7 @@ def test_nearest_site_matches_brute_force(spark):
     p, s = rng.uniform(-50, 50, (80, 2)), rng.uniform(-10, 10, (12, 2))
     pts = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(p)], "k int, x double, y double")
     sites = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(s)], "id int, sx double, sy double")
-    got = {r.k: r.id for r in spatial.nearest_site(pts, sites, ["k"], "x", "y", "id", "sx", "sy", 1.0, 9).collect()}
+    got = {r.k: r.id for r in spatial.nearest_site(pts, sites, ["k"], "x", "y", "id", "sx", "sy", 1.0).collect()}
     assert got == {i: int(np.argmin(((s - r) ** 2).sum(1))) for i, r in enumerate(p)}
 
 
@@ -147,3 +147,39 @@ def test_permutation_test_agrees_with_plain_permutations(spark):
             sims.append(p[:100].mean() - p[100:].mean())
         want = (np.sum(np.abs(sims) >= abs(gap)) + 1) / 4001
         assert abs(got.mean_difference - gap) < 1e-9 and abs(got.p_value - want) < 0.03
+
+
+def test_nearest_site_has_no_farthest_distance(spark):
+    from spoorgrid.operators.spatial import nearest_site
+
+    rng = np.random.default_rng(6)
+    sites = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-50, 50, (30, 2)))] + [(99, 4000.0, 0.0)]
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-80, 80, (60, 2)))] + [(100, 90_000.0, 1.0), (101, -2e6, 5e5), (102, 2100.0, 0.0)]
+    p = spark.createDataFrame(points, "pid int, x double, y double")
+    s = spark.createDataFrame(sites, "sid int, sx double, sy double")
+    got = {r["pid"]: r["sid"] for r in nearest_site(p, s, ["pid"], "x", "y", "sid", "sx", "sy", 4.0).collect()}
+    want = {i: min(sites, key=lambda t: ((t[1] - x) ** 2 + (t[2] - y) ** 2, t[0]))[0] for i, x, y in points}
+    assert got == want
+    assert nearest_site(p, s.where("sid < 0"), ["pid"], "x", "y", "sid", "sx", "sy", 4.0).count() == 0
+
+
+def test_votes_take_any_category(spark):
+    from spoorgrid.operators.vote import dominant_per_frame
+
+    rows = [(0, 1, 1, c) for c in (2000, 2000, 3, 70000, 70000, 70000)] + [(0, 2, 1, 5), (0, 2, 1, 2_000_000)]
+    out = dominant_per_frame(spark.createDataFrame(rows, "frame_idx int, ix int, iy int, label int"), ["frame_idx"], "label", 0)
+    assert {(r["ix"], r["label"]) for r in out.collect()} == {(1, 70000), (2, 5)}
+
+
+def test_greedy_matching_of_a_long_chain(spark):
+    from spoorgrid.operators.matching import greedy_matches
+
+    n = 12
+    pairs = [(0, i, i, 2.0 * i) for i in range(n)] + [(0, i + 1, i, 2.0 * i + 1) for i in range(n - 1)]
+    out = greedy_matches(spark.createDataFrame(pairs, "frame_idx int, l int, r int, w double"), ["frame_idx"], "l", "r", "w").collect()
+    free_l, free_r, want = set(range(n)), set(range(n)), set()
+    for _, left, right, w in sorted(pairs, key=lambda p: (-p[3], p[1], p[2])):
+        if left in free_l and right in free_r:
+            free_l.discard(left), free_r.discard(right)
+            want.add((left, right))
+    assert {(r["l"], r["r"]) for r in out} == want

@@ -48,16 +48,15 @@ def test_online_hysteresis_equals_batch_and_survives_a_restart(spark, tmp_path,
 
 
 def test_incremental_store_equals_batch_and_ignores_replays(spark, tmp_path, split_source):
-    _, flow = split_source("lineitem", "l_orderkey")
+    _, flow = split_source("lineitem", "l_partkey")
     sink = jobs.CellStoreSink(f"{tmp_path}/store")
     jobs.run_batches(as_points(flow), sink, f"{tmp_path}/store")
     got = sorted(map(tuple, sink.store(spark).select("ix", "iy", "observed", "n_static", "n_semi", "n_dynamic").collect()))
-    # frames split between files vote once, with what came first; compare on whole frames only when none was split
     batch = as_points(table(spark, SF, "lineitem"))
     want = sorted(map(tuple, vote.group_store(batch, [], ["sequence", "frame_idx"]).select("ix", "iy", "observed", "n_static", "n_semi", "n_dynamic").collect()))
-    assert sum(g[2] for g in got) <= sum(w[2] for w in want) and {g[:2] for g in got} <= {w[:2] for w in want}
+    assert got == want  # frames split between files as well
     whole = jobs.CellStoreSink(f"{tmp_path}/whole")
-    for batch_id in (0, 0, 1):  # a replay and a duplicate batch
+    for batch_id in (0, 0):  # a replay
         whole(batch, batch_id)
     again = sorted(map(tuple, whole.store(spark).select("ix", "iy", "observed", "n_static", "n_semi", "n_dynamic").collect()))
     assert again == want
@@ -75,10 +74,10 @@ def test_online_tracks_equal_batch(spark, tmp_path):
     assert sorted((r.obs_id, r.track_id) for r in got.collect()) == want
 
 
-def test_windowed_errors_equal_batch_for_closed_windows(spark, tmp_path, split_source):
+def test_windowed_errors_equal_batch_on_all_windows(spark, tmp_path, split_source):
     _, flow = split_source("events", "event_id")
     got = {(r.window_start, r.sequence): (r.frames, round(r.mean_error, 9)) for r in
-           jobs.run_available(jobs.windowed_errors(as_frames(flow), "1 day"), f"{tmp_path}/w").collect()}
+           jobs.run_updates(jobs.windowed_errors(as_frames(flow), "1 day"), f"{tmp_path}/w", ["window_start", "window_end", "sequence"]).collect()}
     batch = jobs.windowed_errors(as_frames(table(spark, SF, "events")), "1 day").collect()
     want = {(r.window_start, r.sequence): (r.frames, round(r.mean_error, 9)) for r in batch}
-    assert len(got) > 100 and all(want[k] == v for k, v in got.items())
+    assert len(got) > 100 and got == want
