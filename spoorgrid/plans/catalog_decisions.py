@@ -226,7 +226,13 @@ def _(src):
     return relay.track_beam(_nested(src), relay.BeamConfig())
 
 
-@query("D13_prediction_rules")
+@query("D13_prediction_rules", "frames", """with f as (select sequence, frame_idx, patch_id, semi_ratio < 15e-2 as tracker, event_type = 'view' as hysteresis,
+    semi_ratio * 4 as prob, event_type = 'click' as overridden from frames),
+    s as (select *, hysteresis and tracker and prob >= 1e-1 as held, overridden and tracker and prob >= 3e-1 as after from f),
+    p as (select sequence, frame_idx, row_number() over w as rn, lag(held) over w and lag(held, 2) over w as streak,
+          coalesce(lag(after) over w, false) or coalesce(lag(after, 2) over w, false) or coalesce(lag(after, 3) over w, false) as recent,
+          lag(patch_id) over w is distinct from lag(patch_id, 2) over w as moved from s window w as (partition by sequence order by frame_idx))
+    select sequence, frame_idx, rn > 2 and not coalesce(streak, false) and not recent and not moved as use_prediction from p""", whole="sequence frame_idx")
 def _(src):
     f = src.frames.select(
         *FRAME, "patch_id", F.when(F.col("event_type") == "view", "online_patch_hysteresis").otherwise("online_best").alias("selection_mode"),
@@ -610,7 +616,22 @@ def _(src):
     return chunks.ranked(r, [], "p", [F.col("sequence"), F.col("anchor_frame")], name="position").select("doc_id", "position")
 
 
-@query("W22_balanced_queue")
+# the quota walk, one row after the other: n = 48, six rows a sequence, 22 and 14 of tiers A and B, 16 for validation
+_QUEUE = f"""{_REV}, o as (select *, row_number() over (order by tier, priority desc, sequence, anchor_frame, doc_id) as place from rv),
+    w as (select cast(0 as bigint) as rn, cast([] as bigint[]) as ch, cast([] as int[]) as sq, cast([] as varchar[]) as ti, cast(0 as bigint) as va,
+          cast([] as bigint[]) as la
+    union all select place, case when f then ch else list_append(ch, doc_id) end, case when f then sq else list_append(sq, sequence) end,
+          case when f then ti else list_append(ti, tier) end, case when not f and split = 'validation' then va + 1 else va end,
+          case when f then list_append(la, doc_id) else la end
+    from (select w.*, o.place, o.doc_id, o.sequence, o.tier, o.split, len(list_filter(sq, lambda x: x = o.sequence)) >= 6
+          or len(list_filter(ti, lambda x: x = o.tier)) >= case o.tier when 'A' then 22 when 'B' then 14 else 48 end
+          or (o.split = 'validation' and va >= 16) as f from w join o on o.place = w.rn + 1 where len(ch) < 48) u),
+    q as (select list_concat(ch, la[1:greatest(48 - len(ch), 0)]) as l from w order by rn desc limit 1),
+    k as (select unnest(l) as doc_id, unnest(range(1, len(l) + 1)) as position from q)"""
+
+
+@query("W22_balanced_queue", "manifest", f"""with recursive {_QUEUE} select tier, priority, sequence, anchor_frame, split, doc_id, position
+    from k join rv using (doc_id)""", real="priority", whole="sequence anchor_frame position")
 def _(src):
     return review.balanced_queue(review.review_scores(src.manifest), "doc_id", 48)
 
@@ -622,15 +643,17 @@ def _(src):
     b as (select component_id, arg_max(i / (a - i), (i / (a - i) * score, -det_id)) as iou, arg_max(score, (i / (a - i) * score, -det_id)) as score
           from pr where i > 0 group by component_id)
     select component_id, split, coalesce(iou, 0) as iou, coalesce(score, 0) as score, coalesce(iou * score, 0) as agreement,
-           coalesce(iou >= 1e-1 and score >= 3e-1, false) as prioritise from hq left join b using (component_id)""", real="iou score agreement")
+           coalesce(iou >= 1e-1 and score >= 3e-1, false) as prioritise, row_number() over (order by coalesce(iou * score, 0) desc, component_id) as position
+    from hq left join b using (component_id)""", real="iou score agreement")
 def _(src):
     from spoorgrid.operators.matching import detector_agreement
 
     c = src.components.where(D.high_quality())
     a = detector_agreement(c.select(*FRAME, "component_id", "x1", "y1", "x2", "y2"), src.detections.drop("is_reference"), FRAME, "component_id", "det_id")
     a = a.join(c.select("component_id", "split"), "component_id")
-    return a.select("component_id", "split", "iou", "score", (F.col("iou") * F.col("score")).alias("agreement"),
-                    ((F.col("iou") >= 0.1) & (F.col("score") >= 0.3)).alias("prioritise"))
+    a = a.select("component_id", "split", "iou", "score", (F.col("iou") * F.col("score")).alias("agreement"),
+                 ((F.col("iou") >= 0.1) & (F.col("score") >= 0.3)).alias("prioritise"))
+    return chunks.ranked(a, [], "agreement", [F.col("component_id")], name="position")
 
 
 @query("Q20_anchor_windows", "components", f"""with l as (select sequence, max(frame_idx) as last_frame from components group by sequence)

@@ -148,7 +148,22 @@ def _(src):
     return matching.greedy_matches(p, FRAME, "ref_id", "det_id", "iou")
 
 
-@query("A19_detection_sweep")
+_SWEEP = f"""{_PAIRS}, t as (select unnest([2e-1, 5e-1, 8e-1]) as threshold),
+    ordered as (select pr.*, threshold, row_number() over (partition by sequence, frame_idx, threshold order by iou desc, ref_id, det_id) as rn
+    from pr join t on score >= threshold where iou >= 1e-1),
+    walk as (select sequence, frame_idx, threshold, rn, true as taken, [ref_id] as refs, [det_id] as dets from ordered where rn = 1
+    union all select o.sequence, o.frame_idx, o.threshold, o.rn, not list_contains(refs, o.ref_id) and not list_contains(dets, o.det_id),
+           case when list_contains(refs, o.ref_id) or list_contains(dets, o.det_id) then refs else list_append(refs, o.ref_id) end,
+           case when list_contains(refs, o.ref_id) or list_contains(dets, o.det_id) then dets else list_append(dets, o.det_id) end
+    from walk w join ordered o on o.sequence = w.sequence and o.frame_idx = w.frame_idx and o.threshold = w.threshold and o.rn = w.rn + 1),
+    n as (select threshold, count(*) as predictions from detections join t on score >= threshold where not is_reference group by threshold),
+    c as (select n.threshold, count(w.rn) as tp, any_value(predictions) - count(w.rn) as fp, (select count(*) from detections where is_reference) - count(w.rn) as fn
+          from n left join (select * from walk where taken) w on w.threshold = n.threshold group by n.threshold),
+    p as (select *, tp / greatest(tp + fp, 1) as precision, tp / greatest(tp + fn, 1) as recall from c)"""
+
+
+@query("A19_detection_sweep", "detections", f"with recursive {_SWEEP} select *, 2 * precision * recall / greatest(precision + recall, 1e-8) as f1 from p",
+       real="threshold precision recall f1", whole="tp fp fn")
 def _(src):
     refs, dets = _boxes(src)
     cuts = F.array(*[F.lit(t) for t in (0.2, 0.5, 0.8)])
