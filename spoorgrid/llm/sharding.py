@@ -78,11 +78,13 @@ def shard(docs: DataFrame, n_shards: int = 40, rounds: int = 6) -> DataFrame:
     total = nodes.count()
     quota = total // n_shards
     hub_rows = max(1, quota // 4)
-    groups = nodes.groupBy(*GROUP).count().where("count > 1")
-    groups = groups.select(*GROUP, F.ceil(F.col("count") / hub_rows).alias("_hubs"))
-    # Few rows a key from the group side; the hot keys of the node side are split by Spark's skew join.
+    # counts by group and lot, then by group, then back to lots: rows of a hot group meet its count in 64 lots
+    nodes = nodes.withColumn("_lot", F.pmod(F.xxhash64("_row", F.lit(11)), F.lit(64)).cast("int"))
+    lots = nodes.groupBy(*GROUP, "_lot").agg(F.count("*").alias("_n"))
+    groups = lots.groupBy(*GROUP).agg(F.sum("_n").alias("_n")).where("_n > 1")
+    groups = lots.select(*GROUP, "_lot").join(groups.select(*GROUP, F.ceil(F.col("_n") / hub_rows).alias("_hubs")), GROUP)
     split = F.when(F.col("_hubs").isNull(), -1).otherwise(F.pmod(F.xxhash64("_row", F.lit(7)), F.col("_hubs"))).cast("int")
-    nodes = written(nodes.join(groups, GROUP, "left").withColumn("_hub", split).drop("_hubs"), "shard-hubs")
+    nodes = written(nodes.join(groups, [*GROUP, "_lot"], "left").withColumn("_hub", split).drop("_hubs", "_lot"), "shard-hubs")
     cells = cut(nodes.where("_hub >= 0").groupBy(*HUB, "_start").agg(F.count("*").alias("_n")))
     hubs = propagate(cells, quota, hub_rows, n_shards, rounds)
 
