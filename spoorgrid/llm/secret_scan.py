@@ -88,9 +88,9 @@ def scan(docs: DataFrame, window: int = 20) -> DataFrame:
     # what follows the separator has at least 8 characters
     value = lambda v: F.regexp_extract(v, ASSIGN, 1)
     base = F.concat(F.filter(assign, lambda x: F.length(value(x["v"])) >= 8), _spans(text, ACCESS, "access"), _spans(text, HEX, "hex"))
-    out = docs.withColumn("_base", base)
-    found = F.filter(_spans(text, CANDIDATE, "entropy"), lambda x: ~F.exists(F.col("_base"), lambda b: (x["s"] < b["e"]) & (b["s"] < x["e"])))
-    out = out.withColumn("_found", found)
+    out = docs.withColumn("_secret_base", base)
+    found = F.filter(_spans(text, CANDIDATE, "entropy"), lambda x: ~F.exists(F.col("_secret_base"), lambda b: (x["s"] < b["e"]) & (b["s"] < x["e"])))
+    out = out.withColumn("_secret_found", found)
 
     def keep(x: Column) -> Column:
         allowed = F.lit(False)
@@ -101,8 +101,8 @@ def scan(docs: DataFrame, window: int = 20) -> DataFrame:
             need = F.when(x["v"].rlike(f"^{pattern}$"), F.lit(bits)).otherwise(need)
         return F.when(allowed, F.lit(False)).otherwise(best_window(x["v"], window) >= need)
 
-    spans = F.array_sort(F.concat("_base", F.filter("_found", keep)))
-    return out.withColumn("secret_spans", spans).drop("_base", "_found")
+    spans = F.array_sort(F.concat("_secret_base", F.filter("_secret_found", keep)))
+    return out.withColumn("secret_spans", spans).drop("_secret_base", "_secret_found")
 
 
 def listed(spans: Column) -> Column:
