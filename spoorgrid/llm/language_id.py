@@ -177,11 +177,13 @@ def samples(docs: DataFrame, modulus: int, held: int, rows: int, chars: int) ->
     ok = ok.select(lang.alias("l"), text.alias("t"), (~F.length(text).between(200, 8000)).alias("odd"))
     ok = ok.withColumns({"h": F.xxhash64("t"), "n": F.when(F.col("odd"), F.length("t")).otherwise(0)})
     order = ["odd", "n", "h"]
-    ok = ok.withColumn("s", F.pmod("h", F.lit(64)))
-    first = ok.withColumn("k", F.row_number().over(Window.partitionBy("l", "s").orderBy(*order))).where(F.col("k") <= rows)
+    # hashes are chosen first, without the texts: at most `rows` of each language, which may be broadcast
+    first = ok.select("l", *order).distinct().withColumn("s", F.pmod("h", F.lit(8)))
+    first = first.withColumn("k", F.row_number().over(Window.partitionBy("l", "s").orderBy(*order))).where(F.col("k") <= rows)
     first = first.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy(*order))).where(F.col("k") <= rows)
+    chosen = ok.join(F.broadcast(first.select("l", "h").distinct()), ["l", "h"]).groupBy("l", *order).agg(F.first("t").alias("t"))
     taken: dict[str, list[str]] = {}
-    for r in sorted(first.select("l", "t", *order).collect(), key=lambda r: (r["l"], r["odd"], r["n"], r["h"])):
+    for r in sorted(chosen.collect(), key=lambda r: (r["l"], r["odd"], r["n"], r["h"])):
         own = taken.setdefault(r["l"], [])
         if r["t"] not in own and (not own or sum(map(len, own)) + len(r["t"]) <= chars):
             own.append(r["t"])
