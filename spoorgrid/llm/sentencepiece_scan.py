@@ -20,10 +20,12 @@ import functools
 import json
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +35,9 @@ from spoorgrid.llm.common import slices, written
 
 MARK = "▁"
 SAFE = "S"
-KEPT = 500_000
+KEPT = 120_000
+#: Numbers of characters that are no pieces begin at UNKNOWN; NOTHING is above them all.
+UNKNOWN, NOTHING = 1 << 20, 1 << 22
 
 
 #: SAFE, or (piece, how far it reaches over the border)
@@ -64,15 +68,18 @@ class Lattice:
         self.ids = {p: i for i, p in enumerate(self.pieces) if not special(i)}
         self.rank = {p: model.get_score(i) for p, i in self.ids.items()}
         self.byte = {int(self.pieces[i][3:5], 16): i for i in range(len(self.pieces)) if model.is_byte(i)}
-        self.bytes_of = {i: bytes([b]) for b, i in self.byte.items()}
+        of_byte = {i: bytes([b]) for b, i in self.byte.items()}
+        self.raw = [of_byte.get(i) or p.encode() for i, p in enumerate(self.pieces)]
         self.unknown = model.unk_id()
         self.longest = max(map(len, self.ids))
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
             raise ValueError("pieces of this model cross word marks or line ends")
-        #: every start of a piece, and whether it is one
-        self.starts = {p[:n]: False for p in self.ids for n in range(1, len(p))} | dict.fromkeys(self.ids, True)
-        self.pairs: dict[tuple, bool] = {}
-        self.units: dict[str, tuple[int, ...]] = {}
+        #: every start of a piece: the id of the piece, or -1 if it is only a start
+        self.starts = {p[:n]: -1 for p in self.ids for n in range(1, len(p))} | self.ids
+        self.pairs: dict[int, bool] = {}
+        #: ids of units as the bytes of 32-bit integers, in two generations: what is used again moves to the young one
+        self.units: dict[str, bytes] = {}
+        self.old_units: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[str]:
         """The encoding of a short text by merges: best score first, then leftmost."""
@@ -88,41 +95,74 @@ class Lattice:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def fits(self, a: str | None, b: str) -> bool:
-        """Whether piece b may follow piece a (None: a border that nothing crosses)."""
-        both = (a or "") + b
-        if a is not None and both in self.ids:  # the two would merge
-            return False
-        return self.merge(both) == ([b] if a is None else [a, b])
+    def number(self, piece: str | None) -> int:
+        """The id of a piece, a number above all ids for a character that is none, one more than all for None."""
+        if piece is None:
+            return NOTHING
+        i = self.ids.get(piece)
+        return i if i is not None else UNKNOWN + ord(piece)
+
+    def fits(self, a: int, b: int) -> bool:
+        """Whether piece b may follow piece a (NOTHING: a border that nothing crosses)."""
+        known = self.pairs.get(a * NOTHING + b)
+        if known is None:
+            name = lambda i: self.pieces[i] if i < UNKNOWN else chr(i - UNKNOWN)
+            if a == NOTHING:
+                known = self.merge(name(b)) == [name(b)]
+            else:  # two pieces that are one piece together would merge
+                both = name(a) + name(b)
+                known = both not in self.ids and self.merge(both) == [name(a), name(b)]
+            if len(self.pairs) >= 2 * KEPT:
+                self.pairs.clear()
+            self.pairs[a * NOTHING + b] = known
+        return known
+
+    def follow(self, text: str, at: int, stop: int) -> list[tuple[int, int]]:
+        """(end, number) of all pieces that start at a position, shortest first."""
+        out = []
+        for end in range(at + 1, stop + 1):
+            i = self.starts.get(text[at:end])
+            if i is None:
+                break
+            if i >= 0:
+                out.append((end, i))
+        if not out or out[0][0] > at + 1:
+            out.insert(0, (at + 1, UNKNOWN + ord(text[at])))
+        return out
 
     def walk(self, text: str, start: int, piece: str | None, stop: int) -> dict[int, str | None]:
         """The last piece of each reachable position from start (where `piece` ended) to stop."""
         last: dict[int, str | None] = {start: piece}
-        starts, pairs, longest = self.starts, self.pairs, self.longest
         for begin in range(start, stop):
-            if begin not in last:
-                continue
-            before = last[begin]
-            one = text[begin]
-            for end in range(begin + 1, min(begin + longest, stop) + 1):
-                t = text[begin:end] if end > begin + 1 else one
-                whole = starts.get(t)
-                if whole is None:  # no piece starts like this
-                    if t is not one:
-                        break
-                elif not whole and t is not one:
+            if begin in last:
+                before = self.number(last[begin])
+                for end, i in self.follow(text, begin, min(stop, begin + self.longest)):
+                    if end not in last and self.fits(before, i):
+                        last[end] = text[begin:end]
+        return last
+
+    def path(self, text: str) -> list[int]:
+        """The one path through all of a text, longest pieces first. A position has one last piece, so where a search
+        failed once it always fails: no position is searched twice."""
+        stop, pairs, fits, follow = len(text), self.pairs, self.fits, self.follow
+        stack: list[tuple] = []
+        dead: set[int] = set()
+        at, before, options = 0, NOTHING, follow(text, 0, stop)
+        while at < stop:
+            while options:
+                end, i = options.pop()
+                if end in dead:
                     continue
-                if end not in last:
-                    ok = pairs.get((before, t))
-                    if ok is None:
-                        if len(pairs) >= KEPT:
-                            pairs.clear()
-                        ok = pairs[(before, t)] = self.fits(before, t)
-                    if ok:
-                        last[end] = t
-                if whole is None:
+                ok = pairs.get(before * NOTHING + i)
+                if fits(before, i) if ok is None else ok:
+                    stack.append((at, before, options))
+                    at, before = end, i
+                    options = follow(text, at, stop) if at < stop else options
                     break
-        return last
+            else:
+                dead.add(at)
+                at, before, options = stack.pop()
+        return [s[1] for s in stack[1:]] + [before] if stack else []
 
     def back(self, last: dict[int, str | None], start: int, end: int) -> list[str]:
         out = []
@@ -132,34 +172,37 @@ class Lattice:
             end -= len(piece)
         return out[::-1]
 
-    def numbers(self, pieces: list[str]) -> list[int]:
-        out = []
-        for p in pieces:
-            i = self.ids.get(p)
-            if i is not None:
+    def numbers(self, pieces: list[str]) -> bytes:
+        return self.spelled([self.number(p) for p in pieces])
+
+    def spelled(self, numbers: list[int]) -> bytes:
+        """Ids as 32-bit integers; characters that are no pieces as byte pieces."""
+        out = array("i")
+        for i in numbers:
+            if i < UNKNOWN:
                 out.append(i)
             else:
-                out += [self.byte.get(b, self.unknown) for b in p.encode("utf-8", "replace")] if self.byte else [self.unknown]
-        return out
+                out.extend([self.byte.get(b, self.unknown) for b in chr(i - UNKNOWN).encode("utf-8", "replace")] if self.byte else [self.unknown])
+        return out.tobytes()
 
-    def unit(self, text: str) -> tuple[int, ...]:
+    def unit(self, text: str) -> bytes:
         """Ids of what lies between two borders with a single state."""
-        ids = self.units.get(text)
-        if ids is None:
+        ids = self.old_units.get(text) or self.spelled(self.path(text))
+        if len(text) <= 64:
             if len(self.units) >= KEPT:
-                self.units.clear()
-            ids = tuple(self.numbers(self.back(self.walk(text, 0, None, len(text)), 0, len(text))))
-            if len(text) <= 64:
-                self.units[text] = ids
+                self.old_units, self.units = self.units, {}
+            self.units[text] = ids
         return ids
 
-    def between(self, text: str) -> list[int]:
+    def between(self, text: str) -> bytes:
         """Ids of a text that begins and ends at such borders."""
-        out: list[int] = []
-        units, unit = self.units, self.unit
-        for u in UNITS.findall(text):
-            out += units.get(u) or unit(u)
-        return out
+        unit = self.unit
+        return b"".join([self.units.get(u) or unit(u) for u in UNITS.findall(text)])
+
+    def spell(self, ids: np.ndarray) -> str:
+        """The text of ids: word marks become spaces, the first one goes, ill-formed bytes are replaced."""
+        text = b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(MARK, " ")
+        return text[1:] if text.startswith(" ") else text
 
     def entries(self, text: str, at: int) -> list[tuple[str, int]]:
         """Every (piece, how far it reaches over the border) that the text around a border allows."""
@@ -202,14 +245,14 @@ class Lattice:
                 out += [(entry, x) for x in tails]
         return out
 
-    def trace(self, chunk: Chunk, entry: State, leave: State) -> list[int]:
-        """Ids of the pieces after the entry state's up to the exit state's."""
+    def trace(self, chunk: Chunk, entry: State, leave: State) -> bytes:
+        """Ids (32-bit integers) of the pieces after the entry state's up to the exit state's."""
         start, piece, first, final = self.span(chunk, entry)
         end = chunk.end if leave == SAFE else chunk.end + leave[1]
         if first is None:
             return self.numbers(self.back(self.walk(chunk.text, start, piece, end), start, end))
         head = self.numbers(self.back(self.walk(chunk.text, start, piece, first), start, first))
-        rest = [] if final == end else self.numbers(self.back(self.walk(chunk.text, final, None, end), final, end))
+        rest = b"" if final == end else self.numbers(self.back(self.walk(chunk.text, final, None, end), final, end))
         return head + self.between(chunk.text[first:final]) + rest
 
 
@@ -224,6 +267,11 @@ def lattice(model_path: str) -> Lattice:
     return Lattice(model_path)
 
 
+def _lists(ids: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(i) // 4 for i in ids)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+
+
 def product(a: list, b: list) -> list:
     """Max-plus product of two matrices of zeros, as lists of finite entries."""
     after = defaultdict(list)
@@ -272,8 +320,9 @@ CHUNK = "key string, chunk int, text string, begin int, end int, first boolean,
 FAN = 64
 
 
-def encode(docs: DataFrame, model_path: str | None = None, chunk_chars: int = 32_768) -> DataFrame:
-    """doc_id, ids and text_crc32 of every row.
+def encode(docs: DataFrame, model_path: str | None = None, chunk_chars: int = 32_768, verify: bool = False) -> DataFrame:
+    """doc_id, ids and text_crc32 of every row; with `verify` also round_trip, whether decoding the ids gives the text
+    back (a literal word mark in a text becomes a space).
 
     docs needs doc_id and text; other columns are ignored. Null and empty texts have no ids (and crc32 0). Null ids and
     repeated rows stay as they are; an empty table gives no rows. Texts of more than chunk_chars characters are encoded
@@ -289,13 +338,20 @@ def encode(docs: DataFrame, model_path: str | None = None, chunk_chars: int = 32
         own = lattice(path)
         for part in slices(batches, 1, 1_000_000):
             texts = part.column(1).to_pylist()
-            ids = [own.trace(Chunk(t, 0, len(t), True, True), SAFE, SAFE) if t else [] for t in map(normal, texts)]
+            ids = [own.trace(Chunk(t, 0, len(t), True, True), SAFE, SAFE) if t else b"" for t in map(normal, texts)]
             crc = [zlib.crc32(t.encode("utf-8", "replace")) for t in texts]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(crc, pa.int64())], names=["doc_id", "ids", "text_crc32"])
+            columns = [part.column(0), _lists(ids), pa.array(crc, pa.int64())]
+            if verify:  # here, where the ids are, so that they are not sent to another worker
+                columns.append(pa.array([own.spell(np.frombuffer(i, np.int32)) == t for i, t in zip(ids, texts, strict=True)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "text_crc32", "round_trip"][:len(columns)])
 
-    done = rows.where(F.length("text") <= chunk_chars).mapInArrow(short, "doc_id long, ids array<int>, text_crc32 long")
+    done = rows.where(F.length("text") <= chunk_chars).mapInArrow(short, "doc_id long, ids array<int>, text_crc32 long" + ", round_trip boolean" * verify)
     giant = rows.where(F.length("text") > chunk_chars).withColumn("key", F.sha2("text", 256))
-    return done.unionByName(giant_rows(giant, path, chunk_chars))
+    long = giant_rows(giant, path, chunk_chars)
+    if verify:
+        crc = F.crc32(F.col("text").cast("binary"))
+        long = decode(long, path).select("doc_id", "ids", "text_crc32", (crc == F.col("text_crc32")).alias("round_trip"))
+    return done.unionByName(long)
 
 
 def giant_rows(giant: DataFrame, path: str, chunk_chars: int) -> DataFrame:
@@ -350,7 +406,7 @@ def giant_rows(giant: DataFrame, path: str, chunk_chars: int) -> DataFrame:
         own = lattice(path)
         for batch in batches:
             ids = [own.trace(of(r), _load(r["enter"]), _load(r["leave"])) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["key", "chunk", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(ids)], names=["key", "chunk", "ids"])
 
     parts = chunks.join(states, ["key", "chunk"]).mapInArrow(follow, "key string, chunk int, ids array<int>")
     whole = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
@@ -372,23 +428,14 @@ def decode(rows: DataFrame, model_path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(path)
-        raw = [p.encode() if i not in own.bytes_of else own.bytes_of[i] for i, p in enumerate(own.pieces)]
         for batch in batches:
-            at, texts = batch.schema.get_field_index("ids"), []
-            for ids in batch.column(at):
-                if not ids.is_valid:
-                    texts.append(None)
-                    continue
-                data = b"".join([raw[i] for i in ids.values.to_pylist()]) if len(ids) else b""
-                spelled = data.decode("utf-8", "replace").replace(MARK, " ")
-                texts.append(spelled[1:] if spelled.startswith(" ") else spelled)
+            at = batch.schema.get_field_index("ids")
+            texts = [own.spell(ids.values.to_numpy()) if ids.is_valid else None for ids in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
 
     return rows.select(*names).mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """doc_id, ids, n_ids, text_crc32, and whether decoding gives the text back (a literal word mark becomes a space)."""
-    out = decode(encode(docs))
-    crc = F.crc32(F.col("text").cast("binary"))
-    return out.select("doc_id", "ids", F.size("ids").alias("n_ids"), "text_crc32", (crc == F.col("text_crc32")).alias("round_trip"))
+    """doc_id, ids, n_ids, text_crc32 and round_trip of every row."""
+    return encode(docs, verify=True).select("doc_id", "ids", F.size("ids").alias("n_ids"), "text_crc32", "round_trip")
