@@ -1,6 +1,8 @@
 import os
 import tempfile
 
+import numpy as np
+
 import corpus_pipeline
 from spoorgrid.llm.near_copies import without_copies
 
@@ -74,3 +76,38 @@ def test_stages_on_odd_and_empty_documents(spark, odd, empty):
             out = stage(spark, docs, SF)
             assert out.columns == docs.columns, name
             assert out.count() <= docs.count()
+
+
+def edited(kind, n, rng):
+    """A text of n words and one whose similarity to it is at least 0.8."""
+    words = [f"v{x}" for x in rng.integers(0, 10**6, n)]
+    shingle = n - 4
+    if kind == "appended":
+        more = int(shingle / 0.8 - shingle)
+        return words, [*words, *[f"u{x}" for x in rng.integers(0, 10**6, more)]]
+    if kind == "passage":  # m words of it touch m + 4 shingles
+        m = max(1, int(shingle / 9) - 4)
+        at = int(rng.integers(0, n - m))
+        return words, [*words[:at], *[f"u{x}" for x in rng.integers(0, 10**6, m)], *words[at + m:]]
+    if kind == "scattered":
+        other = list(words)
+        for at in rng.choice(n, max(1, shingle // 45), replace=False):
+            other[at] = f"u{at}"
+        return words, other
+    return words, [*words[:-1], "other"]
+
+
+def test_similar_pairs_are_found_whatever_the_edit(spark):
+    rng = np.random.default_rng(3)
+    kinds = [("appended", 60), ("appended", 400), ("passage", 100), ("passage", 400), ("scattered", 200), ("last word", 13), ("last word", 20)]
+    rows, lost = [], dict.fromkeys(kinds, 0)
+    for kind, n in kinds:
+        for _ in range(40):
+            pair = [" ".join(x) for x in edited(kind, n, rng)]
+            a, b = map(shingles, pair)
+            assert len(a & b) >= 0.8 * len(a | b)
+            rows += [(len(rows) + i, f"{kind} {n}", t) for i, t in enumerate(pair)]
+    kept = without_copies(spark.createDataFrame(rows, "doc_id long, kind string, text string").repartition(4)).collect()
+    for (kind, n) in kinds:
+        lost[kind, n] = sum(r["doc_id"] % 2 for r in kept if r["kind"] == f"{kind} {n}")
+    assert not any(lost.values()), lost
