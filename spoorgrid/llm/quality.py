@@ -17,6 +17,8 @@ from spoorgrid.llm.common import bucket_of, scored
 from spoorgrid.llm.learn import STATS, Adam, Bag, all_structure, bag_of, learnable, sample_texts, sigmoid, structure
 
 BINS = 16
+#: The score from which a document is called good.
+GOOD = 0.7
 
 
 @dataclass
@@ -105,7 +107,7 @@ def score(docs: DataFrame, model: Machine, name: str = "score") -> DataFrame:
     return scored(docs, ["text", "n_chars"], of, name)
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **settings) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = GOOD, **settings) -> DataFrame:
     """doc_id, held_out, score and predicted of every document.
 
     docs needs doc_id, text and n_chars; other columns are ignored. Null ids and repeated rows stay as they are. Empty

@@ -1,9 +1,12 @@
+import dataclasses
 import os
 import tempfile
+from unittest import mock
 
 import numpy as np
 
 import corpus_pipeline
+from spoorgrid.llm import quality
 from spoorgrid.llm.near_copies import without_copies
 
 SF = "/root/testdata/sf0.001"
@@ -126,3 +129,18 @@ def test_refuted_forest_links_are_replaced(spark):
         rows += [(3 * g + i, " ".join(x)) for i, x in enumerate((a, b, c))]
     kept = {r["doc_id"] for r in without_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert kept == {3 * g for g in range(60)}
+
+
+def test_quality_stage_keeps_what_the_operator_calls_good(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.train(docs, labels)
+    scores = {r["doc_id"]: r["score"] for r in quality.score(docs, model).select("doc_id", "score").collect()}
+    low, high = sorted(scores.values())[len(scores) // 10], sorted(scores.values())[-1]
+    shift = 0.4 - np.log(low / (1 - low))  # this one now scores 0.6
+    assert high > 0.7
+    moved = dataclasses.replace(model, bias=model.bias + np.asarray(shift, model.bias.dtype))
+    with mock.patch.object(quality, "train", return_value=moved):
+        good = {r["doc_id"] for r in quality.classify(docs, labels).where("predicted = 1").collect()}
+        between = quality.score(docs, moved).where("score >= 0.5 and score < 0.7").count()
+        kept = {r["doc_id"] for r in corpus_pipeline.keep_good(spark, docs, SF).collect()}
+    assert between > 0 and kept == good
