@@ -144,28 +144,44 @@ def _seconds(df):
     return df.withColumns({c: F.unix_timestamp(c) for c in ("window_start", "window_end")})
 
 
-def split_stream(src, name: str, order: str, parts: int = 3):
-    """One driver table as a stream of files in some order, a few to each micro-batch; a group of rows may span several."""
-    path = f"{_folder(src)}/{name}"
+def _ranges(src, name: str, order: str, parts: int):
+    """The rows of one driver table in ranges of a column, in its order."""
     rows = table(src.spark, src.sf_dir, name)
     at = F.unix_timestamp(order) if dict(rows.dtypes)[order].startswith("timestamp") else F.col(order)
     cuts = rows.select(F.percentile_approx(at, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
     for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
         part = rows if lo is None else rows.where(at > lo)
-        (part if hi is None else part.where(at <= hi)).write.mode("append").parquet(path)
-    return src.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        yield part if hi is None else part.where(at <= hi)
+
+
+def split_stream(src, name: str, order: str, parts: int = 3):
+    """One driver table as a stream of files in some order, a few to each micro-batch; a group of rows may span several."""
+    path = f"{_folder(src)}/{name}"
+    for part in _ranges(src, name, order, parts):
+        part.write.mode("append").parquet(path)
+    return src.spark.readStream.schema(table(src.spark, src.sf_dir, name).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def by_ranges(src, name: str, order: str, run, parts: int = 3):
+    """`run(stream, path)` after each range of the table, resumed from its checkpoint: all files of a range are one
+    micro-batch, so that no row is behind the watermark of its own range. Returns the last result."""
+    path, out, found = f"{_folder(src)}/{name}", _folder(src), None
+    for part in _ranges(src, name, order, parts):
+        part.write.mode("append").parquet(path)
+        found = run(src.spark.readStream.schema(part.schema).parquet(path), out)
+    return found
 
 
 @query("R5_windowed_errors", "frames", _windows_sql(1), real="mean_error max_error below_0p5", whole="window_start window_end sequence")
 def _(src):
-    flow = jobs.windowed_errors(as_frames(split_stream(src, "events", "ts")), "1 day")
-    return _seconds(jobs.run_updates(flow, _folder(src), ["window_start", "window_end", "sequence"]))
+    return _seconds(by_ranges(src, "events", "ts", lambda events, path: jobs.run_updates(
+        jobs.windowed_errors(as_frames(events), "1 day"), path, ["window_start", "window_end", "sequence"])))
 
 
 @query("R5_sliding_errors", "frames", _windows_sql(2), real="mean_error max_error below_0p5", whole="window_start window_end sequence")
 def _(src):
-    flow = jobs.windowed_errors(as_frames(split_stream(src, "events", "ts")), "2 days", "1 day")
-    return _seconds(jobs.run_updates(flow, _folder(src), ["window_start", "window_end", "sequence"]))
+    return _seconds(by_ranges(src, "events", "ts", lambda events, path: jobs.run_updates(
+        jobs.windowed_errors(as_frames(events), "2 days", "1 day"), path, ["window_start", "window_end", "sequence"])))
 
 
 @query("R5_session_errors", "frames", """with e as (select cast(event_id % 8 as int) as sequence, ts, value / 1e2 as e, lag(ts) over
@@ -174,7 +190,7 @@ def _(src):
     select epoch(date_trunc('second', min(ts))) as window_start, epoch(date_trunc('second', max(ts) + interval 30 minute)) as window_end, sequence,
            count(*) as frames, avg(e) as mean_error from s group by sequence, session""", real="mean_error", whole="window_start window_end sequence")
 def _(src):
-    return _seconds(jobs.run_complete(jobs.session_errors(as_frames(split_stream(src, "events", "ts")), "30 minutes"), _folder(src)))
+    return _seconds(by_ranges(src, "events", "ts", lambda events, path: jobs.run_complete(jobs.session_errors(as_frames(events), "30 minutes"), path)))
 
 
 @query("R6_frames_with_imu", "frames", """select a.sequence, a.frame_idx, count(*) as samples from frames a join frames b

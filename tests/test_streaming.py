@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spoorgrid.operators import relay, vote
 from spoorgrid.plans.bindings import bound, table
 from spoorgrid.plans.catalog_streams import HYSTERESIS, as_frames, as_points, nested_frames
+from spoorgrid.plans.registry import REGISTRY
 from spoorgrid.sources.reports import nest_candidates
 from spoorgrid.streaming import jobs
 
@@ -81,3 +82,10 @@ def test_windowed_errors_equal_batch_on_all_windows(spark, tmp_path, split_sourc
     batch = jobs.windowed_errors(as_frames(table(spark, SF, "events")), "1 day").collect()
     want = {(r.window_start, r.sequence): (r.frames, round(r.mean_error, 9)) for r in batch}
     assert len(got) > 100 and got == want
+
+
+def test_windows_of_a_table_of_many_unordered_partitions(spark, tmp_path):
+    table(spark, SF, "events").repartition(6).write.parquet(f"{tmp_path}/in/events.parquet")
+    got = sorted(map(tuple, REGISTRY["R5_windowed_errors"].build(spark, f"{tmp_path}/in").select("window_start", "sequence", "frames").collect()))
+    batch = jobs.windowed_errors(as_frames(table(spark, SF, "events")), "1 day")
+    assert got == sorted(map(tuple, batch.select(F.unix_timestamp("window_start"), "sequence", "frames").collect()))
