@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoorgrid.llm import curve_search, embedding_dedup, language_id, packing, quality, secret_scan, sentencepiece_scan, sharding, simhash, toxicity
+from spoorgrid.llm import (
+    curve_search, embedding_dedup, language_id, lexical_search, packing, period_runs, quality, secret_scan, sentencepiece_scan, sharding, simhash,
+    token_counts, toxicity)
 from spoorgrid.llm.common import documents
 
 
@@ -51,8 +53,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), documents(spark, sf_dir), k=20)
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), limit=512)
+
+
+def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return period_runs.periodic_runs(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_packing, op2_sentencepiece, op3_sharding, op4_language_id, op5_embedding_dedup, op6_curve_search, op7_secret_scan,
-    op8_toxicity, op9_simhash, op10_quality)}
-#: No operator of this list is expressible in SQL as a whole: each is tested against brute force, a library or held-out rows.
-SQL: dict[str, str] = {}
+    op8_toxicity, op9_simhash, op10_quality, op11_lexical_search, op12_token_counts, op13_period_runs)}
+#: The others are not expressible in SQL as a whole: each is tested against brute force, a library or held-out rows.
+SQL: dict[str, str] = {"op11_lexical_search": lexical_search.SQL}
