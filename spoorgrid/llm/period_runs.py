@@ -238,17 +238,18 @@ def giant_runs(giant: DataFrame, tile: int = TILE) -> DataFrame:
     Tiles of all octaves are dealt out, their pieces meet by document and period. Long gaps between pieces are no problem: pieces are
     ordered by position and a running maximum of ends tells where a run begins, so a group is the runs of one period of one document.
     """
-    schema = "key string, octave int, base long, low int, high int, words binary"
+    schema = "key string, octave int, base long, low int, high int, wide boolean, words binary"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in schema.split(", ")]
-        types = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        types = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
         for part in slices(batches, 1, 1):
             for key, text, h in zip(*[c.to_pylist() for c in part.columns], strict=True):
                 codes = numbered(text, h)
                 for octave, first, last, low, high in tiles(len(codes), tile):
-                    own = np.unique(codes[first:last], return_inverse=True)[1].astype(np.int32)  # equal words are all that counts
-                    row = key, octave, first, low - first, high - first, own.tobytes()
+                    kinds, own = np.unique(codes[first:last], return_inverse=True)  # equal words are all that counts
+                    wide = len(kinds) > 1 << 16
+                    row = key, octave, first, low - first, high - first, wide, own.astype(np.int32 if wide else np.uint16).tobytes()
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
 
     def solve_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +258,7 @@ def giant_runs(giant: DataFrame, tile: int = TILE) -> DataFrame:
             for r in batch.to_pylist():
                 # the anchors of an octave are multiples of it in the document
                 shift = r["base"] % r["octave"]
-                words = np.frombuffer(r["words"], np.int32).astype(np.int64)
+                words = np.frombuffer(r["words"], np.int32 if r["wide"] else np.uint16).astype(np.int64)
                 if shift:
                     words = np.concatenate([-1 - np.arange(shift), words])
                 for p, s, e in stitched(pieces_of(words, r["octave"], (r["low"] + shift, r["high"] + shift))):
