@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spoorgrid.session import cut
+
 CHUNK_ROWS = 65536
 
 
@@ -80,36 +82,33 @@ def dense_ordinal(df: DataFrame, keys, order, bucket: Column, name: str = "ordin
     return out.withColumn(name, F.col(name) - 1).drop("_chunk", "_one")
 
 
-def value_buckets(df: DataFrame, keys, value: str, buckets: int = 256, descending: bool = False) -> DataFrame:
-    """Add `_chunk`: a bucket that is monotone in `value`, from approximate quantile cut points per key.
+def in_order(df: DataFrame, order: list[Column], parts: int | None = None) -> DataFrame:
+    """Range partitions of the whole table in `order`, numbered by `_chunk` and written to reliable storage.
 
-    Only the balance of the buckets depends on the approximation, never a result.
+    Rows are dealt out by their whole sort key, at last by a hash of the row, so equal values are spread as well. The number of
+    partitions is Spark's own for a shuffle, or `parts`. The partitions are written because their borders come from a sample: two uses
+    of one result must see the same.
     """
-    keys = _keys(keys)
-    grid = [i / buckets for i in range(1, buckets)]
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, grid, 10000).alias("_cuts"))
-    above = F.size(F.filter("_cuts", lambda c: c <= F.col(value))).cast("bigint")
-    if keys:
-        out = df.join(cuts, keys, "left")
-    else:
-        out = df.withColumn("_cuts", cuts.scalar())
-    return out.withColumn("_chunk", -above if descending else above).drop("_cuts")
+    order = [*order, F.xxhash64(*df.columns).asc()]
+    dealt = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    return cut(dealt.withColumn("_chunk", F.spark_partition_id().cast("bigint")))
 
 
 def ordered_running(df: DataFrame, keys, value: str, sums: dict[str, str], descending: bool = False,
-                    ties: list | None = None, buckets: int = 256,
+                    ties: list | None = None, parts: int | None = None,
                     totals: dict[str, str] | None = None) -> DataFrame:
-    """Running sums in the order of a numeric value (then `ties`), sound for very large keys."""
+    """Running sums in the order of a numeric value (then `ties`) per key, whatever the size of a key or of a value."""
     first = F.col(value).desc() if descending else F.col(value).asc()
-    out = value_buckets(df, keys, value, buckets, descending)
-    return running_sums(out, keys, [first, *(ties or [])], sums, totals=totals).drop("_chunk")
+    order = [first, *(ties or [])]
+    out = in_order(df, [*[F.col(k).asc() for k in _keys(keys)], *order], parts)
+    return running_sums(out, keys, [*order, F.xxhash64(*df.columns).asc()], sums, totals=totals).drop("_chunk")
 
 
-def ranked(df: DataFrame, keys, value: str, ties: list, descending: bool = True, buckets: int = 256,
+def ranked(df: DataFrame, keys, value: str, ties: list, descending: bool = True, parts: int | None = None,
            name: str = "rank", total: str | None = None) -> DataFrame:
     """One-based exact rank of every row by value; `total` adds the row count of the key."""
     out = df.withColumn("_one", F.lit(1).cast("bigint"))
-    out = ordered_running(out, keys, value, {name: "_one"}, descending, ties, buckets,
+    out = ordered_running(out, keys, value, {name: "_one"}, descending, ties, parts,
                           totals={total: "_one"} if total else None)
     return out.drop("_one")
 

@@ -124,7 +124,7 @@ def case_control_queue(picked: DataFrame, controls: DataFrame, radius: int) -> D
     rows = cases.unionByName(ctl)
     code = F.when(F.col("split") == "train", 1).when(F.col("split") == "validation", 2).otherwise(0)
     rows = rows.withColumn("_order", code * 1.0e9 + F.col("position") * 2 + F.col("_side"))
-    out = ranked(rows, [], "_order", [], descending=False, name="review_order", buckets=16)
+    out = ranked(rows, [], "_order", [], descending=False, name="review_order")
     return out.select("review_order", "split", "condition", "sequence", "anchor_frame",
                       F.greatest(F.lit(0), F.col("anchor_frame") - radius).alias("window_start"),
                       (F.col("anchor_frame") + radius).alias("window_end"), "start_frame", "end_frame")

@@ -1,8 +1,9 @@
-"""Exact linear-interpolated quantiles that never hold a whole group in one buffer.
+"""Exact linear-interpolated quantiles that never hold a whole group in one buffer, nor sort one.
 
-The built-in exact `percentile` keeps every distinct value of a group in one aggregation buffer. Here the
-values are counted per distinct value, cut into buckets by approximate quantiles, and only the buckets
-that contain a wanted rank are sorted.
+The built-in exact `percentile` keeps every distinct value of a group in one aggregation buffer. Here values are counted per distinct
+value, and each wanted rank has a range of values that holds it. While a range has more values than one task may sort, it is cut at
+approximate quantiles, the values of its parts are counted, and only the parts with a wanted rank remain. The approximation balances
+work and never touches a result.
 """
 
 from __future__ import annotations
@@ -10,38 +11,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoorgrid.operators.chunks import _keys
+from spoorgrid.operators.chunks import CHUNK_ROWS, _keys
+from spoorgrid.session import cut
 
+#: Parts of a range in one round; larger tables take more rounds.
+MOST_CUTS = 512
 
-def exact_quantiles(df: DataFrame, keys, value: str, probs: dict[str, float], buckets: int = 128) -> DataFrame:
-    """One row per key with a column per wanted quantile; keys without values are absent."""
-    keys = _keys(keys)
+
+def _positions(probs: dict[str, float]) -> list:
+    """The ranks that the quantiles lie between."""
+    at = [(F.col("_n") - 1) * F.lit(float(p)) for p in probs.values()]
+    return [rank for pos in at for rank in (F.floor(pos), F.ceil(pos))]
+
+
+def _narrowed(counts: DataFrame, ranges: DataFrame, keys: list[str], value: str, probs: dict[str, float], parts: int) -> DataFrame:
+    """The parts of the ranges that hold a wanted rank."""
+    grid = [i / parts for i in range(1, parts)]
+    inside = counts.join(ranges, keys).where(F.col(value).between(F.col("_low"), F.col("_high")))
+    cuts = inside.groupBy(*keys, "_low").agg(F.percentile_approx(value, grid, 20 * parts).alias("_cuts"))
+    inside = inside.join(cuts, [*keys, "_low"]).withColumn("_part", F.size(F.filter("_cuts", lambda c: c <= F.col(value))))
+    sizes = inside.groupBy(*keys, "_low", "_part").agg(
+        F.min(value).alias("_a"), F.max(value).alias("_b"), F.sum("_c").alias("_rows"), F.count("*").alias("_d"), F.max("_n").alias("_n"), F.max("_before").alias("_before"))
+    up_to = F.sum("_rows").over(Window.partitionBy(*keys, "_low").orderBy("_part"))
+    sizes = sizes.withColumn("_end", F.col("_before") + up_to).withColumn("_before", F.col("_end") - F.col("_rows"))
+    held = F.exists(F.array(*_positions(probs)), lambda r: (r >= F.col("_before")) & (r < F.col("_end")))
+    return sizes.where(held).select(*keys, F.col("_a").alias("_low"), F.col("_b").alias("_high"), "_d", "_n", "_before")
+
+
+def exact_quantiles(df: DataFrame, keys, value: str, probs: dict[str, float], sort_rows: int = CHUNK_ROWS) -> DataFrame:
+    """One row per key with a column per wanted quantile; keys without values are absent.
+
+    No task sorts more than sort_rows values of a range.
+    """
+    named = _keys(keys)
+    keys = named or ["_all"]
     given = df.where(F.col(value).isNotNull())
-    grid = [i / buckets for i in range(1, buckets)]
-    # cut points come from the distinct values, so the source is read once and the shuffle is reused
-    counts = given.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    stats = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.percentile_approx(value, grid, 10000).alias("_cuts"))
-    if keys:
-        counts = counts.join(stats, keys)
-    else:
-        counts = counts.withColumn("_st", stats.select(F.struct("_n", "_cuts")).scalar())
-        counts = counts.select(value, "_c", F.col("_st._n").alias("_n"), F.col("_st._cuts").alias("_cuts"))
-    counts = counts.withColumn("_chunk", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
-
-    sizes = counts.groupBy(*keys, "_chunk").agg(F.sum("_c").alias("_size"), F.max("_n").alias("_n"))
-    over = Window.partitionBy(*keys).orderBy("_chunk") if keys else Window.partitionBy(F.lit(0)).orderBy("_chunk")
-    sizes = sizes.withColumn("_hi", F.sum("_size").over(over)).withColumn("_lo", F.col("_hi") - F.col("_size"))
-    ranks = []
-    for p in probs.values():
-        pos = (F.col("_n") - 1) * F.lit(float(p))
-        ranks += [F.floor(pos), F.ceil(pos)]
-    wanted = sizes.withColumn("_ranks", F.array(*ranks)).where(
-        F.exists("_ranks", lambda r: (r >= F.col("_lo")) & (r < F.col("_hi"))))
-    wanted = wanted.select(*keys, "_chunk", "_lo")
-
-    kept = counts.join(wanted, [*keys, "_chunk"])
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(value)
-    kept = kept.withColumn("_hi", F.col("_lo") + F.sum("_c").over(inside)).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    given = given if named else given.withColumn("_all", F.lit(0))
+    counts = cut(given.groupBy(*keys, value).agg(F.count("*").alias("_c")))
+    ranges = counts.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count("*").alias("_d"), F.sum("_c").alias("_n"))
+    ranges = ranges.withColumn("_before", F.lit(0).cast("bigint"))
+    while True:
+        most = ranges.agg(F.max("_d")).first()[0] or 0
+        if most <= sort_rows:
+            break
+        ranges = cut(_narrowed(counts, ranges, keys, value, probs, min(MOST_CUTS, 2 * -(-most // sort_rows))))
+    kept = counts.join(ranges, keys).where(F.col(value).between(F.col("_low"), F.col("_high")))
+    inside = Window.partitionBy(*keys, "_low").orderBy(value)
+    kept = kept.withColumn("_hi", F.col("_before") + F.sum("_c").over(inside)).withColumn("_lo", F.col("_hi") - F.col("_c"))
     aggs = []
     for name, p in probs.items():
         pos = (F.col("_n") - 1) * F.lit(float(p))
@@ -50,7 +66,7 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs: dict[str, float], bu
             aggs.append(F.max(F.when(hit, F.col(value))).alias(f"_{side}_{name}"))
         aggs.append(F.max(pos - F.floor(pos)).alias(f"_f_{name}"))
     picked = kept.groupBy(*keys).agg(*aggs)
-    return picked.select(*keys, *[
+    return picked.select(*named, *[
         (F.col(f"_a_{n}") + (F.col(f"_b_{n}") - F.col(f"_a_{n}")) * F.col(f"_f_{n}")).alias(n) for n in probs])
 
 

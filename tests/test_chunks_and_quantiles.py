@@ -45,14 +45,38 @@ def test_lags_and_ordinals(data):
 
 def test_ranks_and_running_sums(data):
     pdf, df = data
-    r = C.ranked(df, [], "x", [F.col("k"), F.col("i")], buckets=8, total="n").toPandas().sort_values(["x", "k", "i"], ascending=[False, True, True])
+    r = C.ranked(df, [], "x", [F.col("k"), F.col("i")], parts=8, total="n").toPandas().sort_values(["x", "k", "i"], ascending=[False, True, True])
     assert (r["rank"].values == np.arange(1, len(pdf) + 1)).all() and (r.n == len(pdf)).all()
 
 
-@pytest.mark.parametrize("buckets", [2, 64])
-def test_quantiles_match_linear_interpolation(data, buckets):
+@pytest.mark.parametrize("kinds", [1, 5, 3000])
+def test_few_values_are_spread_over_all_tasks(data, kinds):
     pdf, df = data
-    got = Q.exact_quantiles(df, "k", "x", {"lo": 0.1, "mid": 0.5, "hi": 0.95}, buckets).toPandas().sort_values("k")
+    few = df.withColumn("y", F.pmod("i", F.lit(kinds)).cast("double"))
+    dealt = C.in_order(few, [F.desc("y"), F.col("k")], 8)
+    sizes = [r["count"] for r in dealt.groupBy("_chunk").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * len(pdf) / 8
+    ranks = C.ranked(few, [], "y", [F.col("k"), F.col("i")], parts=8).toPandas().sort_values(["y", "k", "i"], ascending=[False, True, True])
+    assert (ranks["rank"].values == np.arange(1, len(pdf) + 1)).all()
+    keyed = C.ranked(few, "k", "y", [F.col("i")], parts=8, total="n").toPandas().sort_values(["k", "y", "i"], ascending=[True, False, True])
+    assert (keyed["rank"] == keyed.groupby("k").cumcount() + 1).all() and (keyed.n == keyed.groupby("k").k.transform("size")).all()
+
+
+def test_no_range_that_is_sorted_is_above_the_bound(spark, monkeypatch):
+    seen = []
+    real = Q._narrowed
+    monkeypatch.setattr(Q, "_narrowed", lambda *a: seen.append(real(*a)) or seen[-1])
+    df = spark.range(5000).select((F.col("id") % 2).alias("k"), (F.col("id") * F.col("id")).cast("double").alias("x"))
+    got = Q.exact_quantiles(df, "k", "x", {"a": 0.0, "b": 0.33, "c": 0.5, "d": 1.0}, 20).orderBy("k").collect()
+    want = df.toPandas().groupby("k").x.quantile([0, 0.33, 0.5, 1]).unstack().values
+    assert np.allclose([[r.a, r.b, r.c, r.d] for r in got], want)
+    assert seen and seen[-1].agg(F.max("_d")).first()[0] <= 20
+
+
+@pytest.mark.parametrize("bound", [2, 64, 10_000])
+def test_quantiles_match_linear_interpolation(data, bound):
+    pdf, df = data
+    got = Q.exact_quantiles(df, "k", "x", {"lo": 0.1, "mid": 0.5, "hi": 0.95}, bound).toPandas().sort_values("k")
     want = pdf.groupby("k").x.quantile([0.1, 0.5, 0.95]).unstack()
     assert np.allclose(got[["lo", "mid", "hi"]].values, want.values)
     many = Q.exact_quantiles_of(df, ["k"], {"x": {"a": 0.5}, "i": {"b": 0.25}}).toPandas().sort_values("k")
