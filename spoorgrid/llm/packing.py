@@ -41,6 +41,24 @@ def encoder(ranks_path: str):
                              special_tokens={"<|endoftext|>": len(ranks)})
 
 
+@functools.lru_cache(1)
+def reference(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def ids_of(text: str, ranks_path: str) -> list[int]:
+    """Ids of a text. The fast library refuses white space of about a million characters on end; the other one, of the
+    same ids, takes it."""
+    import public_tokenizers
+
+    try:
+        return encoder(ranks_path).encode(text, allowed_special="all", disallowed_special=())
+    except ValueError:
+        return reference(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+
+
 class Pool:
     """Pieces by length; the longest (or shortest) one within a range is found on a bit mask."""
 
@@ -143,7 +161,6 @@ def pack(docs: DataFrame, ranks_path: str | None = None, tiers: tuple = TIERS, c
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
         base = TaskContext.get().partitionId() << 40
         sequences, groups = 0, 0
         held: list[tuple] = []  # (doc_id, ids, first position of these ids, tokens of the document)
@@ -176,7 +193,7 @@ def pack(docs: DataFrame, ranks_path: str | None = None, tiers: tuple = TIERS, c
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "", allowed_special="all", disallowed_special=())
+                ids = ids_of(text.as_py() or "", path)
                 ids.append(END_OF_DOCUMENT)
                 held.append((doc_id, np.array(ids, "<u4"), 0, len(ids)))
                 size += len(ids)

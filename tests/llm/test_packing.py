@@ -3,11 +3,12 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from spoorgrid.llm.packing import TIERS, encoder, pack, plan_windows, step_groups
+from spoorgrid.llm.packing import TIERS, encoder, ids_of, pack, plan_windows, step_groups
 
 TOKENS = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -64,3 +65,12 @@ def test_pieces_of_odd_rows(odd):
 
 def test_empty_table(empty):
     assert pack(empty).count() == 0
+
+
+@pytest.mark.parametrize("space", [" ", "\n", "\t", "　"])
+def test_very_long_white_space(spark, space):
+    text = space * (2_000_000 // len(space.encode())) + "a"
+    ids = TOKENS.encode(text, add_special_tokens=False).ids
+    assert ids_of(text, public_tokenizers.path("byte_bpe_50k.tiktoken")) == ids
+    rows = pack(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert sum(r.length for r in rows) == len(ids) + 1 == rows[0].doc_tokens
