@@ -6,12 +6,18 @@ each one is written to reliable storage.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spoorgrid.session import cut
 
 SALTS = 64
+#: Links that one task contracts at once.
+BATCH = 500_000
 
 
 def _with_smallest(links: DataFrame) -> DataFrame:
@@ -49,3 +55,42 @@ def components(links: DataFrame) -> DataFrame:
         links = cut(_small_star(_large_star(links)))
     stars = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root")).distinct()
+
+
+def _trees(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of some links but the smallest of its tree, and that smallest one."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[:len(a)], place[len(a):]
+    root = np.arange(len(nodes))
+    while len(x):
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        apart = low != high
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    own = root != np.arange(len(nodes))
+    return nodes[own], nodes[root[own]]
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """(a, b): fewer links that connect the same nodes, each task's links as stars around their smallest nodes.
+
+    A task works on BATCH links at a time, and there are as many tasks as the links need, so that a small table is nearly solved here
+    and components() has a round left to do.
+    """
+    links = cut(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a != b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            if sum(len(a) for a, _ in held) >= BATCH:
+                held = [_trees(*map(np.concatenate, zip(*held, strict=True)))]
+                if len(held[0][0]) >= BATCH // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in held[0]], names=["a", "b"])
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in _trees(*map(np.concatenate, zip(*held, strict=True)))], names=["a", "b"])
+
+    return links.coalesce(max(1, -(-links.count() // BATCH))).mapInArrow(run, "a long, b long")
