@@ -95,11 +95,14 @@ BINDINGS: dict[str, str] = {
         from {orders}""",
     # tracked objects: one observation per (sequence, track, frame), with gaps
     "tracks": """
-        select cast(o_orderkey % 16 as int) as track, cast(floor(o_orderkey / 16e0) as int) as frame_idx,
-               floor(o_orderkey / 16e0) * 11e-2 + (o_custkey % 5) / 1e2 as ts_sec,
-               floor(o_orderkey / 16e0) * 2e-2 + (o_custkey % 30) / 1e2 as x, (o_custkey % 17) / 1e2 as y,
-               (o_custkey % 3) / 1e1 as z
-        from {orders} where o_orderstatus <> 'P'""",
+        select track, cast(f as int) as frame_idx, f * 11e-2 + (o_custkey % 5) / 1e2 as ts_sec,
+               f * 2e-2 + (o_custkey % 30) / 1e2 as x, (o_custkey % 17) / 1e2 as y, (o_custkey % 3) / 1e1 as z
+        from (select cast(o_orderkey % 16 as int) as track, o_custkey,
+                     floor(o_orderkey / 16e0) + 4 * floor(o_orderkey / 368e0) + floor(o_orderkey / 112e0) as f from {orders}) o""",
+    # one calibration file a rig: two cameras and where the first one sits
+    "rigs": """
+        select s_suppkey as calib_id, 4e2 + s_suppkey % 17 as fx, 4e2 + s_suppkey % 13 as fy, 32e1 + s_suppkey % 5 as cx, 24e1 + s_nationkey as cy,
+               (s_suppkey % 9) / 1e2 as k1, -(s_suppkey % 7) / 1e3 as k2, s_acctbal / 1e4 as px, s_nationkey / 1e1 as py from {supplier}""",
     "presence": """
         select cast(event_id % 8 as int) as sequence, cast(floor(event_id / 8e0) as int) as frame_idx,
                case event_id % 8 % 3 when 0 then 'train' when 1 then 'validation' else 'blind_test' end as split,

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from spoorgrid.functions import cells as G
 from spoorgrid.functions import pose as P
 from spoorgrid.functions.plan import settled
-from spoorgrid.operators import chunks, compare, decisions as D, metrics, registration, relay, review, sequence, vote
+from spoorgrid.operators import chunks, compare, decisions as D, metrics, paths, registration, relay, review, sequence, vote
 from spoorgrid.plans.catalog_maps import STORES, _labels, _store
 from spoorgrid.plans.catalog_retrieval import _SUM, _SUM_REAL
 from spoorgrid.plans.catalog_sequences import HIGH_QUALITY, diverse_sql
@@ -213,12 +213,26 @@ def _(src):
 def _(src):
     cfg = relay.HysteresisConfig(margin=0.15, strong_prob=0.4, streak=2, release_streak=1, scale_min=0.5, scale_max=1.5,
                                  tracker_factor=1.2, min_advantage=0.02)
-    return relay.patch_hysteresis(_nested(src), cfg)
-
-
-@query("D11_sequence_smoothing")
-def _(src):
-    return relay.smooth_sequence(_nested(src))
+    return relay.patch_hysteresis(_nested(src), cfg, 500)
+
+
+@query("D11_sequence_smoothing", "candidates", """with recursive f as materialized (select sequence, frame_idx, cand, patch_id, x, y, yaw, final_score,
+      dense_rank() over (partition by sequence order by frame_idx) as t from candidates),
+    v as materialized (select sequence, t, cand, x, y, yaw, patch_id, final_score as s, -1 as back from f where t = 1
+      union all
+      select sequence, t, cand, any_value(x), any_value(y), any_value(yaw), any_value(patch_id), max(w) + any_value(final_score), arg_max(parent, w)
+      from (select c.*, p.cand as parent, p.s - 5e-1 * (pow(c.x - p.x, 2) + pow(c.y - p.y, 2)) / 4e0 - 5e-1 * pow(degrees(abs(c.yaw - p.yaw + pi()
+              - 2 * pi() * floor((c.yaw - p.yaw + pi()) / (2 * pi())) - pi())) / 3e1, 2) + case when c.patch_id = p.patch_id then 3e-1 else 0e0 end as w
+            from v p join f c on c.sequence = p.sequence and c.t = p.t + 1) group by sequence, t, cand),
+    ends as materialized (select sequence, max(t) as t from f group by sequence),
+    path as (select sequence, t, arg_max(cand, s) as cand from v semi join ends using (sequence, t) group by sequence, t
+      union all
+      select p.sequence, p.t - 1, v.back from path p join v on v.sequence = p.sequence and v.t = p.t and v.cand = p.cand where p.t > 1)
+    select f.sequence, f.frame_idx, f.cand as selected_idx, f.patch_id, v.s as path_score from path p
+      join f on f.sequence = p.sequence and f.t = p.t and f.cand = p.cand join v on v.sequence = p.sequence and v.t = p.t and v.cand = p.cand""",
+       real="path_score", whole="sequence frame_idx selected_idx patch_id")
+def _(src):
+    return paths.smooth_sequence(_nested(src), chunk=500)
 
 
 @query("D12_beam_tracking")

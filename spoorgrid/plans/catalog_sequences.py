@@ -392,7 +392,7 @@ def _(src):
 
 @query("D14_track_association")
 def _(src):
-    return relay.associate_tracks(src.objects.select("sequence", "target", "frame_idx", "obs_id", "x", "y", "z"))
+    return relay.associate_tracks(src.objects.select("sequence", "target", "frame_idx", "obs_id", "x", "y", "z"), chunk=500)
 
 
 # ---- studies composed from the above -----------------------------------------------------------------------

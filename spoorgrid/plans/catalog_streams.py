@@ -303,6 +303,27 @@ def _(src):
     return text.read_trajectory(src.spark, path).select("sequence", "frame_idx", "ts_sec", "px", "py", "pz")
 
 
+@query("S5_calibration_round_trip", "rigs", """select 'calib_id=' || calib_id as calib_id, camera, fx, fy + shift as fy, cx, cy, 640 as width, 480 as height,
+    k1, k2, 1e-3 as p1, px, py from rigs, (select 'left' as camera, 0e0 as shift union all select 'right', 1e0) c""",
+       real="fx fy cx cy k1 k2 p1 px py", whole="width height")
+def _(src):
+    path = _folder(src)
+    put = lambda k, v: F.concat(F.lit(f"{k}: "), v.cast("string"))
+    lines = [F.lit("# rig")]
+    for camera, shift in (("cam1", 0.0), ("cam2", 1.0)):
+        numbers = {"fx": F.col("fx"), "fy": F.col("fy") + shift, "cx": F.col("cx"), "cy": F.col("cy"), "width": F.lit(640), "height": F.lit(480)}
+        lines += [put(f"{camera}.{k}", v) for k, v in numbers.items()]
+        lines.append(F.concat(F.lit(f"{camera}.D = ["), F.concat_ws(", ", "k1", "k2", F.lit("0.001"), F.lit("0.0"), F.lit("0.0")), F.lit("]")))
+    pose = {"px": F.col("px"), "py": F.col("py"), "pz": F.lit(0.0), "qx": F.lit(0.0), "qy": F.lit(0.0), "qz": F.lit(0.0), "qw": F.lit(1.0)}
+    lines += [put(f"body.{k}", v) for k, v in pose.items()]
+    files = src.rigs.select("calib_id", F.explode(F.array(*lines)).alias("value")).repartition("calib_id")
+    files.write.partitionBy("calib_id").text(path)
+    entries = text.read_calibration_entries(src.spark, path, r"([^/]+)/[^/]+$")
+    body = text.transforms(entries, ["body"]).select("calib_id", F.col("pose")[3].alias("px"), F.col("pose")[7].alias("py"))
+    cameras = text.cameras(entries, {"left": "cam1", "right": "cam2"}).drop("p2", "k3")
+    return cameras.join(body, "calib_id")
+
+
 @query("S6_label_image_round_trip", "pixels", """select cast(sequence as varchar) as sequence, camera, frame_idx, label, count(*) as pixels, sum(u) as u, sum(v) as v
     from pixels where label > 0 group by all""", whole="frame_idx label pixels u v")
 def _(src):

@@ -40,9 +40,10 @@ def read_frame_times(spark: SparkSession, path: str) -> DataFrame:
         "frame_idx", F.col("frame_idx").cast("int"))
 
 
-def read_calibration_entries(spark: SparkSession, path: str) -> DataFrame:
-    """(calib_id, key, value) of `key: value` or `key = value` lines; comments are skipped, other lines are errors."""
-    lines = spark.read.text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("calib_id"), F.trim("value").alias("_t"))
+def read_calibration_entries(spark: SparkSession, path: str, calib_id: str = r"([^/]+)$") -> DataFrame:
+    """(calib_id, key, value) of `key: value` or `key = value` lines; comments are skipped, other lines are errors. `calib_id` is a pattern
+    of its place in the file's path."""
+    lines = spark.read.text(path).select(F.regexp_extract(F.input_file_name(), calib_id, 1).alias("calib_id"), F.trim("value").alias("_t"))
     lines = lines.where((F.col("_t") != "") & ~F.col("_t").startswith("#"))
     pattern = r"^([^:=]+?)\s*[:=]\s*(.+)$"
     ok = F.when(F.col("_t").rlike(pattern), F.col("_t")).otherwise(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from spoorgrid.operators import compare, decisions as D, matching, relay, review
+from spoorgrid.operators import compare, decisions as D, matching, paths, relay, review
 from spoorgrid.sources import reports
 
 CAND = ("patch_id int, final_score double, bev_score double, icp_inlier_ratio double, icp_rmse double, icp_valid boolean, "
@@ -48,14 +48,20 @@ def test_hysteresis_by_chunks_equals_one_pass(frames, chunk):
     assert len({g[3] for g in got}) >= 3  # several modes occur
 
 
+def test_smoothing_does_not_depend_on_chunks_nor_gaps(frames):
+    some = frames.where("frame_idx < 90 or frame_idx > 170").withColumn("frame_idx", F.when(F.col("frame_idx") > 200, F.col("frame_idx") + 1000).otherwise(F.col("frame_idx")))
+    got = [[(r[0], r[1], r[2], r[3], round(r[4], 8)) for r in paths.smooth_sequence(some, chunk=c).orderBy("sequence", "frame_idx").collect()] for c in (3, 40, 10_000)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == some.count()
+
+
 def test_smoothing_equals_exhaustive_search(spark, frames):
     short = frames.where("sequence = 1 and frame_idx < 7")
-    got = relay.smooth_sequence(short, chunk=3).orderBy("frame_idx").collect()
+    got = paths.smooth_sequence(short, chunk=3).orderBy("frame_idx").collect()
     table = [[c.asDict() for c in r.candidate_results] for r in short.orderBy("frame_idx").collect()]
     best = None
     for path in itertools.product(*[range(len(t)) for t in table]):
         s = sum(t[i]["final_score"] for t, i in zip(table, path))
-        s += sum(relay._transition(a[i], b[j], 2.0, 30.0, 0.3) for (a, i), (b, j) in zip(zip(table, path), zip(table[1:], path[1:])))
+        s += sum(paths.steps_between([a[i]], [b[j]], 2.0, 30.0, 0.3)[0, 0] for (a, i), (b, j) in zip(zip(table, path), zip(table[1:], path[1:])))
         if best is None or s > best[0]:
             best = (s, path)
     assert tuple(r.selected_idx for r in got) == best[1]
