@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spoorgrid.operators.chunks import _keys, ordered_running, ranked
 from spoorgrid.operators.quantiles import exact_quantiles, with_quantiles
+from spoorgrid.session import cut
 
 
 def error_summary(df: DataFrame, keys, error: str, extra: list[Column] | None = None) -> DataFrame:
@@ -126,42 +127,56 @@ def quartile_contrast(df: DataFrame, by: str, error: str) -> DataFrame:
                  F.avg(F.when(high, F.col(error))).alias("high_mean"))
 
 
+def _split_takes(takes: DataFrame, leaves: DataFrame, levels: int, seed: int) -> DataFrame:
+    """(trial, c, take): how many group members each trial puts into each leaf, from (trial, take) of the whole.
+
+    The leaves are the last level of a binary tree. Each level divides the members of a node between its two halves by a hypergeometric draw,
+    seeded by trial and node; nodes without members are dropped, so a level has no more rows than trials times members or nodes.
+    """
+
+    def divide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            left = [np.random.default_rng([seed, 0, int(lv), int(node), int(t)]).hypergeometric(int(x), int(y), int(n)) if x and y else n if x else 0
+                    for lv, node, t, x, y, n in zip(b.level, b.c, b.trial, b.left_size, b.right_size, b["take"])]
+            left = np.array(left, np.int64)
+            out = pd.DataFrame({"trial": np.tile(b.trial, 2), "c": np.concatenate([2 * b.c, 2 * b.c + 1]), "take": np.concatenate([left, b["take"] - left])})
+            yield out[out["take"] > 0]
+
+    takes = takes.select("trial", F.lit(0).cast("long").alias("c"), "take")
+    for level in range(levels):
+        half = F.expr(f"shiftright(c, {levels - level - 1})")
+        size = [F.coalesce(F.sum(F.when(half % 2 == side, F.col("k"))), F.lit(0)).alias(n) for side, n in ((0, "left_size"), (1, "right_size"))]
+        nodes = leaves.groupBy(F.expr(f"shiftright(c, {levels - level})").alias("c")).agg(*size).withColumn("level", F.lit(level))
+        takes = cut(takes.join(nodes, "c").mapInPandas(divide, "trial long, c long, take long"))
+    return takes
+
+
 def permutation_test(df: DataFrame, value: str, group: str, trials: int = 20000, seed: int = 0,
                      chunk_rows: int = 65536) -> DataFrame:
     """Two-sided permutation test of mean(group) - mean(rest), with the +1 correction.
 
-    A trial draws how many group members fall into each chunk from a multivariate hypergeometric
-    distribution and then which rows of the chunk they are: together a uniform permutation, without any
-    task seeing more than one chunk of values.
+    A trial draws how many group members fall into each chunk, by halves of halves of the chunks, and then which rows of a chunk they are:
+    together a uniform permutation, without any task seeing more than one chunk of values, nor any row a list of all chunks.
     """
-    from spoorgrid.session import cut
-
     given = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
     n_chunks = max(1, -(-given.count() // chunk_rows))
     packed = given.groupBy(F.pmod(F.xxhash64(value, F.monotonically_increasing_id()), F.lit(n_chunks)).alias("c")).agg(
         F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("v"), F.count_if(group).alias("m"))
-    packed = cut(packed)  # the row-to-chunk assignment must not change between the two uses below
-    # the sizes of all chunks, one row; the draws of a trial need them together
-    sizes = packed.agg(F.sort_array(F.collect_list(F.struct("c", F.size("v").alias("k")))).alias("sizes"), F.sum("m").alias("m"))
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for row in b.itertuples(index=False):
-                ids, counts = np.array([s["c"] for s in row.sizes]), np.array([s["k"] for s in row.sizes])
-                draw = np.random.default_rng([seed, 0, int(row.trial)])
-                yield pd.DataFrame({"c": ids, "trial": row.trial, "take": draw.multivariate_hypergeometric(counts, int(row.m), method="marginals")})
-
-    all_sizes = sizes.select(F.struct("sizes", "m")).scalar().alias("s")
-    takes = df.sparkSession.range(0, trials, 1, 32).select(F.col("id").alias("trial"), all_sizes).select("trial", "s.sizes", "s.m")
-    takes = takes.mapInPandas(split, "c long, trial long, take long")
+    packed = cut(packed)  # the row-to-chunk assignment must not change between the uses below
+    members = packed.agg(F.sum("m").alias("m")).scalar()
+    start = df.sparkSession.range(0, trials, 1, 32).select(F.col("id").alias("trial"), F.coalesce(members, F.lit(0)).alias("take"))
+    takes = _split_takes(start, packed.select("c", F.size("v").cast("long").alias("k")), (n_chunks - 1).bit_length(), seed)
     takes = takes.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("trial", "take"))).alias("takes"))  # one entry a trial
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples(index=False):
                 values, pick = np.asarray(row.v), np.random.default_rng([seed, 1, int(row.c)])
-                take = np.array([t["take"] for t in row.takes])
-                parts = [values[pick.permutation(len(values))[:n]].sum() for n in take]
+                whole, parts = values.sum(), []
+                for t in row.takes:  # the smaller of the group and the rest is drawn
+                    n, few = t["take"], min(t["take"], len(values) - t["take"])
+                    some = values[pick.choice(len(values), few, replace=False, shuffle=False)].sum()
+                    parts.append(some if few == n else whole - some)
                 yield pd.DataFrame({"trial": [t["trial"] for t in row.takes], "part": parts})
 
     totals = given.agg(F.count("*").alias("n"), F.sum(F.col(value).cast("double")).alias("s"), F.count_if(group).alias("m"),

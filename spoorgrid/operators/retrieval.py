@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoorgrid.operators.chunks import top_n
@@ -142,9 +142,9 @@ def truth_rank(queries: DataFrame, bank: DataFrame, skip_self: bool = True, bloc
     return q.select("qid", "truth", F.col("goal").alias("truth_score")).join(ranks, "qid")
 
 
-def blended(queries: DataFrame, bank: DataFrame, weight: float, variants: int, dims: int, skip_self: bool = True,
-            block_rows: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """Vectors whose dot product is (1 - w) * z(model 0) + w * z(model 1), standardised per query and variant.
+def blended_variants(queries: DataFrame, bank: DataFrame, weight: float, variants: int, dims: int, skip_self: bool = True,
+                     block_rows: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(qid, v, vec) and a bank: dot products are (1 - w) * z(model 0) + w * z(model 1), standardised per query and variant.
 
     A linear blend of standardised scores is itself linear in the item, so it folds into one longer vector
     and every retrieval operator applies to the result unchanged.
@@ -176,25 +176,38 @@ def blended(queries: DataFrame, bank: DataFrame, weight: float, variants: int, d
     shift = -(scale[0] * F.col("mean")[0] + scale[1] * F.col("mean")[1])
     s = s.withColumns({"_a": scale[0], "_b": scale[1], "_c": shift})
     vec = F.concat(F.transform("p0", lambda x: x * F.col("_a")), F.transform("p1", lambda x: x * F.col("_b")), F.array("_c"))
-    packed = s.select("qid", "v", vec.alias("vec")).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("v", "vec"))).alias("_v"))
-    q = packed.select("qid", F.flatten(F.transform("_v", lambda x: x["vec"])).alias("qvec"))
-    return q, bank.select("item", F.concat("bvec", F.array(F.lit(1.0))).alias("bvec"))
+    return s.select("qid", "v", vec.alias("vec")), bank.select("item", F.concat("bvec", F.array(F.lit(1.0))).alias("bvec"))
 
 
-def shortlist_rerank(candidates: DataFrame, local: str, k: int, weight: float) -> DataFrame:
-    """Add weight * z(local score) inside the shortlist (rank <= k) only, z over the shortlist; re-rank.
+def blended(queries: DataFrame, bank: DataFrame, weight: float, variants: int, dims: int, skip_self: bool = True,
+            block_rows: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """The same with the variants of a query one after the other, as retrieval takes them."""
+    singles, items = blended_variants(queries, bank, weight, variants, dims, skip_self, block_rows)
+    packed = singles.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("v", "vec"))).alias("_v"))
+    return packed.select("qid", F.flatten(F.transform("_v", lambda x: x["vec"])).alias("qvec")), items
 
-    Pass k plus as many further candidates as are wanted: nothing else can enter the result.
-    """
-    from pyspark.sql import Window
 
-    c = candidates.withColumn("_in", F.col("rank") <= k)
-    w = Window.partitionBy("qid", "_in")
-    dev = F.stddev_pop(local).over(w)
-    z = (F.col(local) - F.avg(local).over(w)) / F.when(dev < 1.0e-6, 1.0).otherwise(dev)
-    c = c.withColumn("final", F.round(F.col("score") + F.when(F.col("_in"), F.lit(weight) * z).otherwise(0.0), DIGITS))
-    order = Window.partitionBy("qid").orderBy(F.desc("final"), "item")
-    return c.withColumn("final_rank", F.row_number().over(order)).drop("_in")
+def rerank_variants(singles: DataFrame, bank: DataFrame, variants: int, local: Column, k: int, weight: float, n: int,
+                    skip_self: bool = True, block_rows: int = 4096) -> DataFrame:
+    """The n best items of each query by the largest of its variants' reranked scores: qid, item, final, variant, final_rank.
+
+    Each variant has a shortlist of its own, its k best items, whose scores gain weight * z(local), z over that shortlist; only then the
+    variants of an item are compared (the first one wins ties). `local` is an expression over qid, v and item. singles: qid, v, vec. A variant
+    hands on n items beyond its shortlist: behind those, an item has n better ones whatever its other variants say.
+    """
+    flat = singles.select((F.col("qid") * variants + F.col("v")).alias("qid"), F.col("vec").alias("qvec"))
+    top = top_k(flat, bank, k + n + int(skip_self), skip_self=False, block_rows=block_rows).drop("rank", "variant")
+    top = top.select(F.floor(F.col("qid") / variants).alias("qid"), (F.col("qid") % variants).cast("int").alias("v"), "item", "score")
+    top = top.where(F.col("qid") != F.col("item")) if skip_self else top
+    order = Window.partitionBy("qid", "v").orderBy(F.desc("score"), "item")
+    top = top.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k + n)
+    listed = Window.partitionBy("qid", "v", F.col("_rank") <= k)
+    top = top.withColumn("_local", local)
+    dev = F.stddev_pop("_local").over(listed)
+    z = (F.col("_local") - F.avg("_local").over(listed)) / F.when(dev < 1.0e-6, 1.0).otherwise(dev)
+    top = top.withColumn("final", F.round(F.col("score") + F.when(F.col("_rank") <= k, F.lit(weight) * z).otherwise(0.0), DIGITS))
+    best = top.groupBy("qid", "item").agg(F.max("final").alias("final"), F.min_by("v", F.struct(-F.col("final"), F.col("v"))).alias("variant"))
+    return top_n(best, ["qid"], [F.desc("final"), F.col("item")], n, "final_rank")
 
 
 def retrieval_report(ranks: DataFrame, ks: tuple[int, ...]) -> DataFrame:
@@ -206,8 +219,6 @@ def retrieval_report(ranks: DataFrame, ks: tuple[int, ...]) -> DataFrame:
 
 def info_nce(scores: DataFrame, temperature: float) -> DataFrame:
     """Contrastive loss per query over its positive and sampled negatives (a bounded set per query)."""
-    from pyspark.sql import Window
-
     s = scores.withColumn("_s", F.col("score") / F.lit(float(temperature)))
     s = s.withColumn("_m", F.max("_s").over(Window.partitionBy("qid")))
     return s.groupBy("qid").agg((F.log(F.sum(F.exp(F.col("_s") - F.col("_m")))) + F.max("_m")
@@ -226,6 +237,4 @@ def forced_truth(candidates: DataFrame, truth: DataFrame, k: int, seed: Column)
         F.concat(F.slice(ids, 1, k - 1), F.array("truth")))
     out = c.select("qid", "truth", F.posexplode(fixed).alias("slot", "item"))
     key = F.pmod(F.col("item") * F.lit(7919) + seed * F.lit(104729), F.lit(1000003))
-    from pyspark.sql import Window
-
     return out.withColumn("shuffled", F.row_number().over(Window.partitionBy("qid").orderBy(key, "item")) - 1)

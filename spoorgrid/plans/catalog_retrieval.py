@@ -111,9 +111,9 @@ def _(src):
     return R.top_k(_queries(src, variants=3), _bank(src), 5, variants=3)
 
 
-_BLEND = f"""{_V}, z as (select qid, item, v, 7e-1 * (s0 - avg(s0) over w) / stddev_pop(s0) over w
-    + 3e-1 * (s1 - avg(s1) over w) / stddev_pop(s1) over w as s from pv window w as (partition by qid, v)),
-    m as (select qid, item, round(max(s), 12) as score from z group by all),
+_BLEND_EACH = f"""{_V}, z as (select qid, item, v, 7e-1 * (s0 - avg(s0) over w) / stddev_pop(s0) over w
+    + 3e-1 * (s1 - avg(s1) over w) / stddev_pop(s1) over w as s from pv window w as (partition by qid, v))"""
+_BLEND = f"""{_BLEND_EACH}, m as (select qid, item, round(max(s), 12) as score from z group by all),
     bl as (select *, row_number() over (partition by qid order by score desc, item) as rank from m)"""
 
 
@@ -127,16 +127,18 @@ def _(src):
     return R.top_k(q, b, 5, variants=3).drop("variant")
 
 
-@query("W6_shortlist_rerank", "embeds", f"""with {_BLEND}, l as (select bl.*, ((qid * 31 + item * 17) % 101) / 101e0 as local_
-    from bl where rank <= 12),
-    f as (select qid, item, rank, round(score + case when rank <= 8 then 4e-1 * (local_ - avg(local_) over w)
-          / stddev_pop(local_) over w else 0 end, 12) as final from l window w as (partition by qid, rank <= 8))
-    select qid, item, final, final_rank from (select *, row_number() over (partition by qid order by final desc, item)
-    as final_rank from f) where final_rank <= 4""", real="final")
+@query("W6_shortlist_rerank", "embeds", f"""with {_BLEND_EACH},
+    o as (select *, row_number() over (partition by qid, v order by round(s, 12) desc, item) as rank from z),
+    l as (select *, ((qid * 31 + item * 17 + v * 7) % 101) / 101e0 as local_ from o),
+    f as (select qid, item, v, round(s + case when rank <= 8 then 4e-1 * (local_ - avg(local_) over w) / stddev_pop(local_) over w else 0 end, 12) as final
+          from l window w as (partition by qid, v, rank <= 8)),
+    m as (select qid, item, max(final) as final, arg_max(v, (final, -v)) as variant from f group by all)
+    select * from (select qid, item, final, variant, row_number() over (partition by qid order by final desc, item) as final_rank from m)
+    where final_rank <= 4""", real="final", whole="variant")
 def _(src):
-    q, b = _blend(src)
-    c = R.top_k(q, b, 12, variants=3).withColumn("local_", F.pmod(F.col("qid") * 31 + F.col("item") * 17, F.lit(101)) / 101.0)
-    return R.shortlist_rerank(c, "local_", 8, 0.4).where("final_rank <= 4").select("qid", "item", "final", "final_rank")
+    singles, bank = R.blended_variants(_queries(src, 2, 3), _bank(src, 2), 0.3, 3, DIM)
+    local = F.pmod(F.col("qid") * 31 + F.col("item") * 17 + F.col("v") * 7, F.lit(101)) / 101.0
+    return R.rerank_variants(singles, bank, 3, local, 8, 0.4, 4).select("qid", "item", "final", "variant", "final_rank")
 
 
 @query("W7_ensemble", "embeds", f"""with {_V}, m as (select qid, item, max(s0) as b0, arg_max(v, (s0, -v)) as v0, max(s1) as b1,

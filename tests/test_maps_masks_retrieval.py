@@ -183,3 +183,16 @@ def test_greedy_matching_of_a_long_chain(spark):
             free_l.discard(left), free_r.discard(right)
             want.add((left, right))
     assert {(r["l"], r["r"]) for r in out} == want
+
+
+def test_permutation_test_by_a_split_tree_within_its_binomial_error(spark):
+    import itertools
+
+    x, m = [3.0, 1.0, 4.0, 1.5, 9.0, 2.6, 5.3, 5.8, 9.7, 9.3, 2.3, 8.4], 5
+    df = spark.createDataFrame([(v, i < m) for i, v in enumerate(x)], "x double, g boolean").repartition(3)
+    gap = lambda some: sum(some) / m - (sum(x) - sum(some)) / (len(x) - m)
+    every = [abs(gap(c)) for c in itertools.combinations(x, m)]
+    exact = np.mean(np.array(every) >= abs(gap(x[:m])) - 1e-12)
+    for chunk in (2, 5):
+        got = metrics.permutation_test(df, "x", "g", 3000, seed=4, chunk_rows=chunk).first()
+        assert abs(got.p_value - exact) < 4.5 * np.sqrt(exact * (1 - exact) / 3000) and got.mean_difference == pytest.approx(gap(x[:m]))
