@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from spoorgrid.functions.plan import settled
 from spoorgrid.operators import metrics as M
-from spoorgrid.operators.chunks import ranked
+from spoorgrid.operators.chunks import ranked, run_starts, top_n
 from spoorgrid.operators.quantiles import exact_quantiles, with_quantiles
 from spoorgrid.operators.sequence import islands
+from spoorgrid.session import cut
 
 
 def strict_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -104,6 +105,34 @@ def spike_study(frames: DataFrame, person: float, spike: float) -> DataFrame:
         M.safe_correlation("position_error", "semi_ratio").alias("corr_dynamic"))
 
 
+def spike_runs(frames: DataFrame, spike: float) -> DataFrame:
+    """Runs of consecutive frames with an error of at least `spike`: ends, length, peak and greatest exposures, ranked by peak over all."""
+    rows = run_starts(frames.where(F.col("position_error") >= F.lit(spike)), "sequence", "frame_idx")
+    runs = rows.groupBy("sequence", F.col("run_start").alias("frame_start")).agg(
+        F.max("frame_idx").alias("frame_end"), F.count("*").alias("frames"), F.max("position_error").alias("peak_error"),
+        F.max(F.struct("position_error", -F.col("frame_idx"))).alias("_p"), F.max("person_ratio").alias("max_person"), F.max("semi_ratio").alias("max_dynamic"))
+    runs = runs.withColumn("peak_frame", -F.col("_p.col2")).drop("_p")
+    return ranked(runs, [], "peak_error", [F.col("sequence"), F.col("frame_start")], name="position")
+
+
+def top_frames(frames: DataFrame, n: int) -> DataFrame:
+    """The n frames of each sequence with the greatest error, and those with the greatest person exposure (the earlier one on ties)."""
+    lists = [top_n(frames, ["sequence"], [F.desc(c), F.col("frame_idx")], n).select(F.lit(name).alias("list"), "sequence", "frame_idx", F.col(c).alias("value"), "rank")
+             for name, c in (("error", "position_error"), ("person", "person_ratio"))]
+    return lists[0].unionByName(lists[1])
+
+
+def stability_diagnostic(frames: DataFrame, local: DataFrame) -> DataFrame:
+    """How position errors go with the map's stability around a frame: correlation, and mean errors of the lowest and highest quarter.
+
+    frames: sequence, frame_idx, position_error; local: sequence, frame_idx, local_stability. Frames without cells nearby don't count.
+    """
+    rows = cut(frames.select("sequence", "frame_idx", "position_error").join(local, ["sequence", "frame_idx"]))
+    out = rows.agg(M.safe_correlation("local_stability", "position_error").alias("correlation"), F.count("*").alias("frames"))
+    q = M.quartile_contrast(rows, "local_stability", "position_error")
+    return out.withColumns({c: q.select(c).scalar() for c in ("low_n", "high_n", "low_mean", "high_mean")})
+
+
 def exposure_by_group(rows: DataFrame, group: str, ratio: str, trigger: float) -> DataFrame:
     """Frames, mean and median exposure and share strictly above the trigger (missing exposures do not count)."""
     out = rows.groupBy(group).agg(F.count("*").alias("frames"), F.avg(ratio).alias("mean_ratio"),

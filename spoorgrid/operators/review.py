@@ -137,3 +137,20 @@ def best_centers(boxes: DataFrame, from_depth: DataFrame, from_points: DataFrame
     return j.select(*keys, *[F.coalesce("a" + n, "b" + n).alias(n) for n in names],
                     F.when(F.col("acenter_x").isNotNull(), "depth_box_interior").when(
                         F.col("bcenter_x").isNotNull(), "lidar_front_cluster").alias("center_source"))
+
+
+def review_packets(linked: DataFrame, centres: DataFrame) -> DataFrame:
+    """One packet per anchor: its linked boxes and the world centre of each frame as text in window order, path, displacement and a motion hint.
+
+    linked: anchor_id, sequence, frame_idx, offset and box; centres: sequence, frame_idx, center_x, center_y, center_z and center_source, as
+    best_centers gives them. Frames without a centre count as boxes, not as observations.
+    """
+    from spoorgrid.operators.sequence import motion_hint
+
+    seen = linked.join(centres, ["sequence", "frame_idx"], "left")
+    hint = motion_hint(seen.select("anchor_id", "offset", *[F.col(f"center_{c}").alias(c) for c in ("x", "y", "z")]), ["anchor_id"], "offset")
+    box = F.concat_ws(",", F.col("offset"), *[F.col(c).cast("bigint") for c in ("x1", "y1", "x2", "y2")])
+    parts = F.sort_array(F.collect_list(F.struct("offset", box.alias("box"), F.coalesce("center_source", F.lit("none")).alias("source"))))  # a window of frames
+    boxes = seen.groupBy("anchor_id").agg(F.first("sequence").alias("sequence"), F.count("*").alias("boxes"), parts.alias("_p"))
+    text = F.concat(F.lit("["), F.array_join("_p.box", ";"), F.lit("]"))
+    return boxes.select("anchor_id", "sequence", "boxes", text.alias("track_boxes"), F.array_join("_p.source", ";").alias("center_sources")).join(hint, "anchor_id")

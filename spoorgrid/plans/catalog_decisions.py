@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from spoorgrid.functions import cells as G
 from spoorgrid.functions import pose as P
 from spoorgrid.functions.plan import settled
-from spoorgrid.operators import chunks, compare, decisions as D, metrics, paths, registration, relay, review, sequence, vote
+from spoorgrid.operators import chunks, compare, decisions as D, metrics, paths, registration, relay, review, sequence, spatial, vote
 from spoorgrid.plans.catalog_maps import STORES, _labels, _store
 from spoorgrid.plans.catalog_retrieval import _SUM, _SUM_REAL
 from spoorgrid.plans.catalog_sequences import HIGH_QUALITY, diverse_sql
@@ -698,22 +698,30 @@ def _(src):
     return review.link_boxes(a, src.detections, 2).select("anchor_id", "frame_idx", "x1", "y1", "score", "iou", F.col("offset").alias("offset_"))
 
 
-@query("D17_world_centres", "points", """with n as (select *, count(*) over (partition by sequence, frame_idx) as n, quantile_cont(z, 3e-1) over
+_CENTRES = """n as (select *, count(*) over (partition by sequence, frame_idx) as n, quantile_cont(z, 3e-1) over
     (partition by sequence, frame_idx) as front from points), m as (select *, count(*) filter (where z <= front) over (partition by sequence, frame_idx) as m
     from n where n >= 3), u as (select * from m where z <= front or m < 3),
-    f as (select sequence, frame_idx, quantile_cont(x, 5e-1) as fx, quantile_cont(y, 5e-1) as fy from u group by all),
-    d as (select sequence, frame_idx, quantile_cont(x, 5e-1) as dx, quantile_cont(y, 5e-1) as dy from points where label = 13 group by all),
-    k as (select distinct sequence, frame_idx from points)
-    select k.sequence, k.frame_idx, coalesce(dx, fx) as center_x, coalesce(dy, fy) as center_y, case when dx is not null then 'depth_box_interior'
-    when fx is not null then 'lidar_front_cluster' end as center_source from k left join f using (sequence, frame_idx) left join d using (sequence, frame_idx)""",
-       real="center_x center_y", whole="sequence frame_idx")
-def _(src):
+    f as (select sequence, frame_idx, quantile_cont(x, 5e-1) as fx, quantile_cont(y, 5e-1) as fy, quantile_cont(z, 5e-1) as fz from u group by all),
+    d as (select sequence, frame_idx, quantile_cont(x, 5e-1) as dx, quantile_cont(y, 5e-1) as dy, quantile_cont(z, 5e-1) as dz from points where label = 13 group by all),
+    k as (select distinct sequence, frame_idx from points),
+    centres as (select k.sequence, k.frame_idx, coalesce(dx, fx) as center_x, coalesce(dy, fy) as center_y, coalesce(dz, fz) as center_z,
+      case when dx is not null then 'depth_box_interior' when fx is not null then 'lidar_front_cluster' end as center_source
+      from k left join f using (sequence, frame_idx) left join d using (sequence, frame_idx))"""
+
+
+def _centres(src):
     from spoorgrid.operators.components import extent_stats
 
     p = src.points
     front = review.front_cluster(p.withColumn("depth", F.col("z")), FRAME)
     depth = extent_stats(p.where("label = 13").select(*FRAME, "x", "y", "z"), FRAME)
-    return review.best_centers(p.select(*FRAME).distinct(), depth, front, FRAME).select(*FRAME, "center_x", "center_y", "center_source")
+    return review.best_centers(p.select(*FRAME).distinct(), depth, front, FRAME)
+
+
+@query("D17_world_centres", "points", f"with {_CENTRES} select sequence, frame_idx, center_x, center_y, center_source from centres",
+       real="center_x center_y", whole="sequence frame_idx")
+def _(src):
+    return _centres(src).select(*FRAME, "center_x", "center_y", "center_source")
 
 
 @query("Q24_detection_manifest", "detections", "with recursive " + diverse_sql(
@@ -728,12 +736,35 @@ def _(src):
     return review.anchor_windows(chosen, last, "frame_idx", 2)
 
 
-@query("Q25_review_packets")
+@query("Q25_review_packets", "components detections points", f"""with st as (select component_id as anchor_id, sequence, frame_idx, x1, y1, x2, y2, 1e0 as score,
+    0e0 as iou, 0 as off from components where {_HQ}), {_link_sql(-1, 1)}, {_link_sql(-1, 2)}, {_link_sql(1, 1)}, {_link_sql(1, 2)},
+    linked as (select * from st union all select * from lm1 union all select * from lm2 union all select * from lp1 union all select * from lp2), {_CENTRES},
+    s as (select l.*, center_x as x, center_y as y, center_z as z, center_source from linked l left join centres c using (sequence, frame_idx)),
+    p as (select *, lag(x) over w as lx, lag(y) over w as ly, lag(z) over w as lz from s where x is not null window w as (partition by anchor_id order by off)),
+    g as (select anchor_id, count(*) as observed, coalesce(sum(sqrt(pow(x - lx, 2) + pow(y - ly, 2) + pow(z - lz, 2))), 0) as path,
+          sqrt(pow(arg_max(x, off) - arg_min(x, off), 2) + pow(arg_max(y, off) - arg_min(y, off), 2) + pow(arg_max(z, off) - arg_min(z, off), 2)) as net from p group by all),
+    b as (select anchor_id, any_value(sequence) as sequence, count(*) as boxes, string_agg(concat_ws(',', off, cast(x1 as bigint), cast(y1 as bigint), cast(x2 as bigint),
+          cast(y2 as bigint)), ';' order by off) as track_boxes, string_agg(coalesce(center_source, 'none'), ';' order by off) as center_sources from s group by anchor_id)
+    select anchor_id, sequence, boxes, '[' || track_boxes || ']' as track_boxes, center_sources, coalesce(observed, 0) as observed, case when observed >= 3 then path end as path_length,
+           case when observed >= 3 then net end as net_displacement, case when coalesce(observed, 0) < 3 then 'insufficient_3d_evidence'
+           when net < 2e-1 and path < 35e-2 then 'likely_static_relative_to_map' when net >= 5e-1 or path >= 8e-1 then 'potentially_moving' else 'ambiguous_motion' end
+           as motion_hint from b left join g using (anchor_id)""", real="path_length net_displacement", whole="sequence boxes observed")
 def _(src):
     a = src.components.where(D.high_quality()).withColumnRenamed("component_id", "anchor_id")
-    linked = review.link_boxes(a, src.detections, 2)
-    centres = linked.select("anchor_id", "offset", ((F.col("x1") + F.col("x2")) / 20.0).alias("x"), ((F.col("y1") + F.col("y2")) / 20.0).alias("y"),
-                            F.lit(1.0).alias("z"))
-    hint = sequence.motion_hint(centres, ["anchor_id"], "offset")
-    boxes = linked.groupBy("anchor_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("offset", "x1", "y1", "x2", "y2")))).alias("track_boxes"))
-    return hint.join(boxes, "anchor_id")
+    return review.review_packets(review.link_boxes(a, src.detections, 2), _centres(src))
+
+
+@query("Q22_stability_diagnostic", "points poses frames", f"""with {STORES},
+    c as (select ix + 5e-1 as cx, iy + 5e-1 as cy, observed, stability from st where role = 'initial'),
+    near as (select sequence, frame_idx, sum(observed * stability) / sum(observed) as s from poses join c
+      on (px * 5 - cx) * (px * 5 - cx) + (py * 5 - cy) * (py * 5 - cy) <= 4 group by all),
+    r as (select near.s, f.position_error as e from near join frames f using (sequence, frame_idx)),
+    q as (select quantile_cont(s, 25e-2) as q1, quantile_cont(s, 75e-2) as q3 from r)
+    select corr(s, e) as correlation, count(*) as frames, count(*) filter (where s <= q1) as low_n, count(*) filter (where s >= q3) as high_n,
+           avg(e) filter (where s <= q1) as low_mean, avg(e) filter (where s >= q3) as high_mean from r, q""", real="correlation low_mean high_mean")
+def _(src):
+    c = _store(src, "initial").select((F.col("ix") + 0.5).alias("cx"), (F.col("iy") + 0.5).alias("cy"), "observed", vote.stability(6.0).alias("stability"))
+    p = src.poses.select(*FRAME, (F.col("px") * 5).alias("x"), (F.col("py") * 5).alias("y"))
+    near = spatial.within_radius(p, c, "x", "y", "cx", "cy", 2.0).groupBy(*FRAME).agg(
+        (F.sum(F.col("observed") * F.col("stability")) / F.sum("observed")).alias("local_stability"))
+    return compare.stability_diagnostic(src.frames, near)

@@ -441,6 +441,27 @@ def _(src):
     return spike_study(src.frames, 0.2, 0.5)
 
 
+@query("Q13_spike_runs", "frames", """with s as (select *, frame_idx - row_number() over (partition by sequence order by frame_idx) as grp from frames where position_error >= 5e-1),
+    r as (select sequence, min(frame_idx) as frame_start, max(frame_idx) as frame_end, count(*) as frames, max(position_error) as peak_error,
+          max(person_ratio) as max_person, max(semi_ratio) as max_dynamic, arg_max(frame_idx, (position_error, -frame_idx)) as peak_frame from s group by sequence, grp)
+    select *, row_number() over (order by peak_error desc, sequence, frame_start) as position from r""",
+       real="peak_error max_person max_dynamic", whole="sequence frame_start frame_end peak_frame")
+def _(src):
+    from spoorgrid.operators.compare import spike_runs
+
+    return spike_runs(src.frames, 0.5)
+
+
+@query("Q13_top_frames", "frames", """with l as (select 'error' as list, sequence, frame_idx, position_error as value from frames
+      union all select 'person', sequence, frame_idx, person_ratio from frames)
+    select * from (select *, row_number() over (partition by list, sequence order by value desc, frame_idx) as rank from l) where rank <= 30""",
+       real="value", whole="sequence frame_idx")
+def _(src):
+    from spoorgrid.operators.compare import top_frames
+
+    return top_frames(src.frames, 30)
+
+
 @query("Q14_case_control_queue", "frames", f"""with {_SEG}, {_ROBIN}, {_CTRL},
     pick as (select * from rr where position <= 20),
     rows_ as (select split, position, 0 as side, 'high_error' as condition, sequence, anchor_frame, start_frame, end_frame from pick
@@ -473,18 +494,6 @@ def _(src):
     return filter_comparison(a, b, g, FRAME)
 
 
-@query("Q22_stability_diagnostic", "frames", """
-    select corr(semi_ratio, position_error) as correlation, count(*) as frames,
-           avg(position_error) filter (where semi_ratio <= (select quantile_cont(semi_ratio, 25e-2) from frames)) as low_mean,
-           avg(position_error) filter (where semi_ratio >= (select quantile_cont(semi_ratio, 75e-2) from frames)) as high_mean
-    from frames""", real="correlation low_mean high_mean")
-def _(src):
-    f = src.frames
-    c = f.agg(metrics.safe_correlation("semi_ratio", "position_error").alias("correlation"), F.count("*").alias("frames"))
-    q = metrics.quartile_contrast(f, "semi_ratio", "position_error").select("low_mean", "high_mean")
-    return c.withColumns({"low_mean": q.select("low_mean").scalar(), "high_mean": q.select("high_mean").scalar()})
-
-
 @query("Q17_exposure_by_failure", "frames", """
     with g as (select case when position_error <= 1e-1 then 'normal' when position_error >= 2e-1 then 'high' end as grp,
                case when event_type <> 'signup' then semi_ratio end as ratio from frames)

@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from spoorgrid.functions import cells as G
+from spoorgrid.operators import decisions as D
 from spoorgrid.operators import learning as L
 from spoorgrid.operators import metrics as M
 from spoorgrid.operators import relay, vote
@@ -236,25 +237,58 @@ def _(src):
         "temporal_position_jump_m", "semantic_filter_semi_dynamic_point_ratio")
 
 
+def _gate_samples(src):
+    """Gate rows with the nineteen reliability features of their best candidate and what their sources predict."""
+    best = src.candidates.where("cand = 0").select(*FRAME, "deep_match_probability", "deep_pose_confidence", "bev_score", "icp_inlier_ratio", "icp_rmse", "rerank_probability")
+    g = src.gate.join(best, FRAME).join(src.frames.select(*FRAME, "semi_ratio", "occlusion_ratio"), FRAME)
+    deep, tracker = F.col("deep_error").isNotNull(), F.col("tracker_error").isNotNull()
+    f = D.gate_features({
+        "deep_prob": F.col("deep_match_probability"), "confidence": F.col("deep_pose_confidence"), "bev": F.col("bev_score"), "deep_bev": F.when(deep, F.col("deep_logit")),
+        "bev_inlier": F.col("icp_inlier_ratio"), "deep_inlier": F.when(deep, F.col("rerank_probability")), "tracker_inlier": F.when(tracker, F.col("tracker_logit") * 2),
+        "bev_rmse": F.col("icp_rmse"), "deep_rmse": F.when(deep, F.col("icp_rmse") * 2), "tracker_rmse": F.when(tracker, F.col("icp_rmse") * 3),
+        "bev_temporal": F.col("bev_logit"), "deep_temporal": F.when(deep, F.col("deep_logit") * 2), "tracker_temporal": F.when(tracker, F.col("tracker_logit")),
+        "deep_available": deep, "tracker_available": tracker, "person": F.col("person_ratio"), "dynamic": F.col("semi_ratio"), "movable": F.col("occlusion_ratio")})
+    label = F.when(F.coalesce(F.col("deep_error") < F.col("bev_error"), F.lit(False)), 1.0).when(
+        F.coalesce(F.col("tracker_error") < F.col("bev_error"), F.lit(False)), 2.0).otherwise(0.0)
+    return g.select(*FRAME, "bev_error", "deep_error", "tracker_error", f.alias("features"), F.array(F.lit(True), deep, tracker).alias("available"), label.alias("label"))
+
+
+def _split_features(samples):
+    names = [f"f{i}" for i in range(19)]
+    return samples.withColumns({n: F.col("features")[i] for i, n in enumerate(names)}), names
+
+
+@query("F3_gate_samples", "gate candidates frames", """select sequence, frame_idx, 19 as size, deep_match_probability + 2 * deep_pose_confidence + 3 * bev_score +
+      4 * coalesce(deep_logit_, bev_score) + 5 * icp_inlier_ratio + 6 * coalesce(rerank_, 0) + 7 * coalesce(tracker_ * 2, 0) as first_seven,
+      least(icp_rmse, 3) / 3 + case when deep_error is null then 1 else least(icp_rmse * 2, 3) / 3 end * 2 + case when tracker_error is null then 1 else least(icp_rmse * 3, 3) / 3 end * 3
+      as rmses, bev_logit + 2 * coalesce(deep_logit_ * 2, 0) + 3 * coalesce(tracker_, 0) as temporal, 1 + 2 * (deep_error is not null)::int + 4 * (tracker_error is not null)::int as flags,
+      person_ratio + 2 * semi_ratio + 3 * occlusion_ratio as exposure, case when deep_error < bev_error then 1 when tracker_error < bev_error then 2 else 0 end as label
+    from (select g.*, c.* exclude (sequence, frame_idx), f.semi_ratio, f.occlusion_ratio, case when deep_error is not null then deep_logit end as deep_logit_,
+          case when deep_error is not null then rerank_probability end as rerank_, case when tracker_error is not null then tracker_logit end as tracker_
+          from gate g join (select sequence, frame_idx, deep_match_probability, deep_pose_confidence, bev_score, icp_inlier_ratio, icp_rmse, rerank_probability from candidates where cand = 0) c
+          using (sequence, frame_idx) join frames f using (sequence, frame_idx)) t""",
+       real="first_seven rmses temporal exposure flags label", whole="sequence frame_idx size")
+def _(src):
+    s, names = _split_features(_gate_samples(src))
+    total = lambda at: sum((F.col(names[i]) * (k + 1) for k, i in enumerate(at)), F.lit(0.0))
+    flags = F.col("f13") + 2 * F.col("f14") + 4 * F.col("f15")
+    return s.select(*FRAME, F.size("features").alias("size"), total(range(7)).alias("first_seven"), total(range(7, 10)).alias("rmses"), total(range(10, 13)).alias("temporal"),
+                    flags.alias("flags"), total(range(16, 19)).alias("exposure"), "label")
+
+
 @query("F3_source_risks")
 def _(src):
-    g = src.gate
-    features = ["bev_logit", "deep_logit", "tracker_logit", "person_ratio"]
-    model = L.fit_source_risks(g.where("sequence < 6"), features, "tracker_error", trees=20)
-    p = model.transform(L._doubles(g.where("sequence >= 6 and tracker_error is not null"), features))
+    s, names = _split_features(_gate_samples(src))
+    model = L.fit_source_risks(s.where("sequence < 6"), names, "tracker_error", trees=40)
+    p = model.transform(s.where("sequence >= 6 and tracker_error is not null"))
     p = p.withColumn("risk", F.greatest(F.expm1("prediction"), F.lit(0.0)))
     return M.regression_report(p, "sequence", "risk", "tracker_error")
 
 
 @query("F3_gate_classifier")
 def _(src):
-    g = src.gate
-    s = g.select(*FRAME, F.array("bev_logit", "deep_logit", "tracker_logit", "person_ratio").alias("features"),
-                 F.array(F.lit(True), F.col("deep_error").isNotNull(), F.col("tracker_error").isNotNull()).alias("available"),
-                 F.when(F.coalesce(F.col("deep_error") < F.col("bev_error"), F.lit(False)), 1.0).when(
-                     F.coalesce(F.col("tracker_error") < F.col("bev_error"), F.lit(False)), 2.0).otherwise(0.0).alias("label"))
-    model = L.fit_gate_classifier(s.where("sequence < 6"), 4, 32)
-    p = L.gate_probabilities(model, s.where("sequence >= 6"))
+    s = _gate_samples(src)
+    p = L.gate_probabilities(L.fit_gate_classifier(s.where("sequence < 6"), 19, 32), s.where("sequence >= 6"))
     pick = F.array_position("source_probabilities", F.array_max("source_probabilities")) - 1
     return p.groupBy("sequence").agg(F.count("*").alias("n"), F.avg((pick == F.col("label")).cast("double")).alias("accuracy"))
 
