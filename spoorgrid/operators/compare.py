@@ -105,6 +105,20 @@ def spike_study(frames: DataFrame, person: float, spike: float) -> DataFrame:
         M.safe_correlation("position_error", "semi_ratio").alias("corr_dynamic"))
 
 
+def map_rerank(scores: dict[str, DataFrame], weight: float) -> DataFrame:
+    """(method, sequence, frame_idx, position_error, patch_id): the candidate chosen by the first score alone, by each map's blend and by the oracle.
+
+    scores: method name to candidates (sequence, frame_idx, cand, patch_id, final_score, position_error, semantic_score), the same candidates
+    scored against different stability layers.
+    """
+    keys, out = ["sequence", "frame_idx", "cand"], None
+    for name, one in scores.items():
+        one = one.withColumnRenamed("semantic_score", f"_s_{name}")
+        out = one if out is None else out.join(one.select(*keys, f"_s_{name}"), keys)
+    methods = {name: F.round(F.col("final_score") + F.lit(weight) * F.col(f"_s_{name}"), 9) for name in scores}
+    return rerank_methods(out, {"candidate_final_score": F.col("final_score"), **methods, "oracle_topk": -F.col("position_error")})
+
+
 def spike_runs(frames: DataFrame, spike: float) -> DataFrame:
     """Runs of consecutive frames with an error of at least `spike`: ends, length, peak and greatest exposures, ranked by peak over all."""
     rows = run_starts(frames.where(F.col("position_error") >= F.lit(spike)), "sequence", "frame_idx")

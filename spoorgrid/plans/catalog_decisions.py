@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 from spoorgrid.functions import cells as G
 from spoorgrid.functions import pose as P
 from spoorgrid.functions.plan import settled
-from spoorgrid.operators import chunks, compare, decisions as D, metrics, paths, registration, relay, review, sequence, spatial, vote
+from spoorgrid.operators import chunks, compare, decisions as D, learning, metrics, paths, registration, relay, review, sequence, spatial, vote
 from spoorgrid.plans.catalog_maps import STORES, _labels, _store
 from spoorgrid.plans.catalog_retrieval import _SUM, _SUM_REAL
 from spoorgrid.plans.catalog_sequences import HIGH_QUALITY, diverse_sql
 from spoorgrid.plans.registry import query
+from spoorgrid.session import cut
 from spoorgrid.sources import manifests, reports
 
 FRAME = ["sequence", "frame_idx"]
@@ -505,13 +506,13 @@ _SEM = f"""{STORES}, cd as (select sequence, frame_idx, c as cand, c * 3 as patc
            left join ag using (sequence, frame_idx, cand))"""
 
 
-def _semantic(src, stability=None):
+def _semantic(src, layer=None):
     c = src.poses.withColumn("cand", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     k = F.col("cand")
     c = c.select(*FRAME, "cand", (k * 3).alias("patch_id"), (1.0 - k * 0.1).alias("final_score"), (F.col("px") + k * 0.4).alias("x"),
                  (F.col("py") - k * 0.3).alias("y"), (F.col("yaw") + k * 0.1).alias("yaw"),
                  F.sqrt(F.pow(k * 0.4 - 0.2, F.lit(2)) + F.pow(k * 0.3, F.lit(2))).alias("position_error"))
-    s = _store(src, "initial").select("ix", "iy", (vote.stability(6.0) if stability is None else stability).alias("stability"))
+    s = _store(src, "initial").select("ix", "iy", vote.stability(6.0).alias("stability")) if layer is None else layer
     out = compare.semantic_candidate_scores(src.points.select(*FRAME, "x", "y", "label"), c, vote.label_probabilities(_labels(src, "initial")), s, 1.0)
     return out.withColumn("semantic_score", F.round("semantic_score", 9))
 
@@ -541,15 +542,28 @@ def _(src):
     return metrics.error_summary(metrics.with_combined(m, "sequence"), ["method", "sequence"], "position_error")
 
 
-@query("Q4_learned_map_rerank", "points poses", f"""with {_SEM.replace('coalesce(s.stability, 0) as s', 'coalesce((s.n_static + 5e-1 * s.n_semi) / greatest(s.observed, 1) * (1 - exp(-greatest(s.observed, 1) / 3e0)), 0) as s')},
-    m as ({_method_sql({'baseline': 'final_score', 'learned_map': 'round(final_score + 2e0 * semantic_score, 9)'})})
+def _heuristic_layer(src):
+    return _store(src, "initial").select("ix", "iy", vote.heuristic_stability(3.0).alias("stability"))
+
+
+@query("Q4_heuristic_map_rerank", "points poses", f"""with {_SEM.replace('coalesce(s.stability, 0) as s', 'coalesce((s.n_static + 5e-1 * s.n_semi) / greatest(s.observed, 1) * (1 - exp(-greatest(s.observed, 1) / 3e0)), 0) as s')},
+    m as ({_method_sql({'candidate_final_score': 'final_score', 'heuristic_map_blend': 'round(final_score + 2e0 * semantic_score, 9)', 'oracle_topk': '-position_error'})})
     select method, {_SUM} from m group by method""", real=_SUM_REAL)
 def _(src):
-    s = _semantic(src, vote.heuristic_stability(3.0))
-    m = compare.rerank_methods(s, {"baseline": F.col("final_score"), "learned_map": F.round(F.col("final_score") + 2.0 * F.col("semantic_score"), 9)})
+    m = compare.map_rerank({"heuristic_map_blend": _semantic(src, _heuristic_layer(src))}, 2.0)
     return metrics.error_summary(m, "method", "position_error")
 
 
+@query("Q4_learned_map_rerank")
+def _(src):
+    before = _store(src, "initial")
+    t = vote.learning_table(before, vote.merge_stores(before, _store(src, "crossday")), 2, 2)
+    t = t.join(vote.feature_patches(t.select("ix", "iy"), vote.cell_features(before), 1), ["ix", "iy"])
+    layer = cut(learning.learned_layer(learning.fit_cell_reliability(t.where("not validation"), trees=60), before))
+    m = compare.map_rerank({"heuristic_map_blend": _semantic(src, _heuristic_layer(src)), "learned_map_blend": _semantic(src, layer)}, 2.0)
+    return metrics.error_summary(metrics.with_combined(m, "sequence"), ["method", "sequence"], "position_error")
+
+
 _REF = """rf as (select sequence, event_id, cand, cast(floor(icp_inlier_ratio * 60) as int) as inliers, icp_inlier_ratio as inlier_ratio, icp_rmse as rmse,
     abs(x - gt_x) as delta_xy, abs(degrees(yaw - gt_yaw)) as delta_yaw_deg, sqrt(pow(pred_x - gt_x, 2) + pow(pred_y - gt_y, 2)) as base_error,
     sqrt(pow(x - gt_x, 2) + pow(y - gt_y, 2)) as new_error from candidates),

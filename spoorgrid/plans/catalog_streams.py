@@ -299,7 +299,7 @@ def _(src):
     t = vote.learning_table(a, vote.merge_stores(a, _store(src, "crossday")), 2, 2)
     patches = vote.feature_patches(t.select("ix", "iy"), vote.cell_features(a), 1)
     t = t.join(patches, ["ix", "iy"])
-    model = L.fit_cell_reliability(t.where("not validation"), trees=20)
+    model = L.fit_cell_reliability(t.where("not validation"), trees=60)
     p = L.predict_cells(model, t.where("validation")).withColumn("_g", F.lit("validation"))
     learned = M.regression_report(p, "_g", "prediction", "target").withColumn("method", F.lit("learned"))
     return learned.unionByName(M.regression_report(p, "_g", "heuristic", "target").withColumn("method", F.lit("heuristic"))).drop("_g")

@@ -170,3 +170,22 @@ def test_selected_candidate_resolution(spark):
                                "k int, i int, candidate_results array<struct<cand:int,patch_id:int>>")
     got = [r.p for r in df.orderBy("k").select(reports.selected_candidate("i", F.lit(7))["patch_id"].alias("p")).collect()]
     assert got == [7, 7, None, 7]
+
+
+def test_map_rerank_compares_all_layers_on_the_same_candidates(spark):
+    names = "sequence int, frame_idx int, cand int, patch_id int, final_score double, position_error double, semantic_score double"
+    a = spark.createDataFrame([(0, 0, 0, 5, 1.0, 0.9, 0.0), (0, 0, 1, 6, 0.9, 0.5, 0.1), (0, 0, 2, 7, 0.8, 0.1, 0.0)], names)
+    b = spark.createDataFrame([(0, 0, 0, 5, 1.0, 0.9, 0.0), (0, 0, 1, 6, 0.9, 0.5, 0.0), (0, 0, 2, 7, 0.8, 0.1, 0.05)], names)
+    got = {r.method: r.patch_id for r in compare.map_rerank({"heuristic": a, "learned": b}, 2.0).collect()}
+    assert got == {"candidate_final_score": 5, "heuristic": 6, "learned": 5, "oracle_topk": 7}
+
+
+def test_review_packets_without_centres_have_boxes_but_no_path(spark):
+    linked = spark.createDataFrame([(1, 0, f, f - 5, 1.0, 2.0, 3.0, 4.0) for f in (4, 5, 6)] + [(2, 0, 9, 0, 1.0, 2.0, 3.0, 4.0)],
+                                   "anchor_id int, sequence int, frame_idx int, offset int, x1 double, y1 double, x2 double, y2 double")
+    centres = spark.createDataFrame([(0, f, float(f), 0.0, 0.0, "depth_box_interior") for f in (4, 5, 6)],
+                                    "sequence int, frame_idx int, center_x double, center_y double, center_z double, center_source string")
+    got = {r.anchor_id: r for r in review.review_packets(linked, centres).collect()}
+    assert (got[1].observed, got[1].path_length, got[1].motion_hint) == (3, 2.0, "potentially_moving")
+    assert got[1].track_boxes == "[-1,1,2,3,4;0,1,2,3,4;1,1,2,3,4]"
+    assert (got[2].observed, got[2].path_length, got[2].center_sources) == (0, None, "none")
