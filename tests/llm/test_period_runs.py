@@ -89,7 +89,7 @@ def test_one_word_over_and_over(spark):
 def test_odd_rows(spark, odd, empty):
     frame = odd.withColumnsRenamed({"size": "key", "_shard": "period", "lang": "h"})
     key = lambda r: (r[0] is None, r[0] or 0, r[-1])
-    for tile in (5, 4096):
+    for tile in (64, 4096):
         got = periodic_runs(frame, tile=tile)
         want = []
         for r in odd.collect():

@@ -65,3 +65,17 @@ def test_odd_rows(odd, empty):
     by = {r[0]: r for r in out}
     assert by[0]["fingerprint"] == "0" * 16 and by[2]["component_id"] == 0
     assert by[9]["component_id"] == by[10]["component_id"] == by[11]["component_id"]
+
+
+def test_contracted_links_connect_the_same_nodes(spark, monkeypatch):
+    from spoorgrid.llm import components as C
+
+    rng = np.random.default_rng(8)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 900, (700, 2))] + [(5, 5), (1, 2), (1, 2)]
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(6)
+    want = sorted(map(tuple, C.components(links).collect()))
+    for batch in (500_000, 40):
+        monkeypatch.setattr(C, "BATCH", batch)
+        few = C.contracted(links)
+        assert sorted(map(tuple, C.components(few).collect())) == want and few.count() <= 700
+    assert C.contracted(links.limit(0)).count() == 0
