@@ -214,7 +214,7 @@ def _(src):
 def _(src):
     cfg = relay.HysteresisConfig(margin=0.15, strong_prob=0.4, streak=2, release_streak=1, scale_min=0.5, scale_max=1.5,
                                  tracker_factor=1.2, min_advantage=0.02)
-    return relay.patch_hysteresis(_nested(src), cfg, 500)
+    return relay.patch_hysteresis(_nested(src), cfg, 1000)
 
 
 @query("D11_sequence_smoothing", "candidates", """with recursive f as materialized (select sequence, frame_idx, cand, patch_id, x, y, yaw, final_score,

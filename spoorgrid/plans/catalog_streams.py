@@ -5,11 +5,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from spoorgrid.functions import cells as G
+from spoorgrid.functions import pose as P
 from spoorgrid.operators import decisions as D
 from spoorgrid.operators import learning as L
 from spoorgrid.operators import metrics as M
 from spoorgrid.operators import relay, vote
 from spoorgrid.plans.bindings import _SPARK_DIALECT, BINDINGS, _dialect, _g, _h, table
+from spoorgrid.plans.catalog_decisions import _SIDE, _side, _wrap_sql
 from spoorgrid.plans.catalog_maps import _store
 from spoorgrid.plans.registry import query
 from spoorgrid.session import shared_folder
@@ -203,12 +205,33 @@ def _(src):
     return j.groupBy(*FRAME).agg(F.count("*").alias("samples"))
 
 
+#: What a sidecar knows of a frame when it decides, none of it from ground truth.
+GAIN_FEATURES = ["semi_ratio", "raw_inlier", "raw_rmse", "side_inlier", "side_rmse", "inlier_gain", "rmse_gain", "shift", "turn_deg", "raw_probability", "raw_temporal"]
+
+
+def _gain_examples(src):
+    """Frames whose sidecar was applied, with its features and the change of the position error."""
+    side = _side(src).where("applied").withColumn("delta", P.xy_error("out_x", "out_y", "gt_x", "gt_y") - P.xy_error("x", "y", "gt_x", "gt_y"))
+    raw = src.candidates.where("cand = 0").select(
+        "event_id", F.col("icp_inlier_ratio").alias("raw_inlier"), F.col("icp_rmse").alias("raw_rmse"), F.col("rerank_probability").alias("side_inlier"),
+        (F.col("icp_rmse") * 0.9).alias("side_rmse"), F.col("deep_match_probability").alias("raw_probability"), F.col("coarse_score").alias("raw_temporal"))
+    out = side.select("event_id", "delta", "inlier_gain", "rmse_gain", "shift", "turn_deg").join(raw, "event_id")
+    return out.join(src.frames.select("event_id", *FRAME, "split", "semi_ratio"), "event_id").select(*FRAME, "split", "delta", *GAIN_FEATURES)
+
+
+@query("F1_gain_features", "candidates frames", f"""with {_SIDE} select sd.sequence, sd.frame_idx, split, sqrt(pow(rx - sd.gt_x, 2) + pow(ry - sd.gt_y, 2)) - raw_error as delta, semi_ratio,
+    icp_inlier_ratio as raw_inlier, icp_rmse as raw_rmse, r_inlier as side_inlier, r_rmse as side_rmse, r_inlier - icp_inlier_ratio as inlier_gain, icp_rmse - r_rmse as rmse_gain,
+    sqrt(pow(rx - x, 2) + pow(ry - y, 2)) as shift, abs(degrees({_wrap_sql('(ryaw - yaw)')})) as turn_deg, deep_match_probability as raw_probability, coarse_score as raw_temporal
+    from sd join frames f using (event_id) where applied""", real="delta " + " ".join(GAIN_FEATURES), whole="sequence frame_idx")
+def _(src):
+    return _gain_examples(src)
+
+
 @query("F1_gain_gate")
 def _(src):
-    f = src.frames.withColumn("delta", F.col("position_error") * (F.col("semi_ratio") - 0.1))
-    features = ["semi_ratio", "person_ratio", "occlusion_ratio"]
-    model = L.fit_gain_gate(f.where("split = 'train'"), features, "delta")
-    return L.transfer_report(model, f.where("split = 'validation'"), features, "delta", 0.9)
+    f = _gain_examples(src)
+    model = L.fit_gain_gate(f.where("split = 'train'"), GAIN_FEATURES, "delta")
+    return L.transfer_report(model, f.where("split = 'validation'"), GAIN_FEATURES, "delta", 0.9)
 
 
 @query("F2_risk_monitor")
