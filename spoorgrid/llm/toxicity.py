@@ -1,10 +1,11 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier on its posterior labels.
 
 Voters are short word lists and patterns; each says toxic, clean or nothing. Word lists start from a few seed words
-and grow by words that are far more frequent in labelled toxic texts of the sample. The label model knows only votes:
-it estimates, by expectation maximisation, how often each voter says what under either class, and how voters agree
-beyond that; voters that repeat each other share one voice. Its posterior labels train a logistic classifier over
-hashed words and vote statistics, which then scores whole texts in one projection.
+and grow by words that are far more frequent in labelled toxic texts of the sample. The label model knows only votes, on
+labelled and unlabelled texts alike: it estimates, by expectation maximisation, how common the classes are, how often
+each voter says what under either class, and how voters agree beyond that; voters that repeat each other share one
+voice. Given labels only tell which of its two classes is the toxic one. Its posterior labels, not the given ones, train
+a logistic classifier over hashed words and vote statistics, which then scores whole texts in one projection.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from spoorgrid.llm.common import bucket_of, scored, word_hashes
 from spoorgrid.llm.learn import Adam, Bag, bag_of, learnable, sample_texts, sigmoid
+from spoorgrid.session import cut
 
 #: Seed words of the first voter.
 SEEDS = "clown disgusting idiot loser moron pathetic scum stupid trash worthless".split()
@@ -37,14 +39,23 @@ class Model:
     bias: float = 0.0
 
 
+def _distinct_words(texts: list[str], block: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the different words of each text and the index of the text, some texts at a time."""
+    parts = []
+    for at in range(0, len(texts), block):
+        words, owner = word_hashes(texts[at:at + block])
+        _, once = np.unique(words * np.uint64(0x9E3779B97F4A7C15) + owner.astype(np.uint64), return_index=True)
+        parts.append((words[once], owner[once] + at))
+    words, owner = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    return words, owner
+
+
 def grown_lists(texts: list[str], y: np.ndarray, per_list: int) -> tuple[np.ndarray, np.ndarray]:
     """Seeds and the words whose share of toxic texts exceeds that of clean ones most surely, dealt over the lists."""
     seeds = word_hashes([" ".join(SEEDS)])[0]
-    words, owner = word_hashes(texts)
+    words, owner = _distinct_words(texts)
     if not len(words) or not y.any() or y.all():
         return np.sort(seeds), np.zeros(len(seeds), np.int64)
-    _, once = np.unique(words * np.uint64(0x9E3779B97F4A7C15) + owner.astype(np.uint64), return_index=True)
-    words, owner = words[once], owner[once]
     seen, index = np.unique(words, return_inverse=True)
     toxic = np.bincount(index, y[owner] > 0.5, len(seen))
     clean = np.bincount(index, minlength=len(seen)) - toxic
@@ -81,28 +92,59 @@ def votes(counts: np.ndarray, different: np.ndarray, total: np.ndarray) -> np.nd
     return np.stack([np.where(v, TOXIC, ABSTAIN) for v in toxic] + [np.where(v, CLEAN, ABSTAIN) for v in clean], 1)
 
 
-def label_model(vote: np.ndarray, start: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Posterior of toxic for each row of votes.
+@dataclass
+class Voices:
+    """What the label model found: posterior of toxic per row, share of toxic rows, what each voter says in either class
+    (class, voter, value; clean first) and the share of a voice that each voter has."""
 
-    start: first posteriors (of labelled rows: nearly their labels). They enter every round as the prior of their row,
-    so a label is one more voice, of accuracy 0.97, beside those of the voters.
-    """
+    posterior: np.ndarray
+    balance: float
+    says: np.ndarray
+    share: np.ndarray
+
+
+def _shares(rest: np.ndarray) -> np.ndarray:
+    """Share of a voice of each column: one, divided by its positive correlations with all columns."""
+    deviation = np.sqrt((rest * rest).mean(0)) + 1e-9
+    together = np.clip((rest.T @ rest) / len(rest) / np.outer(deviation, deviation), 0, 1)
+    return 1 / np.maximum(together.sum(1), 1)
+
+
+def label_model(vote: np.ndarray, rounds: int = 25) -> Voices:
+    """Two classes fitted to votes alone, rows of votes by voters. Rows start at the balance of their voices."""
     shown = np.stack([vote == v for v in (ABSTAIN, CLEAN, TOXIC)], 2).astype(float)  # row, voter, value
-    q, prior_odds = start.copy(), np.log(start / (1 - start))
+    sides = shown[:, :, TOXIC] - shown[:, :, CLEAN]
+    voices = _shares(sides - sides.mean(0))
+    q = sigmoid((sides @ voices - 1) / voices.max())
     for _ in range(rounds):
-        ways = []
-        for p in (1 - q, q):
-            told = np.einsum("r,rvk->vk", p, shown) + 0.5
-            ways.append(told / told.sum(1, keepdims=True))
-        says = np.log(ways[1]) - np.log(ways[0])  # voter, value
+        balance = (q.sum() + 1) / (len(q) + 2)
+        told = np.stack([np.einsum("r,rvk->vk", p, shown) + 0.5 for p in (1 - q, q)])
+        ways = told / told.sum(2, keepdims=True)
         # what is left of a vote beyond its class mean; positive correlations make voters share a voice
         rest = (vote == TOXIC) - ((1 - q)[:, None] * ways[0][:, TOXIC] + q[:, None] * ways[1][:, TOXIC])
-        deviation = np.sqrt((rest * rest).mean(0)) + 1e-9
-        together = np.clip((rest.T @ rest) / len(rest) / np.outer(deviation, deviation), 0, 1)
-        share = 1 / np.maximum(together.sum(1), 1)
-        odds = np.einsum("rvk,vk->r", shown, says * share[:, None]) + prior_odds
-        q = np.clip(sigmoid(odds), 1e-4, 1 - 1e-4)
-    return q
+        share = _shares(rest)
+        odds = np.einsum("rvk,vk->r", shown, (np.log(ways[1]) - np.log(ways[0])) * share[:, None])
+        q = np.clip(sigmoid(odds + np.log(balance / (1 - balance))), 1e-4, 1 - 1e-4)
+    return Voices(q, balance, ways, share)
+
+
+def oriented(posterior: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The posterior, turned round if rows labelled toxic have less of it than rows labelled clean (NaN: no label)."""
+    toxic, clean = posterior[y > 0.5], posterior[y <= 0.5]
+    return 1 - posterior if len(toxic) and len(clean) and toxic.mean() < clean.mean() else posterior
+
+
+def _bags(model: Model, texts: list[str], block: int = 128) -> tuple[Bag, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Bags and hits of many texts, some at a time; the words themselves are not kept."""
+    bags, found = [], []
+    for at in range(0, len(texts), block):
+        some = texts[at:at + block]
+        bag = bag_of(some, model.buckets)
+        found.append(hits(model, bag, len(some)))
+        bags.append((bag.row + at, bag.bucket, bag.count))
+    row, bucket, count = (np.concatenate(x) for x in zip(*bags, strict=True))
+    none = np.empty(0, np.int64)
+    return Bag(row, bucket, count, none.view(np.uint64), none), tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def statistics(counts: np.ndarray, different: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -112,15 +154,17 @@ def statistics(counts: np.ndarray, different: np.ndarray, total: np.ndarray) ->
 
 
 def fit(texts: list[str], y: np.ndarray, buckets: int = 1 << 16, per_list: int = 40, rounds: int = 200, l2: float = 1e-3) -> Model:
-    """Lists, label model and classifier from labelled texts; without any, the seeds alone decide."""
-    model = Model(buckets, *grown_lists(texts, y, per_list))
+    """Lists, label model and classifier from texts with labels 0 and 1, or NaN where there is none; without any label, the
+    seeds alone decide."""
+    y = np.asarray(y, float)
+    known = np.flatnonzero(~np.isnan(y))
+    model = Model(buckets, *grown_lists([texts[i] for i in known], y[known], per_list))
     model.weight = np.zeros(buckets)
-    if not len(texts):
+    if not len(known):
         model.dense, model.mean, model.scale, model.bias = np.array([0.0, 0, 0, 6.0, 0, 0, 0, 0]), np.zeros(8), np.ones(8), -3.0
         return model
-    bag = bag_of(texts, buckets)
-    found = hits(model, bag, len(texts))
-    target = label_model(votes(*found), np.where(y > 0.5, 0.97, 0.03))
+    bag, found = _bags(model, texts)
+    target = oriented(label_model(votes(*found)).posterior, y)
     dense = statistics(*found)
     model.mean, model.scale = dense.mean(0), dense.std(0) + 1e-6
     x = (dense - model.mean) / model.scale
@@ -148,12 +192,16 @@ def score_texts(model: Model, texts: list[str]) -> np.ndarray:
     return sigmoid(model.bias + ((statistics(*found) - model.mean) / model.scale) @ model.dense + words)
 
 
-def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, rows: int = 6000) -> Model:
-    """Fit on at most `rows` labelled documents outside the held-out bucket (bound of the driver's work)."""
-    chosen = learnable(labels, "toxic", modulus, held, rows)
-    sample = sample_texts(docs, chosen, [F.col("text").cast("string").alias("text")]).collect()
+def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, rows: int = 6000, unlabelled: int = 2000) -> Model:
+    """Fit on at most `rows` labelled and `unlabelled` other documents, all outside the held-out bucket (bounds of the
+    driver's work). The others are the first by a hash of their id; their labels, if any, are not read."""
+    chosen = cut(learnable(labels, "toxic", modulus, held, rows))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(bucket_of(F.col("doc_id"), modulus) != held)
+    more = ids.join(F.broadcast(chosen), "doc_id", "left_anti").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled)
+    both = cut(chosen.unionByName(more.withColumn("y", F.lit(None).cast("int"))))
+    sample = sample_texts(docs, both, [F.col("text").cast("string").alias("text")]).collect()
     sample.sort(key=lambda r: r["doc_id"])
-    return fit([r["text"] or "" for r in sample], np.array([r["y"] for r in sample], float))
+    return fit([r["text"] or "" for r in sample], np.array([np.nan if r["y"] is None else r["y"] for r in sample], float))
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

@@ -61,8 +61,56 @@ def test_sum_of_squares_identity():
 def test_label_model_finds_good_voters_and_shares_voices():
     rng = np.random.default_rng(3)
     y = rng.random(2000) < 0.3
-    vote = np.where(rng.random((2000, 5)) < 0.85, np.where(y, 2, 1)[:, None], np.where(y, 1, 2)[:, None])
+    right = np.array([0.95, 0.9, 0.85, 0.8, 0.75])
+    vote = np.where(rng.random((2000, 5)) < right, np.where(y, 2, 1)[:, None], np.where(y, 1, 2)[:, None])
     noise = np.repeat(rng.integers(0, 3, (2000, 1)), 6, axis=1)  # one voice said six times
-    q = toxicity.label_model(np.hstack([vote, noise]), np.full(2000, 0.3) + 0.2 * (vote[:, 0] == 2))
-    assert ((q > 0.5) == y).mean() > 0.93
+    found = toxicity.label_model(np.hstack([vote, noise]))
+    assert ((found.posterior > 0.5) == y).mean() > 0.93 and abs(found.balance - 0.3) < 0.05
+    assert np.abs(found.says[1, :5, toxicity.TOXIC] - right).max() < 0.06 and np.abs(found.says[0, :5, toxicity.CLEAN] - right).max() < 0.06
+    assert found.share[5:].max() < 0.2 < 0.5 < found.share[:5].min()
     assert len(bag_of(["x x y"], 1 << 10).count) == 2
+
+
+def plain_em(vote, rounds):
+    """The same model row by row: balance, rates with half a vote added, correlations, posterior."""
+    n, m = len(vote), len(vote[0])
+
+    def shares(rest):
+        dev = [np.sqrt(sum(x[k] ** 2 for x in rest) / n) + 1e-9 for k in range(m)]
+        return [1 / max(1, sum(min(1, max(0, sum(x[k] * x[j] for x in rest) / n / dev[k] / dev[j])) for j in range(m))) for k in range(m)]
+
+    side = [[(v == 2) - (v == 1) for v in r] for r in vote]
+    mean = [sum(r[k] for r in side) / n for k in range(m)]
+    voice = shares([[x - c for x, c in zip(r, mean, strict=True)] for r in side])
+    q = [1 / (1 + np.exp(-(sum(x * w for x, w in zip(r, voice, strict=True)) - 1) / max(voice))) for r in side]
+    for _ in range(rounds):
+        balance = (sum(q) + 1) / (n + 2)
+        rate = [[[sum((p if c else 1 - p) for p, r in zip(q, vote, strict=True) if r[k] == v) + 0.5 for v in range(3)] for k in range(m)] for c in (0, 1)]
+        rate = [[[x / sum(one) for x in one] for one in side] for side in rate]
+        rest = [[(r[k] == 2) - ((1 - p) * rate[0][k][2] + p * rate[1][k][2]) for k in range(m)] for p, r in zip(q, vote, strict=True)]
+        share = shares(rest)
+        odds = [sum((np.log(rate[1][k][v]) - np.log(rate[0][k][v])) * share[k] for k, v in enumerate(r)) + np.log(balance / (1 - balance)) for r in vote]
+        q = [min(1 - 1e-4, max(1e-4, 1 / (1 + np.exp(-z)))) for z in odds]
+    return np.array(q)
+
+
+def test_label_model_equals_plain_expectation_maximisation():
+    vote = np.random.default_rng(8).integers(0, 3, (60, 4))
+    vote[:30, 0] = 2
+    assert np.allclose(toxicity.label_model(vote, 6).posterior, plain_em(vote.tolist(), 6), atol=1e-9)
+
+
+def test_labels_only_turn_the_classes():
+    posterior = np.array([0.9, 0.8, 0.1, 0.3])
+    assert toxicity.oriented(posterior, np.array([1, np.nan, 0, np.nan])) is posterior
+    assert np.allclose(toxicity.oriented(posterior, np.array([0, np.nan, 1, np.nan])), 1 - posterior)
+    assert toxicity.oriented(posterior, np.full(4, np.nan)) is posterior
+
+
+def test_unlabelled_texts_train_too():
+    """A word that only unlabelled toxic texts hold gains weight through their votes."""
+    texts = ["you stupid pathetic idiot moron clown"] * 20 + ["a quiet walk along the river bank today"] * 60
+    more = ["such a stupid worthless loser idiot grumblefish"] * 20
+    y = np.array([1.0] * 20 + [0.0] * 60)
+    held = toxicity.score_texts(toxicity.fit(texts, y), ["grumblefish by the river"])[0]
+    assert toxicity.score_texts(toxicity.fit(texts + more, np.append(y, np.full(20, np.nan))), ["grumblefish by the river"])[0] > held
