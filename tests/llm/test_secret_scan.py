@@ -1,13 +1,16 @@
 import hashlib
+import itertools
 import math
+import random
 import re
+import time
 from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from spoorgrid.llm.secret_scan import best_window, masked, report, scan
+from spoorgrid.llm.secret_scan import best_window, masked, report, running, scan
 
 PATTERN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -53,3 +56,53 @@ def test_masks_and_odd_rows(spark, odd, empty):
     out = {r["doc_id"]: r["text"] for r in masked(df).collect()}
     assert out == {1: "äö🙂 [SECRET] x", 2: None, 3: "[SECRET] [SECRET]"}
     assert scan(odd).count() == odd.count() == report(odd).count() and report(empty).count() == 0
+
+
+def test_running_results(spark):
+    values = [[], [5], [3, -2, 7], [(i * 7919) % 101 - 50 for i in range(64 * 64 + 70)]]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v array<int>")
+    rows = rows.select("i", running(F.col("v"), lambda x, y: x + y, 0).alias("sums"), running(F.col("v"), F.greatest, -1000).alias("most")).collect()
+    for r in rows:
+        assert r["sums"] == list(itertools.accumulate(values[r["i"]])) and r["most"] == list(itertools.accumulate(values[r["i"]], max))
+
+
+def many(rng, n):
+    """A text with n secrets of all kinds, some of which overlap, and characters beyond the basic plane."""
+    kinds = [lambda: "".join(rng.choices("0123456789abcdef", k=rng.randint(30, 36))), lambda: "AKIA" + "".join(rng.choices("ABCDEFG0123", k=rng.randint(10, 14))),
+             lambda: "token=" + "".join(rng.choices("abcdef0123456789_.", k=rng.randint(6, 34))), lambda: "".join(rng.choices("abcXYZ0189+/qrsTUV", k=24)),
+             lambda: "🙂é word " * rng.randint(1, 3)]
+    return " ".join(rng.choice(kinds)() + rng.choice(["", "/", "\n"]) for _ in range(n))
+
+
+def test_many_matches_equal_plain_scan(spark):
+    """More matches than two levels of blocks hold; masks against slices of the text."""
+    rng = random.Random(7)
+    texts = [many(rng, n) for n in (1, 40, 300, 9000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in masked(df).collect()}
+    for r in report(df).collect():
+        text = texts[r["doc_id"]]
+        spans = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in filter(None, r["spans"].split(",")))]
+        base = [x for x in spans if x[0] != "entropy"]
+        assert ",".join(f"{k}:{s}:{e}" for k, s, e in base) == plain(text)
+        covered = bytearray(len(text))
+        for _, s, e in base:
+            covered[s:e] = b"\1" * (e - s)
+        loose = {m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text) if not any(covered[m.start():m.end()])}
+        strong = {(s, e) for s, e in loose if re.search("[0-9]", text[s:e]) and re.search("[g-zG-Z+/]", text[s:e]) and slow_best(text[s:e], 20) >= 3.7}
+        own = {(s, e) for k, s, e in spans if k == "entropy"}
+        assert own <= loose and strong <= own
+        want, at = [], 0
+        for s, e in sorted((s, e) for _, s, e in spans):
+            if s >= at:
+                want += [text[at:s], "[SECRET]"]
+            at = max(at, e)
+        assert out[r["doc_id"]] == "".join(want) + text[at:]
+
+
+def test_a_hundred_thousand_matches(spark):
+    line = " ".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(100_000))
+    df = spark.createDataFrame([(1, line)], "doc_id long, text string")
+    begun = time.time()
+    assert report(df).select("n_hex").first()[0] == 100_000 and masked(df).first()["text"] == " ".join(["[SECRET]"] * 100_000)
+    assert time.time() - begun < 60
