@@ -168,17 +168,19 @@ def fit(texts: list[str], y: np.ndarray, buckets: int = 1 << 16, per_list: int =
     dense = statistics(*found)
     model.mean, model.scale = dense.mean(0), dense.std(0) + 1e-6
     x = (dense - model.mean) / model.scale
-    value = bag.count / np.sqrt(found[2][bag.row])
-    by = np.argsort(bag.bucket, kind="stable")
-    seen, at = np.unique(bag.bucket[by], return_index=True)
+    by = np.argsort(bag.bucket, kind="stable")  # all that follows goes by bucket, so nothing is gathered in a round
+    row, bucket = bag.row[by], bag.bucket[by].astype(np.int32)
+    value = bag.count[by] / np.sqrt(found[2][row])
+    del bag, by
+    seen, at = np.unique(bucket, return_index=True)
     model.dense, bias = np.zeros(x.shape[1]), np.zeros(1)
     adam = Adam([bias, model.dense, model.weight], 0.05)
     for _ in range(rounds):
-        z = bias[0] + x @ model.dense + np.bincount(bag.row, value * model.weight[bag.bucket], len(texts))
+        z = bias[0] + x @ model.dense + np.bincount(row, value * model.weight[bucket], len(texts))
         g = (sigmoid(z) - target) / len(texts)
         gw = l2 * model.weight
         if len(seen):
-            gw[seen] += np.add.reduceat((g[bag.row] * value)[by], at)
+            gw[seen] += np.add.reduceat(g[row] * value, at)
         adam.step([g.sum(keepdims=True), x.T @ g + 1e-4 * model.dense, gw])
     model.bias = float(bias[0])
     return model
