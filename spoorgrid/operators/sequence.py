@@ -137,24 +137,33 @@ def round_robin(rows: DataFrame, group: str, sequence: str, order: list, n: int)
 def diverse(rows: DataFrame, keys: list[str], frame: str, order: list[Column], n: int, gap: int) -> DataFrame:
     """Greedy selection of up to n rows per key in rank order, at least `gap` frames apart.
 
-    One round per pick: the best remaining row of every key (an aggregate), then everything too close to it
-    leaves. Rounds are bounded by n, not by the data.
+    A row that outranks every row left in its own and both neighbouring buckets of `gap` frames is a pick of the greedy
+    scan, wherever it is, so all such rows are taken at once; what is too close to them leaves, and so does what n taken
+    rows of its key outrank. The best row left is always among them, so n rounds are enough, and one or two usually are.
+    Ties of the whole order are broken by the other columns.
     """
+    from spoorgrid.operators.chunks import top_n
     from spoorgrid.session import cut
 
-    rank = F.struct(*order).alias("_rank")
-    rest = cut(rows.withColumn("_rank", rank))
     names = rows.columns
+    me = F.struct(F.struct(*order), *[c for c in names if c not in keys], F.monotonically_increasing_id().alias("_id"))
+    rest = cut(rows.select(F.struct(*keys).alias("_key"), F.col(frame).alias("_frame"), F.floor(F.col(frame) / gap).alias("_bucket"), me.alias("_me")))
+    around = F.explode(F.array(*[F.col("_bucket") + d for d in (-1, 0, 1)])).alias("_bucket")
     chosen = None
     for _ in range(n):
-        best = rest.groupBy(*keys).agg(F.max(F.struct("_rank", *[c for c in names if c not in keys])).alias("_b"))
-        best = cut(best.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in names if c not in keys]).select(*names))
-        chosen = best if chosen is None else chosen.unionByName(best)
-        picked = best.select(*keys, F.col(frame).alias("_f"))
-        rest = cut(rest.join(picked, keys).where(F.abs(F.col(frame) - F.col("_f")) >= gap).drop("_f"))
-        if rest.limit(1).count() == 0:
+        best = rest.groupBy("_key", "_bucket").agg(F.max("_me").alias("_me"), F.max_by("_frame", "_me").alias("_frame"))
+        seen = best.select("_key", "_me", "_frame", F.col("_bucket").alias("_home"), around).groupBy("_key", "_bucket").agg(
+            F.max_by("_frame", "_me").alias("_frame"), F.max_by("_home", "_me").alias("_home"), F.max("_me").alias("_me"))
+        taken = cut(seen.where(F.col("_home") == F.col("_bucket")).select("_key", "_frame", "_bucket", "_me"))
+        chosen = cut(top_n(taken if chosen is None else chosen.drop("_nth").unionByName(taken), "_key", [F.desc("_me")], n, "_nth"))
+        near = taken.select(F.col("_key").alias("_k"), F.col("_frame").alias("_f"), around).withColumnRenamed("_bucket", "_b")
+        close = (F.col("_key") == F.col("_k")) & (F.col("_bucket") == F.col("_b")) & (F.abs(F.col("_frame") - F.col("_f")) < gap)
+        last = chosen.where(F.col("_nth") == n).select("_key", F.col("_me").alias("_last"))
+        rest = rest.join(near, close, "left_anti").join(last, "_key", "left")
+        rest = cut(rest.where(F.col("_last").isNull() | (F.col("_me") > F.col("_last"))).select("_key", "_frame", "_bucket", "_me"))
+        if rest.isEmpty():
             break
-    return chosen
+    return chosen.select(*[F.col(f"_key.{c}" if c in keys else f"_me.{c}").alias(c) for c in names])
 
 
 def choose_controls(segments: DataFrame, frames: DataFrame, high: DataFrame, max_error: float = 0.10, away: int = 30,

@@ -120,17 +120,21 @@ def test_control_prefers_the_same_patch(spark):
     assert sequence.choose_controls(seg, frames, high, chunk=16).first().control_frame == 40
 
 
+def greedy(data, n, gap):
+    kept = []
+    for _, f, _ in sorted(data, key=lambda d: -d[2]):
+        if len(kept) < n and all(abs(f - o) >= gap for o in kept):
+            kept.append(f)
+    return kept
+
+
 def test_diverse_selection_matches_a_greedy_scan(spark):
+    """Random scores, and scores that rise along the frames, where each pick frees the next one."""
     rng = np.random.default_rng(5)
-    data = [(int(s), int(f), float(q)) for s in range(3) for f, q in zip(rng.choice(400, 80, replace=False), rng.random(80))]
-    got = {(r.s, r.f) for r in sequence.diverse(spark.createDataFrame(data, "s int, f int, q double"), ["s"], "f", [F.col("q")], 5, 40).collect()}
-    want = set()
-    for s in range(3):
-        kept = []
-        for _, f, _ in sorted((d for d in data if d[0] == s), key=lambda d: -d[2]):
-            if all(abs(f - o) >= 40 for o in kept):
-                kept.append(f)
-            if len(kept) == 5:
-                break
-        want |= {(s, f) for f in kept}
-    assert got == want
+    data = [(s, int(f), float(q)) for s in range(3) for f, q in zip(rng.choice(400, 80, replace=False), rng.random(80))]
+    data += [(3, f - 50, float(f)) for f in range(0, 300, 7)] + [(4, 9, 0.5)] * 3
+    rows = spark.createDataFrame(data, "s int, f int, q double")
+    for n, gap in ((5, 40), (3, 1), (20, 9)):
+        got = sorted((r.s, r.f) for r in sequence.diverse(rows, ["s"], "f", [F.col("q")], n, gap).collect())
+        assert got == sorted((s, f) for s in range(5) for f in greedy([d for d in data if d[0] == s], n, gap))
+    assert sequence.diverse(rows.limit(0), ["s"], "f", [F.col("q")], 5, 40).count() == 0
