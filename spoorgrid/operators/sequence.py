@@ -139,7 +139,7 @@ def diverse(rows: DataFrame, keys: list[str], frame: str, order: list[Column], n
 
     A row that outranks every row left in its own and both neighbouring buckets of `gap` frames is a pick of the greedy
     scan, wherever it is, so all such rows are taken at once; what is too close to them leaves, and so does what n taken
-    rows of its key outrank. The best row left is always among them, so n rounds are enough, and one or two usually are.
+    rows of its key outrank. The best row left is always among them, so n rounds are enough.
     Ties of the whole order are broken by the other columns.
     """
     from spoorgrid.operators.chunks import top_n
