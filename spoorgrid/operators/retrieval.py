@@ -1,8 +1,9 @@
 """Exact vector retrieval in blocks: top-k, score moments, truth ranks, blending and ensembles.
 
-Queries and bank are packed into blocks of a few thousand vectors. A task multiplies one query block with
-one bank block and returns only k candidates, sums and counts per query, so score matrices never leave a
-task and no query-item pairs are shuffled. Block sizes, not the data, bound what a task holds.
+The bank lies in cells with a bound on the scores inside (`pruned`). A query first meets one promising block; its k-th best score there,
+or the score of its truth, then decides which other blocks can matter. Moments of plain scores need no scores at all: they follow from the
+bank's sums and second moments. Only ensembles over several variants, whose moments are those of a maximum, multiply all blocks with
+all blocks. Score matrices never leave a task and no query-item pairs are shuffled.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spoorgrid.operators import pruned
 from spoorgrid.operators.chunks import top_n
 
 DIGITS = 12
-_OUT = ("qid bigint, n bigint, s1 array<double>, s2 array<double>, better bigint, ids array<bigint>, "
-        "scores array<double>, variants array<int>")
+BLOCK = 16384  # vectors of a bank block
+STEP = 256     # queries of a block whose scores are held at once
+_OUT = "qid bigint, n bigint, s1 array<double>, s2 array<double>, ids array<bigint>, scores array<double>, variants array<int>"
 
 
 def _packed(df: DataFrame, key: str, vec: str, blocks: int, name: str, extra: list[str]) -> DataFrame:
@@ -29,7 +32,7 @@ def _packed(df: DataFrame, key: str, vec: str, blocks: int, name: str, extra: li
           for c, t in df.dtypes if c in extra])
 
 
-def _kernel(models: int, variants: int, k: int, skip_self: bool, weights: list[float] | None, ranked: bool):
+def _kernel(models: int, variants: int, k: int, skip_self: bool, weights: list[float] | None):
     """Scores one block pair. Per query and model the best variant counts (the earliest on ties)."""
 
     def tile(row) -> pd.DataFrame:
@@ -56,11 +59,6 @@ def _kernel(models: int, variants: int, k: int, skip_self: bool, weights: list[f
             z = (best - mean) / np.where(std < 1.0e-6, 1.0, std) * np.asarray(weights)[:, None, None]
             total = np.round(z.sum(axis=0), DIGITS)
             angle = np.take_along_axis(which, z.argmax(axis=0)[None], axis=0)[0]
-        better = np.zeros(len(qid), dtype=np.int64)
-        if ranked:
-            truth, goal = np.asarray(row.truth)[:, None], np.round(np.asarray(row.goal), DIGITS)[:, None]
-            ahead = (total > goal) | ((total == goal) & (bid[None, :] < truth))
-            better = (ahead & allowed & (bid[None, :] != truth)).sum(axis=1)
         ids, scores, angles = [], [], []
         for i in range(len(qid)):
             pool = np.flatnonzero(allowed[i])
@@ -72,7 +70,7 @@ def _kernel(models: int, variants: int, k: int, skip_self: bool, weights: list[f
             ids.append(bid[pool][order])
             scores.append(s[order])
             angles.append(angle[i, pool][order])
-        return pd.DataFrame({"qid": qid, "n": allowed.sum(axis=1), "s1": list(s1), "s2": list(s2), "better": better,
+        return pd.DataFrame({"qid": qid, "n": allowed.sum(axis=1), "s1": list(s1), "s2": list(s2),
                              "ids": ids, "scores": scores, "variants": angles})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,31 +81,151 @@ def _kernel(models: int, variants: int, k: int, skip_self: bool, weights: list[f
     return run
 
 
-def _tiles(queries, bank, models, variants, k, skip_self, weights=None, ranked=False, block_rows=4096) -> DataFrame:
+def _tiles(queries, bank, models, variants, k, skip_self, weights=None, block_rows=4096) -> DataFrame:
+    """Every query block with every bank block, for moments and ensembles of maxima over variants."""
     nq = max(1, -(-queries.count() // block_rows))
     nb = max(1, -(-bank.count() // block_rows))
-    extra = (["mean", "std"] if weights is not None else []) + (["truth", "goal"] if ranked else [])
+    extra = ["mean", "std"] if weights is not None else []
     q = _packed(queries, "qid", "qvec", nq, "q", extra).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
     b = _packed(bank, "item", "bvec", nb, "b", []).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
     joined = q.join(b, ["q", "b"])
-    return joined.mapInPandas(_kernel(models, variants, k, skip_self, weights, ranked), _OUT)
+    return joined.mapInPandas(_kernel(models, variants, k, skip_self, weights), _OUT)
+
+
+def _steps(left: pd.DataFrame, right: pd.DataFrame, variants: int):
+    """Slices of the queries with their best score and variant (the earliest on ties) for every item of the block."""
+    bid = right["item"].to_numpy(dtype=np.int64)
+    b = np.stack(right["bvec"].to_numpy()).astype(np.float64)
+    for at in range(0, len(left), STEP):
+        some = left.iloc[at:at + STEP]
+        q = np.stack(some["qvec"].to_numpy()).astype(np.float64).reshape(len(some), variants, -1)
+        best, which = np.round(q[:, 0] @ b.T, DIGITS), np.zeros((len(some), len(bid)), dtype=np.int32)
+        for v in range(1, variants):
+            s = np.round(q[:, v] @ b.T, DIGITS)
+            up = s > best
+            best[up], which[up] = s[up], v
+        yield some, some["qid"].to_numpy(dtype=np.int64), bid, best, which
+
+
+def _top_tile(variants: int, k: int, skip_self: bool):
+    def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], [np.empty(0)], [np.empty(0, dtype=np.int32)]
+        for _, qid, bid, best, which in _steps(left, right, variants) if len(left) and len(right) else ():
+            for i in range(len(qid)):
+                pool = np.flatnonzero(bid != qid[i]) if skip_self else np.arange(len(bid))
+                s = best[i, pool]
+                if len(pool) > k:
+                    pool = pool[s >= np.partition(s, len(s) - k)[len(s) - k]]
+                    s = best[i, pool]
+                order = np.lexsort((bid[pool], -s))[:k]
+                for into, part in zip(found, (np.full(len(order), qid[i]), bid[pool][order], s[order], which[i, pool][order])):
+                    into.append(part)
+        return pd.DataFrame(dict(zip(("qid", "item", "score", "variant"), (np.concatenate(f) for f in found))))
+
+    return tile
+
+
+def _rank_tile(skip_self: bool):
+    def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        ids, better = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        for some, qid, bid, best, _ in _steps(left, right, 1) if len(left) and len(right) else ():
+            truth, goal = some["truth"].to_numpy(dtype=np.int64)[:, None], np.round(some["threshold"].to_numpy(), DIGITS)[:, None]
+            ahead = ((best > goal) | ((best == goal) & (bid < truth))) & (bid != truth)
+            ids.append(qid)
+            better.append((ahead & (bid != qid[:, None]) if skip_self else ahead).sum(axis=1))
+        return pd.DataFrame({"qid": np.concatenate(ids), "better": np.concatenate(better)})
+
+    return tile
+
+
+def _sums(bank: DataFrame, models: int) -> tuple[int, np.ndarray, np.ndarray] | None:
+    """Vectors, their sum and their second moments per model (n, [m, d], [m, d, d]); the driver sees models * (d + d * d) numbers."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            if len(batch):
+                b = np.stack(batch["bvec"].to_numpy()).astype(np.float64).reshape(len(batch), models, -1)
+                part = np.concatenate([[len(b)], b.sum(axis=0).ravel(), np.matmul(b.transpose(1, 2, 0), b.transpose(1, 0, 2)).ravel()])
+                total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"at": np.arange(len(total)), "part": total})
+
+    parts = bank.where("bvec is not null").select("bvec").mapInPandas(run, "at bigint, part double")
+    flat = np.array([r[0] for r in parts.groupBy("at").agg(F.sum("part").alias("part")).orderBy("at").select("part").collect()])
+    if not len(flat):
+        return None
+    d = int(round((np.sqrt(1.0 + 4.0 * (len(flat) - 1) / models) - 1.0) / 2.0))
+    return int(flat[0]), flat[1:1 + models * d].reshape(models, d), flat[1 + models * d:].reshape(models, d, d)
+
+
+def _plain_moments(queries: DataFrame, bank: DataFrame, models: int, skip_self: bool) -> DataFrame:
+    sums = _sums(bank, models)
+    out = "qid bigint, n bigint, mean array<double>, std array<double>"
+    if sums is None:
+        return queries.sparkSession.createDataFrame([], out)
+    n, first, second = sums
+    q = queries.select(F.col("qid").cast("bigint").alias("qid"), "qvec")
+    own = bank.select(F.col("item").cast("bigint").alias("qid"), F.col("bvec").alias("_own"))
+    q = q.join(own, "qid", "left") if skip_self else q.withColumn("_own", F.lit(None).cast("array<double>"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch[batch["qvec"].notna()]
+            if not len(batch):
+                continue
+            v = np.stack(batch["qvec"].to_numpy()).astype(np.float64).reshape(len(batch), models, -1)
+            has = batch["_own"].notna().to_numpy()
+            self_score = np.zeros((len(batch), models))
+            if has.any():
+                mine = np.stack(batch["_own"][has].to_numpy()).astype(np.float64).reshape(int(has.sum()), models, -1)
+                self_score[has] = np.round((v[has] * mine).sum(axis=2), DIGITS)
+            left = n - has.astype(np.int64)
+            some = left > 0
+            if not some.any():
+                continue
+            s1 = np.einsum("nmi,mi->nm", v, first) - self_score
+            s2 = (np.matmul(v.transpose(1, 0, 2), second).transpose(1, 0, 2) * v).sum(axis=2) - self_score ** 2
+            mean = s1[some] / left[some, None]
+            std = np.sqrt(np.maximum(s2[some] / left[some, None] - mean ** 2, 0.0))
+            yield pd.DataFrame({"qid": batch["qid"][some].to_numpy(), "n": left[some], "mean": list(mean), "std": list(std)})
+
+    return q.mapInPandas(run, out)
 
 
 def score_moments(queries: DataFrame, bank: DataFrame, models: int = 1, variants: int = 1, skip_self: bool = True,
                   block_rows: int = 4096) -> DataFrame:
-    """Per query: item count and, per model, mean and population deviation of its scores."""
+    """Per query: item count and, per model, mean and population deviation of its scores. Queries without any item are not returned.
+
+    A mean of inner products is the product with the mean and their squares follow from the second moments, so one pass over either
+    table is enough; the maximum over variants has no such form and takes all blocks with all blocks.
+    """
+    if variants == 1:
+        return _plain_moments(queries, bank, models, skip_self)
     t = _tiles(queries, bank, models, variants, 1, skip_self, block_rows=block_rows)
     s = t.groupBy("qid").agg(F.sum("n").alias("n"), *[F.sum(F.col(c)[m]).alias(f"{c}_{m}") for c in ("s1", "s2")
-                                                      for m in range(models)])
+                                                      for m in range(models)]).where("n > 0")
     mean = [F.col(f"s1_{m}") / F.col("n") for m in range(models)]
     var = [F.greatest(F.col(f"s2_{m}") / F.col("n") - mean[m] * mean[m], F.lit(0.0)) for m in range(models)]
     return s.select("qid", "n", F.array(*mean).alias("mean"), F.array(*[F.sqrt(v) for v in var]).alias("std"))
 
 
 def top_k(queries: DataFrame, bank: DataFrame, k: int, variants: int = 1, skip_self: bool = True,
-          block_rows: int = 4096) -> DataFrame:
-    """Top k items per query with score and best variant; ties go to the lowest id."""
-    return _merge(_tiles(queries, bank, 1, variants, k, skip_self, block_rows=block_rows), k)
+          block_rows: int = BLOCK) -> DataFrame:
+    """Top k items per query with score and best variant; ties go to the lowest id. Rows without a vector take no part."""
+    q = queries.select(F.col("qid").cast("bigint").alias("qid"), "qvec")
+    placed, cells = pruned.cells_of(bank, block_rows)
+    out, tile = "qid bigint, item bigint, score double, variant int", _top_tile(variants, k, skip_self)
+    if cells is None:
+        return q.sparkSession.createDataFrame([], out + ", rank int")
+    lanes = pruned.lanes_for(q.count(), block_rows)
+    least = F.lit(None).cast("double")
+    if cells.parts.sum() > 1:  # what k items of one block already reach; a block of fewer sets no threshold
+        near = pruned.visit(q, placed, cells, variants, lanes, k, tile, out)
+        near = near.groupBy("qid").agg(F.count("*").alias("_n"), F.min("score").alias("_least"))
+        q, least = q.join(near, "qid", "left"), F.when(F.col("_n") >= k, F.col("_least"))
+    found = pruned.visit(q.select("qid", "qvec", least.alias("threshold")), placed, cells, variants, lanes, None, tile, out)
+    return top_n(found, ["qid"], [F.desc("score"), F.col("item")], k)
 
 
 def _merge(tiles: DataFrame, k: int) -> DataFrame:
@@ -133,11 +251,17 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def truth_rank(queries: DataFrame, bank: DataFrame, skip_self: bool = True, block_rows: int = 4096) -> DataFrame:
+def truth_rank(queries: DataFrame, bank: DataFrame, skip_self: bool = True, block_rows: int = BLOCK) -> DataFrame:
     """Rank of the item named by `truth` among all items of each query (1 is best)."""
     t = bank.select(F.col("item").alias("truth"), F.col("bvec").alias("_tv"))
     q = queries.join(t, "truth").withColumn("goal", F.round(_dot(F.col("qvec"), F.col("_tv")), DIGITS)).drop("_tv")
-    tiles = _tiles(q, bank, 1, 1, 1, skip_self, ranked=True, block_rows=block_rows)
+    placed, cells = pruned.cells_of(bank, block_rows)
+    if cells is None:
+        return q.select("qid", "truth", F.col("goal").alias("truth_score"), F.lit(1).cast("bigint").alias("truth_rank"))
+    asked = q.select(F.col("qid").cast("bigint").alias("qid"), "qvec", F.col("truth").cast("bigint").alias("truth"),
+                     F.col("goal").alias("threshold"))
+    tiles = pruned.visit(asked, placed, cells, 1, pruned.lanes_for(asked.count(), block_rows), None, _rank_tile(skip_self),
+                         "qid bigint, better bigint")
     ranks = tiles.groupBy("qid").agg((F.sum("better") + 1).alias("truth_rank"))
     return q.select("qid", "truth", F.col("goal").alias("truth_score")).join(ranks, "qid")
 
@@ -188,7 +312,7 @@ def blended(queries: DataFrame, bank: DataFrame, weight: float, variants: int, d
 
 
 def rerank_variants(singles: DataFrame, bank: DataFrame, variants: int, local: Column, k: int, weight: float, n: int,
-                    skip_self: bool = True, block_rows: int = 4096) -> DataFrame:
+                    skip_self: bool = True, block_rows: int = BLOCK) -> DataFrame:
     """The n best items of each query by the largest of its variants' reranked scores: qid, item, final, variant, final_rank.
 
     Each variant has a shortlist of its own, its k best items, whose scores gain weight * z(local), z over that shortlist; only then the

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from spoorgrid.operators import components, masks, metrics, policy, retrieval, spatial, vote
+from spoorgrid.operators import components, masks, metrics, policy, pruned, retrieval, spatial, vote
 from spoorgrid.functions import pose as P
 
 
@@ -124,6 +124,48 @@ def test_block_retrieval_equals_brute_force(vectors, block):
         assert ranks[i] == 1 + sum(1 for j in range(60) if j not in (i, t) and (s[i, j], -j) > (s[i, t], -t))
 
 
+def test_retrieval_of_clusters_reads_few_blocks_and_stays_exact(spark):
+    rng = np.random.default_rng(11)
+    centres = 10.0 * rng.normal(size=(12, 6))
+    v = centres[rng.integers(0, 12, 900)] + 0.05 * rng.normal(size=(900, 6))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v[::3] = v[0]  # a third of all rows is one vector
+    bank = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(900, None)], "item long, bvec array<double>")
+    placed, cells = pruned.cells_of(bank, 40)
+    assert cells.rows.sum() == 900 and placed.count() == 900
+    assert placed.groupBy("cell", "part").count().agg(F.max("count")).first()[0] <= 80  # copies are spread over blocks
+    up = cells.upper(v[:, None, :])
+    where = {r.item: r.cell for r in placed.collect()}
+    s = np.round(v @ v.T, 12)
+    assert all(s[i, j] <= up[i, where[j]] for i in range(0, 900, 7) for j in range(900))
+    q = bank.where("item % 10 = 1").select(F.col("item").alias("qid"), F.col("bvec").alias("qvec"))
+    got = {}
+    for r in retrieval.top_k(q, bank, 5, block_rows=40).collect():
+        got.setdefault(r.qid, {})[r["rank"]] = (r.item, r.score)
+    for i in range(1, 900, 10):
+        want = sorted((j for j in range(900) if j != i), key=lambda j: (-s[i, j], j))[:5]
+        assert [s[i, got[i][n][0]] for n in range(1, 6)] == pytest.approx([s[i, j] for j in want], abs=1e-11)
+    lone = q.where("qid % 3 <> 0").withColumn("threshold", F.lit(0.95))
+    visited = pruned._visits(lone, cells, 1, 2, None)
+    assert visited.count() < 0.5 * lone.count() * cells.parts.sum()
+    asked = q.where("qid % 30 = 11").withColumn("truth", F.col("qid") + 1)
+    for r in retrieval.truth_rank(asked, bank, block_rows=40).collect():
+        i, t = r.qid, r.qid + 1
+        assert r.truth_rank == 1 + sum(1 for j in range(900) if j not in (i, t) and (s[i, j], -j) > (s[i, t], -t))
+
+
+def test_retrieval_of_empty_and_lonely_tables(spark):
+    bank = spark.createDataFrame([(1, [1.0, 0.0])], "item long, bvec array<double>")
+    q = bank.select(F.col("item").alias("qid"), F.col("bvec").alias("qvec"))
+    for b in (bank, bank.limit(0)):
+        assert retrieval.top_k(q, b, 3).count() == 0 and retrieval.score_moments(q, b).count() == 0
+    assert [tuple(r) for r in retrieval.top_k(q, bank, 3, skip_self=False).collect()] == [(1, 1, 1.0, 0, 1)]
+    assert retrieval.top_k(q.limit(0), bank, 3).count() == 0
+    more = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 3.0]), (3, [2.0, 1.0])], "item long, bvec array<double>")
+    m = {r.qid: r for r in retrieval.score_moments(q, more).collect()}
+    assert m[1].n == 2 and m[1]["mean"][0] == pytest.approx(1.0) and m[1]["std"][0] == pytest.approx(1.0)
+
+
 def test_nearest_site_matches_brute_force(spark):
     rng = np.random.default_rng(6)
     p, s = rng.uniform(-50, 50, (80, 2)), rng.uniform(-10, 10, (12, 2))
