@@ -168,10 +168,18 @@ def session_errors(frames: DataFrame, gap: str, late: str = "1 hour") -> DataFra
 
 
 def frames_with_imu(frames: DataFrame, imu: DataFrame, half: str) -> DataFrame:
-    """Stream-stream interval join: inertial samples within +-half of each frame of the sequence."""
-    a = frames.withWatermark("ts", half).alias("a")
-    b = imu.withWatermark("imu_ts", half).alias("b")
-    near = F.expr(f"a.sequence = b.sequence and b.imu_ts between a.ts - interval {half} and a.ts + interval {half}")
+    """Stream-stream interval join: inertial samples within +-half of each frame of the sequence.
+
+    A sample lies in one slot of length `half` and a frame in the (up to three) slots that its interval touches, so that rows of a
+    sequence meet, and are spread over tasks, by slot; every pair meets in the slot of its sample only.
+    """
+    def slot(t: str) -> str:
+        return f"unix_micros({t}) div unix_micros(timestamp'1970-01-01 00:00:00Z' + interval {half})"
+
+    touched = F.explode(F.expr(f"sequence({slot(f'ts - interval {half}')}, {slot(f'ts + interval {half}')})"))
+    a = frames.withWatermark("ts", half).withColumn("_slot", touched).alias("a")
+    b = imu.withWatermark("imu_ts", half).withColumn("_slot", F.expr(slot("imu_ts"))).alias("b")
+    near = F.expr(f"a.sequence = b.sequence and a._slot = b._slot and b.imu_ts between a.ts - interval {half} and a.ts + interval {half}")
     return a.join(b, near).select("a.sequence", "a.frame_idx", "a.ts", "b.imu_ts", "b.sample")
 
 

@@ -89,3 +89,16 @@ def test_windows_of_a_table_of_many_unordered_partitions(spark, tmp_path):
     got = sorted(map(tuple, REGISTRY["R5_windowed_errors"].build(spark, f"{tmp_path}/in").select("window_start", "sequence", "frames").collect()))
     batch = jobs.windowed_errors(as_frames(table(spark, SF, "events")), "1 day")
     assert got == sorted(map(tuple, batch.select(F.unix_timestamp("window_start"), "sequence", "frames").collect()))
+
+
+def test_interval_join_meets_by_slot_of_time(spark):
+    """Both borders of the interval count, before 1970 too, and rows of a sequence that are far apart share no join key."""
+    times = [-7200, -3601, -3600, -1, 0, 1, 3599, 3600, 3601, 7200, 10800, 500000]
+    rows = [(s, i, t) for s in range(2) for i, t in enumerate(times)]
+    a = spark.createDataFrame(rows, "sequence int, frame_idx int, t long").select("sequence", "frame_idx", F.timestamp_seconds("t").alias("ts"))
+    b = a.select("sequence", F.col("ts").alias("imu_ts"), F.col("frame_idx").alias("sample"))
+    joined = jobs.frames_with_imu(a, b, "1 hour")
+    want = sorted((s, i, j) for s in range(2) for i, x in enumerate(times) for j, y in enumerate(times) if abs(x - y) <= 3600)
+    assert sorted(map(tuple, joined.select("sequence", "frame_idx", "sample").collect())) == want
+    keys = joined._jdf.queryExecution().optimizedPlan().toString().split("Join Inner", 1)[1].split("\n", 1)[0]
+    assert keys.count("_slot") == 2
