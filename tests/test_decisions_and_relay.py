@@ -1,4 +1,5 @@
 import itertools
+from unittest import mock
 
 import numpy as np
 import pandas as pd
@@ -88,6 +89,23 @@ def test_tracks_expire_and_continue(spark, chunk):
     assert got == {1: 0, 2: 0, 3: 0, 4: 1, 5: 2}
 
 
+@pytest.mark.parametrize("still", [False, True])
+def test_tracks_of_many_chunks_take_few_rounds(spark, still):
+    """Without a gap no stretch of frames is cut off; `still` adds an object that never ends its track."""
+    rng, chunks = np.random.default_rng(5), 40
+    seen = [(f, [(9.0, 9.0, 0.0)] * still + [(float(rng.integers(0, 40)) / 10, float(rng.integers(0, 40)) / 10, 0.0) for _ in range(4)]) for f in range(chunks * 30)]
+    tracks, opened, want = [], 0, {}
+    for f, at in seen:
+        ids, tracks, opened = relay.associate(tracks, at, f, 1.0, 3, opened)
+        want |= {10 * f + j: i for j, i in enumerate(ids)}
+    rows_ = [(0, "p", f, 10 * f + j, *xyz) for f, at in seen for j, xyz in enumerate(at)]
+    df = spark.createDataFrame(rows_, "sequence int, target string, frame_idx int, obs_id long, x double, y double, z double")
+    with mock.patch.object(relay, "cut", wraps=relay.cut) as written:
+        got = {r.obs_id: r.track_id for r in relay.associate_tracks(df, 1.0, 3, 30).collect()}
+    assert got == want
+    assert written.call_count < chunks
+
+
 def test_suppression_rules(spark):
     base = {"sequence": 0, "patch_id": 1, "selection_mode": "online_patch_hysteresis", "previous_source": "tracker_init", "proposed_patch": 2,
             "previous_patch": 1, "proposed_prob": 0.9, "overridden": False}
