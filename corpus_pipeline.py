@@ -32,7 +32,8 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies: candidates by the SimHash join of op9_simhash and by shingle minima, both held
+    to a similarity of five-word shingles of 0.8 or more."""
     return near_copies.without_copies(docs, words=5, similarity=0.8)
 
 

@@ -1,4 +1,7 @@
-"""Near copies at a given Jaccard similarity of word shingles, found by bands of shingle minima.
+"""Near copies at a given Jaccard similarity of word shingles, found by SimHash fingerprints and by bands of shingle minima.
+
+Texts whose fingerprints are within `BITS` bits are candidates by the operator of `simhash`: segment bit counts, the grid join
+under their Manhattan bound, exact distances. A fingerprint misses many pairs near 0.8, so there are candidates of a second kind.
 
 Two texts agree in the smallest of their shingle hashes with a probability that is their Jaccard similarity, whatever
 the edit and the length. A cell is one choice of ROWS minima; there are BANDS of them, so that a pair at 0.8 shares no cell
@@ -19,9 +22,12 @@ from pyspark.sql import functions as F
 from spoorgrid.llm.cells import SMALL
 from spoorgrid.llm.common import NOT_SPACE, slices, word_hashes, written
 from spoorgrid.llm.components import components, contracted
+from spoorgrid.llm.simhash import fingerprint, links as fingerprint_links
 
 SLOTS = 256
 BANDS, ROWS = 28, 4
+#: Words of a shingle and differing bits of the fingerprints, those of op9_simhash.
+FINGERPRINT_WORDS, BITS = 3, 3
 #: Nearly five deviations of a sketch's estimate at 0.8.
 MARGIN = 0.12
 _FACTORS = np.random.default_rng(11).integers(1 << 62, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(4) + np.uint64(1)
@@ -138,27 +144,40 @@ def _among_best(pairs: np.ndarray, n: int, best: int) -> np.ndarray:
 
 
 def text_table(docs: DataFrame, words: int) -> DataFrame:
-    """One row a text: its name, smallest doc_id and the rows that have it, cells, sketch and a number."""
-    schema = "_copies_h1 long, _copies_h2 long, doc_id long, cells array<long>, sketch binary"
+    """One row a text: its name, smallest doc_id and the rows that have it, cells, sketch, fingerprint and a number."""
+    schema = "_copies_h1 long, _copies_h2 long, doc_id long, cells array<long>, sketch binary, fp long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 3, 1_000_000):
-            hashes, owner = shingle_hashes(part.column(3).to_pylist(), words)
+            texts = part.column(3).to_pylist()
+            hashes, owner = shingle_hashes(texts, words)
             cells = band_keys(hashes, owner, part.num_rows)
             ends = np.cumsum([0, *map(len, cells)])
             cells = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *cells]).view(np.int64)))
             found = [cells, pa.array([r.tobytes() for r in sketches(hashes, owner, part.num_rows)], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], *found], names=["_copies_h1", "_copies_h2", "doc_id", "cells", "sketch"])
+            prints = np.fromiter((fingerprint(t, FINGERPRINT_WORDS) for t in texts), np.uint64, part.num_rows)
+            found.append(pa.array(prints.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], *found], names=["_copies_h1", "_copies_h2", "doc_id", "cells", "sketch", "fp"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(*KEY, F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, schema)
-    rows = rows.groupBy(*KEY, "doc_id").agg(F.count("*").alias("n"), F.first("cells").alias("cells"), F.first("sketch").alias("sketch"))
+    rows = rows.groupBy(*KEY, "doc_id").agg(F.count("*").alias("n"), F.first("cells").alias("cells"), F.first("sketch").alias("sketch"), F.first("fp").alias("fp"))
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "n")).alias("m")
-    rows = rows.groupBy(*KEY).agg(least, F.first("cells").alias("cells"), F.first("sketch").alias("sketch"))
-    rows = rows.select(*KEY, F.col("m.doc_id").alias("first"), F.col("m.n").alias("times"), "cells", "sketch")
+    rows = rows.groupBy(*KEY).agg(least, F.first("cells").alias("cells"), F.first("sketch").alias("sketch"), F.first("fp").alias("fp"))
+    rows = rows.select(*KEY, F.col("m.doc_id").alias("first"), F.col("m.n").alias("times"), "cells", "sketch", "fp")
     return written(rows.withColumn("id", F.monotonically_increasing_id()), "copies-texts")
 
 
+def alike_prints(texts: DataFrame) -> DataFrame:
+    """(a, b) with text numbers a < b: links that connect the texts of equal fingerprints, and fingerprints within BITS bits."""
+    nodes = written(texts.groupBy("fp").agg(F.min("id").alias("node")), "copies-prints")
+    equal = texts.select("id", "fp").join(nodes, "fp").where("id != node").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    near = fingerprint_links(nodes.select("fp"), BITS)
+    for c in "ab":
+        near = near.join(nodes.select(F.col("fp").alias(c), F.col("node").alias(f"_{c}")), c)
+    return equal.unionByName(near.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")))
+
+
 def shared_cells(texts: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """(cell, lo, hi, id, sketch, _i): the texts of every cell that has several, in groups of two parts or one.
 
@@ -271,7 +290,7 @@ def classes_of(links: DataFrame) -> DataFrame:
 
 
 def linked_texts(texts: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(id, root) by verified links that connect what all verified links of texts in a shared cell would connect.
+    """(id, root) by verified links: those of alike fingerprints, and what connects all verified links of texts in a shared cell.
 
     A group whose forest holds is connected as far as its links go. One with a refuted link may have lost a text that a
     link outside the forest holds, so it is asked again, with what is connected by now, until it has no more to hand on.
@@ -282,6 +301,7 @@ def linked_texts(texts: DataFrame, docs: DataFrame, words: int, similarity: floa
         found = written(similar_texts(live, similarity - MARGIN, best), "copies-links")
         pairs = found.select("a", "b").distinct()
         if known is None:  # a text with any link has one in a forest: no later round needs other texts
+            pairs = written(pairs.unionByName(alike_prints(texts)).distinct(), "copies-pairs")
             bodies = bodies_of(pairs, texts, docs)
             tested = known = written(verified(pairs, bodies, words, similarity), "copies-verified")
         else:

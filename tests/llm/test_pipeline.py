@@ -6,8 +6,9 @@ from unittest import mock
 import numpy as np
 
 import corpus_pipeline
-from spoorgrid.llm import quality
+from spoorgrid.llm import near_copies, quality
 from spoorgrid.llm.near_copies import without_copies
+from spoorgrid.llm.simhash import fingerprint
 
 SF = "/root/testdata/sf0.001"
 
@@ -144,3 +145,20 @@ def test_quality_stage_keeps_what_the_operator_calls_good(spark):
         between = quality.score(docs, moved).where("score >= 0.5 and score < 0.7").count()
         kept = {r["doc_id"] for r in corpus_pipeline.keep_good(spark, docs, SF).collect()}
     assert between > 0 and kept == good
+
+
+def test_fingerprints_give_candidates_of_their_own(spark):
+    """Without any shared cell of minima, what op9_simhash links and the exact similarity confirms is still one group."""
+    rng, rows = np.random.default_rng(2), []
+    for g in range(20):
+        words = [f"v{x}" for x in rng.integers(0, 10**6, 600)]
+        rows += [(3 * g, " ".join(words)), (3 * g + 1, " ".join(words).upper()), (3 * g + 2, " ".join([*words[:300], "other", *words[301:]]))]
+    prints = [fingerprint(t, 3) for _, t in rows]
+    near = {i for i, p in enumerate(prints) if i % 3 and (p ^ prints[i - i % 3]).bit_count() <= 3}
+    far = {i for i in range(len(rows)) if i % 3 == 2} - near
+    assert len(near) > 25
+    nothing = lambda texts: shared(texts).where("false")
+    shared = near_copies.shared_cells
+    with mock.patch.object(near_copies, "shared_cells", nothing):
+        kept = {r["doc_id"] for r in corpus_pipeline.keep_one_copy(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), SF).collect()}
+    assert kept == {3 * g for g in range(20)} | far
