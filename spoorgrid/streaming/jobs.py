@@ -6,6 +6,7 @@ processors) under the query's checkpoint location, which is what makes a restart
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -94,13 +95,13 @@ class OnlineTracks(_JsonState):
         tracks, next_id, last = state.get("tracks", []), state.get("next", 0), state.get("last", -1)
         batch = pd.concat(list(rows))
         out = []
-        for frame, g in batch.groupby("frame_idx", sort=True):
-            if frame <= last:
-                continue
-            g = g.sort_values("obs_id")
-            ids, tracks, next_id = associate(tracks, list(zip(g.x, g.y, g.z)), int(frame), self.max_distance, self.max_gap, next_id)
+        seen = batch[batch["frame_idx"] > last].sort_values(["frame_idx", "obs_id"], kind="stable")
+        rows_of = zip(*(seen[c].tolist() for c in ("frame_idx", "obs_id", "x", "y", "z")))
+        for frame, group in itertools.groupby(rows_of, key=lambda r: r[0]):
+            group = list(group)
+            ids, tracks, next_id = associate(tracks, [r[2:] for r in group], int(frame), self.max_distance, self.max_gap, next_id)
             last = int(frame)
-            out += [(key[0], key[1], int(frame), int(o), int(t)) for o, t in zip(g.obs_id, ids)]
+            out += [(key[0], key[1], last, int(r[1]), int(t)) for r, t in zip(group, ids)]
         self.save({"tracks": tracks, "next": next_id, "last": last})
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)

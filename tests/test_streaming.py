@@ -1,4 +1,6 @@
+import os
 import uuid
+from unittest import mock
 
 import numpy as np
 import pytest
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spoorgrid.operators import relay, vote
 from spoorgrid.plans.bindings import bound, table
+from spoorgrid.plans import catalog_streams
 from spoorgrid.plans.catalog_streams import HYSTERESIS, as_frames, as_points, nested_frames
 from spoorgrid.plans.registry import REGISTRY
 from spoorgrid.sources.reports import nest_candidates
@@ -102,3 +105,15 @@ def test_interval_join_meets_by_slot_of_time(spark):
     assert sorted(map(tuple, joined.select("sequence", "frame_idx", "sample").collect())) == want
     keys = joined._jdf.queryExecution().optimizedPlan().toString().split("Join Inner", 1)[1].split("\n", 1)[0]
     assert keys.count("_slot") == 2
+
+
+def test_stateful_streams_hold_bounded_micro_batches(spark, tmp_path):
+    """The whole table was one micro-batch, and a task held a sequence of it."""
+    for name, size in (("R1_online_hysteresis", 300), ("R3_online_tracks", 400)):
+        taken, ran = [], jobs.run_available
+        want = sorted(map(tuple, REGISTRY[name].build(spark, SF).collect()))
+        with mock.patch.object(catalog_streams, "MICRO_BATCH", size), mock.patch.object(jobs, "run_available", lambda s, path: taken.append(path) or ran(s, path)):
+            got = sorted(map(tuple, REGISTRY[name].build(spark, SF).collect()))
+        n = table(spark, SF, "events" if name[1] == "1" else "orders").count()
+        commits = [f for f in os.listdir(f"{taken[0].removeprefix('file:')}/checkpoint/commits") if f.isdigit()]
+        assert got == want and len(commits) >= n // size > 1, name
