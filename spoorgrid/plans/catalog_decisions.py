@@ -18,8 +18,9 @@ C = ["patch_id", "final_score", "coarse_score", "bev_score", "icp_inlier_ratio",
      "deep_match_probability", "init_source", "x", "y", "yaw", "rerank_probability"]
 
 
-def _nested(src):
-    return reports.nest_candidates(src.candidates, C)
+def _nested(src, *fields):
+    """Frames with their candidates and the fields a rule reads, in the order of C: what is nested travels whole."""
+    return reports.nest_candidates(src.candidates, list(fields) or C)
 
 
 def _wrap_sql(a: str) -> str:
@@ -170,7 +171,7 @@ def _(src):
     select sequence, frame_idx, f0 + case when ok then 2e-1 * (p_a - 5e-1) else 0 end as s0,
            f1 - case when ok then 2e-1 * (p_a - 5e-1) else 0 end as s1 from a""", real="s0 s1", whole="sequence frame_idx")
 def _(src):
-    n = _nested(src)
+    n = _nested(src, "patch_id", "final_score", "bev_score", "icp_inlier_ratio", "deep_match_probability")
     pairs = n.join(src.frames.select(*FRAME, "semi_ratio"), FRAME).select(
         *FRAME, F.col("candidate_results")[0]["patch_id"].alias("patch_a"), F.col("candidate_results")[1]["patch_id"].alias("patch_b"),
         (F.col("semi_ratio") * 4).alias("p_a"))
@@ -238,7 +239,7 @@ def _(src):
 
 @query("D12_beam_tracking")
 def _(src):
-    return relay.track_beam(_nested(src), relay.BeamConfig())
+    return relay.track_beam(_nested(src, "patch_id", "final_score", "x", "y", "yaw"), relay.BeamConfig())
 
 
 @query("D13_prediction_rules", "frames", """with f as (select sequence, frame_idx, patch_id, semi_ratio < 15e-2 as tracker, event_type = 'view' as hysteresis,
