@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -120,8 +120,14 @@ def nearest_within(query: DataFrame, target: DataFrame, query_key: list[str], ta
 
 
 def in_time_window(left: DataFrame, right: DataFrame, keys: list[str], lt: str, rt: str, before: float,
-                   after: float) -> DataFrame:
-    """Right rows with rt in [lt - before, lt + after], inclusive; bucketed by time within the keys."""
+                   after: float, totals: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Right rows with rt in [lt - before, lt + after], inclusive; bucketed by time within the keys.
+
+    With `totals` (name -> ("count", "sum", "min" or "max", right column)) no pairs are made: left rows come back with totals of parts of
+    their window, two or three rows each, to be combined by whatever the caller groups by. The work is linear in both sides however dense.
+    """
+    if totals is not None:
+        return _window_totals(left, right, keys, lt, rt, before, after, totals)
     width = max(before + after, 1.0e-9)
     a = left.withColumn("_tb", _spread(F.col(lt) - before, F.col(lt) + after, width))
     b = right.withColumn("_tb", _bucket(rt, width))
@@ -129,6 +135,34 @@ def in_time_window(left: DataFrame, right: DataFrame, keys: list[str], lt: str,
     return out.where((F.col(rt) >= F.col(lt) - before) & (F.col(rt) <= F.col(lt) + after)).drop("_tb")
 
 
+def _window_totals(left, right, keys, lt, rt, before, after, totals) -> DataFrame:
+    """A window is longer than a bucket, so it is the end of one, the start of a later one and whole buckets in between."""
+    if before + after <= 0:
+        raise ValueError("totals need a window of some length")
+    width = 0.9 * (before + after)
+    add = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+    known = [F.col(k).isNotNull() for k in keys]
+    value = {n: F.count(c) if how == "count" else add[how](c) for n, (how, c) in totals.items()}
+    b = right.withColumn("_tb", _bucket(rt, width)).withColumn("_at", F.col(rt).cast("double"))
+    b = b.groupBy(*keys, "_tb", "_at").agg(*[v.alias(n) for n, v in value.items()]).where(F.col("_at").isNotNull() & ~F.isnan("_at"))
+    lo, hi = F.col(lt) - before, F.col(lt) + after
+    a = left.withColumns({"_lo": _bucket(lo, width), "_hi": _bucket(hi, width)}).where(F.col(lt).isNotNull() & ~F.isnan(F.col(lt).cast("double")))
+    for k in known:
+        a, b = a.where(k), b.where(k)
+    row = F.struct(*left.columns).alias("_row")
+    ends = a.select(*keys, row, F.inline(F.array(F.struct(F.col("_lo").alias("_tb"), lo.alias("_at"), F.lit(1).alias("_kind")),
+                                                 F.struct(F.col("_hi").alias("_tb"), hi.alias("_at"), F.lit(2).alias("_kind")))))
+    line = ends.unionByName(b.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    bucket = Window.partitionBy(*keys, "_tb")
+    first = Window.unboundedPreceding
+    rest, past = (bucket.orderBy(t, "_kind").rowsBetween(first, 0) for t in (F.desc("_at"), F.asc("_at")))
+    part = {n: F.when(F.col("_kind") == 1, add[how](n).over(rest)).otherwise(add[how](n).over(past)) for n, (how, _) in totals.items()}
+    ends = line.select("_kind", "_row", *[v.alias(n) for n, v in part.items()]).where("_kind > 0").select("_row.*", *totals)
+    whole = b.groupBy(*keys, "_tb").agg(*[add[how](n).alias(n) for n, (how, _) in totals.items()])
+    inner = a.where("_hi - _lo > 1").withColumn("_tb", F.explode(F.sequence(F.col("_lo") + 1, F.col("_hi") - 1)))
+    return ends.unionByName(inner.join(whole, [*keys, "_tb"]).select(*left.columns, *totals))
+
+
 def nearest_future(rows: DataFrame, keys: list[str], t: str, horizon: float, tolerance: float,
                    take: list[str], prefix: str = "future_") -> DataFrame:
     """For each row the later row of the same key nearest to t + horizon within a tolerance.

@@ -31,8 +31,10 @@ def _(src):
 def _(src):
     f = src.frames
     imu = f.select("sequence", F.col("ts_sec").alias("t"), F.col("semi_ratio").alias("g"), F.col("frame_idx").alias("sample"))
-    j = spatial.in_time_window(f.select(*FRAME, "ts_sec"), imu, ["sequence"], "ts_sec", "t", 4000.0, 4000.0)
-    return j.groupBy(*FRAME).agg(F.count("*").alias("samples"), F.avg("g").alias("mean_ratio"), F.min("sample").alias("first_sample"))
+    j = spatial.in_time_window(f.select(*FRAME, "ts_sec"), imu, ["sequence"], "ts_sec", "t", 4000.0, 4000.0,
+                               {"n": ("count", "t"), "m": ("count", "g"), "s": ("sum", "g"), "first": ("min", "sample")})
+    j = j.groupBy(*FRAME).agg(F.sum("n").alias("samples"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.min("first").alias("first_sample"))
+    return j.where("samples > 0").select(*FRAME, "samples", F.when(F.col("m") > 0, F.col("s") / F.col("m")).alias("mean_ratio"), "first_sample")
 
 
 _FUT = """(select a.track, a.frame_idx, b.ts_sec as future_ts_sec, b.x as future_x, b.y as future_y, b.z as future_z
