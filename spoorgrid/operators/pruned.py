@@ -12,6 +12,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,9 @@ from spoorgrid.session import cut
 MAX_CELLS = 256  # what a task holds of the bank's shape: at most this many centres
 SAMPLE = 16      # sampled vectors a centre is learned from
 LANE = 4         # queries that meet a block in one task, in blocks of the bank
+LEAST = 1024     # queries worth a lane of their own where slots would stay empty
+SHARE = 4        # groups of a block and a lane for each task slot
+LANE_NUMBERS = 8_000_000  # and the numbers their vectors hold (64 MB)
 
 
 class Cells(NamedTuple):
@@ -109,13 +114,23 @@ def _visits(queries: DataFrame, cells: Cells, variants: int, lanes: int, first:
 
 
 def visit(queries: DataFrame, placed: DataFrame, cells: Cells, variants: int, lanes: int, first: int | None,
-          tile: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """`tile(queries, block)` for each block and the queries that visit it. A lane takes about LANE blocks' worth of queries at most,
-    so a task's group is bounded by block sizes even where all queries want the same block."""
+          tile: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """`tile(queries, block)` for each block and the queries that visit it. A lane takes about LANE blocks' worth of queries at most and
+    LANE_NUMBERS of their vectors, so a task's group is bounded even where all queries want the same block."""
     keys = ["cell", "part", "lane"]
     blocks = placed.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    return _visits(queries, cells, variants, lanes, first).groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(tile, schema)
+    return _visits(queries, cells, variants, lanes, first).groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInArrow(tile, schema)
 
 
-def lanes_for(n_queries: int, block_rows: int) -> int:
-    return max(1, -(-n_queries // (LANE * block_rows)))
+def lanes_for(n_queries: int, block_rows: int, width: int, blocks: int, tasks: int) -> int:
+    """Lanes for queries whose vectors hold `width` numbers: as few as memory allows, but some groups of blocks and lanes for every task slot."""
+    bounded = max(1, -(-n_queries // (LANE * block_rows)), -(-n_queries * width // LANE_NUMBERS))
+    return max(bounded, min(-(-n_queries // LEAST), -(-SHARE * tasks // max(1, blocks))))
+
+
+def matrix(table: pa.Table, name: str) -> np.ndarray:
+    """An array column as a matrix, without an object for every row."""
+    lists = table.column(name).combine_chunks()
+    if pc.count_distinct(pc.list_value_length(lists)).as_py() > 1:
+        raise ValueError(f"vectors of {name} differ in length")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(lists), -1)

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from spoorgrid.operators.chunks import top_n
 DIGITS = 12
 BLOCK = 16384  # vectors of a bank block
 STEP = 256     # queries of a block whose scores are held at once
+PAIRS = 8192   # pairs of a block that are scored exactly at once
+DENSE = 16     # of so many pairs one or more worth an exact score: all are scored as a matrix
 _OUT = "qid bigint, n bigint, s1 array<double>, s2 array<double>, ids array<bigint>, scores array<double>, variants array<int>"
 
 
@@ -92,48 +95,111 @@ def _tiles(queries, bank, models, variants, k, skip_self, weights=None, block_ro
     return joined.mapInPandas(_kernel(models, variants, k, skip_self, weights), _OUT)
 
 
-def _steps(left: pd.DataFrame, right: pd.DataFrame, variants: int):
-    """Slices of the queries with their best score and variant (the earliest on ties) for every item of the block."""
-    bid = right["item"].to_numpy(dtype=np.int64)
-    b = np.stack(right["bvec"].to_numpy()).astype(np.float64)
-    for at in range(0, len(left), STEP):
-        some = left.iloc[at:at + STEP]
-        q = np.stack(some["qvec"].to_numpy()).astype(np.float64).reshape(len(some), variants, -1)
-        best, which = np.round(q[:, 0] @ b.T, DIGITS), np.zeros((len(some), len(bid)), dtype=np.int32)
-        for v in range(1, variants):
-            s = np.round(q[:, v] @ b.T, DIGITS)
-            up = s > best
-            best[up], which[up] = s[up], v
-        yield some, some["qid"].to_numpy(dtype=np.int64), bid, best, which
+def _exact(q: np.ndarray, b: np.ndarray, r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best score and variant (the earliest on ties) of the pairs (r, c) of queries (n, variants, d) and vectors."""
+    best, which = np.empty(len(r)), np.empty(len(r), dtype=np.int32)
+    for at in range(0, len(r), PAIRS):
+        s = np.round(np.einsum("pvd,pd->pv", q[r[at:at + PAIRS]], b[c[at:at + PAIRS]]), DIGITS)
+        which[at:at + PAIRS] = s.argmax(axis=1)
+        best[at:at + PAIRS] = s.max(axis=1)
+    return best, which
+
+
+def _dense(q: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for all pairs, as matrices."""
+    best, which = np.round(q[:, 0] @ b.T, DIGITS), np.zeros((len(q), len(b)), dtype=np.int32)
+    for v in range(1, q.shape[1]):
+        s = np.round(q[:, v] @ b.T, DIGITS)
+        up = s > best
+        best[up], which[up] = s[up], v
+    return best, which
+
+
+def _same(sorted_ids: np.ndarray, order: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (row, column) at which a column's id is the id of the row."""
+    lo, hi = np.searchsorted(sorted_ids, ids), np.searchsorted(sorted_ids, ids, "right")
+    rows = np.repeat(np.arange(len(ids)), hi - lo)
+    return rows, order[np.arange(len(rows)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)]
+
+
+def _screens(left: pa.Table, right: pa.Table, variants: int):
+    """Slices of the queries with the scores of a block in single precision, and how far those may be off the rounded ones.
+
+    They only tell which pairs are worth an exact score. A slack that is not finite lets every pair pass.
+    """
+    b = pruned.matrix(right, "bvec")
+    with np.errstate(over="ignore", invalid="ignore"):
+        b32, reach = b.astype(np.float32), np.linalg.norm(b, axis=1).max()
+        for at in range(0, left.num_rows, STEP):
+            some = left.slice(at, STEP)
+            q = pruned.matrix(some, "qvec").reshape(some.num_rows, variants, -1)
+            q32 = q.astype(np.float32)
+            rough = q32[:, 0] @ b32.T
+            for v in range(1, variants):
+                np.maximum(rough, q32[:, v] @ b32.T, out=rough)
+            size = np.linalg.norm(q, axis=2).max(axis=1) * reach
+            slack = np.where(size < 1.0e30, 1.0e-11 + size * (q.shape[2] + 8) * 2.0 ** -22, np.inf)
+            yield some, q, b, rough, slack
+
+
+def _numbers(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
 
 
 def _top_tile(variants: int, k: int, skip_self: bool):
-    def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
         found = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], [np.empty(0)], [np.empty(0, dtype=np.int32)]
-        for _, qid, bid, best, which in _steps(left, right, variants) if len(left) and len(right) else ():
-            for i in range(len(qid)):
-                pool = np.flatnonzero(bid != qid[i]) if skip_self else np.arange(len(bid))
-                s = best[i, pool]
-                if len(pool) > k:
-                    pool = pool[s >= np.partition(s, len(s) - k)[len(s) - k]]
-                    s = best[i, pool]
-                order = np.lexsort((bid[pool], -s))[:k]
-                for into, part in zip(found, (np.full(len(order), qid[i]), bid[pool][order], s[order], which[i, pool][order])):
-                    into.append(part)
-        return pd.DataFrame(dict(zip(("qid", "item", "score", "variant"), (np.concatenate(f) for f in found))))
+        if left.num_rows and right.num_rows:
+            bid = _numbers(right, "item")
+            order = np.argsort(bid, kind="stable")
+            ids = bid[order]
+            for some, q, b, rough, slack in _screens(left, right, variants):
+                qid = _numbers(some, "qid")
+                least = _numbers(some, "threshold").astype(np.float64) if "threshold" in some.column_names else np.full(len(qid), np.nan)
+                own = _same(ids, order, qid) if skip_self else (np.empty(0, dtype=np.int64),) * 2
+                rough[own] = -np.inf
+                bar = least - slack
+                open_ = np.flatnonzero(np.isnan(least))  # nothing known yet: the k-th of this block decides
+                if len(open_):
+                    bar[open_] = -np.inf if len(bid) <= k else np.partition(rough[open_], len(bid) - k, axis=1)[:, len(bid) - k] - 2.0 * slack[open_]
+                near = ~(rough < bar.astype(np.float64)[:, None])
+                near[own] = False
+                if near.sum() > near.size // DENSE:
+                    best, which = _dense(q, b)
+                    r, c = np.nonzero(near)
+                    best, which = best[r, c], which[r, c]
+                else:
+                    r, c = np.nonzero(near)
+                    best, which = _exact(q, b, r, c)
+                first = np.lexsort((bid[c], -best, r))
+                r, c, best, which = r[first], c[first], best[first], which[first]
+                keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+                for into, part in zip(found, (qid[r], bid[c], best, which)):
+                    into.append(part[keep])
+        return pa.table(dict(zip(("qid", "item", "score", "variant"), (np.concatenate(f) for f in found))))
 
     return tile
 
 
 def _rank_tile(skip_self: bool):
-    def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, better = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
-        for some, qid, bid, best, _ in _steps(left, right, 1) if len(left) and len(right) else ():
-            truth, goal = some["truth"].to_numpy(dtype=np.int64)[:, None], np.round(some["threshold"].to_numpy(), DIGITS)[:, None]
-            ahead = ((best > goal) | ((best == goal) & (bid < truth))) & (bid != truth)
-            ids.append(qid)
-            better.append((ahead & (bid != qid[:, None]) if skip_self else ahead).sum(axis=1))
-        return pd.DataFrame({"qid": np.concatenate(ids), "better": np.concatenate(better)})
+        if left.num_rows and right.num_rows:
+            bid = _numbers(right, "item")
+            order = np.argsort(bid, kind="stable")
+            for some, q, b, rough, slack in _screens(left, right, 1):
+                qid, truth, goal = _numbers(some, "qid"), _numbers(some, "truth"), np.round(_numbers(some, "threshold").astype(np.float64), DIGITS)
+                apart = [_same(bid[order], order, truth), *([_same(bid[order], order, qid)] if skip_self else [])]
+                sure = rough > (goal + slack)[:, None]
+                near = ~(sure | (rough < (goal - slack)[:, None]))
+                for own in apart:
+                    sure[own] = near[own] = False
+                r, c = np.nonzero(near)
+                score = _dense(q, b)[0][r, c] if len(r) > near.size // DENSE else _exact(q, b, r, c)[0]
+                ahead = (score > goal[r]) | ((score == goal[r]) & (bid[c] < truth[r]))
+                ids.append(qid)
+                better.append(sure.sum(axis=1) + np.bincount(r[ahead], minlength=len(qid)))
+        return pa.table({"qid": np.concatenate(ids), "better": np.concatenate(better)})
 
     return tile
 
@@ -210,6 +276,11 @@ def score_moments(queries: DataFrame, bank: DataFrame, models: int = 1, variants
     return s.select("qid", "n", F.array(*mean).alias("mean"), F.array(*[F.sqrt(v) for v in var]).alias("std"))
 
 
+def _lanes(queries: DataFrame, cells: pruned.Cells, block_rows: int, variants: int) -> int:
+    tasks = queries.sparkSession.sparkContext.defaultParallelism
+    return pruned.lanes_for(queries.count(), block_rows, variants * cells.centres.shape[1], int(cells.parts.sum()), tasks)
+
+
 def top_k(queries: DataFrame, bank: DataFrame, k: int, variants: int = 1, skip_self: bool = True,
           block_rows: int = BLOCK) -> DataFrame:
     """Top k items per query with score and best variant; ties go to the lowest id. Rows without a vector take no part."""
@@ -218,7 +289,7 @@ def top_k(queries: DataFrame, bank: DataFrame, k: int, variants: int = 1, skip_s
     out, tile = "qid bigint, item bigint, score double, variant int", _top_tile(variants, k, skip_self)
     if cells is None:
         return q.sparkSession.createDataFrame([], out + ", rank int")
-    lanes = pruned.lanes_for(q.count(), block_rows)
+    lanes = _lanes(q, cells, block_rows, variants)
     least = F.lit(None).cast("double")
     if cells.parts.sum() > 1:  # what k items of one block already reach; a block of fewer sets no threshold
         near = pruned.visit(q, placed, cells, variants, lanes, k, tile, out)
@@ -260,7 +331,7 @@ def truth_rank(queries: DataFrame, bank: DataFrame, skip_self: bool = True, bloc
         return q.select("qid", "truth", F.col("goal").alias("truth_score"), F.lit(1).cast("bigint").alias("truth_rank"))
     asked = q.select(F.col("qid").cast("bigint").alias("qid"), "qvec", F.col("truth").cast("bigint").alias("truth"),
                      F.col("goal").alias("threshold"))
-    tiles = pruned.visit(asked, placed, cells, 1, pruned.lanes_for(asked.count(), block_rows), None, _rank_tile(skip_self),
+    tiles = pruned.visit(asked, placed, cells, 1, _lanes(asked, cells, block_rows, 1), None, _rank_tile(skip_self),
                          "qid bigint, better bigint")
     ranks = tiles.groupBy("qid").agg((F.sum("better") + 1).alias("truth_rank"))
     return q.select("qid", "truth", F.col("goal").alias("truth_score")).join(ranks, "qid")

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +155,56 @@ def test_retrieval_of_clusters_reads_few_blocks_and_stays_exact(spark):
         assert r.truth_rank == 1 + sum(1 for j in range(900) if j not in (i, t) and (s[i, j], -j) > (s[i, t], -t))
 
 
+def test_totals_of_time_windows_equal_pairs(spark):
+    """Without totals the work grows with the square of the density; times repeat, meet the bounds, and some are missing."""
+    rng = np.random.default_rng(4)
+    at = [float(t) for t in rng.integers(-300, 300, 240)] + [None, 3.5, 3.5]
+    left = spark.createDataFrame([(i % 3 if i % 50 else None, i, t) for i, t in enumerate(at)], "k int, id int, t double")
+    right = left.select("k", F.col("t").alias("u"), F.when(F.col("id") % 5 > 0, F.col("id") * 0.25).alias("g"), F.col("id").alias("sample"))
+    for before, after in ((20.0, 20.0), (0.0, 7.0), (90.0, 10.0)):
+        pairs = spatial.in_time_window(left, right, ["k"], "t", "u", before, after)
+        want = pairs.groupBy("k", "id").agg(F.count("*").alias("n"), F.count("g").alias("m"), F.sum("g").alias("s"), F.min("sample").alias("lo"), F.max("sample").alias("hi"))
+        got = spatial.in_time_window(left, right, ["k"], "t", "u", before, after, {
+            "n": ("count", "u"), "m": ("count", "g"), "s": ("sum", "g"), "lo": ("min", "sample"), "hi": ("max", "sample")})
+        got = got.groupBy("k", "id").agg(F.sum("n").alias("n"), F.sum("m"), F.sum("s"), F.min("lo"), F.max("hi")).where("n > 0")
+        assert rows(got, "k", "id") == rows(want, "k", "id")
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-25, 1e25])
+def test_single_precision_only_screens(scale):
+    """Scores nearer to each other than single precision tells apart, ties between variants, and copies."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=16)
+    v = np.concatenate([base + 1e-9 * rng.normal(size=(300, 16)), rng.normal(size=(300, 16)), np.repeat(base[None], 40, axis=0)]) * scale
+    q = np.stack([v[::7], np.roll(v[::7], 3, axis=1)], axis=1)
+    ids = np.arange(len(v), dtype=np.int64)
+    lists = lambda m: pa.array(list(m), pa.list_(pa.float64()))
+    right = pa.table({"item": ids, "bvec": lists(v)})
+    s = np.round(np.stack([q[:, 0] @ v.T, q[:, 1] @ v.T]), 12)
+    best = s.max(axis=0)
+    left = pa.table({"qid": ids[::7], "qvec": lists(q.reshape(len(q), -1))})
+    got = retrieval._top_tile(2, 5, True)(left, right).to_pandas()
+    for n, i in enumerate(ids[::7]):
+        own = got[got.qid == i]
+        want = np.sort(np.delete(best[n], i))[::-1][:5]
+        assert len(own) == 5 and np.allclose(own.score, want, rtol=1e-14, atol=2e-12)
+    goal = s[0][np.arange(len(q)), 1]
+    asked = left.set_column(1, "qvec", lists(q[:, 0])).append_column("truth", pa.array(np.ones(len(q), np.int64))).append_column("threshold", pa.array(goal))
+    ranks = retrieval._rank_tile(True)(asked, right).to_pandas().set_index("qid").better
+    for n, i in enumerate(ids[::7]):
+        other = (ids != i) & (ids != 1)
+        clear = np.abs(s[0][n] - goal[n]) > max(2e-12, 1e-14 * abs(goal[n]))
+        sure, open_ = (other & clear & (s[0][n] > goal[n])).sum(), (other & ~clear).sum()
+        assert sure <= ranks[i] <= sure + open_
+
+
+def test_lanes_are_bounded_by_what_vectors_hold():
+    """Before, a lane took 65,536 queries however long their vectors were."""
+    lanes = pruned.lanes_for(1_000_000, 16384, 387, 61, 12)
+    assert 1_000_000 / lanes * 387 <= pruned.LANE_NUMBERS
+    assert pruned.lanes_for(100, 16384, 64, 1, 12) == 1
+
+
 def test_retrieval_of_empty_and_lonely_tables(spark):
     bank = spark.createDataFrame([(1, [1.0, 0.0])], "item long, bvec array<double>")
     q = bank.select(F.col("item").alias("qid"), F.col("bvec").alias("qvec"))
