@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spoorgrid.functions import camera as C
 from spoorgrid.functions import pose as P
+from spoorgrid.session import cut, dealt
 
 FRAME = ["sequence", "frame_idx"]
 D5 = ["k1", "k2", "p1", "p2", "k3"]
@@ -30,6 +31,8 @@ def dilated(pixels: DataFrame, sets: dict[str, tuple], radius: int, width: int,
     hit = pixels.where(F.col("label").isin(*every)).select(
         *FRAME, "camera", "u", "v", *[F.col("label").isin(*s).alias(n) for n, s in sets.items()])
     side = range(-radius, radius + 1)
+    hit = cut(hit)
+    hit = dealt(hit, hit.count() * len(side), *FRAME, "camera")  # an image stays together, so its aggregates need no further shuffle
     for axis, size in (("u", width), ("v", height)):
         if radius > 0:
             hit = hit.withColumn(axis, F.explode(F.array(*[F.col(axis) + i for i in side])))
@@ -54,26 +57,28 @@ def with_pixels(points: DataFrame, cameras: DataFrame, camera: str) -> DataFrame
     return j.select(*points.columns, ui.alias(f"u_{camera}"), vi.alias(f"v_{camera}"))
 
 
-def with_lookup(points: DataFrame, table: DataFrame, camera: str, values: dict[str, str]) -> DataFrame:
-    """Attach pixel columns (`name -> column`) of one camera's image to the points that fall on a pixel."""
+def with_lookup(points: DataFrame, table: DataFrame, camera: str, values: dict[str, str], rows: int = 0) -> DataFrame:
+    """Attach pixel columns (`name -> column`) of one camera's image to the points that fall on a pixel. `rows`: how many points there are,
+    if known; many are dealt to more tasks."""
     t = table.where(F.col("camera") == camera).select(
         *FRAME, F.col("u").alias(f"u_{camera}"), F.col("v").alias(f"v_{camera}"), *[F.col(c).alias(n) for n, c in values.items()])
-    return points.join(t, [*FRAME, f"u_{camera}", f"v_{camera}"], "left")
+    at = [*FRAME, f"u_{camera}", f"v_{camera}"]
+    return dealt(points, rows, *at).join(t, at, "left")
 
 
 def stereo_labels(points: DataFrame, pixels: DataFrame, cameras: DataFrame) -> DataFrame:
     """Label per point: the left image if it shows the point, else the right, else -1 (0 is a valid label)."""
-    out = points
+    out, rows = points, points.count()
     for cam in ("left", "right"):
-        out = with_lookup(with_pixels(out, cameras, cam), pixels, cam, {f"label_{cam}": "label"})
+        out = with_lookup(with_pixels(out, cameras, cam), pixels, cam, {f"label_{cam}": "label"}, rows)
     return out.withColumn("point_label", F.coalesce("label_left", "label_right", F.lit(-1)))
 
 
 def mask_hits(points: DataFrame, masks: DataFrame, names: list[str], cameras: DataFrame) -> DataFrame:
     """Add one boolean per flag of a mask table: TRUE where either camera sees the point on a flagged pixel."""
-    out = points
+    out, rows = points, points.count()
     for cam in ("left", "right"):
-        out = with_lookup(with_pixels(out, cameras, cam), masks, cam, {f"_{n}_{cam}": n for n in names})
+        out = with_lookup(with_pixels(out, cameras, cam), masks, cam, {f"_{n}_{cam}": n for n in names}, rows)
     return out.withColumns({n: F.coalesce(f"_{n}_left", F.lit(False)) | F.coalesce(f"_{n}_right", F.lit(False))
                             for n in names}).select(*points.columns, *names)
 

@@ -44,3 +44,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise to reliable storage, so iterative jobs neither replan nor lose work with an executor."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+ROWS_A_TASK = 500_000  # rows that a join or an aggregate sorts or holds in one task
+
+
+def dealt(df: DataFrame, rows: int, *columns) -> DataFrame:
+    """`df`, of about so many rows, by the columns in partitions of about ROWS_A_TASK rows, where the session's number of shuffle partitions
+    would make larger ones: a task then needs no more memory as tables grow."""
+    parts = -(-rows // ROWS_A_TASK)
+    return df.repartition(parts, *columns) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df

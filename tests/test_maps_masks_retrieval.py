@@ -1,10 +1,13 @@
+from unittest import mock
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from spoorgrid.operators import components, masks, metrics, policy, pruned, retrieval, spatial, vote
+from spoorgrid import session
+from spoorgrid.operators import compare, components, masks, metrics, policy, pruned, retrieval, spatial, vote
 from spoorgrid.functions import pose as P
 
 
@@ -155,6 +158,33 @@ def test_retrieval_of_clusters_reads_few_blocks_and_stays_exact(spark):
         assert r.truth_rank == 1 + sum(1 for j in range(900) if j not in (i, t) and (s[i, j], -j) > (s[i, t], -t))
 
 
+def test_large_inputs_get_more_tasks_with_the_same_rows(spark):
+    """Before, the session's number of shuffle partitions held whatever the size, so the memory of a task grew with the tables."""
+    rng = np.random.default_rng(8)
+    px = spark.createDataFrame([(0, f, c, int(u), int(v), int(k)) for f in range(6) for c in ("left", "right") for u, v, k in {(u, v): (u, v, k) for u, v, k in rng.integers(0, 16, (40, 3))}.values()],
+                               "sequence int, frame_idx int, camera string, u int, v int, label int")
+    pts = spark.createDataFrame([(0, i % 6, i, *map(float, rng.normal(size=2)), 3.0, int(rng.integers(1, 12))) for i in range(300)],
+                                "sequence int, frame_idx int, point_idx long, x double, y double, z double, label int")
+    cams = spark.createDataFrame([(0, c, 8.0, 8.0, 8.0, 8.0, 16, 16, 0.0, 0.0, 0.0, 0.0, 0.0) for c in ("left", "right")],
+                                 "sequence int, camera string, fx double, fy double, cx double, cy double, width int, height int, k1 double, k2 double, p1 double, p2 double, k3 double")
+    cams = cams.withColumn("cam_pose", P.pose_from_planar(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0)))
+    cand = spark.createDataFrame([(0, f, c, 0.4 * c, 0.1, 0.2 * c) for f in range(6) for c in range(2)], "sequence int, frame_idx int, cand int, x double, y double, yaw double")
+    share = spark.createDataFrame([(x, y, k, 0.1 * k) for x in (-1, 0) for y in (-1, 0, 1) for k in (1, 2, 5)], "ix long, iy long, label int, p double")
+    stable = spark.createDataFrame([(x, 0, 0.5) for x in (-1, 0)], "ix long, iy long, stability double")
+
+    def found():
+        hits = masks.mask_hits(pts.drop("label"), masks.dilated(px, {"dynamic": (12, 13), "semi": (5, 7)}, 1, 16, 16), ["dynamic", "semi"], cams)
+        scores = compare.semantic_candidate_scores(pts, cand, share, stable, 1.0).select("sequence", "frame_idx", "cand", F.round("semantic_score", 9), F.round("semantic_coverage", 9), "semantic_points")
+        return hits, rows(hits, "point_idx"), scores, rows(scores, "frame_idx", "cand")
+
+    few = found()
+    with mock.patch.object(session, "ROWS_A_TASK", 20):
+        many = found()
+    assert few[1] == many[1] and few[3] == many[3] and any(r[-1] for r in few[1]) and any(r[-1] for r in few[3])
+    plans = [few[i]._jdf.queryExecution().optimizedPlan().toString() + many[i]._jdf.queryExecution().optimizedPlan().toString() for i in (0, 2)]
+    assert all("RepartitionByExpression" in p and ", 15" in p for p in plans)
+
+
 def test_totals_of_time_windows_equal_pairs(spark):
     """Without totals the work grows with the square of the density; times repeat, meet the bounds, and some are missing."""
     rng = np.random.default_rng(4)
