@@ -13,46 +13,82 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spoorgrid.session import cut
+
 HEADER_STEP = 65536
 SLICE_RECORDS = 1_000_000
+SMALL_BYTES = 8192  # records of a file that go along with its layout, so that it is opened once
+BATCH_RECORDS = 100_000
 # PLY scalar names and their NumPy codes.
 PLY_TYPES = {"char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int": "i4", "uint": "u4", "float": "f4",
              "double": "f8", "int8": "i1", "uint8": "u1", "int16": "i2", "uint16": "u2", "int32": "i4", "uint32": "u4",
              "float32": "f4", "float64": "f8"}
 
 
-def _open(path: str):
-    """A seekable stream on any file system both Spark and Arrow know."""
+def _system(path: str):
+    """The file system of a path, any that both Spark and Arrow know, and the path there."""
     from pyarrow import fs
 
     uri = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
-    system, local = fs.FileSystem.from_uri(uri)
-    return system.open_input_file(local)
+    return fs.FileSystem.from_uri(uri)
 
 
-def _save(path: str, data: bytes) -> None:
-    """Write a whole file; a task that runs again writes the same one."""
-    from pyarrow import fs
+def _open(path: str):
+    """A seekable stream."""
+    system, local = _system(path)
+    return system.open_input_file(local)
 
-    uri = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
-    system, local = fs.FileSystem.from_uri(uri)
-    system.create_dir(local.rsplit("/", 1)[0], recursive=True)
+
+def _save(path: str, data: bytes, folders: set[str] | None = None) -> None:
+    """Write a whole file; a task that runs again writes the same one. Folders that the task has made are not made again."""
+    system, local = _system(path)
+    folder = local.rsplit("/", 1)[0]
+    if folders is None or folder not in folders:
+        system.create_dir(folder, recursive=True)
+        (folders if folders is not None else set()).add(folder)
     with system.open_output_stream(local) as f:
         f.write(data)
 
 
 def write_point_clouds(points: DataFrame, root: str) -> DataFrame:
-    """One binary cloud per frame under <root>/<sequence>/lidar; returns (path, points). A frame is one task's work."""
-    def save(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        n, path = len(rows), f"{root}/{key[0]}/lidar/{key[1]:06d}.pcd"
-        head = f"VERSION .7\nFIELDS x y z\nSIZE 4 4 4\nTYPE F F F\nCOUNT 1 1 1\nWIDTH {n}\nHEIGHT 1\nVIEWPOINT 0 0 0 1 0 0 0\nPOINTS {n}\nDATA binary\n"
-        _save(path, head.encode() + rows.sort_values("point_idx")[["x", "y", "z"]].to_numpy("<f4").tobytes())
-        return pd.DataFrame({"path": [path], "points": [n]})
+    """One binary cloud per frame under <root>/<sequence>/lidar; returns (path, points). A task takes its frames one after another."""
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folders: set[str] = set()
+
+        def put(key: tuple, parts: list[np.ndarray]) -> tuple[str, int]:
+            n, path = sum(map(len, parts)), f"{root}/{key[0]}/lidar/{key[1]:06d}.pcd"
+            head = f"VERSION .7\nFIELDS x y z\nSIZE 4 4 4\nTYPE F F F\nCOUNT 1 1 1\nWIDTH {n}\nHEIGHT 1\nVIEWPOINT 0 0 0 1 0 0 0\nPOINTS {n}\nDATA binary\n"
+            _save(path, head.encode() + b"".join(p.tobytes() for p in parts), folders)
+            return path, n
 
-    return points.groupBy("sequence", "frame_idx").applyInPandas(save, "path string, points long")
+        key, parts = None, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            xyz = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4)]).astype("<f4")
+            codes = [b.column(i).dictionary_encode("encode").indices.to_numpy() for i in (0, 1)]
+            starts = np.flatnonzero(np.concatenate([[True], (codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1])]))
+            done = []
+            for at, end in zip(starts.tolist(), [*starts[1:].tolist(), b.num_rows]):
+                now = (b.column(0)[at].as_py(), b.column(1)[at].as_py())
+                if now != key and parts:
+                    done.append(put(key, parts))
+                    parts = []
+                key = now
+                parts.append(xyz[at:end])
+            yield _written(done)
+        if parts:
+            yield _written([put(key, parts)])
+
+    def _written(done: list[tuple[str, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], names=["path", "points"])
+
+    frames = points.select("sequence", "frame_idx", *[F.col(c).cast("double").alias(c) for c in "xyz"], "point_idx").repartition("sequence", "frame_idx")
+    return frames.sortWithinPartitions("sequence", "frame_idx", F.asc_nulls_last("point_idx")).mapInArrow(save, "path string, points long")
 
 
 def write_map_points(points: DataFrame, root: str) -> DataFrame:
@@ -141,53 +177,95 @@ def ply_layout(head: bytes, size: int, path: str) -> dict:
     return {"offset": end + len(b"end_header\n"), "count": count, "dtype": dtype}
 
 
-def _records(spark: SparkSession, path: str, suffix: str, layout, columns: list[str]) -> DataFrame:
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").option("recursiveFileLookup", True)
-             .load(path).select("path", "length"))
+def _files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
+    """(path, length) of the files under a folder. Tasks list the folders, level by level; only names of folders reach the driver."""
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for folder in (f for b in batches for f in b.column(0).to_pylist()):
+            system, local = _system(folder)
+            inside = [i for i in system.get_file_info(fs.FileSelector(local)) if i.base_name[:1] not in ("_", ".")]  # as Spark hides them
+            for at in range(0, len(inside), BATCH_RECORDS):
+                part = inside[at:at + BATCH_RECORDS]
+                yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{i.base_name}" for i in part], pa.string()), pa.array([i.size or 0 for i in part], pa.int64()),
+                                                  pa.array([i.type == fs.FileType.Directory for i in part], pa.bool_())], names=["path", "length", "folder"])
+
+    level, out = [root.rstrip("/")], None
+    while level:
+        folders = spark.createDataFrame([(f,) for f in level], "path string").repartition(min(len(level), 1000))
+        listed = cut(folders.mapInArrow(entries, "path string, length long, folder boolean"))
+        level = [r.path for r in listed.where("folder").select("path").collect()]
+        files = listed.where(~F.col("folder") & F.col("path").endswith(f".{suffix}")).select("path", "length")
+        out = files if out is None else out.unionByName(files)
+    return out
 
-    def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _records(spark: SparkSession, path: str, suffix: str, layout, columns: list[str], names: dict[str, Column]) -> DataFrame:
+    """`names` are taken from the path, `columns` from the records; small files are read with their header, others in slices."""
+    files, kept = _files(spark, path, suffix).repartition("path"), list(names)
+
+    def headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for p, size in zip(b["path"], b["length"]):
+            for p, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 with _open(p) as f:
-                    rows.append((p, json.dumps(_header(f, int(size), layout, p))))
-            yield pd.DataFrame(rows, columns=["path", "layout"])
-
-    def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                    lay = _header(f, size, layout, p)
+                    n = lay["count"] * np.dtype([tuple(d) for d in lay["dtype"]]).itemsize
+                    raw = None
+                    if 0 < n <= SMALL_BYTES and lay["count"] <= SLICE_RECORDS:
+                        f.seek(lay["offset"])
+                        raw = f.read(n)
+                    rows.append((p, json.dumps(lay), raw))
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), (pa.string(), pa.string(), pa.binary()))], names=["path", "layout", "raw"])
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p, text, first in zip(b["path"], b["layout"], b["first"]):
+            found: list[tuple[int, int, np.ndarray]] = []
+            held = 0
+            for i, (p, text, raw, first) in enumerate(zip(*[b.column(c).to_pylist() for c in ("path", "layout", "raw", "first")])):
                 lay = json.loads(text)
                 dtype = np.dtype([tuple(d) for d in lay["dtype"]])
-                n = min(SLICE_RECORDS, lay["count"] - int(first))
-                with _open(p) as f:
-                    f.seek(lay["offset"] + int(first) * dtype.itemsize)
-                    raw = f.read(n * dtype.itemsize)
+                n = min(SLICE_RECORDS, lay["count"] - first)
+                if raw is None:
+                    with _open(p) as f:
+                        f.seek(lay["offset"] + first * dtype.itemsize)
+                        raw = f.read(n * dtype.itemsize)
                 if len(raw) != n * dtype.itemsize:
                     raise ValueError(f"{p} ends before its last point")
-                data = np.frombuffer(raw, dtype=dtype)
-                out = {"path": p, "point_idx": np.arange(first, first + n, dtype=np.int64)}
-                for c in columns:
-                    out[c] = data[c].astype(np.float32) if c in dtype.names else np.full(n, None)
-                yield pd.DataFrame(out)
-
-    laid = files.mapInPandas(headers, "path string, layout string")
+                found.append((i, first, np.frombuffer(raw, dtype=dtype)))
+                held += n
+                if held >= BATCH_RECORDS:
+                    yield points(b, found)
+                    found, held = [], 0
+            if found:
+                yield points(b, found)
+
+    def points(b: pa.RecordBatch, found: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        of = pa.array(np.repeat([i for i, _, _ in found], [len(d) for _, _, d in found]))
+        out = [b.column(c).take(of) for c in kept]
+        out.append(pa.array(np.concatenate([np.arange(first, first + len(d), dtype=np.int64) for _, first, d in found])))
+        for c in columns:
+            parts = [pa.array(d[c].astype(np.float32), from_pandas=True) if c in d.dtype.names else pa.nulls(len(d), pa.float32()) for _, _, d in found]
+            out.append(pa.concat_arrays(parts))
+        return pa.RecordBatch.from_arrays(out, names=[*kept, "point_idx", *columns])
+
+    laid = files.mapInArrow(headers, "path string, layout string, raw binary")
     count = F.get_json_object("layout", "$.count").cast("bigint")
     parts = laid.where(count > 0).withColumn("first", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1, F.lit(SLICE_RECORDS).cast("bigint"))))
-    ddl = "path string, point_idx bigint, " + ", ".join(f"{c} float" for c in columns)
-    return parts.repartition("path", "first").mapInPandas(slices, ddl)
+    parts = parts.select("path", "layout", "raw", "first", *[v.alias(n) for n, v in names.items()]).repartition("path", "first")
+    ddl = ", ".join([f"{n} {k}" for n, k in parts.select(*names).dtypes] + ["point_idx bigint", *[f"{c} float" for c in columns]])
+    return parts.mapInArrow(slices, ddl)
 
 
 def read_point_clouds(spark: SparkSession, root: str) -> DataFrame:
     """points(sequence, frame_idx, point_idx, x, y, z) from <root>/<sequence>/lidar/<six digits>.pcd."""
-    rows = _records(spark, root, "pcd", pcd_layout, ["x", "y", "z"])
-    return rows.select(F.regexp_extract("path", r"([^/]+)/[^/]+/\d+\.pcd$", 1).alias("sequence"),
-                       F.regexp_extract("path", r"(\d+)\.pcd$", 1).cast("int").alias("frame_idx"), "point_idx", "x", "y", "z")
+    return _records(spark, root, "pcd", pcd_layout, ["x", "y", "z"], {
+        "sequence": F.regexp_extract("path", r"([^/]+)/[^/]+/\d+\.pcd$", 1), "frame_idx": F.regexp_extract("path", r"(\d+)\.pcd$", 1).cast("int")})
 
 
 def read_map_points(spark: SparkSession, root: str) -> DataFrame:
     """map_points(map_id, point_idx, x, y, z, nx, ny, nz) from PLY files; normals are NULL when absent."""
-    rows = _records(spark, root, "ply", ply_layout, ["x", "y", "z", "nx", "ny", "nz"])
-    return rows.select(F.regexp_extract("path", r"([^/]+)\.ply$", 1).alias("map_id"), "point_idx", "x", "y", "z", "nx", "ny", "nz")
+    return _records(spark, root, "ply", ply_layout, ["x", "y", "z", "nx", "ny", "nz"], {"map_id": F.regexp_extract("path", r"([^/]+)\.ply$", 1)})
 
 
 def read_label_images(spark: SparkSession, root: str, pattern: str = r"([^/]+)/([^/]+)/(\d+)\.png$") -> DataFrame:

@@ -27,6 +27,23 @@ def test_point_clouds(spark, tmp_path, monkeypatch):
     assert np.allclose([r[3:] for r in got], pts + pts[:1])
 
 
+def test_point_cloud_files_are_written_by_runs_of_frames_and_listed_by_tasks(spark, tmp_path):
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # frames go over the borders of batches
+    try:
+        pts = [(s, f, 10 - i, float(i), float(f), None if i == 2 else 0.5) for s in ("a", "b") for f in (0, 3, 1234567) for i in range(7)]
+        df = spark.createDataFrame(pts, "sequence string, frame_idx int, point_idx int, x double, y double, z double")
+        done = binary.write_point_clouds(df, str(tmp_path))
+        assert sorted(r.points for r in done.collect()) == [7] * 6
+        back = binary.read_point_clouds(spark, str(tmp_path))
+        want = sorted((s, f, 10 - p - 4, x, y, z is None) for s, f, p, x, y, z in pts)
+        assert sorted((r[0], r[1], 6 - r[2], r[3], r[4], r[5] is None) for r in back.collect()) == sorted((s, f, int(x), x, y, z) for s, f, _, x, y, z in want)
+        plans = [d._jdf.queryExecution().toString() for d in (done, back)]
+        assert "FlatMapGroupsInPandas" not in plans[0] and "binaryFile" not in plans[1]  # no call a frame, no list of all files at the driver
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
 @pytest.mark.parametrize("kwargs,message", [({"cut": 4}, "should hold"), ({"fields": "x y i"}, "float32")])
 def test_bad_point_clouds_are_errors(spark, tmp_path, kwargs, message):
     _pcd(f"{tmp_path}/s/lidar/000000.pcd", [(1, 2, 3)], **kwargs)
