@@ -7,6 +7,7 @@ finishes the work.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -96,26 +97,32 @@ def within_radius(left: DataFrame, right: DataFrame, lx: str, ly: str, rx: str,
 
 def nearest_within(query: DataFrame, target: DataFrame, query_key: list[str], target_cols: list[str],
                    cutoff: float, q=("x", "y", "z"), t=("tx", "ty", "tz")) -> DataFrame:
-    """Nearest 3-D target of each query point within a cut-off; exact because cells are cut-off sized.
+    """Nearest 3-D target of each query point within a cut-off; ties go to the smallest target columns.
 
-    Targets are copied to the 27 surrounding cells. The first pass takes the smallest squared distance, a
-    primitive minimum in the hash aggregate; the second keeps only pairs at that distance, so what is
-    left to order (ties go to the smallest target columns) is about one row per point.
+    Two passes over cells, whose targets are copied to the 27 surrounding ones: a point with a target within a third of the cut-off
+    meets only the targets of cells of that size; the others meet those of cells of the cut-off. Both are exact, since no target nearer
+    than the size of a cell lies beyond the cells around it. Points settled before stay apart from the targets by a flag among the keys.
     """
     steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    tt = target
-    for i, c in enumerate(t):
-        tt = tt.withColumn(f"_s{i}", F.explode(steps)).withColumn(f"_c{i}", _bucket(c, cutoff) + F.col(f"_s{i}")).drop(f"_s{i}")
-    qq = query.withColumns({f"_c{i}": _bucket(c, cutoff) for i, c in enumerate(q)})
+    rest = [c for c in query.columns if c not in query_key]
+    known = [*query_key, *rest]
     d2 = sum(((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)) for a, b in zip(q[1:], t[1:])),
              (F.col(q[0]) - F.col(t[0])) * (F.col(q[0]) - F.col(t[0])))
-    cells = ["_c0", "_c1", "_c2"]
-    slim = list(dict.fromkeys([*query_key, *q]))
-    pairs = qq.select(*slim, *cells).join(tt.select(*cells, *t), cells).withColumn("d2", d2)
-    low = pairs.where(F.col("d2") <= F.lit(float(cutoff) ** 2)).groupBy(*query_key).agg(F.min("d2").alias("_low"))
-    again = qq.join(low, query_key).join(tt, cells).withColumn("d2", d2).where(F.col("d2") == F.col("_low"))
-    rest = [c for c in query.columns if c not in query_key]
-    best = again.groupBy(*query_key).agg(F.min(F.struct("d2", *target_cols, *rest)).alias("_b"))
+    near = query.dropna(subset=list(query_key)).select(*known, F.lit(None).alias("_b"))
+    taken = list(dict.fromkeys([*t, *target_cols]))
+    for size, reach in ((cutoff / 3, 0.33 * cutoff), (cutoff, cutoff)):  # less than the size, so that no rounding matters
+        tt = target.select(*taken, F.lit(True).alias("_open"))
+        for i, c in enumerate(t):
+            tt = tt.withColumn(f"_s{i}", F.explode(steps)).withColumn(f"_c{i}", _bucket(c, size) + F.col(f"_s{i}")).drop(f"_s{i}")
+        qq = near.withColumns({f"_c{i}": _bucket(c, size) for i, c in enumerate(q)}).withColumn("_open", F.col("_b").isNull())
+        cells = [qq[c] == tt[c] for c in ("_open", "_c0", "_c1", "_c2")]
+        pairs = qq.join(tt, functools.reduce(lambda a, b: a & b, cells) & (d2 <= F.lit(float(reach) ** 2)), "left")
+        best = F.when(d2.isNotNull(), F.struct(d2.alias("d2"), *target_cols))
+        near = pairs.select(*known, (F.coalesce("_b", best) if size == cutoff else best).alias("_b")).groupBy(*known).agg(F.min("_b").alias("_b"))
+    near = near.where(F.col("_b").isNotNull()).select(*query_key, *[F.col(f"_b.{c}").alias(c) for c in ("d2", *target_cols)], *rest)
+    if not rest:
+        return near
+    best = near.groupBy(*query_key).agg(F.min(F.struct("d2", *target_cols, *rest)).alias("_b"))
     return best.select(*query_key, *[F.col(f"_b.{c}").alias(c) for c in ("d2", *target_cols, *rest)])
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from spoorgrid.functions import camera, cells, pose
 from spoorgrid.operators import points as pts
-from spoorgrid.operators import registration
+from spoorgrid.operators import registration, spatial
 
 
 def test_grid_raster_rows_run_from_the_top(spark):
@@ -84,3 +84,36 @@ def test_registration_recovers_a_translation(spark):
     out = registration.register(q, t, start, ["k"], voxel=0.01, max_iterations=15, cutoff=1.0).orderBy("k").collect()
     for r in out:
         assert r.converged and abs(r.pose[3] - 0.2) < 1e-3 and abs(r.pose[7] + 0.1) < 1e-3 and r.rmse < 1e-2
+
+
+def test_nearest_within_dense_targets_ties_and_odd_keys(spark):
+    rng = np.random.default_rng(3)
+    world = np.round(rng.uniform(0, 1.5, (1500, 3)), 2)
+    at = np.round(np.vstack([rng.uniform(0.3, 1.2, (60, 3)), rng.uniform(-1, 2.5, (6, 3))]), 2)
+    t = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(np.vstack([world, world[:50]]))], "target_idx int, tx double, ty double, tz double")
+    points = [(i, "r", *map(float, p)) for i, p in enumerate(at)] + [(0, "s", *map(float, at[1])), (None, "r", 0.5, 0.5, 0.5), (70, "r", None, 0.5, 0.5)]
+    q = spark.createDataFrame(points, "k int, tag string, x double, y double, z double")
+    want = {}
+    for k, tag, *p in points:
+        if k is None or None in p:
+            continue
+        d2 = [(p[0] - w[0]) ** 2 + (p[1] - w[1]) ** 2 + (p[2] - w[2]) ** 2 for w in world.tolist()]
+        if min(d2) <= 1.0:
+            want[k] = min(want.get(k, (9.0, 0, "")), (min(d2), d2.index(min(d2)), tag))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = spatial.nearest_within(q, t, ["k"], ["target_idx"], 1.0)
+        got = {r.k: (r.d2, r.target_idx, r.tag) for r in out.collect()}
+
+        def made(plan) -> int:
+            own = plan.metrics().apply("numOutputRows").value() if plan.nodeName().endswith("Join") else 0
+            below = plan.children()
+            return own + sum(made(below.apply(i)) for i in range(below.size()))
+
+        pairs = made(out._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert set(got) == set(want) and all(abs(got[k][0] - want[k][0]) < 1e-12 and got[k][1:] == want[k][1:] for k in want)
+    near = sum(sum((p[0] - w[0]) ** 2 + (p[1] - w[1]) ** 2 + (p[2] - w[2]) ** 2 <= 1.0 for w in world.tolist()) for p in at.tolist())
+    assert pairs < near / 2  # not all targets within the cut-off
