@@ -35,7 +35,7 @@ from spoorgrid.llm.common import slices, written
 
 MARK = "▁"
 SAFE = "S"
-KEPT = 120_000
+KEPT = 300_000
 #: Numbers of characters that are no pieces begin at UNKNOWN; NOTHING is above them all.
 UNKNOWN, NOTHING = 1 << 20, 1 << 22
 
@@ -74,8 +74,13 @@ class Lattice:
         self.longest = max(map(len, self.ids))
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
             raise ValueError("pieces of this model cross word marks or line ends")
-        #: every start of a piece: the id of the piece, or -1 if it is only a start
-        self.starts = {p[:n]: -1 for p in self.ids for n in range(1, len(p))} | self.ids
+        #: starts of pieces by their next character: the id of the piece, or -1 if it is only a start, and what follows
+        self.starts: dict[str, tuple[int, dict]] = {}
+        for p, i in self.ids.items():
+            after = self.starts
+            for c in p[:-1]:
+                after = after.setdefault(c, (-1, {}))[1]
+            after[p[-1]] = (i, after[p[-1]][1] if p[-1] in after else {})
         self.pairs: dict[int, bool] = {}
         #: ids of units as the bytes of 32-bit integers, in two generations: what is used again moves to the young one
         self.units: dict[str, bytes] = {}
@@ -83,16 +88,19 @@ class Lattice:
 
     def merge(self, text: str) -> list[str]:
         """The encoding of a short text by merges: best score first, then leftmost."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.rank.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if best is None:
+        parts, score, none = list(text), self.rank.get, -np.inf
+        scores = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while scores:
+            best = max(scores)
+            if best == none:
                 break
+            at = scores.index(best)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = score(parts[at - 1] + parts[at], none)
+            if at < len(scores):
+                scores[at] = score(parts[at] + parts[at + 1], none)
         return parts
 
     def number(self, piece: str | None) -> int:
@@ -119,11 +127,13 @@ class Lattice:
 
     def follow(self, text: str, at: int, stop: int) -> list[tuple[int, int]]:
         """(end, number) of all pieces that start at a position, shortest first."""
-        out = []
-        for end in range(at + 1, stop + 1):
-            i = self.starts.get(text[at:end])
-            if i is None:
+        out, after, end = [], self.starts, at
+        for c in text[at:min(stop, at + self.longest)]:
+            step = after.get(c)
+            if step is None:
                 break
+            i, after = step
+            end += 1
             if i >= 0:
                 out.append((end, i))
         if not out or out[0][0] > at + 1:
@@ -177,6 +187,8 @@ class Lattice:
 
     def spelled(self, numbers: list[int]) -> bytes:
         """Ids as 32-bit integers; characters that are no pieces as byte pieces."""
+        if not numbers or max(numbers) < UNKNOWN:
+            return array("i", numbers).tobytes()
         out = array("i")
         for i in numbers:
             if i < UNKNOWN:

@@ -42,3 +42,12 @@ def test_documents(spark, library, odd, empty):
     back = decode(encode(odd))
     assert all(r["text"] == library.decode(r["ids"]) for r in back.collect())
     assert all(r["round_trip"] for r in round_trip(odd).collect())
+
+
+def test_units_seen_before_are_not_searched_again(monkeypatch):
+    own, searched = Lattice(PATH), []
+    monkeypatch.setattr(own, "path", lambda text: searched.append(text) or [1])
+    for _ in range(2):
+        for i in range(290_000):
+            own.between(f"▁{i}")
+    assert len(searched) == 290_000
