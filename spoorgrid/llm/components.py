@@ -76,10 +76,36 @@ def _trees(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def contracted(links: DataFrame) -> DataFrame:
     """(a, b): fewer links that connect the same nodes, each task's links as stars around their smallest nodes.
 
-    A task works on BATCH links at a time, and there are as many tasks as the links need, so that a small table is nearly solved here
-    and components() has a round left to do.
+    A task works on BATCH links at a time, and there are as many tasks as the links need.
     """
-    links = cut(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a != b"))
+    links = _apart(links)
+    return _stars(links, links.count())
+
+
+def contracted_components(links: DataFrame) -> DataFrame:
+    """What components() gives. Links that fit into one batch are solved by its task, so that a small table needs no star round with
+    its shuffles and plans; more of them are contracted batch by batch before the rounds."""
+    links = _apart(links)
+    n = links.count()
+    if n > BATCH:
+        return components(_stars(links, n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+        if held:
+            node, root = _trees(*map(np.concatenate, zip(*held, strict=True)))
+            top = np.unique(root)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in ((node, top), (root, top))], names=["node", "root"])
+
+    return cut(links.coalesce(1).mapInArrow(run, "node long, root long"))
+
+
+def _apart(links: DataFrame) -> DataFrame:
+    return cut(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a != b"))
+
+
+def _stars(links: DataFrame, n: int) -> DataFrame:
+    """contracted() of so many links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -93,4 +119,4 @@ def contracted(links: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in _trees(*map(np.concatenate, zip(*held, strict=True)))], names=["a", "b"])
 
-    return links.coalesce(max(1, -(-links.count() // BATCH))).mapInArrow(run, "a long, b long")
+    return links.coalesce(max(1, -(-n // BATCH))).mapInArrow(run, "a long, b long")

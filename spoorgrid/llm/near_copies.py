@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from spoorgrid.llm.cells import SMALL
 from spoorgrid.llm.common import NOT_SPACE, slices, word_hashes, written
-from spoorgrid.llm.components import components, contracted
+from spoorgrid.llm.components import contracted_components
 from spoorgrid.llm.simhash import fingerprint, links as fingerprint_links
 
 SLOTS = 256
@@ -286,7 +286,7 @@ def verified(links: DataFrame, bodies: DataFrame, words: int, similarity: float)
 
 def classes_of(links: DataFrame) -> DataFrame:
     """(id, root) of texts with links."""
-    return components(contracted(links)).select(F.col("node").alias("id"), "root")
+    return contracted_components(links).select(F.col("node").alias("id"), "root")
 
 
 def linked_texts(texts: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spoorgrid.llm.common import bucket_of, scored, word_hashes
-from spoorgrid.llm.learn import Adam, Bag, bag_of, learnable, sample_texts, sigmoid
+from spoorgrid.llm.learn import Adam, Bag, bag_of, fitted, learnable, sample_texts, sigmoid
 from spoorgrid.session import cut
 
 #: Seed words of the first voter.
@@ -196,14 +196,13 @@ def score_texts(model: Model, texts: list[str]) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, rows: int = 6000, unlabelled: int = 2000) -> Model:
     """Fit on at most `rows` labelled and `unlabelled` other documents, all outside the held-out bucket (bounds of the
-    driver's work). The others are the first by a hash of their id; their labels, if any, are not read."""
+    one task that fits). The others are the first by a hash of their id; their labels, if any, are not read."""
     chosen = cut(learnable(labels, "toxic", modulus, held, rows))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(bucket_of(F.col("doc_id"), modulus) != held)
     more = ids.join(F.broadcast(chosen), "doc_id", "left_anti").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled)
     both = cut(chosen.unionByName(more.withColumn("y", F.lit(None).cast("int"))))
-    sample = sample_texts(docs, both, [F.col("text").cast("string").alias("text")]).collect()
-    sample.sort(key=lambda r: r["doc_id"])
-    return fit([r["text"] or "" for r in sample], np.array([np.nan if r["y"] is None else r["y"] for r in sample], float))
+    sample = sample_texts(docs, both, [F.col("text").cast("string").alias("text")])
+    return fitted(sample, lambda c: fit([t or "" for t in c["text"]], np.array([np.nan if y is None else y for y in c["y"]], float)))
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

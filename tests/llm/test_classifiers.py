@@ -114,3 +114,23 @@ def test_unlabelled_texts_train_too():
     y = np.array([1.0] * 20 + [0.0] * 60)
     held = toxicity.score_texts(toxicity.fit(texts, y), ["grumblefish by the river"])[0]
     assert toxicity.score_texts(toxicity.fit(texts + more, np.append(y, np.full(20, np.nan))), ["grumblefish by the river"])[0] > held
+
+
+@pytest.mark.parametrize(("module", "column"), [(toxicity, "toxic"), (quality, "quality")])
+def test_models_are_fitted_in_a_task(spark, empty, monkeypatch, module, column):
+    """The driver gets the model alone, equal to that of a fit of the collected sample, and one of no rows too."""
+    rows = [(i, f"word{i % 7} {'scum trash' if i % 3 else 'fine day'} w{i}", i % 5 or None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)], f"doc_id long, {column} int")
+    modulus, held = (5, 0) if module is toxicity else (4, 2)
+    sample = [r for r in rows if zlib.crc32(str(r[0]).encode()) % modulus != held]
+    texts, y = [r[1] for r in sample], np.array([int(r[0] % 3 > 0) for r in sample], np.float32)
+    want = module.fit(texts, y) if module is toxicity else module.fit(texts, [r[2] for r in sample], y, 1 << 13, 8, 60)
+    fit, here = module.fit, []
+    monkeypatch.setattr(module, "fit", lambda *a: here.append(len(a[0])) or fit(*a))
+    got = module.train(docs, labels)
+    assert not here
+    for name, value in vars(want).items():
+        assert np.array_equal(value, getattr(got, name)), name
+    module.train(empty, labels)
+    assert not any(here)

@@ -79,3 +79,19 @@ def test_contracted_links_connect_the_same_nodes(spark, monkeypatch):
         few = C.contracted(links)
         assert sorted(map(tuple, C.components(few).collect())) == want and few.count() <= 700
     assert C.contracted(links.limit(0)).count() == 0
+
+
+def test_few_links_are_solved_without_star_rounds(spark, monkeypatch):
+    from spoorgrid.llm import components as C
+
+    rng = np.random.default_rng(9)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-900, 900, (900, 2))] + [(5, 5), (1, 2), (2, 1), (None, 3), (4, None)]
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(6)
+    want, rounds, star = sorted(map(tuple, C.components(links).collect())), [], C._large_star
+    monkeypatch.setattr(C, "_large_star", lambda x: rounds.append(1) or star(x))
+    for batch, some in ((500_000, False), (40, True)):
+        monkeypatch.setattr(C, "BATCH", batch)
+        rounds.clear()
+        assert sorted(map(tuple, C.contracted_components(links).collect())) == want and bool(rounds) == some
+    monkeypatch.undo()
+    assert C.contracted_components(links.limit(0)).count() == 0
