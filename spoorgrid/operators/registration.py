@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from spoorgrid.functions import pose as P
 from spoorgrid.operators.points import voxel_first
-from spoorgrid.operators.spatial import nearest_within
+from spoorgrid.operators.spatial import nearest_within, small_targets
 from spoorgrid.session import cut
 
 S, T = ("x", "y", "z"), ("tx", "ty", "tz")
-BROADCAST_TARGETS = 100_000  # a target of fewer voxels goes to every executor, so that points stay where they are
 
 
 def planar_fit(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,7 +41,7 @@ def register(query: DataFrame, target: DataFrame, poses: DataFrame, keys: list[s
     """
     q = cut(voxel_first(query, keys, voxel, order).select(*keys, F.monotonically_increasing_id().alias("_pid"), *S))
     t = cut(voxel_first(target, [], voxel, order).select(*[F.col(a).alias(b) for a, b in zip(S, T)]))
-    t = F.broadcast(t) if t.count() <= BROADCAST_TARGETS else t
+    small = small_targets(t, list(T))
     sizes = q.groupBy(*keys).agg(F.count("*").alias("n_query"))
     state = cut(poses.select(*keys, "pose").join(sizes, keys, "left").select(
         *keys, "pose", F.coalesce("n_query", F.lit(0)).alias("n_query"), F.lit(0).cast("bigint").alias("inliers"),
@@ -52,7 +51,7 @@ def register(query: DataFrame, target: DataFrame, poses: DataFrame, keys: list[s
         live = state.where("active")
         moved = q.join(live.select(*keys, "pose"), keys)
         moved = moved.select(*keys, "_pid", *[c.alias(n) for n, c in zip(S, P.apply_pose("pose", *S))])
-        near = nearest_within(moved, t, ["_pid", *keys, *S], list(T), cutoff)
+        near = nearest_within(moved, t, ["_pid", *keys, *S], list(T), cutoff, small=small)
         if trim is not None:
             w = Window.partitionBy(*keys)
             near = near.withColumns({"_rn": F.row_number().over(w.orderBy("d2", "_pid")), "_n": F.count("*").over(w)})

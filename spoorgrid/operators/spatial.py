@@ -7,9 +7,12 @@ finishes the work.
 
 from __future__ import annotations
 
-import functools
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,35 +98,165 @@ def within_radius(left: DataFrame, right: DataFrame, lx: str, ly: str, rx: str,
     return out.where(F.col("d2") <= F.lit(float(radius) ** 2)).drop("_bx", "_by")
 
 
+SMALL_TARGETS = 100_000  # a target of fewer rows goes to the tasks that hold the points
+BLOCK_ROWS = 500_000     # points, and targets, that a group of a block holds
+CANDIDATES = 2_000_000   # pairs compared at once
+
+
+def small_targets(target: DataFrame, target_cols: list[str], t=("tx", "ty", "tz")) -> pa.Table | None:
+    """The columns that `nearest_within` takes from a small target, for use in several calls; None for a larger one."""
+    rows = target.select(*dict.fromkeys([*t, *target_cols])).dropna(subset=list(t))
+    return rows.toArrow() if rows.count() <= SMALL_TARGETS else None
+
+
 def nearest_within(query: DataFrame, target: DataFrame, query_key: list[str], target_cols: list[str],
-                   cutoff: float, q=("x", "y", "z"), t=("tx", "ty", "tz")) -> DataFrame:
+                   cutoff: float, q=("x", "y", "z"), t=("tx", "ty", "tz"), small: pa.Table | None = None) -> DataFrame:
     """Nearest 3-D target of each query point within a cut-off; ties go to the smallest target columns.
 
-    Two passes over cells, whose targets are copied to the 27 surrounding ones: a point with a target within a third of the cut-off
-    meets only the targets of cells of that size; the others meet those of cells of the cut-off. Both are exact, since no target nearer
-    than the size of a cell lies beyond the cells around it. Points settled before stay apart from the targets by a flag among the keys.
+    Points meet targets in blocks of four cut-offs, to which targets come from one cut-off around; where a block holds many rows, its points are
+    dealt to lanes and its targets to parts, so that a task's group is bounded. A small target (`small`, if the caller has it already) goes to
+    the points instead, which then stay where they are. Inside, grids from fine to the cut-off are tried until one holds a near target.
     """
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    rest = [c for c in query.columns if c not in query_key]
-    known = [*query_key, *rest]
-    d2 = sum(((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)) for a, b in zip(q[1:], t[1:])),
-             (F.col(q[0]) - F.col(t[0])) * (F.col(q[0]) - F.col(t[0])))
-    near = query.dropna(subset=list(query_key)).select(*known, F.lit(None).alias("_b"))
+    own, rest = query.columns, [c for c in query.columns if c not in query_key]
     taken = list(dict.fromkeys([*t, *target_cols]))
-    for size, reach in ((cutoff / 3, 0.33 * cutoff), (cutoff, cutoff)):  # less than the size, so that no rounding matters
-        tt = target.select(*taken, F.lit(True).alias("_open"))
-        for i, c in enumerate(t):
-            tt = tt.withColumn(f"_s{i}", F.explode(steps)).withColumn(f"_c{i}", _bucket(c, size) + F.col(f"_s{i}")).drop(f"_s{i}")
-        qq = near.withColumns({f"_c{i}": _bucket(c, size) for i, c in enumerate(q)}).withColumn("_open", F.col("_b").isNull())
-        cells = [qq[c] == tt[c] for c in ("_open", "_c0", "_c1", "_c2")]
-        pairs = qq.join(tt, functools.reduce(lambda a, b: a & b, cells) & (d2 <= F.lit(float(reach) ** 2)), "left")
-        best = F.when(d2.isNotNull(), F.struct(d2.alias("d2"), *target_cols))
-        near = pairs.select(*known, (F.coalesce("_b", best) if size == cutoff else best).alias("_b")).groupBy(*known).agg(F.min("_b").alias("_b"))
-    near = near.where(F.col("_b").isNotNull()).select(*query_key, *[F.col(f"_b.{c}").alias(c) for c in ("d2", *target_cols)], *rest)
-    if not rest:
-        return near
-    best = near.groupBy(*query_key).agg(F.min(F.struct("d2", *target_cols, *rest)).alias("_b"))
-    return best.select(*query_key, *[F.col(f"_b.{c}").alias(c) for c in ("d2", *target_cols, *rest)])
+    points = query.dropna(subset=list(dict.fromkeys([*query_key, *q])))
+    kinds, made = dict(target.dtypes), [f"_n_{c}" for c in target_cols]
+    ddl = ", ".join([f"`{c}` {k}" for c, k in query.dtypes] + ["_d2 double"] + [f"`{n}` {kinds[c]}" for n, c in zip(made, target_cols)])
+    small = small if small is not None else small_targets(target, target_cols, t)
+
+    def found(left: pa.Table, near: _Nearest) -> pa.Table:
+        d2, at = near(np.column_stack([left.column(c).to_numpy().astype(np.float64) for c in q]))
+        hit = np.flatnonzero(at >= 0)
+        out = left.select(own).take(pa.array(hit))
+        out = out.append_column("_d2", pa.array(d2[hit]))
+        for n, c in zip(made, target_cols):
+            out = out.append_column(n, near.rows.column(c).take(pa.array(at[hit])))
+        return out
+
+    if small is not None:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            near = _Nearest(small, t, target_cols, cutoff)
+            for b in batches:
+                yield from found(pa.Table.from_batches([b]), near).combine_chunks().to_batches()
+
+        return _first_of(points.mapInArrow(run, ddl), query_key, rest, made, target_cols)
+    size, reach = 4.0 * cutoff, 1.0001 * cutoff
+    block = ["_b0", "_b1", "_b2"]
+    points = points.withColumns({b: _bucket(c, size) for b, c in zip(block, q)})
+    targets = target.select(*taken).dropna(subset=list(t))
+    for b, c in zip(block, t):
+        targets = targets.withColumn(b, _spread(F.col(c) - reach, F.col(c) + reach, size))
+    lanes, parts = (d.groupBy(*block).agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("bigint").alias(c)).where(F.col(c) > 1)
+                    for d, c in ((points, "_lanes"), (targets, "_parts")))
+    crowded = lanes.join(parts, block, "full").select(*block, *[F.coalesce(c, F.lit(1).cast("bigint")).alias(c) for c in ("_lanes", "_parts")]).collect()
+    points = points.withColumn("_h", F.xxhash64(*own))
+    if crowded:  # one row for each crowded block, and of those there are few
+        many = F.broadcast(query.sparkSession.createDataFrame(crowded, "_b0 bigint, _b1 bigint, _b2 bigint, _lanes bigint, _parts bigint"))
+        points, targets = (d.join(many, block, "left").fillna(1, ["_lanes", "_parts"]) for d in (points, targets))
+        points = points.withColumns({"_lane": F.pmod("_h", "_lanes"), "_part": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))})
+        targets = targets.withColumns({"_part": F.pmod(F.xxhash64(*taken), "_parts"), "_lane": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_lanes") - 1))})
+        block = [*block, "_lane", "_part"]
+
+    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
+        hashes = left.column("_h").to_numpy()
+        if len(np.unique(hashes)) < len(hashes):  # a row that comes twice counts once
+            left = pa.Table.from_pandas(left.to_pandas(integer_object_nulls=True).drop_duplicates(own), left.schema, preserve_index=False)
+        return found(left, _Nearest(right, t, target_cols, cutoff))
+
+    pairs = points.select(*own, "_h", *block).groupBy(*block).cogroup(targets.select(*taken, *block).groupBy(*block)).applyInArrow(tile, ddl)
+    if rest or any(r["_parts"] > 1 for r in crowded):
+        return _first_of(pairs, query_key, rest, made, target_cols)
+    return pairs.select(*query_key, F.col("_d2").alias("d2"), *[F.col(n).alias(c) for n, c in zip(made, target_cols)])
+
+
+def _first_of(pairs: DataFrame, query_key: list[str], rest: list[str], made: list[str], target_cols: list[str]) -> DataFrame:
+    best = pairs.groupBy(*query_key).agg(F.min(F.struct("_d2", *made, *rest)).alias("_b"))
+    return best.select(*query_key, F.col("_b._d2").alias("d2"), *[F.col(f"_b.{n}").alias(c) for n, c in zip(made, target_cols)], *[F.col(f"_b.{c}").alias(c) for c in rest])
+
+
+class _Nearest:
+    """Nearest of the rows of a table; a position that comes twice is held once, by its smallest columns."""
+
+    def __init__(self, table: pa.Table, t, columns: list[str], cutoff: float):
+        self.rows = table.take(pc.sort_indices(table, [(c, "ascending") for c in columns], null_placement="at_start")) if columns else table
+        xyz = np.column_stack([self.rows.column(c).to_numpy().astype(np.float64) for c in t])
+        order = np.lexsort(xyz.T)
+        kept = np.ones(len(order), dtype=bool)
+        kept[1:] = (xyz[order[1:]] != xyz[order[:-1]]).any(axis=1)
+        self.at = order[kept]  # the sort is stable, so the first of equal positions is the smallest row
+        self.xyz, self.limit, self.grids = xyz[self.at], float(cutoff) ** 2, []
+        size, sure = 1.001 * cutoff, self.limit
+        while len(self.at):
+            self.grids.append(_Grid(self.xyz, size, sure))
+            if self.grids[-1].crowding <= 2 or len(self.grids) > 10 or self.grids[-1].cells > 2 ** 58:
+                break
+            size /= 2
+            sure = (0.99 * size) ** 2
+
+    def __call__(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distance and row of the nearest one of each point; a row of -1 where none is near."""
+        best, row = np.full(len(points), np.inf), np.full(len(points), -1, dtype=np.int64)
+        left = np.flatnonzero(np.isfinite(points).all(axis=1))
+        for grid in reversed(self.grids):
+            done = np.zeros(len(left), dtype=bool)
+            for at in range(0, len(left), 16384):
+                some = left[at:at + 16384]
+                for part, lo, n in grid.around(points[some]):
+                    d2, pick = self._least(points[some[part]], grid, lo, n)
+                    near = d2 <= grid.sure
+                    best[some[part[near]]], row[some[part[near]]] = d2[near], pick[near]
+                    done[at + part[near]] = True
+            left = left[~done]
+        return best, row
+
+    def _least(self, points: np.ndarray, grid: _Grid, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        total = n.sum(axis=1)
+        ends = np.cumsum(n.ravel())
+        i = grid.order[np.repeat(lo.ravel() - (ends - n.ravel()), n.ravel()) + np.arange(ends[-1])]
+        of, starts = np.repeat(np.arange(len(points)), total), np.cumsum(total) - total
+        dx, dy, dz = (points[of, a] - self.xyz[i, a] for a in range(3))
+        d2 = dx * dx + dy * dy + dz * dz
+        least = np.minimum.reduceat(d2, starts)
+        pick = np.minimum.reduceat(np.where(d2 == least[of], self.at[i], np.iinfo(np.int64).max), starts)
+        return least, pick
+
+
+class _Grid:
+    """Targets by cell; `crowding`: how many a cell that has any holds on average."""
+
+    def __init__(self, xyz: np.ndarray, size: float, sure: float):
+        self.size, self.sure = size, sure
+        cell = np.floor(xyz / size)
+        self.low = cell.min(axis=0) - 2
+        self.shape = (cell.max(axis=0) - self.low + 3).astype(np.int64)
+        code = self._code((cell - self.low).astype(np.int64))
+        self.order = np.argsort(code, kind="stable")
+        self.code = code[self.order]
+        self.crowding = len(code) / (1 + np.count_nonzero(np.diff(self.code)))
+        self.cells = math.prod(self.shape.tolist())
+        few = self.cells <= 4 * len(code) + 100_000
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.code, minlength=self.cells + 1))]) if few else None
+
+    def _code(self, cell: np.ndarray) -> np.ndarray:
+        return (cell[:, 0] * self.shape[1] + cell[:, 1]) * self.shape[2] + cell[:, 2]
+
+    def _start(self, code: np.ndarray) -> np.ndarray:
+        return self.first[code] if self.first is not None else np.searchsorted(self.code, code)
+
+    def around(self, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Points that have targets in the cells around theirs, with the starts and lengths of nine runs of three cells, a bounded number of pairs at a time."""
+        cell = np.floor(points / self.size) - self.low
+        inside = np.flatnonzero(((cell >= 1) & (cell <= self.shape - 2)).all(axis=1))
+        code = self._code(cell[inside].astype(np.int64))
+        runs = [code + (i * self.shape[1] + j) * self.shape[2] for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        lo = np.stack([self._start(r - 1) for r in runs], axis=1)
+        n = np.stack([self._start(r + 2) for r in runs], axis=1) - lo
+        total = n.sum(axis=1)
+        some = np.flatnonzero(total)
+        cuts = np.cumsum(total[some]) // CANDIDATES
+        for part in np.split(some, np.flatnonzero(np.diff(cuts)) + 1):
+            if len(part):
+                yield inside[part], lo[part], n[part]
 
 
 def in_time_window(left: DataFrame, right: DataFrame, keys: list[str], lt: str, rt: str, before: float,

@@ -117,3 +117,24 @@ def test_nearest_within_dense_targets_ties_and_odd_keys(spark):
     assert set(got) == set(want) and all(abs(got[k][0] - want[k][0]) < 1e-12 and got[k][1:] == want[k][1:] for k in want)
     near = sum(sum((p[0] - w[0]) ** 2 + (p[1] - w[1]) ** 2 + (p[2] - w[2]) ** 2 <= 1.0 for w in world.tolist()) for p in at.tolist())
     assert pairs < near / 2  # not all targets within the cut-off
+
+
+@pytest.mark.parametrize("rows", [500_000, 40])
+def test_nearest_within_large_target_meets_points_in_blocks(spark, monkeypatch, rows):
+    monkeypatch.setattr(spatial, "SMALL_TARGETS", 0, raising=False)
+    monkeypatch.setattr(spatial, "BLOCK_ROWS", rows, raising=False)  # at 40, blocks are dealt to lanes and parts
+    rng = np.random.default_rng(11)
+    world = np.round(rng.normal(0, 1.2, (400, 3)), 1)  # many ties
+    at = np.round(rng.normal(0, 1.5, (300, 3)), 1)
+    t = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(world)], "target_idx int, tx double, ty double, tz double")
+    q = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(at)] + [(0, *map(float, at[0]))], "k int, x double, y double, z double")
+    want = {}
+    for k, p in enumerate(at.tolist()):
+        d2 = [(p[0] - w[0]) ** 2 + (p[1] - w[1]) ** 2 + (p[2] - w[2]) ** 2 for w in world.tolist()]
+        if min(d2) <= 0.25:
+            want[k] = (min(d2), d2.index(min(d2)))
+    out = spatial.nearest_within(q, t, ["k", "x", "y", "z"], ["target_idx"], 0.5)
+    got = out.collect()
+    assert len(got) == len(want) and all(abs(r.d2 - want[r.k][0]) < 1e-12 and r.target_idx == want[r.k][1] for r in got)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" in plan and (rows < 500_000 or "Join" not in plan)  # copies of the targets are never broadcast
