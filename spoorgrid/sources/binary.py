@@ -23,6 +23,7 @@ HEADER_STEP = 65536
 SLICE_RECORDS = 1_000_000
 SMALL_BYTES = 8192  # records of a file that go along with its layout, so that it is opened once
 BATCH_RECORDS = 100_000
+IMAGES_A_TASK = 4096
 # PLY scalar names and their NumPy codes.
 PLY_TYPES = {"char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int": "i4", "uint": "u4", "float": "f4",
              "double": "f8", "int8": "i1", "uint8": "u1", "int16": "i2", "uint16": "u2", "int32": "i4", "uint32": "u4",
@@ -70,22 +71,17 @@ def write_point_clouds(points: DataFrame, root: str) -> DataFrame:
             if not b.num_rows:
                 continue
             xyz = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4)]).astype("<f4")
-            codes = [b.column(i).dictionary_encode("encode").indices.to_numpy() for i in (0, 1)]
-            starts = np.flatnonzero(np.concatenate([[True], (codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1])]))
             done = []
-            for at, end in zip(starts.tolist(), [*starts[1:].tolist(), b.num_rows]):
+            for at, end in _runs(b, 2):
                 now = (b.column(0)[at].as_py(), b.column(1)[at].as_py())
                 if now != key and parts:
                     done.append(put(key, parts))
                     parts = []
                 key = now
                 parts.append(xyz[at:end])
-            yield _written(done)
+            yield _written(done, "points")
         if parts:
-            yield _written([put(key, parts)])
-
-    def _written(done: list[tuple[str, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], names=["path", "points"])
+            yield _written([put(key, parts)], "points")
 
     frames = points.select("sequence", "frame_idx", *[F.col(c).cast("double").alias(c) for c in "xyz"], "point_idx").repartition("sequence", "frame_idx")
     return frames.sortWithinPartitions("sequence", "frame_idx", F.asc_nulls_last("point_idx")).mapInArrow(save, "path string, points long")
@@ -103,19 +99,54 @@ def write_map_points(points: DataFrame, root: str) -> DataFrame:
 
 
 def write_label_images(pixels: DataFrame, root: str, width: int, height: int) -> DataFrame:
-    """One 8-bit grey PNG per (sequence, camera, frame_idx), label 0 where there is no pixel; returns (path, pixels)."""
+    """One 8-bit grey PNG per (sequence, camera, frame_idx), label 0 where there is no pixel; returns (path, pixels). A task takes its images
+    one after another."""
     def part(name: bytes, data: bytes) -> bytes:
         return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
 
-    def save(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        image = np.zeros((height, width + 1), np.uint8)  # a line begins with its filter, 0
-        image[rows["v"], rows["u"] + 1] = rows["label"]
-        path = f"{root}/{key[0]}/{key[1]}/{key[2]:06d}.png"
-        _save(path, b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0))
-              + part(b"IDAT", zlib.compress(image.tobytes())) + part(b"IEND", b""))
-        return pd.DataFrame({"path": [path], "pixels": [len(rows)]})
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folders: set[str] = set()
+        key, image, n = None, None, 0
+
+        def put() -> tuple[str, int]:
+            path = f"{root}/{key[0]}/{key[1]}/{key[2]:06d}.png"
+            _save(path, b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0))
+                  + part(b"IDAT", zlib.compress(image.tobytes())) + part(b"IEND", b""), folders)
+            return path, n
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if b.column(3).null_count or b.column(4).null_count:
+                raise ValueError("a pixel needs u and v")
+            u, v, label = (b.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in (3, 4, 5))
+            done = []
+            for at, end in _runs(b, 3):
+                now = tuple(b.column(i)[at].as_py() for i in range(3))
+                if now != key:
+                    if n:
+                        done.append(put())
+                    key, image, n = now, np.zeros((height, width + 1), np.uint8), 0  # a line begins with its filter, 0
+                image[v[at:end], u[at:end] + 1] = label[at:end]
+                n += end - at
+            yield _written(done, "pixels")
+        if n:
+            yield _written([put()], "pixels")
+
+    images = ["sequence", "camera", "frame_idx"]
+    return pixels.select(*images, "u", "v", "label").repartition(*images).sortWithinPartitions(*images).mapInArrow(save, "path string, pixels long")
 
-    return pixels.groupBy("sequence", "camera", "frame_idx").applyInPandas(save, "path string, pixels long")
+
+def _runs(b: pa.RecordBatch, keys: int) -> list[tuple[int, int]]:
+    """Starts and ends of the runs of equal values in the first columns."""
+    codes = [b.column(i).dictionary_encode("encode").indices.to_numpy() for i in range(keys)]
+    changed = np.any([c[1:] != c[:-1] for c in codes], axis=0)
+    starts = np.flatnonzero(np.concatenate([[True], changed])).tolist()
+    return list(zip(starts, [*starts[1:], b.num_rows]))
+
+
+def _written(done: list[tuple[str, int]], what: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], names=["path", what])
 
 
 def _header(f, size: int, layout, path: str) -> dict:
@@ -177,7 +208,7 @@ def ply_layout(head: bytes, size: int, path: str) -> dict:
     return {"offset": end + len(b"end_header\n"), "count": count, "dtype": dtype}
 
 
-def _files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
+def _files(spark: SparkSession, root: str, suffix: str = "") -> DataFrame:
     """(path, length) of the files under a folder. Tasks list the folders, level by level; only names of folders reach the driver."""
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -195,7 +226,7 @@ def _files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
         folders = spark.createDataFrame([(f,) for f in level], "path string").repartition(min(len(level), 1000))
         listed = cut(folders.mapInArrow(entries, "path string, length long, folder boolean"))
         level = [r.path for r in listed.where("folder").select("path").collect()]
-        files = listed.where(~F.col("folder") & F.col("path").endswith(f".{suffix}")).select("path", "length")
+        files = listed.where(~F.col("folder") & F.col("path").endswith(suffix and f".{suffix}")).select("path", "length")
         out = files if out is None else out.unionByName(files)
     return out
 
@@ -268,23 +299,106 @@ def read_map_points(spark: SparkSession, root: str) -> DataFrame:
     return _records(spark, root, "ply", ply_layout, ["x", "y", "z", "nx", "ny", "nz"], {"map_id": F.regexp_extract("path", r"([^/]+)\.ply$", 1)})
 
 
-def read_label_images(spark: SparkSession, root: str, pattern: str = r"([^/]+)/([^/]+)/(\d+)\.png$") -> DataFrame:
-    """pixels(sequence, camera, frame_idx, u, v, label) from 8-bit single-channel images, one row per pixel."""
-    images = spark.read.format("image").option("recursiveFileLookup", True).load(root)
-    flat = images.select(*[F.col(f"image.{c}").alias(c) for c in ("origin", "height", "width", "nChannels", "data")])
+def grey_png(data: bytes, path: str) -> np.ndarray:
+    """The lines of an 8-bit (of a 16-bit one, the low bytes) grey PNG, whose transparency is left out."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError(f"not a PNG file: {path}")
+    at, head, packed = 8, None, []
+    while at + 8 <= len(data):
+        n, name = struct.unpack_from(">I4s", data, at)
+        if name == b"IHDR":
+            head = struct.unpack_from(">IIBBBBB", data, at + 8)
+        elif name == b"IDAT":
+            packed.append(data[at + 8:at + 8 + n])
+        at += 12 + n
+    if head is None or head[3] not in (0, 4) or head[2] not in (8, 16):
+        raise ValueError(f"label images have one channel: {path}")
+    width, height, deep, kind, interlaced = head[0], head[1], head[2], head[3], head[6]
+    step = (2 if kind == 4 else 1) * deep // 8
+    raw, at = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8), 0
+    out = np.zeros((height, width), np.uint8)
+    passes = [(0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1)] if interlaced else [(0, 0, 1, 1)]
+    for r, c, dr, dc in passes:
+        h, w = -(-(height - r) // dr), -(-(width - c) // dc)
+        if h > 0 and w > 0:
+            lines = raw[at:at + h * (1 + w * step)].reshape(h, 1 + w * step)
+            at += lines.size
+            out[r::dr, c::dc] = _unfiltered(lines[:, 0], lines[:, 1:].reshape(h, w, step))[:, :, deep // 8 - 1]
+    return out
 
-    def pixels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _unfiltered(kinds: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Lines (h, w, bytes of a pixel) without the filters of PNG."""
+    if not kinds.any():
+        return lines
+    h, w, step = lines.shape
+    if kinds.max() <= 2:
+        out = lines.copy()
+        for r in np.flatnonzero(kinds):
+            if kinds[r] == 1:
+                out[r] = np.add.accumulate(out[r], axis=0, dtype=np.uint8)
+            elif r:
+                out[r] += out[r - 1]
+        return out
+    out = np.zeros((h + 1, w + 1, step), np.int32)  # with a line above and a column before
+    for d in range(h + w - 1):  # pixels of a diagonal do not need each other
+        r = np.arange(max(0, d - w + 1), min(h, d + 1))
+        c = d - r
+        left, up, corner, kind = out[r + 1, c], out[r, c + 1], out[r, c], kinds[r][:, None]
+        a, b, both = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+        paeth = np.where((a <= b) & (a <= both), left, np.where(b <= both, up, corner))
+        out[r + 1, c + 1] = (lines[r, c] + np.choose(kind, [np.zeros_like(left), left, up, (left + up) // 2, paeth])) & 255
+    return out[1:, 1:].astype(np.uint8)
+
+
+def read_label_images(spark: SparkSession, root: str, pattern: str = r"([^/]+)/([^/]+)/(\d+)\.png$", without: int | None = None) -> DataFrame:
+    """pixels(sequence, camera, frame_idx, u, v, label) from 8-bit single-channel images, one row per pixel, or one per pixel of other labels
+    than `without`. Tasks list the folders and read the PNG files; Spark's reader takes images of other kinds."""
+    names = {"sequence": F.regexp_extract("path", pattern, 1), "camera": F.regexp_extract("path", pattern, 2),
+             "frame_idx": F.regexp_extract("path", pattern, 3).cast("int")}
+    ddl, kept = "sequence string, camera string, frame_idx int, u int, v int, label int", 3
+
+    def pixels(batches: Iterator[pa.RecordBatch], decoded) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.itertuples(index=False):
-                if r.nChannels != 1:
-                    raise ValueError(f"label images have one channel: {r.origin}")
-                v, u = np.divmod(np.arange(r.height * r.width), r.width)
-                yield pd.DataFrame({"origin": r.origin, "u": u.astype("int32"), "v": v.astype("int32"),
-                                    "label": np.frombuffer(bytes(r.data), dtype=np.uint8).astype("int32")})
-
-    rows = flat.mapInPandas(pixels, "origin string, u int, v int, label int")
-    return rows.select(F.regexp_extract("origin", pattern, 1).alias("sequence"), F.regexp_extract("origin", pattern, 2).alias("camera"),
-                       F.regexp_extract("origin", pattern, 3).cast("int").alias("frame_idx"), "u", "v", "label")
+            found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+            held = 0
+            for i in range(b.num_rows):
+                image = decoded(b, i)
+                v, u = np.nonzero(np.ones(image.shape, bool) if without is None else image != without)
+                found.append((i, u, v, image[v, u]))
+                held += len(u)
+                if held >= BATCH_RECORDS or i == b.num_rows - 1:
+                    of = pa.array(np.repeat([k for k, *_ in found], [len(x) for _, x, _, _ in found]))
+                    columns = [pa.array(np.concatenate([f[k] for f in found]).astype(np.int32)) for k in (1, 2, 3)]
+                    yield pa.RecordBatch.from_arrays([*[b.column(c).take(of) for c in range(kept)], *columns], names=["sequence", "camera", "frame_idx", "u", "v", "label"])
+                    found, held = [], 0
+
+    def png(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def decoded(b: pa.RecordBatch, i: int) -> np.ndarray:
+            path = b.column(kept)[i].as_py()
+            with _open(path) as f:
+                return grey_png(f.read(), path)
+
+        yield from pixels(batches, decoded)
+
+    def other(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def decoded(b: pa.RecordBatch, i: int) -> np.ndarray:
+            path, height, width, channels, data = (b.column(c)[i].as_py() for c in range(kept, kept + 5))
+            if channels != 1:
+                raise ValueError(f"label images have one channel: {path}")
+            return np.frombuffer(data, np.uint8).reshape(height, width)
+
+        yield from pixels(batches, decoded)
+
+    files = _files(spark, root)
+    ours = F.col("path").endswith(".png")
+    tasks = -(-files.count() // IMAGES_A_TASK) or 1  # named, since a list of paths is small and would be put into one task
+    out = files.where(ours).repartition(tasks, "path").select(*[v.alias(n) for n, v in names.items()], "path").mapInArrow(png, ddl)
+    if files.where(~ours).isEmpty():
+        return out
+    images = spark.read.format("image").option("recursiveFileLookup", True).load(root).select(F.col("image.origin").alias("path"), "image").where(~ours)
+    images = images.select(*[v.alias(n) for n, v in names.items()], "path", *[f"image.{c}" for c in ("height", "width", "nChannels", "data")])
+    return out.unionByName(images.mapInArrow(other, ddl))
 
 
 def read_rgb_images(spark: SparkSession, root: str, size: tuple[int, int] | None = None) -> DataFrame:

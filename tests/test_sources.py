@@ -1,6 +1,7 @@
 import json
 import os
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -178,3 +179,47 @@ def test_detection_export_strictness(spark, tmp_path):
     a = spark.read.json(f"{tmp_path}/b/annotations").first()
     assert (a.bbox, a.area, a.image_id) == ([1.0, 2.0, 4.0, 7.0], 28.0, 1)
     assert spark.read.json(f"{tmp_path}/b/issues").first().issue == "person_label"
+
+
+def _filtered(image: np.ndarray, interlaced: bool, channels: int = 1, deep: int = 8) -> bytes:
+    """A grey PNG whose lines use all five filters in turn."""
+    step = channels * deep // 8
+
+    def lines(part: np.ndarray) -> bytes:
+        h, w = part.shape
+        px = np.zeros((h + 1, w + 1, step), int)
+        px[1:, 1:, deep // 8 - 1] = part
+        out = b""
+        for r in range(1, h + 1):
+            left, up, corner = px[r, :-1], px[r - 1, 1:], px[r - 1, :-1]
+            near = [abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)]
+            paeth = np.where((near[0] <= near[1]) & (near[0] <= near[2]), left, np.where(near[1] <= near[2], up, corner))
+            kind = (r + 3) % 5
+            out += bytes([kind]) + ((px[r, 1:] - [0 * left, left, up, (left + up) // 2, paeth][kind]) & 255).astype(np.uint8).tobytes()
+        return out
+
+    passes = [(0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1)] if interlaced else [(0, 0, 1, 1)]
+    raw = b"".join(lines(image[r::dr, c::dc]) for r, c, dr, dc in passes if image[r::dr, c::dc].size)
+    part = lambda n, d: struct.pack(">I", len(d)) + n + d + struct.pack(">I", zlib.crc32(n + d))
+    head = struct.pack(">IIBBBBB", image.shape[1], image.shape[0], deep, 0 if channels == 1 else 4, 0, 0, int(interlaced))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(raw)[:9]) + part(b"IDAT", zlib.compress(raw)[9:]) + part(b"IEND", b"")
+
+
+def test_label_images_of_all_kinds_without_listing_by_the_driver(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    kinds = [(False, 1, 8), (True, 1, 8), (False, 2, 8), (False, 1, 16), (True, 2, 16)]
+    images = {i: rng.integers(0, 256, (7 + i, 11)) for i in range(len(kinds))}
+    for i, kind in enumerate(kinds):
+        (tmp_path / "s" / "left").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "s" / "left" / f"{i:06d}.png").write_bytes(_filtered(images[i], *kind))
+    read = binary.read_label_images(spark, str(tmp_path))
+    assert "image" not in read._jdf.queryExecution().toString()  # Spark's reader would list all files in the driver
+    got = {(r.frame_idx, r.v, r.u): r.label for r in read.collect()}
+    assert got == {(i, v, u): int(x) for i, im in images.items() for v, line in enumerate(im) for u, x in enumerate(line)}
+    some = binary.read_label_images(spark, str(tmp_path), without=5)
+    assert some.count() == sum(int((im != 5).sum()) for im in images.values())
+    pixels = [(s, c, f, u, v, (s + f + u * v) % 15 + 1) for s in (1, 2) for c in ("left", "right") for f in (0, 7) for u in range(0, 9, 2) for v in range(0, 6, 5)]
+    out = binary.write_label_images(spark.createDataFrame(pixels, "sequence int, camera string, frame_idx int, u int, v int, label int"), f"{tmp_path}/new", 9, 6)
+    assert sorted(r.pixels for r in out.collect()) == [10] * 8
+    back = binary.read_label_images(spark, f"{tmp_path}/new").where("label > 0").collect()
+    assert sorted((int(r.sequence), r.camera, r.frame_idx, r.u, r.v, r.label) for r in back) == sorted(pixels)
