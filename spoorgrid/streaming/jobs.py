@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,12 +169,18 @@ def session_errors(frames: DataFrame, gap: str, late: str = "1 hour") -> DataFra
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "sequence", "frames", "mean_error")
 
 
-def frames_with_imu(frames: DataFrame, imu: DataFrame, half: str) -> DataFrame:
+def frames_with_imu(frames: DataFrame, imu: DataFrame, half: str, counted: bool = False) -> DataFrame:
     """Stream-stream interval join: inertial samples within +-half of each frame of the sequence.
 
+    With `counted` no pairs are made: sequence, frame_idx and how many `samples` the frame met, in a few rows to be added up by frame, so that
+    the work is linear in both streams however dense they are.
+
     A sample lies in one slot of length `half` and a frame in the (up to three) slots that its interval touches, so that rows of a
     sequence meet, and are spread over tasks, by slot; every pair meets in the slot of its sample only.
     """
+    if counted:
+        return _imu_counts(frames, imu, half)
+
     def slot(t: str) -> str:
         return f"unix_micros({t}) div unix_micros(timestamp'1970-01-01 00:00:00Z' + interval {half})"
 
@@ -184,6 +191,49 @@ def frames_with_imu(frames: DataFrame, imu: DataFrame, half: str) -> DataFrame:
     return a.join(b, near).select("a.sequence", "a.frame_idx", "a.ts", "b.imu_ts", "b.sample")
 
 
+_NO_FRAME = -2 ** 63  # stands for a null frame_idx
+
+
+def _imu_counts(frames: DataFrame, imu: DataFrame, half: str) -> DataFrame:
+    """Frames and samples meet by (sequence, slot of twice the half). A slot keeps sorted times of samples and the frames that it met; a batch counts
+    new frames against all samples and earlier frames against new samples, as the join makes each pair once, and the watermark ends a slot."""
+    span = frames.sparkSession.sql(f"select unix_micros(timestamp'1970-01-01 00:00:00Z' + interval {half})").first()[0]
+    slot = f"cast(floor({{}} / {2 * span}) as bigint)"
+    at = "unix_micros(_at)"
+    a = frames.select("sequence", F.coalesce(F.col("frame_idx").cast("bigint"), F.lit(_NO_FRAME)).alias("frame_idx"), F.col("ts").alias("_at"), F.lit(True).alias("_frame"))
+    b = imu.select("sequence", F.lit(_NO_FRAME).alias("frame_idx"), F.col("imu_ts").alias("_at"), F.lit(False).alias("_frame"))
+    a, b = (x.where("sequence is not null and _at is not null").withWatermark("_at", half) for x in (a, b))
+    a = a.withColumn("_slot", F.explode(F.expr(f"sequence({slot.format(f'({at} - {span})')}, {slot.format(f'({at} + {span})')})")))
+    both = a.unionByName(b.withColumn("_slot", F.expr(slot.format(at)))).withColumn("_us", F.expr(at))
+    blob = "frames binary, at binary, samples binary"
+
+    def count(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        idx, at, old = (np.frombuffer(x, np.int64) for x in state.get) if state.exists else (np.empty(0, np.int64),) * 3
+        new_idx, new_at, new = [], [], []
+        for p in parts:
+            is_frame, us = p["_frame"].to_numpy(bool), p["_us"].to_numpy(np.int64)
+            new_idx.append(p["frame_idx"].to_numpy(np.int64)[is_frame])
+            new_at.append(us[is_frame])
+            new.append(us[~is_frame])
+        new_idx, new_at, new = np.concatenate(new_idx), np.concatenate(new_at), np.sort(np.concatenate(new))
+        every = np.sort(np.concatenate([old, new]))
+        n = [np.searchsorted(s, t + span, "right") - np.searchsorted(s, t - span, "left") for s, t in ((new, at), (every, new_at))]
+        idx, at, n = np.concatenate([idx, new_idx]), np.concatenate([at, new_at]), np.concatenate(n)
+        state.update((idx.tobytes(), at.tobytes(), every.tobytes()))
+        state.setTimeoutTimestamp(max((int(key[1]) + 2) * 2 * span // 1000, state.getCurrentWatermarkMs() + 1))
+        met = n > 0
+        if met.any():
+            yield pd.DataFrame({"sequence": key[0], "frame_idx": idx[met], "samples": n[met]})
+
+    kinds = dict(frames.dtypes)
+    out = both.select("sequence", "_slot", "frame_idx", "_frame", "_us", "_at").groupBy("sequence", "_slot").applyInPandasWithState(
+        count, f"sequence {kinds['sequence']}, frame_idx bigint, samples bigint", blob, "append", "EventTimeTimeout")
+    return out.select("sequence", F.nullif("frame_idx", F.lit(_NO_FRAME)).cast(kinds["frame_idx"]).alias("frame_idx"), "samples")
+
+
 def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Process what is there now into Parquet under `path` and return the table. Resumes from its checkpoint."""
     q = (stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/table")

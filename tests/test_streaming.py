@@ -117,3 +117,29 @@ def test_stateful_streams_hold_bounded_micro_batches(spark, tmp_path):
         n = table(spark, SF, "events" if name[1] == "1" else "orders").count()
         commits = [f for f in os.listdir(f"{taken[0].removeprefix('file:')}/checkpoint/commits") if f.isdigit()]
         assert got == want and len(commits) >= n // size > 1, name
+
+
+def test_samples_of_frames_are_counted_without_pairs(spark, tmp_path):
+    """Equals the pairs of the join, also where frames and samples come in several micro-batches in turn, twice or without a key."""
+    rng = np.random.default_rng(8)
+    rows = [(s, i, int(t)) for s in (0, 1) for i, t in enumerate([-7200, -3601, -3600, 0, 0, 3600, 3601, *rng.integers(-20000, 20000, 60)])]
+    rows += [(0, 3, 0), (None, 1, 0), (1, None, 5), (1, 2, None)]
+    frames = spark.createDataFrame(rows, "sequence int, frame_idx int, t long").select("sequence", "frame_idx", F.timestamp_seconds(F.col("t") + 10 ** 9).alias("ts")).coalesce(1)
+    parts = frames.orderBy("ts").withColumn("n", F.monotonically_increasing_id() % 3)
+    for n in range(3):
+        parts.where(F.col("n") == n).drop("n").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    imu = lambda f: f.select("sequence", F.col("ts").alias("imu_ts"), F.lit(0).alias("sample"))
+    counted = jobs.frames_with_imu(stream, imu(stream), "12 hours", counted=True)  # nothing is late
+    got = jobs.run_available(counted, f"{tmp_path}/out").groupBy("sequence", "frame_idx").agg(F.sum("samples").alias("samples"))
+    pairs = jobs.frames_with_imu(frames, imu(frames), "12 hours").groupBy("sequence", "frame_idx").agg(F.count("*").alias("samples"))
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(map(key, got.collect())) == sorted(map(key, pairs.collect()))
+    hour = jobs.run_available(jobs.frames_with_imu(stream.where("false"), imu(stream), "1 hour", counted=True), f"{tmp_path}/none")
+    assert hour.count() == 0
+    plan = jobs.frames_with_imu(stream, imu(stream), "1 hour", counted=True)._jdf.queryExecution().analyzed().toString()
+    assert "Join" not in plan
+    taken = []
+    with mock.patch.object(jobs, "run_available", lambda s, path, run=jobs.run_available: taken.append(s) or run(s, path)):
+        n = REGISTRY["R6_frames_with_imu"].build(spark, SF).agg(F.sum("samples")).first()[0]
+    assert "samples" in taken[0].columns and n > 0
