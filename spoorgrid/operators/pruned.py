@@ -7,6 +7,7 @@ stays where it is. Queries travel, to the blocks whose bound reaches what they a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -14,10 +15,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoorgrid.session import cut
+from spoorgrid.session import cut, file_system, shared_folder
 
 MAX_CELLS = 256  # what a task holds of the bank's shape: at most this many centres
 SAMPLE = 16      # sampled vectors a centre is learned from
@@ -122,6 +125,37 @@ def visit(queries: DataFrame, placed: DataFrame, cells: Cells, variants: int, la
     return _visits(queries, cells, variants, lanes, first).groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInArrow(tile, schema)
 
 
+def read_by_lanes(queries: DataFrame, placed: DataFrame, cells: Cells, lanes: int, run: Callable[[pa.Table, Callable[[int, int], pa.Table]], pa.Table],
+                  schema: str) -> DataFrame:
+    """`run(lane, block)` for lanes of the queries; `block(cell, part)` reads that block from the shared folder. Queries are dealt once and stay, so disk
+    and shuffles hold the bank and the queries, not queries times blocks."""
+    folder = f"{shared_folder(placed.sparkSession)}/bank-{uuid.uuid4().hex}"
+    blocks = int(cells.parts.sum())
+    placed.repartition(blocks, "cell", "part").write.partitionBy("cell", "part").parquet(folder)
+    system, local = file_system(folder)
+    files: dict[tuple[int, int], list[str]] = {}
+    for path in (f.path for f in system.get_file_info(FileSelector(local, recursive=True)) if f.path.endswith(".parquet")):
+        cell, part = (int(x.split("=")[1]) for x in path.rsplit("/", 3)[1:3])
+        files.setdefault((cell, part), []).append(path)
+
+    def block(cell: int, part: int) -> pa.Table:
+        there = file_system(folder)[0]
+        return pa.concat_tables([pq.read_table(p, filesystem=there, columns=["item", "bvec"], partitioning=None) for p in files.get((int(cell), int(part)), [])] or [EMPTY])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lane = [b for b in batches if b.num_rows]
+        if lane:
+            table = pa.Table.from_batches(lane)
+            table = table.filter(pc.is_valid(table.column("qvec")))
+            if table.num_rows:
+                yield from run(table, block).combine_chunks().to_batches()
+
+    return queries.repartition(lanes, "qid").mapInArrow(each, schema)
+
+
+EMPTY = pa.table({"item": pa.array([], pa.int64()), "bvec": pa.array([], pa.list_(pa.float64()))})
+
+
 def lanes_for(n_queries: int, block_rows: int, width: int, blocks: int, tasks: int) -> int:
     """Lanes for queries whose vectors hold `width` numbers: as few as memory allows, but some groups of blocks and lanes for every task slot."""
     bounded = max(1, -(-n_queries // (LANE * block_rows)), -(-n_queries * width // LANE_NUMBERS))

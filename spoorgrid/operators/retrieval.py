@@ -3,7 +3,8 @@
 The bank lies in cells with a bound on the scores inside (`pruned`). A query first meets one promising block; its k-th best score there,
 or the score of its truth, then decides which other blocks can matter. Moments of plain scores need no scores at all: they follow from the
 bank's sums and second moments. Only ensembles over several variants, whose moments are those of a maximum, multiply all blocks with
-all blocks. Score matrices never leave a task and no query-item pairs are shuffled.
+all blocks. Lanes of queries stay in a task and read blocks from the shared folder, so disk holds the queries and the bank once; truth
+ranks send queries to blocks. Score matrices never leave a task and no query-item pairs are shuffled.
 """
 
 from __future__ import annotations
@@ -23,76 +24,8 @@ DIGITS = 12
 BLOCK = 16384  # vectors of a bank block
 STEP = 256     # queries of a block whose scores are held at once
 PAIRS = 8192   # pairs of a block that are scored exactly at once
+PART = 4096    # vectors of a block whose scores are added up at once
 DENSE = 16     # of so many pairs one or more worth an exact score: all are scored as a matrix
-_OUT = "qid bigint, n bigint, s1 array<double>, s2 array<double>, ids array<bigint>, scores array<double>, variants array<int>"
-
-
-def _packed(df: DataFrame, key: str, vec: str, blocks: int, name: str, extra: list[str]) -> DataFrame:
-    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    return df.groupBy(block.alias(name)).agg(
-        F.collect_list(F.col(key).cast("bigint")).alias(name + "_ids"), F.flatten(F.collect_list(vec)).alias(name + "_flat"),
-        *[(F.flatten(F.collect_list(c)) if t.startswith("array") else F.collect_list(c)).alias(c)
-          for c, t in df.dtypes if c in extra])
-
-
-def _kernel(models: int, variants: int, k: int, skip_self: bool, weights: list[float] | None):
-    """Scores one block pair. Per query and model the best variant counts (the earliest on ties)."""
-
-    def tile(row) -> pd.DataFrame:
-        qid, bid = np.asarray(row.q_ids), np.asarray(row.b_ids)
-        q = np.asarray(row.q_flat, dtype=np.float64).reshape(len(qid), models, variants, -1)
-        b = np.asarray(row.b_flat, dtype=np.float64).reshape(len(bid), models, -1)
-        best = np.empty((models, len(qid), len(bid)))
-        which = np.zeros((models, len(qid), len(bid)), dtype=np.int32)
-        for m in range(models):
-            for v in range(variants):
-                s = np.round(q[:, m, v] @ b[:, m].T, DIGITS)
-                if v == 0:
-                    best[m] = s
-                else:
-                    up = s > best[m]
-                    best[m][up], which[m][up] = s[up], v
-        allowed = (qid[:, None] != bid[None, :]) if skip_self else np.ones((len(qid), len(bid)), dtype=bool)
-        masked = np.where(allowed, best, 0.0)
-        s1, s2 = masked.sum(axis=2).T, (masked ** 2).sum(axis=2).T
-        total, angle = best[0], which[0]
-        if weights is not None:
-            mean = np.asarray(row.mean).reshape(len(qid), models).T[:, :, None]
-            std = np.asarray(row.std).reshape(len(qid), models).T[:, :, None]
-            z = (best - mean) / np.where(std < 1.0e-6, 1.0, std) * np.asarray(weights)[:, None, None]
-            total = np.round(z.sum(axis=0), DIGITS)
-            angle = np.take_along_axis(which, z.argmax(axis=0)[None], axis=0)[0]
-        ids, scores, angles = [], [], []
-        for i in range(len(qid)):
-            pool = np.flatnonzero(allowed[i])
-            s = total[i, pool]
-            if k and len(pool) > k:
-                pool = pool[s >= np.partition(s, len(s) - k)[len(s) - k]]
-                s = total[i, pool]
-            order = np.lexsort((bid[pool], -s))[:k]
-            ids.append(bid[pool][order])
-            scores.append(s[order])
-            angles.append(angle[i, pool][order])
-        return pd.DataFrame({"qid": qid, "n": allowed.sum(axis=1), "s1": list(s1), "s2": list(s2),
-                             "ids": ids, "scores": scores, "variants": angles})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                yield tile(row)
-
-    return run
-
-
-def _tiles(queries, bank, models, variants, k, skip_self, weights=None, block_rows=4096) -> DataFrame:
-    """Every query block with every bank block, for moments and ensembles of maxima over variants."""
-    nq = max(1, -(-queries.count() // block_rows))
-    nb = max(1, -(-bank.count() // block_rows))
-    extra = ["mean", "std"] if weights is not None else []
-    q = _packed(queries, "qid", "qvec", nq, "q", extra).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-    b = _packed(bank, "item", "bvec", nb, "b", []).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    joined = q.join(b, ["q", "b"])
-    return joined.mapInPandas(_kernel(models, variants, k, skip_self, weights), _OUT)
 
 
 def _exact(q: np.ndarray, b: np.ndarray, r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,13 +81,14 @@ def _numbers(table: pa.Table, name: str) -> np.ndarray:
 
 def _top_tile(variants: int, k: int, skip_self: bool):
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], [np.empty(0)], [np.empty(0, dtype=np.int32)]
+        found = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], [np.empty(0)], [np.empty(0, dtype=np.int32)], [np.empty(0, dtype=np.int64)]
         if left.num_rows and right.num_rows:
             bid = _numbers(right, "item")
             order = np.argsort(bid, kind="stable")
             ids = bid[order]
             for some, q, b, rough, slack in _screens(left, right, variants):
                 qid = _numbers(some, "qid")
+                row = _numbers(some, "row") if "row" in some.column_names else qid
                 least = _numbers(some, "threshold").astype(np.float64) if "threshold" in some.column_names else np.full(len(qid), np.nan)
                 own = _same(ids, order, qid) if skip_self else (np.empty(0, dtype=np.int64),) * 2
                 rough[own] = -np.inf
@@ -174,9 +108,9 @@ def _top_tile(variants: int, k: int, skip_self: bool):
                 first = np.lexsort((bid[c], -best, r))
                 r, c, best, which = r[first], c[first], best[first], which[first]
                 keep = np.arange(len(r)) - np.searchsorted(r, r) < k
-                for into, part in zip(found, (qid[r], bid[c], best, which)):
+                for into, part in zip(found, (qid[r], bid[c], best, which, row[r])):
                     into.append(part[keep])
-        return pa.table(dict(zip(("qid", "item", "score", "variant"), (np.concatenate(f) for f in found))))
+        return pa.table(dict(zip(("qid", "item", "score", "variant", "row"), (np.concatenate(f) for f in found))))
 
     return tile
 
@@ -268,17 +202,58 @@ def score_moments(queries: DataFrame, bank: DataFrame, models: int = 1, variants
     """
     if variants == 1:
         return _plain_moments(queries, bank, models, skip_self)
-    t = _tiles(queries, bank, models, variants, 1, skip_self, block_rows=block_rows)
-    s = t.groupBy("qid").agg(F.sum("n").alias("n"), *[F.sum(F.col(c)[m]).alias(f"{c}_{m}") for c in ("s1", "s2")
-                                                      for m in range(models)]).where("n > 0")
-    mean = [F.col(f"s1_{m}") / F.col("n") for m in range(models)]
-    var = [F.greatest(F.col(f"s2_{m}") / F.col("n") - mean[m] * mean[m], F.lit(0.0)) for m in range(models)]
-    return s.select("qid", "n", F.array(*mean).alias("mean"), F.array(*[F.sqrt(v) for v in var]).alias("std"))
-
-
-def _lanes(queries: DataFrame, cells: pruned.Cells, block_rows: int, variants: int) -> int:
+    q = queries.select(F.col("qid").cast("bigint").alias("qid"), "qvec")
+    placed, cells = pruned.cells_of(bank, block_rows)
+    out = "qid bigint, n bigint, mean array<double>, std array<double>"
+    if cells is None:
+        return q.sparkSession.createDataFrame([], out)
+    every = _every_block(cells)
+
+    def lane(left: pa.Table, block) -> pa.Table:
+        qid, q = _numbers(left, "qid"), pruned.matrix(left, "qvec").reshape(left.num_rows, models, variants, -1)
+        n, mean, std = _lane_moments(qid, q, map(lambda at: block(*at), every), skip_self)
+        some = n > 0
+        return pa.table({"qid": qid[some], "n": n[some], "mean": list(mean[some]), "std": list(std[some])})
+
+    return pruned.read_by_lanes(q, placed, cells, _lanes(q, cells, block_rows, variants, 1), lane, out)
+
+
+def _every_block(cells: pruned.Cells) -> list[tuple[int, int]]:
+    return [(c, p) for c in np.flatnonzero(cells.rows).tolist() for p in range(int(cells.parts[c]))]
+
+
+def _lane_moments(qid: np.ndarray, q: np.ndarray, blocks: Iterator[pa.Table], skip_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Items, means and deviations of the best variants' scores per query and model."""
+    models, variants = q.shape[1:3]
+    n, s1, s2 = np.zeros(len(qid), dtype=np.int64), np.zeros((len(qid), models)), np.zeros((len(qid), models))
+    for table in blocks:
+        if not table.num_rows:
+            continue
+        bid, b = _numbers(table, "item"), pruned.matrix(table, "bvec").reshape(table.num_rows, models, -1)
+        for at in range(0, len(bid), PART):
+            ids = bid[at:at + PART]
+            order = np.argsort(ids, kind="stable")
+            items = [np.ascontiguousarray(b[at:at + PART, m].T) for m in range(models)]
+            for step in range(0, len(qid), STEP):
+                some = slice(step, step + STEP)
+                own = _same(ids[order], order, qid[some]) if skip_self else (np.empty(0, dtype=np.int64),) * 2
+                n[some] += len(ids) - np.bincount(own[0], minlength=len(qid[some]))
+                for m in range(models):
+                    best = q[some, m, 0] @ items[m]
+                    for v in range(1, variants):
+                        np.maximum(best, q[some, m, v] @ items[m], out=best)
+                    best[own] = 0.0
+                    s1[some, m] += best.sum(axis=1)
+                    s2[some, m] += np.einsum("ij,ij->i", best, best)
+    least = np.maximum(n, 1)[:, None]
+    mean = s1 / least
+    return n, mean, np.sqrt(np.maximum(s2 / least - mean ** 2, 0.0))
+
+
+def _lanes(queries: DataFrame, cells: pruned.Cells, block_rows: int, variants: int, blocks: int | None = None) -> int:
+    """`blocks`: how many tasks share a lane, if not one for each block."""
     tasks = queries.sparkSession.sparkContext.defaultParallelism
-    return pruned.lanes_for(queries.count(), block_rows, variants * cells.centres.shape[1], int(cells.parts.sum()), tasks)
+    return pruned.lanes_for(queries.count(), block_rows, variants * cells.centres.shape[1], blocks or int(cells.parts.sum()), tasks)
 
 
 def top_k(queries: DataFrame, bank: DataFrame, k: int, variants: int = 1, skip_self: bool = True,
@@ -286,36 +261,130 @@ def top_k(queries: DataFrame, bank: DataFrame, k: int, variants: int = 1, skip_s
     """Top k items per query with score and best variant; ties go to the lowest id. Rows without a vector take no part."""
     q = queries.select(F.col("qid").cast("bigint").alias("qid"), "qvec")
     placed, cells = pruned.cells_of(bank, block_rows)
-    out, tile = "qid bigint, item bigint, score double, variant int", _top_tile(variants, k, skip_self)
+    out = "qid bigint, item bigint, score double, variant int"
     if cells is None:
         return q.sparkSession.createDataFrame([], out + ", rank int")
-    lanes = _lanes(q, cells, block_rows, variants)
-    least = F.lit(None).cast("double")
-    if cells.parts.sum() > 1:  # what k items of one block already reach; a block of fewer sets no threshold
-        near = pruned.visit(q, placed, cells, variants, lanes, k, tile, out)
-        near = near.groupBy("qid").agg(F.count("*").alias("_n"), F.min("score").alias("_least"))
-        q, least = q.join(near, "qid", "left"), F.when(F.col("_n") >= k, F.col("_least"))
-    found = pruned.visit(q.select("qid", "qvec", least.alias("threshold")), placed, cells, variants, lanes, None, tile, out)
+    tile = _top_tile(variants, k, skip_self)
+
+    def lane(left: pa.Table, block) -> pa.Table:
+        up = np.concatenate([cells.upper(pruned.matrix(p, "qvec").reshape(p.num_rows, variants, -1)) for p in (left.slice(at, STEP) for at in range(0, left.num_rows, STEP))])
+        left = left.append_column("row", pa.array(np.arange(left.num_rows)))
+        threshold = np.full(left.num_rows, np.nan)
+
+        def visited(rows: np.ndarray, at: tuple[int, int], known: bool) -> pa.Table:
+            some = left.take(pa.array(rows))
+            return tile(some.append_column("threshold", pa.array(threshold[rows], from_pandas=False)) if known else some, block(*at))
+
+        if cells.parts.sum() > 1:  # what k items of one promising block already reach; a block of fewer sets no threshold
+            full = cells.rows // cells.parts > k
+            cell = (np.where(full, up, -np.inf) if full.any() else up).argmax(axis=1)
+            part = _numbers(left, "qid") % cells.parts[cell]
+            for at in sorted(set(zip(cell.tolist(), part.tolist()))):
+                _raise(threshold, visited(np.flatnonzero((cell == at[0]) & (part == at[1])), at, False), k)
+        best = None
+        for at in _every_block(cells):
+            rows = np.flatnonzero(~(up[:, at[0]] < np.where(np.isnan(threshold), -np.inf, threshold)))
+            if len(rows):
+                found = visited(rows, at, True)
+                best = found if best is None else _best(pa.concat_tables([best, found]), k)
+                _raise(threshold, best, k)
+        return (best if best is not None else tile(left.slice(0, 0), pruned.EMPTY)).drop_columns(["row"])
+
+    found = pruned.read_by_lanes(q, placed, cells, _lanes(q, cells, block_rows, variants, 1), lane, out)
     return top_n(found, ["qid"], [F.desc("score"), F.col("item")], k)
 
 
-def _merge(tiles: DataFrame, k: int) -> DataFrame:
-    rows = tiles.select("qid", F.explode(F.arrays_zip("ids", "scores", "variants")).alias("t"))
-    rows = rows.select("qid", F.col("t.ids").alias("item"), F.col("t.scores").alias("score"),
-                       F.col("t.variants").alias("variant"))
-    return top_n(rows, ["qid"], [F.desc("score"), F.col("item")], k)
+def _best(found: pa.Table, k: int) -> pa.Table:
+    """The k best of each row, of equal ones the lowest items."""
+    row = _numbers(found, "row")
+    order = np.lexsort((_numbers(found, "item"), -_numbers(found, "score"), row))
+    row = row[order]
+    return found.take(pa.array(order[np.arange(len(row)) - np.searchsorted(row, row) < k]))
+
+
+def _raise(threshold: np.ndarray, best: pa.Table, k: int) -> None:
+    """A row that has k items needs none below the least of them."""
+    row, score = _numbers(best, "row"), _numbers(best, "score")
+    n, least = np.bincount(row, minlength=len(threshold)), np.full(len(threshold), np.inf)
+    np.minimum.at(least, row, score)
+    threshold[:] = np.where(n >= k, np.fmax(threshold, least), threshold)
 
 
 def ensemble_top_k(queries: DataFrame, bank: DataFrame, k: int, weights: list[float], variants: int = 1,
-                   skip_self: bool = True, block_rows: int = 4096) -> DataFrame:
-    """Weighted sum of per-query standardised model scores; the variant comes from the largest contributor."""
+                   skip_self: bool = True, block_rows: int = BLOCK) -> DataFrame:
+    """Weighted sum of per-query standardised model scores; the variant comes from the largest contributor.
+
+    A lane of queries reads all blocks twice: for the moments, and for the items. There single precision tells which pairs may reach the k-th best.
+    """
     total = float(sum(weights))
     if total <= 0:
         raise ValueError("model weights must sum to a positive value")
-    m = len(weights)
-    stats = score_moments(queries, bank, m, variants, skip_self, block_rows)
-    q = queries.join(stats.drop("n"), "qid")
-    return _merge(_tiles(q, bank, m, variants, k, skip_self, [w / total for w in weights], block_rows=block_rows), k)
+    m, share = len(weights), np.asarray(weights, dtype=np.float64) / total
+    q = queries.select(F.col("qid").cast("bigint").alias("qid"), "qvec")
+    placed, cells = pruned.cells_of(bank, block_rows)
+    out = "qid bigint, item bigint, score double, variant int"
+    if cells is None:
+        return q.sparkSession.createDataFrame([], out + ", rank int")
+    every = _every_block(cells)
+
+    def lane(left: pa.Table, block) -> pa.Table:
+        qid, q = _numbers(left, "qid"), pruned.matrix(left, "qvec").reshape(left.num_rows, m, variants, -1)
+        n, mean, std = _lane_moments(qid, q, map(lambda at: block(*at), every), skip_self)
+        std = np.where(std < 1.0e-6, 1.0, std)
+        q32, threshold, best = q.astype(np.float32), np.full(len(qid), np.nan), None
+        for at in every:
+            table = block(*at)
+            if not table.num_rows:
+                continue
+            bid, b = _numbers(table, "item"), pruned.matrix(table, "bvec").reshape(table.num_rows, m, -1)
+            order = np.argsort(bid, kind="stable")
+            b32, reach, hits = [np.ascontiguousarray(b[:, i].T, dtype=np.float32) for i in range(m)], np.linalg.norm(b, axis=2).max(axis=0), []
+            for step in range(0, len(qid), STEP):
+                some = np.arange(step, min(step + STEP, len(qid)))
+                rough, slack = _rough_ensemble(q[some], q32[some], b32, reach, mean[some], share / std[some])
+                own = _same(bid[order], order, qid[some]) if skip_self else (np.empty(0, dtype=np.int64),) * 2
+                rough[own] = -np.inf
+                bar, open_ = threshold[some] - slack, np.flatnonzero(np.isnan(threshold[some]))
+                if len(open_):
+                    bar[open_] = -np.inf if len(bid) <= k else np.partition(rough[open_], len(bid) - k, axis=1)[:, len(bid) - k] - 2.0 * slack[open_]
+                near = ~(rough < bar[:, None])
+                near[own] = False
+                r, c = np.nonzero(near)
+                score, variant = _ensemble_scores(q[some], b, r, c, mean[some], std[some], share)
+                hits.append(pa.table({"qid": qid[some][r], "item": bid[c], "score": score, "variant": variant, "row": some[r]}))
+            best = _best(pa.concat_tables([*([best] if best is not None else []), *hits]), k)
+            _raise(threshold, best, k)
+        return best.drop_columns(["row"])
+
+    found = pruned.read_by_lanes(q, placed, cells, _lanes(q, cells, block_rows, variants, 1), lane, out)
+    return top_n(found, ["qid"], [F.desc("score"), F.col("item")], k)
+
+
+def _rough_ensemble(q, q32, b32, reach, mean, scale) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of all pairs in single precision, and how far those may be off the rounded ones; a slack that is not finite lets every pair pass."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        rough, slack = None, 1.0e-11
+        for m in range(len(b32)):
+            one = q32[:, m, 0] @ b32[m]
+            for v in range(1, q.shape[2]):
+                np.maximum(one, q32[:, m, v] @ b32[m], out=one)
+            one -= mean[:, m, None].astype(np.float32)
+            one *= scale[:, m, None].astype(np.float32)
+            rough = one if rough is None else rough + one
+            size = np.linalg.norm(q[:, m], axis=2).max(axis=1) * reach[m]
+            slack = slack + abs(scale[:, m]) * (1.0e-11 + size * (q.shape[3] + 16) * 2.0 ** -22)
+        return rough, np.where((slack < 1.0e30) & np.isfinite(scale).all(axis=1), slack, np.inf)
+
+
+def _ensemble_scores(q, b, r, c, mean, std, share) -> tuple[np.ndarray, np.ndarray]:
+    score, variant = np.empty(len(r)), np.empty(len(r), dtype=np.int32)
+    for at in range(0, len(r), PAIRS):
+        i, j = r[at:at + PAIRS], c[at:at + PAIRS]
+        s = np.round(np.einsum("pmvd,pmd->pmv", q[i], b[j]), DIGITS)
+        z = (s.max(axis=2) - mean[i]) / std[i] * share
+        score[at:at + PAIRS] = np.round(z.sum(axis=1), DIGITS)
+        variant[at:at + PAIRS] = np.take_along_axis(s.argmax(axis=2), z.argmax(axis=1)[:, None], axis=1)[:, 0]
+    return score, variant
 
 
 def _dot(a: Column, b: Column) -> Column:

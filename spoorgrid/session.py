@@ -40,6 +40,14 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir() or folder
 
 
+def file_system(path: str):
+    """The file system of a path, any that both Spark and Arrow know, and the path there."""
+    from pyarrow import fs
+
+    uri = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+    return fs.FileSystem.from_uri(uri)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise to reliable storage, so iterative jobs neither replan nor lose work with an executor."""
     shared_folder(df.sparkSession)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoorgrid.session import cut
+from spoorgrid.session import cut, file_system
 
 HEADER_STEP = 65536
 SLICE_RECORDS = 1_000_000
@@ -30,23 +30,15 @@ PLY_TYPES = {"char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int":
              "float32": "f4", "float64": "f8"}
 
 
-def _system(path: str):
-    """The file system of a path, any that both Spark and Arrow know, and the path there."""
-    from pyarrow import fs
-
-    uri = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
-    return fs.FileSystem.from_uri(uri)
-
-
 def _open(path: str):
     """A seekable stream."""
-    system, local = _system(path)
+    system, local = file_system(path)
     return system.open_input_file(local)
 
 
 def _save(path: str, data: bytes, folders: set[str] | None = None) -> None:
     """Write a whole file; a task that runs again writes the same one. Folders that the task has made are not made again."""
-    system, local = _system(path)
+    system, local = file_system(path)
     folder = local.rsplit("/", 1)[0]
     if folders is None or folder not in folders:
         system.create_dir(folder, recursive=True)
@@ -214,7 +206,7 @@ def _files(spark: SparkSession, root: str, suffix: str = "") -> DataFrame:
         from pyarrow import fs
 
         for folder in (f for b in batches for f in b.column(0).to_pylist()):
-            system, local = _system(folder)
+            system, local = file_system(folder)
             inside = [i for i in system.get_file_info(fs.FileSelector(local)) if i.base_name[:1] not in ("_", ".")]  # as Spark hides them
             for at in range(0, len(inside), BATCH_RECORDS):
                 part = inside[at:at + BATCH_RECORDS]

@@ -319,3 +319,37 @@ def test_permutation_test_by_a_split_tree_within_its_binomial_error(spark):
     for chunk in (2, 5):
         got = metrics.permutation_test(df, "x", "g", 3000, seed=4, chunk_rows=chunk).first()
         assert abs(got.p_value - exact) < 4.5 * np.sqrt(exact * (1 - exact) / 3000) and got.mean_difference == pytest.approx(gap(x[:m]))
+
+
+def test_lanes_of_queries_read_blocks_and_are_not_copied_to_them(spark):
+    """Before, every query was shuffled to every block that it needed, and ensembles held the scores of 4,096 by 4,096 pairs."""
+    rng = np.random.default_rng(21)
+    n, d, models, variants = 90, 4, 2, 3
+    v = np.round(rng.normal(size=(n, models * d)), 1)
+    v[50:60] = v[3]  # ties
+    e = v.reshape(n, models, d)
+    q = np.stack([np.roll(e, s, axis=2) for s in range(variants)], axis=2)  # n, models, variants, d
+    bank = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(n, None)], "item long, bvec array<double>")
+    asked = spark.createDataFrame([(i, [float(x) for x in q[i].ravel()]) for i in range(0, n, 4)] + [(777, None)], "qid long, qvec array<double>")
+    s = np.round(np.einsum("qmvd,bmd->qmvb", q, e), 12)
+    out = retrieval.ensemble_top_k(asked, bank, 5, [3.0, 2.0], variants=variants, block_rows=16)
+    moments = {r.qid: r for r in retrieval.score_moments(asked, bank, models, variants, block_rows=16).collect()}
+    got = {(r.qid, r["rank"]): r for r in out.collect()}
+    assert len(got) == 5 * 23 and set(moments) == set(range(0, n, 4))
+    for i in range(0, n, 4):
+        rest = [j for j in range(n) if j != i]
+        best = s[i].max(axis=1)
+        mean, dev = best[:, rest].mean(axis=1), best[:, rest].std(axis=1)
+        assert moments[i].n == n - 1 and np.allclose(moments[i]["mean"], mean) and np.allclose(moments[i]["std"], dev)
+        z = (best - mean[:, None]) / dev[:, None] * np.array([[0.6], [0.4]])
+        total = np.round(z.sum(axis=0), 9)
+        for rank, j in enumerate(sorted(rest, key=lambda j: (-total[j], j))[:5], 1):
+            assert got[i, rank].item == j and abs(got[i, rank].score - total[j]) < 1e-8
+            assert got[i, rank].variant == s[i, z[:, j].argmax(), :, j].argmax()
+    top = retrieval.top_k(asked.select("qid", F.slice("qvec", 1, d).alias("qvec")), bank.select("item", F.slice("bvec", 1, d).alias("bvec")), 4, block_rows=16)
+    for i, own in {r.qid: [x for x in top.collect() if x.qid == r.qid] for r in asked.where("qid < 40").collect()}.items():
+        want = sorted((j for j in range(n) if j != i), key=lambda j: (-s[i, 0, 0, j], j))[:4]
+        assert [x.item for x in sorted(own, key=lambda x: x["rank"])] == want
+    for made in (out, top):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "CoGroup" not in plan and "Join" not in plan
