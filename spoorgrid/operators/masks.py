@@ -66,19 +66,24 @@ def with_lookup(points: DataFrame, table: DataFrame, camera: str, values: dict[s
     return dealt(points, rows, *at).join(t, at, "left")
 
 
+def _seen(points: DataFrame, cameras: DataFrame) -> DataFrame:
+    """Pixels of both cameras at once, so that a position which nobody reads later is not shuffled."""
+    return with_pixels(with_pixels(points, cameras, "left"), cameras, "right")
+
+
 def stereo_labels(points: DataFrame, pixels: DataFrame, cameras: DataFrame) -> DataFrame:
     """Label per point: the left image if it shows the point, else the right, else -1 (0 is a valid label)."""
-    out, rows = points, points.count()
+    out, rows = _seen(points, cameras), points.count()
     for cam in ("left", "right"):
-        out = with_lookup(with_pixels(out, cameras, cam), pixels, cam, {f"label_{cam}": "label"}, rows)
+        out = with_lookup(out, pixels, cam, {f"label_{cam}": "label"}, rows)
     return out.withColumn("point_label", F.coalesce("label_left", "label_right", F.lit(-1)))
 
 
 def mask_hits(points: DataFrame, masks: DataFrame, names: list[str], cameras: DataFrame) -> DataFrame:
     """Add one boolean per flag of a mask table: TRUE where either camera sees the point on a flagged pixel."""
-    out, rows = points, points.count()
+    out, rows = _seen(points, cameras), points.count()
     for cam in ("left", "right"):
-        out = with_lookup(with_pixels(out, cameras, cam), masks, cam, {f"_{n}_{cam}": n for n in names}, rows)
+        out = with_lookup(out, masks, cam, {f"_{n}_{cam}": n for n in names}, rows)
     return out.withColumns({n: F.coalesce(f"_{n}_left", F.lit(False)) | F.coalesce(f"_{n}_right", F.lit(False))
                             for n in names}).select(*points.columns, *names)
 

@@ -8,6 +8,7 @@ from spoorgrid.operators import components, masks, policy, registration, spatial
 from spoorgrid.operators import points as pts
 from spoorgrid.plans.catalog_points import _TILES
 from spoorgrid.plans.registry import query
+from spoorgrid.session import kept
 
 ROLE = ["role"]
 FRAME = ["sequence", "frame_idx"]
@@ -378,7 +379,7 @@ def _(src):
     select fl.sequence, fl.frame_idx, point_idx, x from fl join dec using (sequence, frame_idx)
     where not dynamic and not (semi_f and semi_ratio >= 3e-1)""", real="x", whole="sequence frame_idx")
 def _(src):
-    fl = _flagged(src)
+    fl = kept(_flagged(src).select("sequence", "frame_idx", "point_idx", "x", "dynamic", "semi"))
     return masks.query_points(fl, masks.exposure_decision(fl, 0.3)).select("sequence", "frame_idx", "point_idx", "x")
 
 

@@ -9,6 +9,8 @@ from conftest import rows
 from spoorgrid import session
 from spoorgrid.operators import compare, components, masks, metrics, policy, pruned, retrieval, spatial, vote
 from spoorgrid.functions import pose as P
+from spoorgrid.plans import catalog_maps
+from spoorgrid.plans.catalog import REGISTRY
 
 
 def test_two_stage_vote_counts_frames_not_points(spark):
@@ -353,3 +355,20 @@ def test_lanes_of_queries_read_blocks_and_are_not_copied_to_them(spark):
     for made in (out, top):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" in plan and "CoGroup" not in plan and "Join" not in plan
+
+
+def test_effective_points_are_looked_up_once_and_without_positions(spark):
+    """Before, the lookups of all points ran for the frames' decisions and again for the points, and y and z travelled along."""
+    with mock.patch.object(catalog_maps, "kept", wraps=session.kept, create=True) as once:
+        out = REGISTRY["P31_effective_points"].build(spark, "/root/testdata/sf0.001")
+    assert once.call_count == 1 and "pixels" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Project" in out._jdf.queryExecution().optimizedPlan().toString() and out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    cams = spark.createDataFrame([(0, c, 8.0, 8.0, 8.0, 8.0, 16, 16, 0.0, 0.0, 0.0, 0.0, 0.0) for c in ("left", "right")],
+                                 "sequence int, camera string, fx double, fy double, cx double, cy double, width int, height int, k1 double, k2 double, p1 double, p2 double, k3 double")
+    cams = cams.withColumn("cam_pose", P.pose_from_planar(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0)))
+    pts = spark.range(300).selectExpr("0 as sequence", "int(id % 6) as frame_idx", "id as point_idx", "id / 9e2 as x", "id / 7e2 as y", "3e0 as z")
+    mask = spark.range(1).selectExpr("0 as sequence", "1 as frame_idx", "'left' as camera", "9 as u", "9 as v", "true as semi")
+    with mock.patch.object(session, "ROWS_A_TASK", 20):
+        hits = masks.mask_hits(pts, mask, ["semi"], cams).select("point_idx", "semi")
+    dealt = hits._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")
+    assert len(dealt) == 3 and all(" y#" not in line and " z#" not in line for line in (p.split("\n")[1] for p in dealt[1:]))
